@@ -1,0 +1,29 @@
+"""Profile, clean, chart and model tables of any size with Spark."""
+
+from tabletools.functions.kinds import dtype_map, select_kind
+from tabletools.operators.charts import (
+    area_data, bar_data, box_data, chart_data, choose_charts, heatmap_data, histogram_data, line_data,
+    pie_data, recommend_charts, scatter_bins, scatter_data, validate_chart_specs, violin_data)
+from tabletools.operators.cleaning import (
+    CleaningModel, cleaning_report, clip_outliers, date_pattern_rate, drop_exact_duplicates,
+    drop_sparse_columns, duplicate_count, fill_median, fill_mode, fit_cleaning, iqr_fences, null_profile,
+    outlier_counts, parse_datetimes, run_cleaning)
+from tabletools.operators.model import (
+    accuracy, cardinality_gate, encode_target, f1_score, feature_columns, feature_importances,
+    fill_features, forest_classify, forest_regress, label_encode, r2_score, rmse, run_automl,
+    train_test_split)
+from tabletools.operators.profile import (
+    anomaly_flags, category_topk, compute_analytics, correlation_matrix, correlation_pairs, kpi_summary,
+    missing_profile, null_counts, numeric_summary, profile_text, raw_analytics, raw_numeric_summary,
+    strongest_pair, table_shape)
+from tabletools.operators.reports import (
+    clean_bullets, extract_slides, extract_tagged_json, markdown_blocks, markdown_sections,
+    recommendations, section_lines, section_map, strip_tagged_line)
+from tabletools.plans.adhoc import ask_sql
+from tabletools.plans.run import RunResult, analyse_file, analyse_table
+from tabletools.sources.files import (
+    infer_types, load_table, preview, read_csv_table, save_results, write_csv_table)
+from tabletools.sources.jdbc import postgres_url, read_sql_query
+from tabletools.streaming.clean_stream import append_clean_stream, clean_stream
+
+__all__ = [name for name in dir() if not name.startswith("_")]

@@ -51,3 +51,16 @@ NA_WORDS = (
 )
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
+
+# Cleaning report: message formats
+DUPLICATES_ISSUE = "Found {n} duplicate rows."
+DUPLICATES_ACTION = "Dropped {n} exact duplicate row{s}."
+SPARSE_ISSUE = "Column '{column}' has {share:.0%} missing values — will be dropped."
+SPARSE_ACTION = "Dropped column '{column}' ({share:.0%} null)."
+MISSING_ISSUE = "Column '{column}' has {n} missing value(s) ({share:.1%})."
+MEDIAN_ACTION = "Filled {n} null(s) in numeric column '{column}' with median ({value})."
+MODE_ACTION = "Filled {n} null(s) in categorical column '{column}' with mode ({value!r})."
+OUTLIER_ISSUE = "Column '{column}' has {n} outlier(s) beyond IQR fence."
+OUTLIER_ACTION = "Clipped {n} outlier(s) in '{column}' to fence [{lower}, {upper}]."
+DATE_ACTION = "Parsed column '{column}' as datetime ({share:.0%} pattern match rate)."
+SUMMARY_COUNTERS = ("rows_removed", "columns_removed", "nulls_filled", "outliers_clipped")

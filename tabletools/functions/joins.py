@@ -19,6 +19,6 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread_
     """
     if facts.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return rows.join(F.broadcast(facts), keys, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(SALTS)))
-    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_on)), F.lit(SALTS)))
+    spread = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

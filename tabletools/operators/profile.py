@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, fields
 from functools import cached_property, partial
 
 import numpy as np
@@ -319,3 +320,78 @@ def kpi_summary(df, metrics: dict[str, float] | None = None) -> DataFrame:
             rows.append(("correlation", f"{a}×{b}", f"{r:+.3f}"))
     return _frame(p, [(i + 1, *r) for i, r in enumerate(rows)],
                   "seq int, section string, label string, value string")
+
+
+@dataclass(frozen=True)
+class Analytics:
+    """The profile of one table, one small table per part."""
+    shape: DataFrame
+    numeric_summary: DataFrame
+    correlations: DataFrame
+    categories: DataFrame
+    null_counts: DataFrame
+    dtype_map: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+
+def compute_analytics(df) -> Analytics:
+    """All parts of the profile, from one shared set of column facts."""
+    p = _profile(df)
+    return Analytics(table_shape(p), numeric_summary(p), correlation_pairs(p), category_topk(p),
+                     null_counts(p), dtype_map(p.df))
+
+
+def raw_analytics(df) -> Analytics:
+    """The same for a table before cleaning, with the shorter statistics."""
+    p = _profile(df)
+    return Analytics(table_shape(p), raw_numeric_summary(p), correlation_pairs(p), category_topk(p),
+                     null_counts(p), dtype_map(p.df))
+
+
+def profile_text(df, name: str) -> DataFrame:
+    """(line_no, line): the profile of a table as text, from its per-column facts."""
+    p = _profile(df)
+    out = [f"=== Data Context: {name} ===", "",
+           f"Shape: {p.rows} rows × {len(p.df.columns)} columns", f"Columns: {', '.join(p.df.columns)}", "",
+           "Data Types:", *[f"  {c}: {t}" for c, t in p.df.dtypes], ""]
+    out += [*_numeric_lines(p), "", *_missing_lines(p), "", *_correlation_lines(p), "", *_category_lines(p), "",
+            "=== End of Data Context ==="]
+    return _frame(p, [(i + 1, line) for i, line in enumerate(out)], "line_no int, line string")
+
+
+def _numeric_lines(p: TableProfile) -> list[str]:
+    if not p.numeric:
+        return ["Numeric Summary: none"]
+    lines = ["Numeric Summary (mean | std | min | max | skew):"]
+    for c in p.filled_numeric:
+        stats = p.fact(c) | p.moments(c)
+        shown = [f"{m}={math.nan if stats[m] is None else round(float(stats[m]), 3)}"
+                 for m in ("mean", "std", "min", "max", "skew")]
+        lines.append(f"  {c}: {' | '.join(shown)}")
+    return lines
+
+
+def _missing_lines(p: TableProfile) -> list[str]:
+    found = [f"  {c}: {n} ({100 * n / p.rows:.1f}%)" for c, n in p.missing.items() if n]
+    return ["Missing Values:", *found] if found else ["Missing Values: none"]
+
+
+def _correlation_lines(p: TableProfile) -> list[str]:
+    if len(p.numeric) < 2:
+        return ["Correlations: insufficient numeric columns"]
+    found = [f"  {a} × {b}: r={round(r, 3)}" for a, b, r in _ranked_pairs(p) if abs(r) > K.CORRELATION_THRESHOLD]
+    if not found:
+        return [f"Correlations: no pairs with |r| > {K.CORRELATION_THRESHOLD}"]
+    return [f"Correlations (|r| > {K.CORRELATION_THRESHOLD:.2f}):", *found]
+
+
+def _category_lines(p: TableProfile) -> list[str]:
+    if not p.text:
+        return ["Categorical Columns: none"]
+    top: dict[str, list[str]] = {c: [] for c in p.text}
+    for r in sorted(category_topk(p).collect(), key=lambda r: r["rank"]):
+        top[r["column"]].append(f"{r['value']!r}:{r['n']}")
+    return [f"Categorical Columns (top {K.TOP_CATEGORIES} values each):",
+            *[f"  {c}: {', '.join(entries)}" for c, entries in top.items()]]
