@@ -1,5 +1,6 @@
 """Profile, clean, chart and model tables of any size with Spark."""
 
+from tabletools import constants
 from tabletools.functions.kinds import dtype_map, select_kind
 from tabletools.operators.charts import (
     area_data, bar_data, box_data, chart_data, choose_charts, heatmap_data, histogram_data, line_data,

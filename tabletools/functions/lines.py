@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
 def lines(text: Column) -> Column:

@@ -175,7 +175,7 @@ def _as_fences(fences: DataFrame | dict[str, Fence]) -> dict[str, Fence]:
 
 def _count_outliers(df: DataFrame, fences: dict[str, Fence]) -> dict[str, int]:
     counts = {}
-    for part in batches(list(fences), 2 * COLUMNS_PER_JOB):
+    for part in batches([c for c in fences if c in df.columns], 2 * COLUMNS_PER_JOB):
         row = df.agg(*[
             F.count_if((number(df, c) < fences[c].lower) | (number(df, c) > fences[c].upper)).alias(f"n{i}")
             for i, c in enumerate(part)]).first()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, fields
+from decimal import ROUND_HALF_UP, Decimal
 from functools import cached_property, partial
 
 import numpy as np
@@ -209,8 +210,9 @@ def numeric_summary(df, decimals: int = 3) -> DataFrame:
         stats = {"mean": f["mean"], "min": f["min"], "max": f["max"], "q25": q[0.25],
                  "median": q[0.5], "q75": q[0.75], **p.moments(c)}
         rows.append((c, *[stats[m] for m in _SUMMARY_METRICS], f["n"]))
+    # the first rounding takes off the noise of a sum, so that halves round the same way
     return _frame(p, rows, _SUMMARY_SCHEMA).select(
-        "column", *[F.round(m, decimals).alias(m) for m in _SUMMARY_METRICS], "non_null_count")
+        "column", *[F.round(F.round(m, 9), decimals).alias(m) for m in _SUMMARY_METRICS], "non_null_count")
 
 
 def raw_numeric_summary(df) -> DataFrame:
@@ -361,14 +363,20 @@ def profile_text(df, name: str) -> DataFrame:
     return _frame(p, [(i + 1, line) for i, line in enumerate(out)], "line_no int, line string")
 
 
+def _shown(value: float | None, digits: int = 3) -> float:
+    """A number as ``round`` in SQL shows it: halves of the decimal value go up."""
+    if value is None or not math.isfinite(value):
+        return math.nan if value is None else value
+    return float(Decimal(repr(round(float(value), 9))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) + 0.0
+
+
 def _numeric_lines(p: TableProfile) -> list[str]:
     if not p.numeric:
         return ["Numeric Summary: none"]
     lines = ["Numeric Summary (mean | std | min | max | skew):"]
     for c in p.filled_numeric:
         stats = p.fact(c) | p.moments(c)
-        shown = [f"{m}={math.nan if stats[m] is None else round(float(stats[m]), 3)}"
-                 for m in ("mean", "std", "min", "max", "skew")]
+        shown = [f"{m}={_shown(stats[m])}" for m in ("mean", "std", "min", "max", "skew")]
         lines.append(f"  {c}: {' | '.join(shown)}")
     return lines
 
@@ -381,7 +389,7 @@ def _missing_lines(p: TableProfile) -> list[str]:
 def _correlation_lines(p: TableProfile) -> list[str]:
     if len(p.numeric) < 2:
         return ["Correlations: insufficient numeric columns"]
-    found = [f"  {a} × {b}: r={round(r, 3)}" for a, b, r in _ranked_pairs(p) if abs(r) > K.CORRELATION_THRESHOLD]
+    found = [f"  {a} × {b}: r={_shown(r)}" for a, b, r in _ranked_pairs(p) if abs(r) > K.CORRELATION_THRESHOLD]
     if not found:
         return [f"Correlations: no pairs with |r| > {K.CORRELATION_THRESHOLD}"]
     return [f"Correlations (|r| > {K.CORRELATION_THRESHOLD:.2f}):", *found]
