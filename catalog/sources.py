@@ -1,2 +1,102 @@
-QUERIES = {}
-ORACLES = {}
+"""Source and sink queries: each writes a given table to the shared folder and reads it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+import tabletools as tt
+from catalog.tables import CLEAN_DIRTY_SQL, dirty, read
+from tabletools.sources.staging import staging_path
+
+
+def _csv(s, df, label):
+    path = staging_path(s, label) + ".csv"
+    tt.write_csv_table(df, path)
+    return path
+
+
+def _orders_csv(s, d):
+    return _csv(s, read(s, d, "orders"), "orders")
+
+
+def _gapped_csv(s, d):
+    """Whole numbers, booleans and texts with several words for a missing value."""
+    return _csv(s, s.sql(GAPPED, events=read(s, d, "events")), "gapped")
+
+
+GAPPED = """SELECT CAST(event_id AS {t}) AS event_id,
+  CASE event_id % 4 WHEN 0 THEN 'NA' WHEN 1 THEN '#N/A' ELSE CAST(user_id AS {t}) END AS user_id,
+  CASE WHEN event_id % 5 = 0 THEN 'NaN' ELSE CAST(value AS {t}) END AS value,
+  CASE event_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN 'True' ELSE 'false' END AS flag,
+  CASE WHEN event_id % 6 = 0 THEN 'n/a' ELSE event_type END AS event_type,
+  CASE WHEN event_id % 7 = 0 THEN '' ELSE props END AS props,
+  'None' AS nothing FROM {events}""".replace("{t}", "string")
+
+
+def _analysed(s, d):
+    result = tt.analyse_table(dirty(s, d), "dirty", order_by=["event_id"])
+    return result.charts.select("rank", "chart_type", "x_axis", "y_axis", "title")
+
+
+def _saved(s, d):
+    path = staging_path(s, "results")
+    tt.save_results({"shape": tt.table_shape(read(s, d, "part")), "nulls": tt.null_counts(read(s, d, "part"))}, path)
+    return s.read.parquet(f"{path}/nulls").unionByName(
+        s.read.parquet(f"{path}/shape").select(F.lit("rows").alias("column"), F.col("rows").alias("n_null")))
+
+
+def _loaded(s, d, suffix):
+    path = staging_path(s, "nation-customers") + "." + suffix
+    getattr(read(s, d, "customer").write, suffix)(path)
+    return tt.load_table(s, path).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+QUERIES = {
+    "read_csv_table": lambda s, d: tt.read_csv_table(s, _orders_csv(s, d)),
+    "read_csv_table_lines": lambda s, d: tt.read_csv_table(
+        s, _csv(s, read(s, d, "documents").select("doc_id", "text"), "documents"), multi_line=True),
+    "infer_types": lambda s, d: tt.infer_types(tt.read_csv_table(s, _gapped_csv(s, d))),
+    "dtype_map": lambda s, d: tt.dtype_map(tt.infer_types(tt.read_csv_table(s, _gapped_csv(s, d)))),
+    "load_table_csv": lambda s, d: tt.load_table(s, _orders_csv(s, d)),
+    "load_table_json": lambda s, d: _loaded(s, d, "json"),
+    "load_table_orc": lambda s, d: _loaded(s, d, "orc"),
+    "load_table_parquet": lambda s, d: tt.load_table(s, f"{d.rstrip('/')}/part.parquet"),
+    "write_csv_table": lambda s, d: tt.load_table(s, _csv(s, read(s, d, "lineitem"), "lineitem")),
+    "save_results": _saved,
+    "preview": lambda s, d: tt.preview(read(s, d, "part"), 5, ["p_partkey"]),
+    "ask_sql": lambda s, d: tt.ask_sql(s, {"data": read(s, d, "customer"), "nation": read(s, d, "nation"),
+                                           "region": read(s, d, "region")}, ASK),
+    "analyse_table": _analysed,
+}
+
+ASK = """SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance
+FROM {data} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+GROUP BY r_name, n_name"""
+
+_CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
+ORACLES = {
+    "read_csv_table": """SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus,
+  o_totalprice::VARCHAR AS o_totalprice, o_orderdate::VARCHAR AS o_orderdate, o_orderpriority FROM orders""",
+    "read_csv_table_lines": "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text FROM documents",
+    "infer_types": """SELECT event_id, CASE WHEN event_id % 4 > 1 THEN user_id END AS user_id,
+  CASE WHEN event_id % 5 > 0 THEN value END AS value,
+  CASE event_id % 3 WHEN 1 THEN true WHEN 2 THEN false END AS flag,
+  CASE WHEN event_id % 6 > 0 THEN event_type END AS event_type,
+  CASE WHEN event_id % 7 > 0 THEN props END AS props, NULL::DOUBLE AS nothing FROM events""",
+    "dtype_map": """SELECT * FROM (VALUES (0, 'event_id', 'bigint', 'numeric'), (1, 'user_id', 'bigint', 'numeric'),
+  (2, 'value', 'double', 'numeric'), (3, 'flag', 'boolean', 'boolean'), (4, 'event_type', 'string', 'categorical'),
+  (5, 'props', 'string', 'categorical'), (6, 'nothing', 'double', 'numeric')) v("position", "column", dtype, kind)""",
+    "load_table_csv": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate::VARCHAR AS o_orderdate,
+  o_orderpriority FROM orders""",
+    "load_table_json": _CUSTOMER,
+    "load_table_orc": _CUSTOMER,
+    "load_table_parquet": "SELECT * FROM part",
+    "write_csv_table": "SELECT * REPLACE (l_shipdate::VARCHAR AS l_shipdate) FROM lineitem",
+    "save_results": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) - count({c}) AS n_null FROM part"""
+        for c in ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+        + " UNION ALL SELECT 'rows', count(*) FROM part",
+    "preview": "SELECT * FROM part ORDER BY p_partkey LIMIT 5",
+    "ask_sql": ASK.format(data="customer", nation="nation", region="region"),
+}

@@ -1,39 +1,45 @@
-"""Column expressions on texts as arrays of lines. A text stays in its row: nothing shuffles."""
+"""Texts as arrays of lines. A text stays in its row: nothing shuffles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+from tabletools.functions.kinds import col
 
-
-def lines(text: Column) -> Column:
-    """The lines of a text; a final line break ends the last line and starts no new one."""
-    parts = F.split(text, _BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) \
+    + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(_SPACE))
 
 
-def stripped_lines(text: Column) -> Column:
-    return F.transform(lines(text), strip)
+def without_hashes(line: Column) -> Column:
+    return strip(F.ltrim(line, F.lit("#")))
 
 
-def first_where(array: Column, condition) -> Column:
-    """1-based position of the first element that meets the condition, NULL if none does."""
-    return F.array_min(F.transform(array, lambda e, i: F.when(condition(e, i), i + 1)))
+def with_lines(df: DataFrame, text: str, id: str, stripped: bool = True) -> DataFrame:
+    """(id, text, lines). A final line break ends the last line and starts no new one.
 
+    Each step is a column of its own, so that a later use reads it instead of splitting again.
+    """
+    parts = df.select(col(id).alias("id"), col(text).alias("text"), F.split(col(text), LINE_BREAK, -1).alias("lines"))
+    ended = F.when(F.element_at("lines", -1) == "", F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))
+    lined = parts.withColumn("lines", ended)
+    return lined.withColumn("lines", F.transform("lines", strip)) if stripped else lined
 
-def last_where(array: Column, condition) -> Column:
-    """1-based position of the last element that meets the condition, NULL if none does."""
-    return F.array_max(F.transform(array, lambda e, i: F.when(condition(e, i), i + 1)))
+
+def first_where(array: str, condition) -> Column:
+    """1-based position of the first element that meets the condition, NULL if none does."""
+    return F.array_min(F.transform(array, lambda e, i: F.when(condition(e), i + 1)))
 
 
-def starts_with_tag(line: Column, tag: str) -> Column:
-    return F.startswith(F.upper(strip(line)), F.lit(tag.upper()))
+def last_where(array: str, condition) -> Column:
+    """1-based position of the last element that meets the condition, NULL if none does."""
+    return F.array_max(F.transform(array, lambda e, i: F.when(condition(e), i + 1)))
 
 
 def starts_with_any(line: Column, *marks: str) -> Column:
@@ -43,5 +49,6 @@ def starts_with_any(line: Column, *marks: str) -> Column:
     return met
 
 
-def without_hashes(line: Column) -> Column:
-    return strip(F.regexp_replace(line, "^#+", ""))
+def starts_with_tag(line: Column, tag: str) -> Column:
+    """For a stripped line, in any case."""
+    return F.startswith(F.upper(line), F.lit(tag.upper()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabletools import constants as K
 from tabletools.functions.kinds import col
 from tabletools.functions.lines import (
-    first_where, last_where, lines, starts_with_any, starts_with_tag, strip, stripped_lines,
+    LINE_BREAK, first_where, last_where, starts_with_any, starts_with_tag, strip, with_lines,
     without_hashes)
 from tabletools.operators.charts import validate_chart_specs
 
@@ -37,9 +37,10 @@ def _text_of(entry: Column, key: str) -> Column:
 def extract_tagged_json(df: DataFrame, text: str = "text", tag: str = K.CHART_TAG, id: str = "id",
                         columns: list[str] | None = None) -> DataFrame:
     """(id, pos, chart_type, x_axis, y_axis, title) from the last line that starts with the tag."""
-    tagged = F.filter(stripped_lines(col(text)), lambda l: starts_with_tag(l, tag))
-    last = F.get(tagged, F.size(tagged) - 1)
-    found = df.select(col(id).alias("id"), F.explode(_entries(strip(F.substr(last, F.lit(len(tag) + 1))))).alias("e"))
+    tagged = with_lines(df, text, id).select(
+        "id", F.filter("lines", lambda l: starts_with_tag(l, tag)).alias("tagged"))
+    fragment = strip(F.substr(F.get("tagged", F.size("tagged") - 1), F.lit(len(tag) + 1)))
+    found = tagged.select("id", fragment.alias("fragment")).select("id", F.explode(_entries(F.col("fragment"))).alias("e"))
     specs = found.select("id", "e.pos", *[
         _text_of(F.col("e.entry"), key).alias(key) for key in ("chart_type", "x_axis", "y_axis", "title")])
     return validate_chart_specs(specs, columns)
@@ -48,12 +49,12 @@ def extract_tagged_json(df: DataFrame, text: str = "text", tag: str = K.CHART_TA
 def strip_tagged_line(df: DataFrame, text: str = "text", tag: str = K.CHART_TAG, id: str = "id") -> DataFrame:
     """(id, text) up to the last tagged line, without blank lines at the end; an untagged
     text is returned as it is."""
-    all_lines = lines(col(text))
-    cut = last_where(all_lines, lambda l, i: starts_with_tag(l, tag))
-    kept = F.slice(all_lines, F.lit(1), cut - 1)
-    end = F.coalesce(last_where(kept, lambda l, i: strip(l) != ""), F.lit(0))
-    return df.select(col(id).alias("id"), F.when(cut.isNull(), col(text)).otherwise(
-        F.array_join(F.slice(kept, F.lit(1), end), "\n")).alias("text"))
+    cut = with_lines(df, text, id, stripped=False).withColumn(
+        "cut", last_where("lines", lambda l: starts_with_tag(strip(l), tag)))
+    kept = cut.withColumn("lines", F.slice("lines", F.lit(1), F.col("cut") - 1)) \
+        .withColumn("end", F.coalesce(last_where("lines", lambda l: strip(l) != ""), F.lit(0)))
+    return kept.select("id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(
+        F.array_join(F.slice("lines", F.lit(1), F.col("end")), "\n")).alias("text"))
 
 
 def extract_slides(df: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
@@ -65,7 +66,7 @@ def extract_slides(df: DataFrame, text: str = "text", id: str = "id") -> DataFra
     listed = F.filter(F.transform(F.try_variant_get("entry", "$.bullets", "array<variant>"),
                                   lambda b: F.try_variant_get(b, "$", "string")),
                       lambda b: b.isNotNull() & ~b.isin("", "0", "false"))
-    written = F.filter(stripped_lines(_text_of(F.col("entry"), "bullets")), lambda b: b != "")
+    written = F.filter(F.transform(F.split(_text_of(F.col("entry"), "bullets"), LINE_BREAK), strip), lambda b: b != "")
     bullets = F.when(F.startswith(shape, F.lit("ARRAY")), listed).when(shape == "STRING", written) \
         .otherwise(F.array().cast(_NO_TEXTS))
     return found.select("id", "pos", F.coalesce(_text_of(F.col("entry"), "title"), F.lit("Slide")).alias("title"),
@@ -79,7 +80,7 @@ def markdown_blocks(df: DataFrame, text: str = "text", id: str = "id") -> DataFr
         ("blank", line == "", line),
         ("h2", F.startswith(line, F.lit("### ")), F.substr(line, F.lit(5))),
         ("h1", starts_with_any(line, "## ", "# "), without_hashes(line)),
-        ("code", F.startswith(line, F.lit("```")), F.regexp_replace(line, "^`+", "")),
+        ("code", F.startswith(line, F.lit("```")), F.ltrim(line, F.lit("`"))),
         ("bullet", starts_with_any(line, "- ", "* "), F.substr(line, F.lit(3))),
         ("bold", F.startswith(line, F.lit("**")) & F.endswith(line, F.lit("**")),
          F.substr(line, F.lit(3), F.greatest(F.length(line) - 4, F.lit(0)))),
@@ -88,18 +89,18 @@ def markdown_blocks(df: DataFrame, text: str = "text", id: str = "id") -> DataFr
     for name, condition, value in reversed(rules):
         kind = F.when(condition, F.lit(name)).otherwise(kind)
         content = F.when(condition, value).otherwise(content)
-    return df.select(col(id).alias("id"), F.posexplode(stripped_lines(col(text))).alias("pos", "line")) \
+    return with_lines(df, text, id).select("id", F.posexplode("lines").alias("pos", "line")) \
         .select("id", "pos", kind.alias("kind"), content.alias("content"))
 
 
 def markdown_sections(df: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
     """(id, pos, title, bullets): one row per heading with its first six lines or bullets."""
-    split = df.select(col(id).alias("id"), stripped_lines(col(text)).alias("body"))
-    heads = split.withColumn("heads", F.filter(
+    heads = with_lines(df, text, id).select("id", F.col("lines").alias("body")).withColumn("heads", F.filter(
         F.transform("body", lambda l, i: F.when(starts_with_any(l, "## ", "# "), i + 1)),
         lambda p: p.isNotNull()))
     ends = F.concat(F.slice("heads", F.lit(2), F.size("heads")), F.array(F.size("body") + 1))
-    spans = F.transform("heads", lambda p, i: F.struct(p.alias("start"), F.get(ends, i).alias("end")))
+    heads = heads.withColumn("ends", ends)
+    spans = F.transform("heads", lambda p, i: F.struct(p.alias("start"), F.get("ends", i).alias("end")))
     sections = heads.select("id", "body", F.posexplode(spans).alias("pos", "span")) \
         .select("id", "pos", without_hashes(F.element_at("body", F.col("span.start"))).alias("title"),
                 F.slice("body", F.col("span.start") + 1, F.col("span.end") - F.col("span.start") - 1).alias("body"))
@@ -109,41 +110,39 @@ def markdown_sections(df: DataFrame, text: str = "text", id: str = "id") -> Data
     return sections.select("id", "pos", "title", bullets.alias("bullets"))
 
 
-def _section_lines(text: Column, heading: str) -> Column:
-    all_lines = stripped_lines(text)
-
+def _with_section(lined: DataFrame, heading: Column) -> DataFrame:
+    """``lines`` of each text cut down to the kept lines of the section named in ``heading``."""
     def is_heading(line):
-        return F.lower(without_hashes(line)) == heading.lower()
-
-    start = first_where(all_lines, lambda l, i: is_heading(l))
-    rest = F.slice(all_lines, start + 1, F.size(all_lines))
-    stop = first_where(rest, lambda l, i: F.startswith(l, F.lit("#")) & ~is_heading(l))
-    body = F.filter(F.slice(rest, F.lit(1), F.coalesce(stop - 1, F.size(rest))),
-                    lambda l: (l != "") & ~is_heading(l))
+        return F.lower(without_hashes(line)) == F.lower(heading)
 
     def listed(line):
         return starts_with_any(line, "-", "*", "•", "›") | ((F.length(line) > 4) & line.rlike("^[0-9]"))
 
     def keep(kept, line):
+        # a plain line is dropped when it repeats the end of the last kept one
         repeats = (F.size(kept) >= 2) & F.endswith(F.element_at(kept, -1), line)
         taken = (F.size(kept) < K.SECTION_LINES) & (listed(line) | ~repeats)
         return F.when(taken, F.concat(kept, F.array(line))).otherwise(kept)
 
-    # a plain line is dropped when it repeats the end of the last kept one: a fold in line order
-    folded = F.aggregate(body, F.array().cast(_NO_TEXTS), keep)
-    return F.coalesce(folded, F.array().cast(_NO_TEXTS))
+    rest = lined.withColumn("start", first_where("lines", is_heading)).where("start IS NOT NULL") \
+        .withColumn("lines", F.slice("lines", F.col("start") + 1, F.size("lines")))
+    stop = rest.withColumn("stop", first_where("lines", lambda l: F.startswith(l, F.lit("#")) & ~is_heading(l)))
+    body = stop.withColumn("lines", F.filter(
+        F.slice("lines", F.lit(1), F.coalesce(F.col("stop") - 1, F.size("lines"))),
+        lambda l: (l != "") & ~is_heading(l)))
+    return body.withColumn("lines", F.aggregate("lines", F.array().cast(_NO_TEXTS), keep)).drop("start", "stop")
 
 
 def section_lines(df: DataFrame, heading: str, text: str = "text", id: str = "id") -> DataFrame:
-    """(id, lines): the first eight lines of one named section, empty if it is absent."""
-    return df.select(col(id).alias("id"), _section_lines(col(text), heading).alias("lines"))
+    """(id, lines): the first eight lines of one named section; no row for a text without it."""
+    return _with_section(with_lines(df, text, id), F.lit(heading)).select("id", "lines")
 
 
 def recommendations(reports: DataFrame, slides: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
     """(id, source, bullets): the recommendation section, else such a slide; no row if neither."""
-    named = reports.select(col(id).alias("id"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(h).alias("source"), _section_lines(col(text), h).alias("bullets"))
-        for i, h in enumerate(K.RECOMMENDATION_HEADINGS)])).alias("c")).select("id", "c.*")
+    headings = F.array(*[F.lit(h) for h in K.RECOMMENDATION_HEADINGS])
+    each = with_lines(reports, text, id).select("id", "lines", F.posexplode(headings).alias("rank", "source"))
+    named = _with_section(each, F.col("source")).select("id", "rank", "source", F.col("lines").alias("bullets"))
     wanted = F.lower(strip(F.col("title"))).isin(*[h.lower() for h in K.RECOMMENDATION_HEADINGS])
     from_slides = slides.where(wanted).groupBy("id").agg(F.min_by("bullets", "pos").alias("bullets")) \
         .select("id", F.lit(len(K.RECOMMENDATION_HEADINGS)).alias("rank"), F.lit("slides").alias("source"), "bullets")
@@ -152,6 +151,7 @@ def recommendations(reports: DataFrame, slides: DataFrame, text: str = "text", i
         .select("id", "best.source", "best.bullets")
 
 
+_MARKS = "-•*› "
 _BULLET_MODES = {"content": 8, "chart": 7, "recommendations": 6}
 
 
@@ -161,8 +161,8 @@ def clean_bullets(bullets: Column, mode: str = "content") -> Column:
     limit = _BULLET_MODES[mode]
     if mode == "recommendations":
         present = F.filter(bullets, lambda b: strip(b) != "")
-        return F.slice(F.transform(present, lambda b: strip(F.regexp_replace(b, r"^[-•*›0-9). ]+", ""))), 1, limit)
-    bare = F.transform(F.slice(bullets, 1, limit), lambda b: strip(F.regexp_replace(b, r"^[-•*› ]+", "")))
+        return F.slice(F.transform(present, lambda b: strip(F.ltrim(b, F.lit(_MARKS + "0123456789).")))), 1, limit)
+    bare = F.transform(F.slice(bullets, 1, limit), lambda b: strip(F.ltrim(b, F.lit(_MARKS))))
     return F.filter(bare, lambda b: b != "")
 
 
