@@ -29,7 +29,7 @@ def _chosen(s, d):
 
 
 def _text_x(df):
-    return df.withColumn("x", F.col("x").cast("string"))
+    return df.withColumn("x", F.col("x").cast("string")).withColumn("y", F.round("y", 9))
 
 
 def _orders(s, d):
@@ -57,7 +57,7 @@ QUERIES = {
     "box_data_customers": lambda s, d: tidy(tt.box_data(_orders(s, d), "o_custkey", "o_totalprice")),
     "box_data_hot": lambda s, d: tidy(tt.box_data(_orders(s, d), "o_orderpriority", "o_totalprice", group_values=500)),
     "violin_data": lambda s, d: tidy(tt.violin_data(_orders(s, d), "o_orderpriority", "o_totalprice")),
-    "line_data": lambda s, d: tidy(_text_x(tt.line_data(_orders(s, d), "o_orderdate", "o_totalprice"))),
+    "line_data": lambda s, d: tidy(_text_x(tt.line_data(_orders(s, d), "o_orderdate", "o_totalprice", agg="max"))),
     "line_data_month": lambda s, d: tidy(_text_x(tt.line_data(_orders(s, d), "o_orderdate", "o_totalprice", "month"))),
     "pie_data": lambda s, d: tidy(tt.pie_data(_orders(s, d), "o_orderpriority", "o_totalprice"), 2),
     "pie_data_count": lambda s, d: tidy(tt.pie_data(read(s, d, "documents"), "lang")),
@@ -100,7 +100,7 @@ count(*) FILTER (NOT inside) AS n_outliers FROM p GROUP BY ALL"""
 
 def _line_sql(agg: str, unit: str | None, digits: int) -> str:
     x = f"date_trunc('{unit}', o_orderdate)" if unit else "o_orderdate"
-    return f"SELECT ({x})::TIMESTAMP::VARCHAR AS x, round({agg}(o_totalprice), {digits}) AS y FROM orders GROUP BY 1"
+    return f"SELECT ({x})::TIMESTAMP::VARCHAR AS x, round(round({agg}(o_totalprice), 9), {digits}) AS y FROM orders GROUP BY 1"
 
 
 _PAIRS = [("p_partkey", "p_size"), ("p_partkey", "p_retailprice"), ("p_size", "p_retailprice")]
@@ -146,7 +146,7 @@ FROM lineitem, r GROUP BY 1, 2""",
 b AS (SELECT x, lo, hi, size, {_bin_sql('o_totalprice', 'lo', 'hi')} AS bin FROM orders JOIN r ON o_orderpriority = x)
 SELECT x, bin, count(*) AS n, round(count(*) / size, 6) AS share, round(lo + bin * ((hi - lo) / {_BINS}), 6) AS lower,
 round(lo + (bin + 1) * ((hi - lo) / {_BINS}), 6) AS upper FROM b GROUP BY x, bin, lo, hi, size""",
-    "line_data": _line_sql("avg", None, 6),
+    "line_data": _line_sql("max", None, 6),
     "line_data_month": _line_sql("avg", "month", 6),
     "pie_data": """SELECT o_orderpriority AS x, round(sum(o_totalprice), 2) AS value,
 round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 2) AS share FROM orders GROUP BY 1""",

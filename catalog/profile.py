@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tabletools as tt
+from tabletools.sources.staging import stage
 from catalog.tables import CLEAN_DIRTY_SQL, DIRTY_SQL, dirty, pearson_sql, read, summary_sql, tidy
 
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -95,7 +96,7 @@ QUERIES = {
     "category_topk_texts": lambda s, d: tt.category_topk(read(s, d, "conversations")),
     "anomaly_flags": lambda s, d: tt.anomaly_flags(dirty(s, d)),
     "profile_text": lambda s, d: tt.profile_text(read(s, d, "part"), "part"),
-    "compute_analytics": lambda s, d: analytics_long(tt.compute_analytics(tt.drop_exact_duplicates(dirty(s, d)))),
+    "compute_analytics": lambda s, d: analytics_long(tt.compute_analytics(stage(tt.drop_exact_duplicates(dirty(s, d)), "dirty"))),
     "raw_analytics": lambda s, d: analytics_long(tt.raw_analytics(dirty(s, d))),
     "kpi_summary": lambda s, d: tt.kpi_summary(read(s, d, "part")),
 }

@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
 
 
+def _row_bytes(df: DataFrame):
+    """Size of a row, roughly: texts and arrays by their length, 16 bytes for anything else."""
+    def size(f):
+        if isinstance(f.dataType, T.StringType):
+            return F.octet_length(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            return 16 * F.size(f.name)
+        return F.lit(16)
+
+    return reduce(add, [F.coalesce(size(f), F.lit(0)).cast("long") + 16 for f in df.schema.fields])
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the table is small enough to send to every executor, by counting rows and bytes."""
+    n, total = df.agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    return n <= rows and (total or 0) <= size
+
+
 def join_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread_on: str,
                      how: str = "inner", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``facts`` (few rows per key) to ``rows`` (one key may hold most of them).
 
-    The facts are broadcast when a count shows that they are few. Otherwise both sides
+    The facts are broadcast when a count shows that they are small. Otherwise both sides
     shuffle on key and salt: the rows of a hot key spread over ``SALTS`` tasks by the
     hash of ``spread_on``, and each fact is repeated once per salt.
     """
-    if facts.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(facts, broadcast_rows):
         return rows.join(F.broadcast(facts), keys, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_on)), F.lit(SALTS)))
     spread = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))

@@ -253,7 +253,7 @@ def _narrow_groups(rows: DataFrame, state: DataFrame) -> DataFrame:
     here = join_group_facts(rows, state.select(*bracket).distinct(), ["k"], "v").where(inside)
     grid = stage(here.groupBy(*bracket).agg(F.percentile_approx(
         "v", [i / GRID for i in range(1, GRID)], 4 * GRID).alias("grid")), "quantile-grid")
-    cells = join_group_facts(rows, grid, ["k"], "v").where(inside) \
+    cells = join_group_facts(rows, grid, ["k"], "v", broadcast_rows=10_000).where(inside) \
         .withColumn("cell", F.size(F.filter("grid", lambda g: g < F.col("v")))) \
         .groupBy(*bracket, "cell").agg(
             F.count("*").alias("n"), F.min("v").alias("cell_lo"), F.max("v").alias("cell_hi"),

@@ -57,7 +57,8 @@ def validate_chart_specs(specs: DataFrame, columns: list[str] | None = None,
 def choose_charts(parsed: DataFrame, rule_based: DataFrame, key: str = "id") -> DataFrame:
     """Per key the parsed specs; the rule-based ones where there are none."""
     have = parsed.select(col(key)).distinct()
-    return parsed.unionByName(rule_based.join(have, key, "left_anti").select(*parsed.columns))
+    left = join_group_facts(rule_based, have, [key], "title", "left_anti")
+    return parsed.unionByName(left.select(*parsed.columns))
 
 
 # -- data behind the charts -------------------------------------------------------------

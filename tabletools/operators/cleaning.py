@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
@@ -34,8 +34,9 @@ def _repeated_fingerprints(df: DataFrame) -> tuple[DataFrame, int]:
     equal fingerprints, so a row outside this set is known to be unique.
     """
     repeated = df.select(_fingerprint(df).alias("_print")).groupBy("_print").count() \
-        .where("count > 1").select("_print")
-    return repeated, repeated.limit(BROADCAST_FINGERPRINTS + 1).count()
+        .where("count > 1").select("_print").limit(BROADCAST_FINGERPRINTS + 1)
+    repeated = stage(repeated, "repeated-fingerprints")     # a few MB at most, counted once
+    return repeated, repeated.count()
 
 
 def _split_suspects(df: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,12 +207,15 @@ def clip_outliers(df: DataFrame, fences) -> DataFrame:
 def _pattern_rates(df: DataFrame, order_by: list[str] | None, sample: int) -> dict[str, float | None]:
     texts = columns_of(df, CATEGORICAL)
     rates = {}
-    if order_by:
-        keys = [col(c) for c in order_by]
-        for c in texts:
-            first = df.where(col(c).isNotNull()).orderBy(*keys).limit(sample)
-            rates[c] = first.agg(F.avg(col(c).rlike(K.DATE_PATTERN).cast("int"))).first()[0]
-        return rates
+    if order_by and texts:
+        keys = [f"_k{i}" for i in range(len(order_by))]
+        cells = df.select(*[col(c).alias(k) for c, k in zip(order_by, keys)], *[col(c) for c in texts]) \
+            .unpivot(keys, [col(c) for c in texts], "column", "value").where("value IS NOT NULL")
+        place = F.row_number().over(Window.partitionBy("column").orderBy(*keys))
+        # each task passes on its own first ``sample`` texts per column only
+        first = cells.withColumn("place", place).where(F.col("place") <= sample)
+        found = first.groupBy("column").agg(F.avg(F.col("value").rlike(K.DATE_PATTERN).cast("int")).alias("rate"))
+        return dict.fromkeys(texts) | {r["column"]: r.rate for r in found.collect()}
     for part in batches(texts, COLUMNS_PER_JOB):
         row = df.agg(*[F.avg(col(c).rlike(K.DATE_PATTERN).cast("int")).alias(f"r{i}")
                        for i, c in enumerate(part)]).first()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
-from tabletools.functions.joins import BROADCAST_ROWS, join_group_facts
+from tabletools.functions.joins import BROADCAST_ROWS, fits_broadcast, join_group_facts
 from tabletools.functions.kinds import CATEGORICAL, NUMERIC, batches, col, columns_of, kind_of
 from tabletools.functions.quantiles import column_quantiles
 from tabletools.operators.cleaning import fill_median
@@ -148,7 +148,7 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test: float = K.TEST_SH
 def class_index(train: DataFrame, target: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """(target, label): the classes of the training rows, numbered in sorted order."""
     classes = train.select(col(target)).where(col(target).isNotNull()).distinct()
-    if classes.limit(bound + 1).count() <= bound:
+    if fits_broadcast(classes, bound):
         return classes.withColumn("label", F.row_number().over(Window.orderBy(col(target))) - 1)
     numbered = classes.orderBy(col(target)).rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
     return train.sparkSession.createDataFrame(

@@ -117,8 +117,8 @@ class TableProfile:
         """r of each pair a < b in column order, over the rows where both are present."""
         cols = self.numeric
         pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-        usable = [(a, b) for a, b in pairs
-                  if self._basic[a]["n"] > 1 and self._basic[b]["n"] > 1]
+        varied = {c for c in self.filled_numeric if self._basic[c]["min"] < self._basic[c]["max"]}
+        usable = [(a, b) for a, b in pairs if a in varied and b in varied]
         sums = self._pair_sums_by_batch(usable) if len(cols) > NARROW_COLUMNS \
             else self._pair_sums_by_column(usable)
         return {p: _pearson(*sums[p]) if p in sums else None for p in pairs}

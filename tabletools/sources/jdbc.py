@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabletools.sources.staging import stage
+
 
 def postgres_url(host: str, port: str | int, database: str) -> str:
     return f"jdbc:postgresql://{host}:{port}/{database}"
@@ -28,6 +30,10 @@ def jdbc_options(url: str, query: str, user: str = "", password: str = "",
         "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions)}
 
 
-def read_sql_query(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
-    """The result of the statement; loading resolves the schema, so it also tests the connection."""
-    return spark.read.format("jdbc").options(**jdbc_options(url, query, **options)).load()
+def read_sql_query(spark: SparkSession, url: str, query: str, staged: bool = True, **options) -> DataFrame:
+    """The result of the statement; loading resolves the schema, so it also tests the connection.
+
+    The rows are fetched once and staged, so that later jobs do not run the query again.
+    """
+    table = spark.read.format("jdbc").options(**jdbc_options(url, query, **options)).load()
+    return stage(table, "queried") if staged else table
