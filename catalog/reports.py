@@ -194,8 +194,8 @@ b AS (SELECT id, n, i, CASE WHEN s LIKE '- %' OR s LIKE '* %' THEN {_strip('subs
 l AS (SELECT id, n, list(b ORDER BY i) AS bullets FROM b WHERE k <= 6 GROUP BY id, n),
 t AS (SELECT id, n, {_hashless('s')} AS title, coalesce(bullets, []) AS bullets FROM h LEFT JOIN l USING (id, n) WHERE head)
 SELECT id, (n - 1)::INTEGER AS pos, title, {_shown('bullets')} AS bullets FROM t""",
-    "section_lines": f"""WITH {_REPORT_LINES}, {_NUMBERED}, {_collected_sql('r', 'Recommendations')},
-SELECT id, {_shown('kept')} AS lines FROM r""",
+    "section_lines": f"""WITH {_REPORT_LINES}, {_NUMBERED}, {_collected_sql('r', 'Recommendations')}
+SELECT id, {_shown('coalesce(kept, [])')} AS lines FROM lined LEFT JOIN r USING (id)""",
     "recommendations": f"""WITH {_REPORT_LINES}, {_NUMBERED}, {_collected_sql('a', 'Actionable Business Recommendations')},
 {_collected_sql('r', 'Recommendations')}, {_SLIDE_ROWS.replace('src', 'src2').replace('found', 'found2')},
 c AS (SELECT id, 0 AS rank, 'Actionable Business Recommendations' AS source, kept FROM a

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabletools.functions.kinds import col
 
+_RARE_BREAK = r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 _SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) \
     + "\u2028\u2029\u202f\u205f\u3000"
@@ -26,12 +27,26 @@ def with_lines(df: DataFrame, text: str, id: str, stripped: bool = True) -> Data
 
     Each step is a column of its own, so that a later use reads it instead of splitting again.
     """
-    parts = df.select(col(id).alias("id"), col(text).alias("text"), F.split(col(text), LINE_BREAK, -1).alias("lines"))
+    body = col(text)
+    split = F.when(body.rlike(_RARE_BREAK), F.split(body, LINE_BREAK, -1)).otherwise(F.split(body, "\n", -1))
+    parts = df.select(col(id).alias("id"), body.alias("text"), split.alias("lines"))
     ended = F.when(F.element_at("lines", -1) == "", F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))
     lined = parts.withColumn("lines", ended)
     return lined.withColumn("lines", F.transform("lines", strip)) if stripped else lined
 
 
+def exploded(df: DataFrame, array: Column | str, *names: str) -> DataFrame:
+    """(other columns, position, element) per element, for every column but the array itself.
+
+    The outer form with a test on the result: for the plain form Spark puts a test of the
+    array in front of the scan, and so would compute the array several times.
+    """
+    position, element = names
+    kept = [c for c in df.columns if c != array]
+    return df.select(*[col(c) for c in kept], F.posexplode_outer(array).alias(position, element)) \
+        .where(F.col(position).isNotNull())
+
+
 def first_where(array: str, condition) -> Column:
     """1-based position of the first element that meets the condition, NULL if none does."""
     return F.array_min(F.transform(array, lambda e, i: F.when(condition(e), i + 1)))

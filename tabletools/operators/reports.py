@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabletools import constants as K
 from tabletools.functions.kinds import col
 from tabletools.functions.lines import (
-    LINE_BREAK, first_where, last_where, starts_with_any, starts_with_tag, strip, with_lines,
+    LINE_BREAK, exploded, first_where, last_where, starts_with_any, starts_with_tag, strip, with_lines,
     without_hashes)
 from tabletools.operators.charts import validate_chart_specs
 
@@ -40,7 +40,7 @@ def extract_tagged_json(df: DataFrame, text: str = "text", tag: str = K.CHART_TA
     tagged = with_lines(df, text, id).select(
         "id", F.filter("lines", lambda l: starts_with_tag(l, tag)).alias("tagged"))
     fragment = strip(F.substr(F.get("tagged", F.size("tagged") - 1), F.lit(len(tag) + 1)))
-    found = tagged.select("id", fragment.alias("fragment")).select("id", F.explode(_entries(F.col("fragment"))).alias("e"))
+    found = exploded(tagged.select("id", _entries(fragment).alias("entries")), "entries", "place", "e")
     specs = found.select("id", "e.pos", *[
         _text_of(F.col("e.entry"), key).alias(key) for key in ("chart_type", "x_axis", "y_axis", "title")])
     return validate_chart_specs(specs, columns)
@@ -60,7 +60,8 @@ def strip_tagged_line(df: DataFrame, text: str = "text", tag: str = K.CHART_TAG,
 def extract_slides(df: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
     """(id, pos, title, bullets) from the widest bracketed span of each text."""
     span = F.regexp_extract(col(text), r"(?s)\[.*\]", 0)
-    found = df.select(col(id).alias("id"), F.explode(_entries(span)).alias("e")).select("id", "e.pos", "e.entry")
+    found = exploded(df.select(col(id).alias("id"), _entries(span).alias("entries")), "entries", "place", "e") \
+        .select("id", "e.pos", "e.entry")
     raw = F.try_variant_get("entry", "$.bullets", "variant")
     shape = F.schema_of_variant(raw)
     listed = F.filter(F.transform(F.try_variant_get("entry", "$.bullets", "array<variant>"),
@@ -89,7 +90,7 @@ def markdown_blocks(df: DataFrame, text: str = "text", id: str = "id") -> DataFr
     for name, condition, value in reversed(rules):
         kind = F.when(condition, F.lit(name)).otherwise(kind)
         content = F.when(condition, value).otherwise(content)
-    return with_lines(df, text, id).select("id", F.posexplode("lines").alias("pos", "line")) \
+    return exploded(with_lines(df, text, id).select("id", "lines"), "lines", "pos", "line") \
         .select("id", "pos", kind.alias("kind"), content.alias("content"))
 
 
@@ -101,7 +102,7 @@ def markdown_sections(df: DataFrame, text: str = "text", id: str = "id") -> Data
     ends = F.concat(F.slice("heads", F.lit(2), F.size("heads")), F.array(F.size("body") + 1))
     heads = heads.withColumn("ends", ends)
     spans = F.transform("heads", lambda p, i: F.struct(p.alias("start"), F.get("ends", i).alias("end")))
-    sections = heads.select("id", "body", F.posexplode(spans).alias("pos", "span")) \
+    sections = exploded(heads.select("id", "body", spans.alias("spans")), "spans", "pos", "span") \
         .select("id", "pos", without_hashes(F.element_at("body", F.col("span.start"))).alias("title"),
                 F.slice("body", F.col("span.start") + 1, F.col("span.end") - F.col("span.start") - 1).alias("body"))
     drawn = F.filter("body", lambda l: (l != "") & ~F.startswith(l, F.lit("#")))
@@ -124,31 +125,32 @@ def _with_section(lined: DataFrame, heading: Column) -> DataFrame:
         taken = (F.size(kept) < K.SECTION_LINES) & (listed(line) | ~repeats)
         return F.when(taken, F.concat(kept, F.array(line))).otherwise(kept)
 
-    rest = lined.withColumn("start", first_where("lines", is_heading)).where("start IS NOT NULL") \
+    rest = lined.withColumn("start", first_where("lines", is_heading)) \
         .withColumn("lines", F.slice("lines", F.col("start") + 1, F.size("lines")))
     stop = rest.withColumn("stop", first_where("lines", lambda l: F.startswith(l, F.lit("#")) & ~is_heading(l)))
     body = stop.withColumn("lines", F.filter(
         F.slice("lines", F.lit(1), F.coalesce(F.col("stop") - 1, F.size("lines"))),
         lambda l: (l != "") & ~is_heading(l)))
-    return body.withColumn("lines", F.aggregate("lines", F.array().cast(_NO_TEXTS), keep)).drop("start", "stop")
+    none = F.array().cast(_NO_TEXTS)
+    return body.withColumn("lines", F.coalesce(F.aggregate("lines", none, keep), none)).drop("start", "stop")
 
 
 def section_lines(df: DataFrame, heading: str, text: str = "text", id: str = "id") -> DataFrame:
-    """(id, lines): the first eight lines of one named section; no row for a text without it."""
+    """(id, lines): the first eight lines of one named section, none for a text without it."""
     return _with_section(with_lines(df, text, id), F.lit(heading)).select("id", "lines")
 
 
 def recommendations(reports: DataFrame, slides: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
     """(id, source, bullets): the recommendation section, else such a slide; no row if neither."""
     headings = F.array(*[F.lit(h) for h in K.RECOMMENDATION_HEADINGS])
-    each = with_lines(reports, text, id).select("id", "lines", F.posexplode(headings).alias("rank", "source"))
+    each = with_lines(reports, text, id).select("id", "lines", F.posexplode_outer(headings).alias("rank", "source"))
     named = _with_section(each, F.col("source")).select("id", "rank", "source", F.col("lines").alias("bullets"))
     wanted = F.lower(strip(F.col("title"))).isin(*[h.lower() for h in K.RECOMMENDATION_HEADINGS])
     from_slides = slides.where(wanted).groupBy("id").agg(F.min_by("bullets", "pos").alias("bullets")) \
         .select("id", F.lit(len(K.RECOMMENDATION_HEADINGS)).alias("rank"), F.lit("slides").alias("source"), "bullets")
-    return named.where(F.size("bullets") > 0).union(from_slides.where(F.size("bullets") > 0)) \
-        .groupBy("id").agg(F.min_by(F.struct("source", "bullets"), "rank").alias("best")) \
-        .select("id", "best.source", "best.bullets")
+    filled = F.when(F.size("bullets") > 0, F.col("rank"))       # an empty source has no rank
+    return named.union(from_slides).groupBy("id").agg(F.min_by(F.struct("source", "bullets"), filled).alias("best")) \
+        .where("best IS NOT NULL").select("id", "best.source", "best.bullets")
 
 
 _MARKS = "-•*› "

@@ -52,7 +52,7 @@ def test_section_lines_drop_repeats_of_the_last_kept_line(texts):
     df = texts("## Plan\nfirst\nfirst\nfirst\nnew first\nfirst\n- first\nfirst\n12345\n7\n\nplan\nend\n# Other\nlost",
                "### PLAN ###\nno match", "Plan\n" + "\n".join(f"{i} line" for i in range(12)), "# Other\nx")
     rows = {r.id: r.lines for r in tt.section_lines(df, "plan").collect()}
-    assert rows == {0: ["first", "first", "new first", "- first", "12345", "7", "end"],
+    assert rows == {0: ["first", "first", "new first", "- first", "12345", "7", "end"], 1: [], 3: [],
                     2: [f"{i} line" for i in range(8)]}
 
 
