@@ -83,6 +83,8 @@ QUERIES = {
     "f1_score_weighted": lambda s, d: tt.f1_score(_predictions(s, d), "y3", "yhat3", 3),
     "rmse": lambda s, d: tt.rmse(_predictions(s, d), "y", "yhat"),
     "r2_score": lambda s, d: tt.r2_score(_predictions(s, d), "y", "yhat"),
+    "classification_metrics": lambda s, d: tt.classification_metrics(_predictions(s, d), "y3", "yhat3", 3),
+    "regression_metrics": lambda s, d: tt.regression_metrics(_predictions(s, d), "y", "yhat"),
     "forest_classify": _classified,
     "forest_regress": _regressed,
     "feature_importances": lambda s, d: tt.feature_importances(_classifier(s, d)[0]),
@@ -144,6 +146,12 @@ f AS (SELECT c, 2 * count(*) FILTER (y3 = c AND yhat3 = c) / (count(*) FILTER (y
 SELECT round(sum(f1 * support) / sum(support), 4) AS f1_score FROM f""",
     "rmse": _P + " SELECT round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse FROM p",
     "r2_score": _P + " SELECT round(1 - sum((y - yhat) ** 2) / (var_pop(y) * count(*)), 4) AS r2_score FROM p",
+    "classification_metrics": _P + """, k AS (SELECT DISTINCT y3 AS c FROM p),
+f AS (SELECT c, 2 * count(*) FILTER (y3 = c AND yhat3 = c) / (count(*) FILTER (y3 = c) + count(*) FILTER (yhat3 = c)) AS f1,
+  count(*) FILTER (y3 = c) AS support FROM p, k GROUP BY c)
+SELECT (SELECT round(avg((y3 = yhat3)::INTEGER), 4) FROM p) AS accuracy, round(sum(f1 * support) / sum(support), 4) AS f1_score FROM f""",
+    "regression_metrics": _P + """ SELECT round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse,
+  round(1 - sum((y - yhat) ** 2) / (var_pop(y) * count(*)), 4) AS r2_score FROM p""",
     "run_automl_error": """SELECT 'regression' AS task_type, 'l_returnflag' AS target_column, 'RandomForest' AS model,
   0::BIGINT AS train_samples, 0::BIGINT AS test_samples, NULL::DOUBLE AS accuracy, NULL::DOUBLE AS f1_score,
   NULL::DOUBLE AS rmse, NULL::DOUBLE AS r2_score, false AS skipped, 'Target column ''l_returnflag'' is not numeric. '

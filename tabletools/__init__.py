@@ -10,8 +10,8 @@ from tabletools.operators.cleaning import (
     drop_sparse_columns, duplicate_count, fill_median, fill_mode, fit_cleaning, iqr_fences, null_profile,
     outlier_counts, parse_datetimes, run_cleaning)
 from tabletools.operators.model import (
-    accuracy, cardinality_gate, encode_target, f1_score, feature_columns, feature_importances,
-    fill_features, forest_classify, forest_regress, label_encode, r2_score, rmse, run_automl,
+    accuracy, cardinality_gate, classification_metrics, encode_target, f1_score, feature_columns, feature_importances,
+    fill_features, forest_classify, forest_regress, label_encode, r2_score, regression_metrics, rmse, run_automl,
     train_test_split)
 from tabletools.operators.profile import (
     anomaly_flags, category_topk, compute_analytics, correlation_matrix, correlation_pairs, kpi_summary,

@@ -173,13 +173,25 @@ def encode_target(train: DataFrame, test: DataFrame, target: str) -> tuple[DataF
 def _fit(train: DataFrame, features: list[str], forest) -> PipelineModel:
     assembler = VectorAssembler(inputCols=[f"`{c}`" if "." in c else c for c in features], outputCol="_features")
     forest = forest.setFeaturesCol("_features").setPredictionCol("prediction")
-    return PipelineModel([assembler, forest.fit(assembler.transform(train))])
+    rows = assembler.transform(train).select("_features", forest.getLabelCol())
+    return PipelineModel([assembler, forest.fit(_on_all_cores(rows))])
+
+
+def _on_all_cores(rows: DataFrame) -> DataFrame:
+    """Training passes over its rows once per tree level, so a few large input splits are spread first."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def n_classes(train: DataFrame, label: str) -> int:
+    """Number of classes in a column of labels 0, 1, ..."""
+    return int(train.agg(F.max(label)).first()[0]) + 1
 
 
 def forest_classify(train: DataFrame, features: list[str], label: str = "label", trees: int = K.TREES,
-                    depth: int = DEPTH, seed: int = K.SEED) -> PipelineModel:
+                    depth: int = DEPTH, seed: int = K.SEED, classes: int | None = None) -> PipelineModel:
     """Random forest over all classes found in ``label`` (0, 1, ...)."""
-    classes = int(train.agg(F.max(label)).first()[0]) + 1
+    classes = classes or n_classes(train, label)
     named = train.withMetadata(label, {"ml_attr": {"type": "nominal", "name": label, "num_vals": max(classes, 2)}})
     return _fit(named, features, RandomForestClassifier(
         labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, maxBins=BINS, maxMemoryInMB=1024))
@@ -212,40 +224,65 @@ def accuracy(pred: DataFrame, y: str, yhat: str) -> DataFrame:
     return pred.agg(F.round(F.avg((col(y) == col(yhat)).cast("int")), 4).alias("accuracy"))
 
 
-def f1_score(pred: DataFrame, y: str, yhat: str, n_classes: int) -> DataFrame:
-    """(f1_score): F1 of class 1 for two classes, else weighted by support; 0 where undefined."""
+def _per_class(pred: DataFrame, y: str, yhat: str) -> DataFrame:
+    """(label, support, guessed, hits) from the counts per pair of labels."""
     guess = col(yhat).cast(pred.schema[y].dataType)
     cells = pred.groupBy(col(y).alias("y"), guess.alias("yhat")).agg(F.count("*").alias("n"))
-    hit = F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0)
-    sides = F.array(F.struct(F.col("y").alias("label"), F.col("n").alias("support"),
-                             F.lit(0).cast("bigint").alias("guessed"), hit.alias("hits")),
-                    F.struct(F.col("yhat").alias("label"), F.lit(0).cast("bigint").alias("support"),
-                             F.col("n").alias("guessed"), F.lit(0).cast("bigint").alias("hits")))
-    per_class = cells.select(F.explode(sides).alias("s")).groupBy(F.col("s.label").alias("label")).agg(
-        F.sum("s.support").alias("support"), F.sum("s.guessed").alias("guessed"), F.sum("s.hits").alias("hits"))
+    hits, none = F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0), F.lit(0).cast("bigint")
+    sides = F.array(F.struct(F.col("y").alias("label"), F.col("n").alias("support"), none.alias("guessed"), hits.alias("hits")),
+                    F.struct(F.col("yhat").alias("label"), none.alias("support"), F.col("n").alias("guessed"), none.alias("hits")))
+    return cells.select(F.explode(sides).alias("s")).groupBy(F.col("s.label").alias("label")).agg(
+        *[F.sum(f"s.{c}").alias(c) for c in ("support", "guessed", "hits")])
+
+
+def _f1(n_classes: int) -> Column:
     f1 = 2 * F.col("hits") / (F.col("support") + F.col("guessed"))
-    if n_classes == 2:
-        score = F.max(F.when(F.col("label") == 1, f1))
-    else:
-        score = F.try_divide(F.sum(f1 * F.col("support")), F.sum("support"))
-    return per_class.agg(F.round(F.coalesce(score, F.lit(0.0)), 4).alias("f1_score"))
+    score = F.max(F.when(F.col("label") == 1, f1)) if n_classes == 2 \
+        else F.try_divide(F.sum(f1 * F.col("support")), F.sum("support"))
+    return F.round(F.coalesce(score, F.lit(0.0)), 4).alias("f1_score")
+
+
+def f1_score(pred: DataFrame, y: str, yhat: str, n_classes: int) -> DataFrame:
+    """(f1_score): F1 of class 1 for two classes, else weighted by support; 0 where undefined."""
+    return _per_class(pred, y, yhat).agg(_f1(n_classes))
+
+
+def classification_metrics(pred: DataFrame, y: str, yhat: str, n_classes: int) -> DataFrame:
+    """(accuracy, f1_score) in one pass over the predictions."""
+    hit_rate = F.round(F.try_divide(F.sum("hits"), F.sum("support")), 4)
+    return _per_class(pred, y, yhat).agg(hit_rate.alias("accuracy"), _f1(n_classes))
+
+
+def _regression_sums(pred: DataFrame, y: str, yhat: str) -> DataFrame:
+    actual = col(y).cast("double")
+    error = actual - col(yhat).cast("double")
+    return pred.agg(F.sum(error * error).alias("residual"), F.count(error).alias("n"),
+                    (F.var_pop(actual) * F.count(actual)).alias("total"))
+
+
+def _rmse() -> Column:
+    return F.round(F.sqrt(F.try_divide("residual", "n")), 4).alias("rmse")
+
+
+def _r2() -> Column:
+    r2 = F.when(F.col("total") > 0, 1 - F.try_divide("residual", "total")) \
+        .when(F.col("residual") == 0, 1.0).when(F.col("residual").isNotNull(), 0.0)
+    return F.round(r2, 4).alias("r2_score")
 
 
 def rmse(pred: DataFrame, y: str, yhat: str) -> DataFrame:
     """(rmse): root of the mean squared error."""
-    error = col(y).cast("double") - col(yhat).cast("double")
-    return pred.agg(F.round(F.sqrt(F.avg(error * error)), 4).alias("rmse"))
+    return _regression_sums(pred, y, yhat).select(_rmse())
 
 
 def r2_score(pred: DataFrame, y: str, yhat: str) -> DataFrame:
     """(r2_score): 1 - squared error / squared deviation; a constant target gives 1 or 0."""
-    actual = col(y).cast("double")
-    error = actual - col(yhat).cast("double")
-    totals = pred.agg(F.sum(error * error).alias("residual"),
-                      (F.var_pop(actual) * F.count(actual)).alias("total"))
-    r2 = F.when(F.col("total") > 0, 1 - F.col("residual") / F.nullif("total", F.lit(0.0))) \
-        .when(F.col("residual") == 0, 1.0).when(F.col("residual").isNotNull(), 0.0)
-    return totals.select(F.round(r2, 4).alias("r2_score"))
+    return _regression_sums(pred, y, yhat).select(_r2())
+
+
+def regression_metrics(pred: DataFrame, y: str, yhat: str) -> DataFrame:
+    """(rmse, r2_score) in one pass over the predictions."""
+    return _regression_sums(pred, y, yhat).select(_rmse(), _r2())
 
 
 # -- the whole baseline -----------------------------------------------------------------
@@ -307,14 +344,12 @@ def _train(df, target, task, keys, trees, depth, exact_split, result) -> DataFra
     result["train_samples"], result["test_samples"] = sizes[0], sizes[1]
     if task == "classification":
         train, test = encode_target(train, test, "target")
-        model = forest_classify(train, inputs, "label", trees, depth)
+        classes = n_classes(train, "label")
+        model = forest_classify(train, inputs, "label", trees, depth, classes=classes)
         pred = model.transform(test).select("label", "prediction")
-        classes = int(train.agg(F.max("label")).first()[0]) + 1
-        result["accuracy"] = accuracy(pred, "label", "prediction").first()[0]
-        result["f1_score"] = f1_score(pred, "label", "prediction", classes).first()[0]
+        result |= classification_metrics(pred, "label", "prediction", classes).first().asDict()
     else:
         model = forest_regress(train, inputs, "target", trees, depth)
         pred = model.transform(test).select("target", "prediction")
-        result["rmse"] = rmse(pred, "target", "prediction").first()[0]
-        result["r2_score"] = r2_score(pred, "target", "prediction").first()[0]
+        result |= regression_metrics(pred, "target", "prediction").first().asDict()
     return feature_importances(model, names=features)
