@@ -29,7 +29,8 @@ BRACKET_ROWS = 100_000       # rows left in a bracket before they are sorted
 GROUP_VALUES = 1_000_000     # distinct values of one group that one task may sort
 SAMPLE_ROWS = 200_000
 ACCURACY = 2_000
-GRID = 256
+GRID = 256                   # points of the sketch of a group's bracket
+GRID_ROWS = 200              # sampled rows per point
 
 
 def linear_position(n: int, p: float) -> tuple[int, int, float]:
@@ -186,9 +187,8 @@ def group_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
     """(key, q: array of exact quantiles in the order of ``probs``), one row per group.
 
     Values are counted per (key, value) first. A group with few distinct values is then
-    ranked by one window. Hot groups are narrowed round by round: a grid of cut points
-    splits the bracket, an exact count per cell tells which cells hold the wanted ranks,
-    and only the values of the cells left at the end are ranked.
+    ranked by one window. Hot groups are narrowed round by round, as columns are, and only
+    the values left in the brackets at the end are ranked.
     """
     rows = df.select(col(key).alias("k"), number(df, value).alias("v")).where(
         F.col("k").isNotNull() & F.col("v").isNotNull())
@@ -225,46 +225,71 @@ def _ranked_quantiles(rows: DataFrame, probs: list[float]) -> DataFrame:
 
 def _hot_quantiles(rows: DataFrame, hot: DataFrame, probs: list[float],
                    group_values: int) -> DataFrame:
+    """One state row per wanted quantile: its two ranks, the bracket [lo, hi] that holds them,
+    the rows below and inside it, and the value once it is known."""
     position = F.col("p") * (F.col("total") - 1)
     state = hot.withColumn("pi", F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1)))) \
         .withColumn("p", F.array(*[F.lit(float(p)) for p in probs])[F.col("pi")]) \
         .select("k", "pi", F.floor(position).alias("low"),
                 F.least(F.floor(position) + 1, F.col("total") - 1).alias("high"),
                 (position - F.floor(position)).alias("share"), "lo", "hi",
-                F.lit(0).cast("long").alias("below"),
-                F.lit(group_values + 1).cast("long").alias("d"))
+                F.lit(0).cast("long").alias("below"), F.col("total").alias("inside"),
+                F.lit(group_values + 1).cast("long").alias("d"),
+                F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("value"))
     state = stage(state, "quantile-state")
-    while state.where((F.col("d") > group_values) & (F.col("lo") < F.col("hi"))).limit(1).count():
-        state = stage(_narrow_groups(rows, state), "quantile-state")
-    brackets = state.select("k", "pi", "lo", "hi")
-    left = join_group_facts(rows, brackets, ["k"], "v").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    wide = F.col("value").isNull() & (F.col("d") > group_values)
+    while smallest := state.where(wide).agg(F.min("d")).first()[0]:
+        state = stage(state.where(~wide).union(_narrow_groups(rows, state.where(wide), smallest)), "quantile-state")
+    brackets = state.where("value IS NULL")
+    left = join_group_facts(rows, brackets.select("k", "pi", "lo", "hi"), ["k"], "v") \
+        .where(F.col("v").between(F.col("lo"), F.col("hi")))
     ranks = _end_ranks(left.groupBy("k", "pi", "v").agg(F.count("*").alias("n")), ["k", "pi"])
-    ranks = ranks.join(state.select("k", "pi", "low", "high", "below", "share"), ["k", "pi"])
-    picked = _pick(ranks, ["k", "pi", "share"], F.col("low") - F.col("below"),
-                   F.col("high") - F.col("below"))
-    value = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * F.col("share")
-    return picked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pi", value.alias("q")))).alias("s")) \
+    ranks = ranks.join(brackets.select("k", "pi", "low", "high", "below", "share"), ["k", "pi"])
+    picked = _pick(ranks, ["k", "pi", "share"], F.col("low") - F.col("below"), F.col("high") - F.col("below"))
+    values = picked.select("k", "pi", _between("low_value", "high_value").alias("q")) \
+        .union(state.where("value IS NOT NULL").select("k", "pi", "value"))
+    return values.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pi", "q"))).alias("s")) \
         .select("k", F.transform("s", lambda s: s["q"]).alias("q"))
 
 
-def _narrow_groups(rows: DataFrame, state: DataFrame) -> DataFrame:
+def _between(low: str, high: str) -> Column:
+    return F.col(low) + (F.col(high) - F.col(low)) * F.col("share")
+
+
+def _narrow_groups(rows: DataFrame, state: DataFrame, smallest: int) -> DataFrame:
+    """One round for all open brackets: a sample proposes two cut points around the wanted rank,
+    an exact count of the rows below, on, between and above them says where the rank is.
+
+    A cut point is a cell of its own, so a bracket always gets smaller, also when one value
+    fills most of it. Two neighbouring ranks in two cells are the cells' end values.
+    """
     bracket = ["k", "lo", "hi"]
     inside = F.col("v").between(F.col("lo"), F.col("hi"))
-    here = join_group_facts(rows, state.select(*bracket).distinct(), ["k"], "v").where(inside)
-    grid = stage(here.groupBy(*bracket).agg(F.percentile_approx(
-        "v", [i / GRID for i in range(1, GRID)], 4 * GRID).alias("grid")), "quantile-grid")
-    cells = join_group_facts(rows, grid, ["k"], "v", broadcast_rows=10_000).where(inside) \
-        .withColumn("cell", F.size(F.filter("grid", lambda g: g < F.col("v")))) \
-        .groupBy(*bracket, "cell").agg(
+    brackets = state.select(*bracket).distinct()
+    sample = rows.sample(min(1.0, GRID * GRID_ROWS / smallest), seed=smallest % 997)
+    grid = join_group_facts(sample, brackets, ["k"], "v").where(inside).groupBy(*bracket).agg(
+        F.percentile_approx("v", [i / GRID for i in range(1, GRID)], 4 * GRID).alias("grid"))
+    place = F.floor((F.col("low") - F.col("below")) / F.col("inside") * GRID).cast("int") - 1
+    cuts = stage(state.join(grid, bracket, "left").select(
+        "k", "pi", "low", "high", "share", "lo", "hi", "below",
+        F.coalesce(F.get("grid", F.greatest(place - 2, F.lit(0))), "lo").alias("c1"),
+        F.coalesce(F.get("grid", F.least(place + 3, F.lit(GRID - 2))), "hi").alias("c2")), "quantile-cuts")
+    cell = (F.col("v") >= F.col("c1")).cast("int") + (F.col("v") > F.col("c1")).cast("int") \
+        + (F.col("v") >= F.col("c2")).cast("int") + (F.col("v") > F.col("c2")).cast("int")
+    cells = join_group_facts(rows, cuts.select("k", "pi", "lo", "hi", "c1", "c2"), ["k"], "v").where(inside) \
+        .groupBy("k", "pi", cell.alias("cell")).agg(
             F.count("*").alias("n"), F.min("v").alias("cell_lo"), F.max("v").alias("cell_hi"),
             F.approx_count_distinct("v").alias("cell_d"))
-    before = Window.partitionBy(*bracket).orderBy("cell").rowsBetween(
-        Window.unboundedPreceding, -1)      # at most GRID rows per bracket
+    before = Window.partitionBy("k", "pi").orderBy("cell").rowsBetween(
+        Window.unboundedPreceding, -1)      # at most five cells
     cells = cells.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
     start = F.col("below") + F.col("skip")
-    holds = [(start <= F.col(r)) & (F.col(r) < start + F.col("n")) for r in ("low", "high")]
-    return state.join(cells, bracket).where(holds[0] | holds[1]) \
-        .groupBy("k", "pi", "low", "high", "share").agg(
-            F.min("cell_lo").alias("lo"), F.max("cell_hi").alias("hi"),
-            F.min(start).alias("below"), F.sum("cell_d").alias("d")) \
-        .select(*state.columns)
+    has_low, has_high = ((start <= F.col(r)) & (F.col(r) < start + F.col("n")) for r in ("low", "high"))
+    found = cuts.join(cells, ["k", "pi"]).where(has_low | has_high).groupBy("k", "pi", "low", "high", "share").agg(
+        F.min("cell_lo").alias("lo"), F.max("cell_hi").alias("hi"), F.min(start).alias("below"),
+        F.sum("n").alias("inside"), F.sum("cell_d").alias("d"),
+        F.count("*").alias("cells"), F.max(F.when(has_low, F.col("cell_hi"))).alias("low_value"),
+        F.max(F.when(has_high, F.col("cell_lo"))).alias("high_value"))
+    value = F.when(F.col("cells") == 2, _between("low_value", "high_value")) \
+        .when(F.col("lo") == F.col("hi"), F.col("lo"))
+    return found.withColumn("value", value).select(*state.columns)

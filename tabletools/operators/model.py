@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -14,13 +15,13 @@ from pyspark.sql import functions as F
 from tabletools import constants as K
 from tabletools.functions.joins import BROADCAST_ROWS, fits_broadcast, join_group_facts
 from tabletools.functions.kinds import CATEGORICAL, NUMERIC, batches, col, columns_of, kind_of
-from tabletools.functions.quantiles import column_quantiles
 from tabletools.operators.cleaning import fill_median
 from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile, value_counts
 
 MISSING_LABEL = "nan"
 BINS = 64
 DEPTH = 10
+SORT_ROWS = 100_000   # rows one task may sort
 SKETCH_MARGIN = 4     # an estimate this many times over the limit is surely over it
 
 
@@ -117,23 +118,28 @@ def mark_test_rows(df: DataFrame, keys: Sequence[str], test: float = K.TEST_SHAR
     if not exact:
         cutoff = f"{int(test * 2 ** 32):08x}"
         return df.withColumn("is_test", F.substring(digest, 1, 8) < F.lit(cutoff))
-    hashed = df.select(digest.alias("digest")).withColumn("head", _hash_head(F.col("digest")))
-    n = df.count()
-    wanted = -int(-test * n // 1)
-    if wanted >= n or wanted == 0:
-        return df.withColumn("is_test", F.lit(wanted > 0))
-    # a cutoff between the last test row and the first training row
-    cutoff = column_quantiles(hashed, ["head"], [(wanted - 0.5) / (n - 1)])["head"]
-    cutoff = next(iter(cutoff.values()))
-    taken = hashed.where(F.col("head") < cutoff).count()
-    last = hashed.where(F.col("head") == cutoff).orderBy("digest").limit(wanted - taken) \
-        .agg(F.max("digest")).first()[0]
-    head = _hash_head(digest)
-    return df.withColumn("is_test", (head < cutoff) | ((head == cutoff) & F.coalesce(digest <= F.lit(last), F.lit(False))))
-
-
-def _hash_head(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")     # 52 bits: exact
+    last = _last_test_digest(df.select(digest.alias("digest")), test)
+    return df.withColumn("is_test", digest <= F.lit(last) if last else F.lit(False))
+
+
+def _last_test_digest(digests: DataFrame, test: float) -> str | None:
+    """The hash at rank ceil(share * n): counts per prefix tell where it lies, three hex digits
+    at a time, until so few rows share the prefix that they can be sorted."""
+    prefix, wanted = "", None
+    while True:
+        inside = digests.where(F.startswith("digest", F.lit(prefix)))
+        counts = dict(inside.groupBy(F.substring("digest", 1, len(prefix) + 3)).count().collect())
+        if wanted is None:
+            wanted = math.ceil(round(test * sum(counts.values()), 6))
+            if wanted == 0:
+                return None
+        for prefix in sorted(counts):
+            if wanted <= counts[prefix]:
+                break
+            wanted -= counts[prefix]
+        if counts[prefix] <= SORT_ROWS or len(prefix) >= 32:
+            return inside.where(F.startswith("digest", F.lit(prefix))).orderBy("digest").limit(wanted) \
+                .agg(F.max("digest")).first()[0] if len(prefix) < 32 else prefix
 
 
 def train_test_split(df: DataFrame, keys: Sequence[str], test: float = K.TEST_SHARE,

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tabletools as tt
+import tabletools.operators.model as model
 from tabletools.operators.model import class_index, mark_test_rows
 
 
@@ -25,8 +26,10 @@ def test_label_encode(spark):
         tt.label_encode(wide, ["s"])
 
 
-@pytest.mark.parametrize("n", [2, 5, 20, 101, 1000])
-def test_exact_split(spark, n):
+@pytest.mark.parametrize("n", [1, 5, 20, 101, 1000])
+@pytest.mark.parametrize("sort_rows", [100_000, 1])
+def test_exact_split(spark, monkeypatch, n, sort_rows):
+    monkeypatch.setattr(model, "SORT_ROWS", sort_rows)
     df = spark.range(n)
     for partitions in (1, 4):
         marked = mark_test_rows(df.repartition(partitions), ["id"], exact=True)

@@ -55,3 +55,15 @@ def test_groups_equal_pandas_with_a_hot_key(spark, group_values):
     assert set(found) == set(expected.index)
     for g, q in found.items():
         assert np.allclose(q, expected.loc[g]), g
+
+
+def test_a_value_that_fills_its_group(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"g": "one", "v": np.concatenate([np.full(3000, 7.0), rng.normal(size=400), 8 + rng.random(400)])})
+    df = spark.createDataFrame(frame).repartition(3)
+    edges = [(np.sum(frame.v < 7) - 0.4) / (len(frame) - 1), (np.sum(frame.v <= 7) - 0.4) / (len(frame) - 1)]
+    probs = [0.01, *edges, 0.1052, 0.5, 0.894, 0.99]
+    found = group_quantiles(df, "g", "v", probs, group_values=20).first().q
+    assert np.allclose(found, frame.v.quantile(probs))
+    rare = column_quantiles(df, ["v"], probs, buffer_values=1, bracket_rows=20, sample_rows=100)["v"]
+    assert np.allclose([rare[p] for p in probs], frame.v.quantile(probs))
