@@ -36,6 +36,7 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread_
                      how: str = "inner", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``facts`` (few rows per key) to ``rows`` (one key may hold most of them).
 
+    The facts should be staged, as they are read twice: to be measured and to be joined.
     The facts are broadcast when a count shows that they are small. Otherwise both sides
     shuffle on key and salt: the rows of a hot key spread over ``SALTS`` tasks by the
     hash of ``spread_on``, and each fact is repeated once per salt.

@@ -195,10 +195,9 @@ def group_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
     sizes = rows.groupBy("k").agg(
         F.count("*").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"),
         F.approx_count_distinct("v").alias("d"))
-    hot = sizes.where(F.col("d") > group_values).drop("d")
+    hot = stage(sizes.where(F.col("d") > group_values).drop("d"), "hot-groups")
     if hot.limit(1).count() == 0:
         return _ranked_quantiles(rows, probs).select(F.col("k").alias(key), "q")
-    hot = stage(hot, "hot-groups")
     marked = join_group_facts(rows, hot, ["k"], "v", how="left")
     cold = _ranked_quantiles(marked.where(F.col("total").isNull()).select("k", "v"), probs)
     warm = _hot_quantiles(marked.where(F.col("total").isNotNull()).select("k", "v"),

@@ -17,6 +17,7 @@ from tabletools.functions.joins import BROADCAST_ROWS, fits_broadcast, join_grou
 from tabletools.functions.kinds import CATEGORICAL, NUMERIC, batches, col, columns_of, kind_of
 from tabletools.operators.cleaning import fill_median
 from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile, value_counts
+from tabletools.sources.staging import stage
 
 MISSING_LABEL = "nan"
 BINS = 64
@@ -153,7 +154,7 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test: float = K.TEST_SH
 
 def class_index(train: DataFrame, target: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """(target, label): the classes of the training rows, numbered in sorted order."""
-    classes = train.select(col(target)).where(col(target).isNotNull()).distinct()
+    classes = stage(train.select(col(target)).where(col(target).isNotNull()).distinct(), "classes")
     if fits_broadcast(classes, bound):
         return classes.withColumn("label", F.row_number().over(Window.orderBy(col(target))) - 1)
     numbered = classes.orderBy(col(target)).rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
@@ -341,6 +342,7 @@ def _train(df, target, task, keys, trees, depth, exact_split, result) -> DataFra
     narrow = mark_test_rows(table, keys, exact=exact_split).select(
         *[col(c).cast("double").alias(i) for c, i in zip(features, inputs)],
         col(target).alias("target"), "is_test")
+    narrow = stage(narrow, "training")      # read once per step from here on
     train, test = narrow.where(~F.col("is_test")), narrow.where("is_test")
     sizes = narrow.agg(F.count_if(~F.col("is_test")), F.count_if("is_test"),
                        F.count_if(F.col("target").isNull())).first()

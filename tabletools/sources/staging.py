@@ -11,16 +11,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CONF = "spark.checkpoint.dir"
+CONF = "spark.checkpoint.dir"
+_unset: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
-    root = spark.conf.get(_CONF, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tabletools-")
-        spark.conf.set(_CONF, root)
-    return root
+    """The folder named by ``spark.checkpoint.dir``; one of our own, per application, only where
+    it is unset, as in tests."""
+    root = spark.conf.get(CONF, None)
+    if root:
+        return root
+    application = spark.sparkContext.applicationId
+    if application not in _unset:
+        _unset[application] = tempfile.mkdtemp(prefix="tabletools-")
+    return _unset[application]
 
 
 def staging_path(spark: SparkSession, label: str) -> str:

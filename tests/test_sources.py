@@ -1,6 +1,7 @@
 import pytest
 
 import tabletools as tt
+import tabletools.sources.staging as staging
 from tabletools.sources.jdbc import jdbc_options
 from tabletools.sources.staging import stage, staging_root
 
@@ -85,3 +86,11 @@ def test_whole_run(spark, tmp_path):
     result.save(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "cleaned")).count() == 120
     assert spark.read.parquet(str(tmp_path / "out" / "analytics_numeric_summary")).count() == 2
+
+
+def test_staging_without_a_named_folder(spark, monkeypatch):
+    monkeypatch.setattr(staging, "CONF", "spark.tabletools.absent")
+    first, second = (staging.staging_path(spark, "x") for _ in range(2))
+    assert first != second and first.rsplit("/", 2)[0] == second.rsplit("/", 2)[0]
+    assert not first.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert stage(spark.range(3), "numbers").count() == 3
