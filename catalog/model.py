@@ -153,7 +153,8 @@ SELECT (SELECT round(avg((y3 = yhat3)::INTEGER), 4) FROM p) AS accuracy, round(s
     "regression_metrics": _P + """ SELECT round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse,
   round(1 - sum((y - yhat) ** 2) / (var_pop(y) * count(*)), 4) AS r2_score FROM p""",
     "run_automl_error": """SELECT 'regression' AS task_type, 'l_returnflag' AS target_column, 'RandomForest' AS model,
-  0::BIGINT AS train_samples, 0::BIGINT AS test_samples, NULL::DOUBLE AS accuracy, NULL::DOUBLE AS f1_score,
+  count(*) FILTER (NOT test) AS train_samples, count(*) FILTER (test) AS test_samples, NULL::DOUBLE AS accuracy, NULL::DOUBLE AS f1_score,
   NULL::DOUBLE AS rmse, NULL::DOUBLE AS r2_score, false AS skipped, 'Target column ''l_returnflag'' is not numeric. '
-  || 'Choose a numeric column for Regression or switch to Classification.' AS error""",
+  || 'Choose a numeric column for Regression or switch to Classification.' AS error
+  FROM (SELECT """ + _MARK.format(k="l_orderkey, l_linenumber, l_partkey") + """ AS test FROM lineitem)""",
 }

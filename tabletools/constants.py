@@ -64,3 +64,36 @@ OUTLIER_ISSUE = "Column '{column}' has {n} outlier(s) beyond IQR fence."
 OUTLIER_ACTION = "Clipped {n} outlier(s) in '{column}' to fence [{lower}, {upper}]."
 DATE_ACTION = "Parsed column '{column}' as datetime ({share:.0%} pattern match rate)."
 SUMMARY_COUNTERS = ("rows_removed", "columns_removed", "nulls_filled", "outliers_clipped")
+
+# Other message formats and titles
+FILE_MISSING = "Dataset not found: {path!r}"
+SUFFIX_UNKNOWN = "Unsupported file extension {suffix!r}. Expected one of: {expected}"
+NO_FEATURES = ("Could not prepare features. Check that the dataset has usable "
+               "numeric or low-cardinality categorical columns.")
+TOO_FEW_ROWS = "Dataset has only {n} rows after preprocessing — too few for a reliable train/test split."
+NOT_NUMERIC = ("Target column '{column}' is not numeric. "
+               "Choose a numeric column for Regression or switch to Classification.")
+HISTOGRAM_TITLE = "Distribution of {x}"
+BAR_TITLE = "{y} by {x}"
+HEATMAP_TITLE = "Numeric Correlation Heatmap"
+SCATTER_TITLE = "{x} vs {y}"
+BOX_TITLE = "{y} Distribution by {x}"
+LINE_TITLE = "{y} Over Time ({x})"
+DEFAULT_CHART_TITLE = "Chart"
+DEFAULT_SLIDE_TITLE = "Slide"
+
+# Profile as text: headings and line formats
+CONTEXT_START = "=== Data Context: {name} ==="
+CONTEXT_END = "=== End of Data Context ==="
+SHAPE_LINE = "Shape: {rows} rows × {columns} columns"
+COLUMNS_LINE = "Columns: {names}"
+TYPES_HEADING = "Data Types:"
+NUMERIC_HEADING = "Numeric Summary (mean | std | min | max | skew):"
+NUMERIC_NONE = "Numeric Summary: none"
+MISSING_HEADING = "Missing Values:"
+MISSING_NONE = "Missing Values: none"
+CORRELATIONS_HEADING = "Correlations (|r| > {threshold:.2f}):"
+CORRELATIONS_NONE = "Correlations: no pairs with |r| > {threshold}"
+CORRELATIONS_TOO_FEW = "Correlations: insufficient numeric columns"
+CATEGORIES_HEADING = "Categorical Columns (top {k} values each):"
+CATEGORIES_NONE = "Categorical Columns: none"

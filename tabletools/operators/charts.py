@@ -24,18 +24,18 @@ def recommend_charts(df) -> DataFrame:
     numbers, texts, dates = p.numeric, p.text, columns_of(p.df, DATETIME)
     picks: list[tuple] = []
     if numbers:
-        picks.append(("histogram", numbers[0], None, f"Distribution of {numbers[0]}"))
+        picks.append(("histogram", numbers[0], None, K.HISTOGRAM_TITLE.format(x=numbers[0])))
         if texts:
-            picks.append(("bar", texts[0], numbers[0], f"{numbers[0]} by {texts[0]}"))
+            picks.append(("bar", texts[0], numbers[0], K.BAR_TITLE.format(x=texts[0], y=numbers[0])))
         if len(numbers) > 2:
-            picks.append(("heatmap", None, None, "Numeric Correlation Heatmap"))
+            picks.append(("heatmap", None, None, K.HEATMAP_TITLE))
         if pair := strongest_columns(p):
-            picks.append(("scatter", *pair, f"{pair[0]} vs {pair[1]}"))
+            picks.append(("scatter", *pair, K.SCATTER_TITLE.format(x=pair[0], y=pair[1])))
         if texts:
             spread = numbers[min(1, len(numbers) - 1)]
-            picks.append(("box", texts[0], spread, f"{spread} Distribution by {texts[0]}"))
+            picks.append(("box", texts[0], spread, K.BOX_TITLE.format(x=texts[0], y=spread)))
         if dates:
-            picks.append(("line", dates[0], numbers[0], f"{numbers[0]} Over Time ({dates[0]})"))
+            picks.append(("line", dates[0], numbers[0], K.LINE_TITLE.format(x=dates[0], y=numbers[0])))
     rows = [(i + 1, *pick) for i, pick in enumerate(picks[:K.MAX_CHARTS])]
     return p.df.sparkSession.createDataFrame(rows, _SPEC)
 
@@ -50,7 +50,7 @@ def validate_chart_specs(specs: DataFrame, columns: list[str] | None = None,
                          types: tuple[str, ...] = K.SPEC_CHART_TYPES) -> DataFrame:
     """Specs of known chart types; an empty axis, or one that is no column, becomes NULL."""
     cleaned = {"chart_type": F.lower(F.trim("chart_type")), "x_axis": _known_axis("x_axis", columns),
-               "y_axis": _known_axis("y_axis", columns), "title": F.coalesce("title", F.lit("Chart"))}
+               "y_axis": _known_axis("y_axis", columns), "title": F.coalesce("title", F.lit(K.DEFAULT_CHART_TITLE))}
     return specs.select(*[cleaned.get(c, col(c)).alias(c) for c in specs.columns]) \
         .where(F.col("chart_type").isin(*types))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabletools import constants as K
 from tabletools.functions.joins import BROADCAST_ROWS, fits_broadcast, join_group_facts
-from tabletools.functions.kinds import CATEGORICAL, NUMERIC, batches, col, columns_of, kind_of
+from tabletools.functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, batches, col, columns_of, kind_of
 from tabletools.operators.cleaning import fill_median
 from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile, value_counts
 from tabletools.sources.staging import stage
@@ -207,8 +207,8 @@ def forest_classify(train: DataFrame, features: list[str], label: str = "label",
 def forest_regress(train: DataFrame, features: list[str], label: str, trees: int = K.TREES,
                    depth: int = DEPTH, seed: int = K.SEED) -> PipelineModel:
     """Random forest on a numeric target, all features tried at each split."""
-    if kind_of(train.schema[label].dataType) != NUMERIC:
-        raise ValueError(_not_numeric(label))
+    if kind_of(train.schema[label].dataType) not in (NUMERIC, BOOLEAN):
+        raise ValueError(K.NOT_NUMERIC.format(column=label))
     return _fit(train.withColumn(label, col(label).cast("double")), features, RandomForestRegressor(
         labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, maxBins=BINS, maxMemoryInMB=1024,
         featureSubsetStrategy="all"))
@@ -218,10 +218,10 @@ def feature_importances(model: PipelineModel, k: int = K.TOP_FEATURES,
                         names: list[str] | None = None) -> DataFrame:
     """(feature, importance) of the k most important features."""
     names = names or model.stages[0].getInputCols()
-    rows = list(zip(names, model.stages[-1].featureImportances.toArray().tolist()))
-    return SparkSession.active().createDataFrame(rows, "feature string, importance double") \
-        .withColumn("importance", F.round("importance", 4)) \
-        .orderBy(F.desc("importance"), "feature").limit(k)
+    rows = zip(names, model.stages[-1].featureImportances.toArray().tolist())
+    top = sorted(rows, key=lambda pair: -pair[1])[:k]
+    return SparkSession.active().createDataFrame(top, "feature string, importance double") \
+        .withColumn("importance", F.round("importance", 4))
 
 
 # -- metrics ----------------------------------------------------------------------------
@@ -300,11 +300,6 @@ _RESULT = ("task_type string, target_column string, model string, train_samples
 _IMPORTANCES = "feature string, importance double"
 
 
-def _not_numeric(target: str) -> str:
-    return (f"Target column '{target}' is not numeric. "
-            "Choose a numeric column for Regression or switch to Classification.")
-
-
 def run_automl(df: DataFrame, target: str | None, task: str | None, keys: Sequence[str],
                trees: int = K.TREES, depth: int = DEPTH, exact_split: bool = False
                ) -> tuple[DataFrame, DataFrame]:
@@ -327,16 +322,11 @@ def _train(df, target, task, keys, trees, depth, exact_split, result) -> DataFra
     empty = spark.createDataFrame([], _IMPORTANCES)
     table, features = prepare_features(df, target)
     if not features:
-        result["error"] = ("Could not prepare features. Check that the dataset has usable "
-                           "numeric or low-cardinality categorical columns.")
+        result["error"] = K.NO_FEATURES
         return empty
     rows = df.limit(K.MIN_ROWS).count()
     if rows < K.MIN_ROWS:
-        result["error"] = (f"Dataset has only {rows} rows after preprocessing — "
-                           "too few for a reliable train/test split.")
-        return empty
-    if task != "classification" and kind_of(df.schema[target].dataType) != NUMERIC:
-        result["error"] = _not_numeric(target)
+        result["error"] = K.TOO_FEW_ROWS.format(n=rows)
         return empty
     inputs = [f"f{i}" for i in range(len(features))]     # plain names, whatever the table calls them
     narrow = mark_test_rows(table, keys, exact=exact_split).select(
@@ -346,10 +336,13 @@ def _train(df, target, task, keys, trees, depth, exact_split, result) -> DataFra
     train, test = narrow.where(~F.col("is_test")), narrow.where("is_test")
     sizes = narrow.agg(F.count_if(~F.col("is_test")), F.count_if("is_test"),
                        F.count_if(F.col("target").isNull())).first()
+    result["train_samples"], result["test_samples"] = sizes[0], sizes[1]
+    if task != "classification" and kind_of(df.schema[target].dataType) not in (NUMERIC, BOOLEAN):
+        result["error"] = K.NOT_NUMERIC.format(column=target)
+        return empty
     if sizes[2]:
         result["error"] = f"Target column '{target}' has {sizes[2]} missing values."
         return empty
-    result["train_samples"], result["test_samples"] = sizes[0], sizes[1]
     if task == "classification":
         train, test = encode_target(train, test, "target")
         classes = n_classes(train, "label")

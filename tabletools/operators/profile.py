@@ -355,11 +355,12 @@ def raw_analytics(df) -> Analytics:
 def profile_text(df, name: str) -> DataFrame:
     """(line_no, line): the profile of a table as text, from its per-column facts."""
     p = _profile(df)
-    out = [f"=== Data Context: {name} ===", "",
-           f"Shape: {p.rows} rows × {len(p.df.columns)} columns", f"Columns: {', '.join(p.df.columns)}", "",
-           "Data Types:", *[f"  {c}: {t}" for c, t in p.df.dtypes], ""]
+    out = [K.CONTEXT_START.format(name=name), "",
+           K.SHAPE_LINE.format(rows=p.rows, columns=len(p.df.columns)),
+           K.COLUMNS_LINE.format(names=", ".join(p.df.columns)), "",
+           K.TYPES_HEADING, *[f"  {c}: {t}" for c, t in p.df.dtypes], ""]
     out += [*_numeric_lines(p), "", *_missing_lines(p), "", *_correlation_lines(p), "", *_category_lines(p), "",
-            "=== End of Data Context ==="]
+            K.CONTEXT_END]
     return _frame(p, [(i + 1, line) for i, line in enumerate(out)], "line_no int, line string")
 
 
@@ -372,8 +373,8 @@ def _shown(value: float | None, digits: int = 3) -> float:
 
 def _numeric_lines(p: TableProfile) -> list[str]:
     if not p.numeric:
-        return ["Numeric Summary: none"]
-    lines = ["Numeric Summary (mean | std | min | max | skew):"]
+        return [K.NUMERIC_NONE]
+    lines = [K.NUMERIC_HEADING]
     for c in p.filled_numeric:
         stats = p.fact(c) | p.moments(c)
         shown = [f"{m}={_shown(stats[m])}" for m in ("mean", "std", "min", "max", "skew")]
@@ -383,23 +384,23 @@ def _numeric_lines(p: TableProfile) -> list[str]:
 
 def _missing_lines(p: TableProfile) -> list[str]:
     found = [f"  {c}: {n} ({100 * n / p.rows:.1f}%)" for c, n in p.missing.items() if n]
-    return ["Missing Values:", *found] if found else ["Missing Values: none"]
+    return [K.MISSING_HEADING, *found] if found else [K.MISSING_NONE]
 
 
 def _correlation_lines(p: TableProfile) -> list[str]:
     if len(p.numeric) < 2:
-        return ["Correlations: insufficient numeric columns"]
+        return [K.CORRELATIONS_TOO_FEW]
     found = [f"  {a} × {b}: r={_shown(r)}" for a, b, r in _ranked_pairs(p) if abs(r) > K.CORRELATION_THRESHOLD]
     if not found:
-        return [f"Correlations: no pairs with |r| > {K.CORRELATION_THRESHOLD}"]
-    return [f"Correlations (|r| > {K.CORRELATION_THRESHOLD:.2f}):", *found]
+        return [K.CORRELATIONS_NONE.format(threshold=K.CORRELATION_THRESHOLD)]
+    return [K.CORRELATIONS_HEADING.format(threshold=K.CORRELATION_THRESHOLD), *found]
 
 
 def _category_lines(p: TableProfile) -> list[str]:
     if not p.text:
-        return ["Categorical Columns: none"]
+        return [K.CATEGORIES_NONE]
     top: dict[str, list[str]] = {c: [] for c in p.text}
     for r in sorted(category_topk(p).collect(), key=lambda r: r["rank"]):
         top[r["column"]].append(f"{r['value']!r}:{r['n']}")
-    return [f"Categorical Columns (top {K.TOP_CATEGORIES} values each):",
+    return [K.CATEGORIES_HEADING.format(k=K.TOP_CATEGORIES),
             *[f"  {c}: {', '.join(entries)}" for c, entries in top.items()]]

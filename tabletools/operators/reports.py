@@ -70,7 +70,7 @@ def extract_slides(df: DataFrame, text: str = "text", id: str = "id") -> DataFra
     written = F.filter(F.transform(F.split(_text_of(F.col("entry"), "bullets"), LINE_BREAK), strip), lambda b: b != "")
     bullets = F.when(F.startswith(shape, F.lit("ARRAY")), listed).when(shape == "STRING", written) \
         .otherwise(F.array().cast(_NO_TEXTS))
-    return found.select("id", "pos", F.coalesce(_text_of(F.col("entry"), "title"), F.lit("Slide")).alias("title"),
+    return found.select("id", "pos", F.coalesce(_text_of(F.col("entry"), "title"), F.lit(K.DEFAULT_SLIDE_TITLE)).alias("title"),
                         bullets.alias("bullets"))
 
 

@@ -7,8 +7,7 @@ from tabletools.operators.model import class_index, mark_test_rows
 
 
 def numbers(spark, n, extra="id % 3"):
-    return spark.range(n).select("id", (F.col("id") % 10).cast("double").alias("f"),
-                                 F.expr(extra).alias("y")).repartition(3)
+    return spark.range(n).withColumn("f", (F.col("id") % 10).cast("double")).withColumn("y", F.expr(extra)).repartition(3)
 
 
 def test_gate_counts_exactly_up_to_the_limit(spark):
@@ -88,6 +87,8 @@ def test_errors_are_values(spark):
     assert "Could not prepare" in error_of(tt.run_automl(df.select("y"), "y", "regression", ["y"]))
     assert "not numeric" in error_of(tt.run_automl(numbers(spark, 30, "cast(id as string)"), "y", "regression", ["id"]))
     assert "missing values" in error_of(tt.run_automl(numbers(spark, 30, "nullif(id, 3)"), "y", "regression", ["id"]))
+    flag = numbers(spark, 60, "f < 5")
+    assert tt.run_automl(flag, "y", "regression", ["id"], trees=3, depth=3)[0].first().r2_score > 0.9
     skipped = tt.run_automl(df, None, None, ["id"])[0].first()
     assert skipped.skipped and skipped.error is None
 
