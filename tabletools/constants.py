@@ -42,6 +42,7 @@ CHART_TAG = "CHARTS:"
 SECTION_LINES = 8
 SECTION_BULLETS = 6
 BULLET_CHARS = 120
+# the last one is part of each of the others
 RECOMMENDATION_HEADINGS = ("Actionable Business Recommendations", "Recommendations")
 
 # Words read as a missing value in text files (the defaults of pandas.read_csv)

@@ -22,13 +22,17 @@ def without_hashes(line: Column) -> Column:
     return strip(F.ltrim(line, F.lit("#")))
 
 
-def with_lines(df: DataFrame, text: str, id: str, stripped: bool = True) -> DataFrame:
+def with_lines(df: DataFrame, text: str, id: str, stripped: bool = True,
+               mark: str | None = None) -> DataFrame:
     """(id, text, lines). A final line break ends the last line and starts no new one.
 
-    Each step is a column of its own, so that a later use reads it instead of splitting again.
+    A text without ``mark`` (in any case) is not split at all, its lines are NULL. Each step is
+    a column of its own, so that a later use reads it instead of splitting again.
     """
     body = col(text)
     split = F.when(body.rlike(_RARE_BREAK), F.split(body, LINE_BREAK, -1)).otherwise(F.split(body, "\n", -1))
+    if mark is not None:
+        split = F.when(F.contains(F.lower(body), F.lit(mark.lower())), split)
     parts = df.select(col(id).alias("id"), body.alias("text"), split.alias("lines"))
     ended = F.when(F.element_at("lines", -1) == "", F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))
     lined = parts.withColumn("lines", ended)
@@ -65,5 +69,5 @@ def starts_with_any(line: Column, *marks: str) -> Column:
 
 
 def starts_with_tag(line: Column, tag: str) -> Column:
-    """For a stripped line, in any case."""
-    return F.startswith(F.upper(line), F.lit(tag.upper()))
+    """In any case, after white space; the cheap test comes first."""
+    return F.contains(F.upper(line), F.lit(tag.upper())) & F.startswith(F.upper(strip(line)), F.lit(tag.upper()))

@@ -37,9 +37,9 @@ def _text_of(entry: Column, key: str) -> Column:
 def extract_tagged_json(df: DataFrame, text: str = "text", tag: str = K.CHART_TAG, id: str = "id",
                         columns: list[str] | None = None) -> DataFrame:
     """(id, pos, chart_type, x_axis, y_axis, title) from the last line that starts with the tag."""
-    tagged = with_lines(df, text, id).select(
+    tagged = with_lines(df, text, id, stripped=False, mark=tag).select(
         "id", F.filter("lines", lambda l: starts_with_tag(l, tag)).alias("tagged"))
-    fragment = strip(F.substr(F.get("tagged", F.size("tagged") - 1), F.lit(len(tag) + 1)))
+    fragment = strip(F.substr(strip(F.get("tagged", F.size("tagged") - 1)), F.lit(len(tag) + 1)))
     found = exploded(tagged.select("id", _entries(fragment).alias("entries")), "entries", "place", "e")
     specs = found.select("id", "e.pos", *[
         _text_of(F.col("e.entry"), key).alias(key) for key in ("chart_type", "x_axis", "y_axis", "title")])
@@ -49,8 +49,8 @@ def extract_tagged_json(df: DataFrame, text: str = "text", tag: str = K.CHART_TA
 def strip_tagged_line(df: DataFrame, text: str = "text", tag: str = K.CHART_TAG, id: str = "id") -> DataFrame:
     """(id, text) up to the last tagged line, without blank lines at the end; an untagged
     text is returned as it is."""
-    cut = with_lines(df, text, id, stripped=False).withColumn(
-        "cut", last_where("lines", lambda l: starts_with_tag(strip(l), tag)))
+    cut = with_lines(df, text, id, stripped=False, mark=tag).withColumn(
+        "cut", last_where("lines", lambda l: starts_with_tag(l, tag)))
     kept = cut.withColumn("lines", F.slice("lines", F.lit(1), F.col("cut") - 1)) \
         .withColumn("end", F.coalesce(last_where("lines", lambda l: strip(l) != ""), F.lit(0)))
     return kept.select("id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(
@@ -96,7 +96,7 @@ def markdown_blocks(df: DataFrame, text: str = "text", id: str = "id") -> DataFr
 
 def markdown_sections(df: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
     """(id, pos, title, bullets): one row per heading with its first six lines or bullets."""
-    heads = with_lines(df, text, id).select("id", F.col("lines").alias("body")).withColumn("heads", F.filter(
+    heads = with_lines(df, text, id, mark="# ").select("id", F.col("lines").alias("body")).withColumn("heads", F.filter(
         F.transform("body", lambda l, i: F.when(starts_with_any(l, "## ", "# "), i + 1)),
         lambda p: p.isNotNull()))
     ends = F.concat(F.slice("heads", F.lit(2), F.size("heads")), F.array(F.size("body") + 1))
@@ -137,13 +137,13 @@ def _with_section(lined: DataFrame, heading: Column) -> DataFrame:
 
 def section_lines(df: DataFrame, heading: str, text: str = "text", id: str = "id") -> DataFrame:
     """(id, lines): the first eight lines of one named section, none for a text without it."""
-    return _with_section(with_lines(df, text, id), F.lit(heading)).select("id", "lines")
+    return _with_section(with_lines(df, text, id, mark=heading), F.lit(heading)).select("id", "lines")
 
 
 def recommendations(reports: DataFrame, slides: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
     """(id, source, bullets): the recommendation section, else such a slide; no row if neither."""
     headings = F.array(*[F.lit(h) for h in K.RECOMMENDATION_HEADINGS])
-    each = with_lines(reports, text, id).select("id", "lines", F.posexplode_outer(headings).alias("rank", "source"))
+    each = with_lines(reports, text, id, mark=K.RECOMMENDATION_HEADINGS[-1]).select("id", "lines", F.posexplode_outer(headings).alias("rank", "source"))
     named = _with_section(each, F.col("source")).select("id", "rank", "source", F.col("lines").alias("bullets"))
     wanted = F.lower(strip(F.col("title"))).isin(*[h.lower() for h in K.RECOMMENDATION_HEADINGS])
     from_slides = slides.where(wanted).groupBy("id").agg(F.min_by("bullets", "pos").alias("bullets")) \
