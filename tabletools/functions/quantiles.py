@@ -184,7 +184,7 @@ def _pick(ranks: DataFrame, keys: list[str], low: Column, high: Column) -> DataF
 
 def group_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
                     group_values: int = GROUP_VALUES) -> DataFrame:
-    """(key, q: array of exact quantiles in the order of ``probs``), one row per group.
+    """(key, n, q: array of exact quantiles in the order of ``probs``), one row per group.
 
     Values are counted per (key, value) first. A group with few distinct values is then
     ranked by one window. Hot groups are narrowed round by round, as columns are, and only
@@ -197,12 +197,12 @@ def group_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
         F.approx_count_distinct("v").alias("d"))
     hot = stage(sizes.where(F.col("d") > group_values).drop("d"), "hot-groups")
     if hot.limit(1).count() == 0:
-        return _ranked_quantiles(rows, probs).select(F.col("k").alias(key), "q")
+        return _ranked_quantiles(rows, probs).select(F.col("k").alias(key), "n", "q")
     marked = join_group_facts(rows, hot, ["k"], "v", how="left")
     cold = _ranked_quantiles(marked.where(F.col("total").isNull()).select("k", "v"), probs)
     warm = _hot_quantiles(marked.where(F.col("total").isNotNull()).select("k", "v"),
                           hot, probs, group_values)
-    return cold.unionByName(warm).select(F.col("k").alias(key), "q")
+    return cold.unionByName(warm).select(F.col("k").alias(key), "n", "q")
 
 
 def _ranked_quantiles(rows: DataFrame, probs: list[float]) -> DataFrame:
@@ -216,8 +216,8 @@ def _ranked_quantiles(rows: DataFrame, probs: list[float]) -> DataFrame:
                       F.min(F.when(F.col("end") > F.least(low + 1, F.col("total") - 1), F.col("v")))
                       .alias(f"high{i}"),
                       F.max(position - low).alias(f"share{i}")))
-    picked = ranks.groupBy("k").agg(*[e for part in parts for e in part])
-    return picked.select("k", F.array(*[
+    picked = ranks.groupBy("k").agg(F.sum("n").alias("n"), *[e for part in parts for e in part])
+    return picked.select("k", "n", F.array(*[
         F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * F.col(f"share{i}")
         for i in range(len(probs))]).alias("q"))
 
@@ -247,8 +247,8 @@ def _hot_quantiles(rows: DataFrame, hot: DataFrame, probs: list[float],
     picked = _pick(ranks, ["k", "pi", "share"], F.col("low") - F.col("below"), F.col("high") - F.col("below"))
     values = picked.select("k", "pi", _between("low_value", "high_value").alias("q")) \
         .union(state.where("value IS NOT NULL").select("k", "pi", "value"))
-    return values.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pi", "q"))).alias("s")) \
-        .select("k", F.transform("s", lambda s: s["q"]).alias("q"))
+    arrays = values.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pi", "q"))).alias("s"))
+    return arrays.join(hot, "k").select("k", F.col("total").alias("n"), F.transform("s", lambda s: s["q"]).alias("q"))
 
 
 def _between(low: str, high: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
-from tabletools.functions.joins import join_group_facts
+from tabletools.functions.joins import fits_broadcast, join_group_facts
 from tabletools.functions.kinds import CATEGORICAL, DATETIME, col, columns_of, number
 from tabletools.functions.quantiles import GROUP_VALUES, group_quantiles
 from tabletools.operators.profile import TableProfile, strongest_columns
@@ -58,7 +58,8 @@ def validate_chart_specs(specs: DataFrame, columns: list[str] | None = None,
 def choose_charts(parsed: DataFrame, rule_based: DataFrame, key: str = "id") -> DataFrame:
     """Per key the parsed specs; the rule-based ones where there are none."""
     have = stage(parsed.select(col(key)).distinct(), "parsed-keys")
-    left = join_group_facts(rule_based, have, [key], "title", "left_anti")
+    # a shuffled anti join may split a hot key at run time (adaptive skew join): no shuffle follows
+    left = rule_based.join(F.broadcast(have) if fits_broadcast(have) else have, key, "left_anti")
     return parsed.unionByName(left.select(*parsed.columns))
 
 
@@ -138,11 +139,12 @@ def box_data(df: DataFrame, x: str, y: str, group_values: int = GROUP_VALUES) ->
     """
     points = _points(df, x, y)
     boxes = group_quantiles(points, "x", "y", [0.25, 0.5, 0.75], group_values).select(
-        "x", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+        "x", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = K.IQR_MULTIPLIER * (F.col("q3") - F.col("q1"))
     inside = F.col("y").between(F.col("q1") - reach, F.col("q3") + reach)
-    return join_group_facts(points, stage(boxes, "boxes"), ["x"], "y").groupBy("x", "q1", "median", "q3").agg(
-        F.count("*").alias("n"), F.min(F.when(inside, F.col("y"))).alias("lower_whisker"),
+    known = join_group_facts(points, stage(boxes, "boxes"), ["x"], "y", size="n")
+    return known.groupBy("x", "n", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("y"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("y"))).alias("upper_whisker"),
         F.count_if(~inside).alias("n_outliers"))
 
@@ -152,7 +154,7 @@ def violin_data(df: DataFrame, x: str, y: str, bins: int = BINS) -> DataFrame:
     points = _points(df, x, y)
     ranges = points.groupBy("x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.count("*").alias("size"))
     low, high = F.col("lo"), F.col("hi")
-    counted = join_group_facts(points, stage(ranges, "ranges"), ["x"], "y") \
+    counted = join_group_facts(points, stage(ranges, "ranges"), ["x"], "y", size="size") \
         .groupBy("x", "lo", "hi", "size", _bin(F.col("y"), low, high, bins).alias("bin")) \
         .agg(F.count("*").alias("n"))
     return _bin_edges(counted, low, high, bins).select(

@@ -28,14 +28,14 @@ def _fingerprint(df: DataFrame) -> Column:
 
 
 def _repeated_fingerprints(df: DataFrame) -> tuple[DataFrame, int]:
-    """Fingerprints seen more than once, and their number (up to the broadcast bound + 1).
+    """Fingerprints seen more than once, and their number.
 
     Only 8-byte fingerprints are shuffled, counted per partition first. Equal rows have
     equal fingerprints, so a row outside this set is known to be unique.
     """
     repeated = df.select(_fingerprint(df).alias("_print")).groupBy("_print").count() \
-        .where("count > 1").select("_print").limit(BROADCAST_FINGERPRINTS + 1)
-    repeated = stage(repeated, "repeated-fingerprints")     # a few MB at most, counted once
+        .where("count > 1").select("_print")
+    repeated = stage(repeated, "repeated-fingerprints")     # grouped once, then counted and joined
     return repeated, repeated.count()
 
 

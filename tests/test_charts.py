@@ -28,9 +28,10 @@ def test_histogram_maximum_falls_in_the_last_bin(spark):
     assert rows == {0: (2, 2.0), 1: (2, 2.0), 2: (2, 2.0), 3: (2, 2.0), 4: (3, 3.0)}
 
 
-@pytest.mark.parametrize("bound", [100_000, 0])
-def test_box_on_both_join_paths(spark, monkeypatch, bound):
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+@pytest.mark.parametrize("size,hot", [(2 ** 20, 100), (0, 20), (0, 0), (0, 10 ** 6)])
+def test_box_on_all_join_paths(spark, monkeypatch, size, hot):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
     data = [("hot", float(v)) for v in [*range(60), 500]] + [("cold", 1.0), ("cold", 2.0), (None, 9.0), ("cold", None)]
     rows = {r.x: r for r in tt.box_data(spark.createDataFrame(data, "g string, v double").repartition(4), "g", "v").collect()}
     hot = pd.Series([v for g, v in data if g == "hot"])
@@ -41,6 +42,7 @@ def test_box_on_both_join_paths(spark, monkeypatch, bound):
 
 def test_violin_shares_add_up(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
     df = spark.createDataFrame([("a", float(i % 17)) for i in range(200)] + [("b", 1.0)], "g string, v double")
     shares = tt.violin_data(df, "g", "v").groupBy("x").sum("share").collect()
     assert all(r[1] == pytest.approx(1.0) for r in shares) and len(shares) == 2
@@ -75,3 +77,12 @@ def test_sample_of_points(spark):
     assert tt.scatter_data(df, "a", "b").count() == 100
     with pytest.raises(ValueError):
         tt.scatter_data(df, "a", "b", max_points=5)
+
+
+def test_choice_prefers_parsed_specs(spark, monkeypatch):
+    parsed = spark.createDataFrame([(1, "pie")], "id int, chart_type string")
+    rules = spark.createDataFrame([(1, "bar"), (2, "bar"), (2, "line")], "id int, chart_type string")
+    for size in (2 ** 20, 0):
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", size)
+        rows = sorted(map(tuple, tt.choose_charts(parsed, rules).collect()))
+        assert rows == [(1, "pie"), (2, "bar"), (2, "line")]

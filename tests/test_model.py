@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tabletools as tt
+import tabletools.functions.joins as joins
 import tabletools.operators.model as model
 from tabletools.operators.model import class_index, mark_test_rows
 
@@ -49,7 +50,9 @@ def test_classes_of_numbers_sort_as_numbers(spark):
     assert sorted(tuple(r) for r in class_index(train, "y", bound=1).collect()) == expected
 
 
-def test_unseen_class_becomes_class_zero(spark):
+@pytest.mark.parametrize("size", [2 ** 20, 0])
+def test_unseen_class_becomes_class_zero(spark, monkeypatch, size):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", size)
     train = spark.createDataFrame([(1.0, "b"), (2.0, "c")], "f double, y string")
     test = spark.createDataFrame([(1.0, "c"), (3.0, "new")], "f double, y string")
     _, encoded = tt.encode_target(train, test, "y")

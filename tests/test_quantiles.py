@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+import tabletools.functions.joins as joins
 from tabletools.functions.quantiles import column_quantiles, group_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -43,18 +44,19 @@ def test_empty_column_has_none(spark):
     assert column_quantiles(df, ["x"], [0.5]) == {"x": {0.5: None}}
 
 
-@pytest.mark.parametrize("group_values", [1_000_000, 300, 20])
-def test_groups_equal_pandas_with_a_hot_key(spark, group_values):
+@pytest.mark.parametrize("group_values,size", [(1_000_000, 2 ** 20), (300, 2 ** 20), (20, 2 ** 20), (300, 0)])
+def test_groups_equal_pandas_with_a_hot_key(spark, monkeypatch, group_values, size):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", size)
     rng = np.random.default_rng(3)
     n = 3000
     frame = pd.DataFrame({"g": np.where(rng.random(n) < 0.4, "hot", rng.integers(0, 200, n).astype(str)),
                           "v": np.where(rng.random(n) < 0.3, 5.0, rng.normal(size=n))})
     df = spark.createDataFrame(frame).repartition(4)
-    found = {r.g: r.q for r in group_quantiles(df, "g", "v", [0.25, 0.5, 0.9], group_values).collect()}
+    found = {r.g: (r.n, r.q) for r in group_quantiles(df, "g", "v", [0.25, 0.5, 0.9], group_values).collect()}
     expected = frame.groupby("g").v.quantile([0.25, 0.5, 0.9]).unstack()
     assert set(found) == set(expected.index)
-    for g, q in found.items():
-        assert np.allclose(q, expected.loc[g]), g
+    for g, (n, q) in found.items():
+        assert np.allclose(q, expected.loc[g]) and n == (frame.g == g).sum(), g
 
 
 def test_a_value_that_fills_its_group(spark):
