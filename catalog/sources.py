@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tabletools as tt
-from catalog.tables import CLEAN_DIRTY_SQL, dirty, read
+from catalog.tables import dirty, read
 from tabletools.sources.staging import staging_path
 
 

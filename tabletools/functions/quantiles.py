@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletools.functions.joins import join_group_facts
-from tabletools.functions.kinds import batches, col, number
+from tabletools.functions.kinds import batches, col, is_missing, number
 from tabletools.sources.staging import stage
 
 BUFFER_VALUES = 20_000       # distinct values one aggregation buffer may hold
@@ -56,20 +56,20 @@ class _Target:
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                      buffer_values: int = BUFFER_VALUES, bracket_rows: int = BRACKET_ROWS,
-                     sample_rows: int = SAMPLE_ROWS) -> dict[str, dict[float, float | None]]:
-    """{column: {p: exact quantile with linear interpolation}}; None for an all-null column."""
+                     sample_rows: int = SAMPLE_ROWS, known: dict[str, tuple] | None = None
+                     ) -> dict[str, dict[float, float | None]]:
+    """{column: {p: exact quantile with linear interpolation}}; None for an all-null column.
+
+    ``known`` gives (count, min, max) per column where the caller has them already.
+    """
     result = {c: dict.fromkeys(probs) for c in columns}
     wide: dict[str, tuple[int, float, float]] = {}
     for part in batches(columns, 12):
-        facts = df.agg(*[
-            agg(number(df, c)).alias(f"{agg.__name__}{i}") for i, c in enumerate(part)
-            for agg in (F.count, F.min, F.max, F.approx_count_distinct)]).first()
-        narrow = []
-        for c, (n, lo, hi, distinct) in zip(part, batches(list(facts), 4)):
-            if n and distinct > buffer_values:
-                wide[c] = (n, lo, hi)
-            elif n:
-                narrow.append(c)
+        facts = {c: known[c] for c in part} if known else _counts(df, part)
+        long = [c for c in part if facts[c][0] > buffer_values]
+        many = [c for c, d in zip(long, _distinct_estimates(df, long)) if d > buffer_values]
+        wide |= {c: facts[c] for c in many}
+        narrow = [c for c in part if facts[c][0] and c not in many]
         if narrow:
             ps = F.array(*[F.lit(float(p)) for p in probs])
             row = df.agg(*[F.percentile(number(df, c), ps).alias(f"q{i}")
@@ -93,6 +93,19 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return result
 
 
+def _counts(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    row = df.agg(*[agg(number(df, c)).alias(f"{agg.__name__}{i}") for i, c in enumerate(columns)
+                   for agg in (F.count, F.min, F.max)]).first()
+    return {c: tuple(f) for c, f in zip(columns, batches(list(row), 3))}
+
+
+def _distinct_estimates(df: DataFrame, columns: list[str]) -> list[int]:
+    if not columns:
+        return []
+    return list(df.agg(*[F.approx_count_distinct(number(df, c)).alias(f"d{i}")
+                         for i, c in enumerate(columns)]).first())
+
+
 def _inside(df: DataFrame, t: _Target) -> Column:
     v = number(df, t.column)
     return F.when((v >= F.lit(t.lo)) & (v <= F.lit(t.hi)), v)
@@ -190,8 +203,8 @@ def group_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
     ranked by one window. Hot groups are narrowed round by round, as columns are, and only
     the values left in the brackets at the end are ranked.
     """
-    rows = df.select(col(key).alias("k"), number(df, value).alias("v")).where(
-        F.col("k").isNotNull() & F.col("v").isNotNull())
+    rows = df.where(~is_missing(df, key) & ~is_missing(df, value)).select(
+        col(key).alias("k"), number(df, value).alias("v"))
     sizes = rows.groupBy("k").agg(
         F.count("*").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"),
         F.approx_count_distinct("v").alias("d"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
 from tabletools.functions.joins import fits_broadcast, join_group_facts
-from tabletools.functions.kinds import CATEGORICAL, DATETIME, col, columns_of, number
+from tabletools.functions.kinds import DATETIME, col, columns_of, is_missing, number
 from tabletools.functions.quantiles import GROUP_VALUES, group_quantiles
 from tabletools.operators.profile import TableProfile, strongest_columns
 from tabletools.sources.staging import stage
@@ -67,8 +70,12 @@ def choose_charts(parsed: DataFrame, rule_based: DataFrame, key: str = "id") ->
 
 def _points(df: DataFrame, x: str, y: str | None) -> DataFrame:
     """x as it is, y as number; rows without either are not drawn."""
-    columns = [col(x).alias("x")] + ([number(df, y).alias("y")] if y else [])
-    return df.select(*columns).dropna()
+    return _present(df, x, y).select(col(x).alias("x"), *([number(df, y).alias("y")] if y else []))
+
+
+def _present(df: DataFrame, *columns: str | None) -> DataFrame:
+    """Rows that have all the columns, tested on the columns as stored, so that a scan can skip."""
+    return df.where(reduce(and_, [~is_missing(df, c) for c in columns if c]))
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -84,8 +91,7 @@ def _bin_edges(data: DataFrame, low: Column, high: Column, bins: int) -> DataFra
 
 def histogram_data(df: DataFrame, x: str, y: str | None = None, bins: int = BINS) -> DataFrame:
     """(bin, n, lower, upper), with y also the total of y per bin."""
-    names = [number(df, x).alias("x")] + ([number(df, y).alias("y")] if y else [])
-    data = df.select(*names).dropna()
+    data = _present(df, x, y).select(number(df, x).alias("x"), *([number(df, y).alias("y")] if y else []))
     low, high = (F.lit(v).cast("double") for v in data.agg(F.min("x"), F.max("x")).first())
     measures = [F.count("*").alias("n")] + ([F.sum("y").alias("total")] if y else [])
     return _bin_edges(data.groupBy(_bin(F.col("x"), low, high, bins).alias("bin")).agg(*measures), low, high, bins)
@@ -113,9 +119,9 @@ def heatmap_data(df) -> DataFrame:
 def scatter_data(df: DataFrame, x: str, y: str, keys: list[str] | None = None,
                  max_points: int | None = None) -> DataFrame:
     """(x, y) of all points, or of a stable sample: the ``max_points`` smallest key hashes."""
-    data = df.select(number(df, x).alias("x"), number(df, y).alias("y"),
-                     F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys or []])).alias("digest")) \
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    data = _present(df, x, y).select(
+        number(df, x).alias("x"), number(df, y).alias("y"),
+        F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys or []])).alias("digest"))
     if max_points is not None:
         if not keys:
             raise ValueError("A sample of points needs keys.")
@@ -125,7 +131,7 @@ def scatter_data(df: DataFrame, x: str, y: str, keys: list[str] | None = None,
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = BINS) -> DataFrame:
     """(x_bin, y_bin, n): points counted on a grid, for tables too large to draw."""
-    data = df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna()
+    data = _present(df, x, y).select(number(df, x).alias("x"), number(df, y).alias("y"))
     x0, x1, y0, y1 = (F.lit(v).cast("double") for v in
                       data.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
     return data.groupBy(_bin(F.col("x"), x0, x1, bins).alias("x_bin"),

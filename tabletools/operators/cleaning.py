@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabletools import constants as K
 from tabletools.functions.kinds import (
-    BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, batches, col, columns_of, is_missing, nan_to_null, number)
+    BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, batches, col, columns_of, nan_to_null, number)
 from tabletools.functions.quantiles import column_quantiles
 from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile, value_counts
 from tabletools.sources.staging import stage
@@ -151,9 +151,9 @@ class Fence:
     upper: float
 
 
-def _fences(df: DataFrame, k: float = K.IQR_MULTIPLIER) -> dict[str, Fence]:
+def _fences(df: DataFrame, k: float = K.IQR_MULTIPLIER, known: dict[str, tuple] | None = None) -> dict[str, Fence]:
     found = {}
-    for c, q in column_quantiles(df, columns_of(df, NUMERIC), [0.25, 0.75]).items():
+    for c, q in column_quantiles(df, columns_of(df, NUMERIC), [0.25, 0.75], known=known).items():
         q1, q3 = q[0.25], q[0.75]
         if q1 is not None and q3 != q1:
             iqr = q3 - q1
@@ -321,10 +321,11 @@ def fit_cleaning(df: DataFrame, order_by: list[str] | None = None,
     modes = column_modes(source, others)
     model = CleaningModel(
         source, rows, removed, missing, dropped,
-        medians={c: q[0.5] for c, q in column_quantiles(source, numeric, [0.5]).items()},
+        medians={c: q[0.5] for c, q in column_quantiles(source, numeric, [0.5], known=p.ranges).items()},
         modes={c: modes.get(c) for c in others})
     filled = model._filled(source)
-    model.fences = _fences(filled)
+    # a median lies between the ends of its column, so a filled column keeps its range
+    model.fences = _fences(filled, known={c: (rows, lo, hi) for c, (_, lo, hi) in p.ranges.items()})
     model.outliers = _count_outliers(filled, model.fences)
     model.rates = _pattern_rates(filled, order_by, sample)
     model.formats = _date_formats(filled, model.rates)

@@ -73,6 +73,11 @@ class TableProfile:
     def fact(self, column: str) -> dict:
         return self._basic[column]
 
+    @property
+    def ranges(self) -> dict[str, tuple]:
+        """{numeric column: (count, min, max)}."""
+        return {c: (self._basic[c]["n"], self._basic[c]["min"], self._basic[c]["max"]) for c in self.numeric}
+
     @property
     def filled_numeric(self) -> list[str]:
         return [c for c in self.numeric if self._basic[c]["n"] > 0]
@@ -94,7 +99,7 @@ class TableProfile:
 
     @cached_property
     def quartiles(self) -> dict[str, dict[float, float]]:
-        return column_quantiles(self.df, self.filled_numeric, QUARTILES)
+        return column_quantiles(self.df, self.filled_numeric, QUARTILES, known=self.ranges)
 
     def moments(self, column: str) -> dict[str, float | None]:
         """std (n-1) and the bias-corrected skewness and excess kurtosis."""
