@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tabletools as tt
+from tabletools.sources.staging import staging_path
 from catalog.tables import CLEAN_DIRTY_SQL, DIRTY_SQL, dirty, read, tidy
 
 _KEYS = ["event_id"]
@@ -19,6 +20,16 @@ def _as_text(df, column):
     return df.withColumn(column, F.col(column).cast("string"))
 
 
+def _streamed(s, d):
+    """The same rows arriving as a stream, cleaned by the rules fitted on them."""
+    arrivals, cleaned = staging_path(s, "arrivals"), staging_path(s, "cleaned-stream")
+    dirty(s, d).write.parquet(arrivals)
+    table = s.read.parquet(arrivals)
+    stream = s.readStream.schema(table.schema).parquet(arrivals)
+    tt.append_clean_stream(tt.fit_cleaning(table, order_by=_KEYS), stream, cleaned).awaitTermination()
+    return s.read.parquet(cleaned)
+
+
 def _repeated(s, d):
     return read(s, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
@@ -49,6 +60,7 @@ QUERIES = {
         dirty(s, d).select("event_id", "event_type", "d_ok", "d_rate", "d_fail"), order_by=_KEYS), "d_ok"),
     "cleaning_report": lambda s, d: tt.cleaning_report(tt.fit_cleaning(dirty(s, d), order_by=_KEYS)),
     "run_cleaning": lambda s, d: tidy(_as_text(tt.run_cleaning(dirty(s, d), order_by=_KEYS)[0], "d_ok")),
+    "clean_stream": lambda s, d: tidy(_as_text(_streamed(s, d), "d_ok")),
     "run_cleaning_orders": lambda s, d: tidy(_as_text(tt.run_cleaning(
         read(s, d, "orders").withColumn("o_orderdate", F.substring(F.col("o_orderdate").cast("string"), 1, 10)))[0],
         "o_orderdate")),
@@ -81,10 +93,11 @@ _TEXTS = ["event_type", "d_ok", "d_rate", "d_fail"]
 _LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax"]
 
-_FILLED = f"""{CLEAN_DIRTY_SQL},
-f AS (SELECT event_id, user_id, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM d)) AS value,
+_FILL = f"""SELECT event_id, user_id, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM d)) AS value,
   coalesce(event_type, {_mode_sql('d', 'event_type')}) AS event_type,
-  coalesce(half, (SELECT quantile_cont(half, 0.5) FROM d)) AS half, d_ok, d_rate, d_fail FROM d),
+  coalesce(half, (SELECT quantile_cont(half, 0.5) FROM d)) AS half, d_ok, d_rate, d_fail FROM """
+_FILLED = f"""{CLEAN_DIRTY_SQL},
+f AS ({_FILL}d), arrived AS ({_FILL}dirty),
 fv AS ({_fence_sql('f', 'value')}), fh AS ({_fence_sql('f', 'half')})"""
 
 _REPORT = _FILLED + """,
@@ -118,7 +131,9 @@ r(block, kind, "column", message, amount) AS (
   UNION ALL SELECT 19, 'summary', NULL, 'outliers_clipped', value + CASE WHEN EXISTS (FROM fh) THEN half ELSE 0 END FROM o)
 SELECT row_number() OVER (ORDER BY block)::INTEGER AS seq, kind, "column", message, amount::BIGINT AS amount FROM r"""
 
-_CLIP = "round(greatest({f}.lower, least(f.{c}, {f}.upper)), 6) AS {c}"
+_CLEANED = """ SELECT event_id, user_id, round(greatest(fv.lower, least(value, fv.upper)), 6) AS value, event_type,
+  round(CASE WHEN EXISTS (FROM fh) THEN greatest((SELECT lower FROM fh), least(half, (SELECT upper FROM fh))) ELSE half END, 6) AS half,
+  try_strptime(d_ok, '%Y-%m-%d')::VARCHAR AS d_ok, d_rate, d_fail FROM {rows}, fv"""
 
 ORACLES = {
     "duplicate_count": DIRTY_SQL + " SELECT (SELECT count(*) FROM dirty) - count(*) AS n_duplicates FROM (SELECT DISTINCT * FROM dirty)",
@@ -151,9 +166,8 @@ FROM (SELECT {c} FROM d WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 20)""" for
     "parse_datetimes": DIRTY_SQL + """ SELECT event_id, event_type, try_strptime(d_ok, '%Y-%m-%d')::VARCHAR AS d_ok, d_rate, d_fail
 FROM dirty""",
     "cleaning_report": _REPORT,
-    "run_cleaning": _FILLED + f""" SELECT event_id, user_id, {_CLIP.format(f='fv', c='value')}, event_type,
-  round(CASE WHEN EXISTS (FROM fh) THEN greatest((SELECT lower FROM fh), least(half, (SELECT upper FROM fh))) ELSE half END, 6) AS half,
-  try_strptime(d_ok, '%Y-%m-%d')::VARCHAR AS d_ok, d_rate, d_fail FROM f, fv""",
+    "run_cleaning": _FILLED + _CLEANED.format(rows="f"),
+    "clean_stream": _FILLED + _CLEANED.format(rows="arrived"),
     "run_cleaning_orders": """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice,
   o_orderdate::VARCHAR AS o_orderdate, o_orderpriority FROM orders""",
 }

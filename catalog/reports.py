@@ -80,6 +80,7 @@ QUERIES = {
     "markdown_blocks": lambda s, d: tt.markdown_blocks(_reports(s, d)),
     "markdown_blocks_documents": lambda s, d: tt.markdown_blocks(_documents(s, d)),
     "markdown_sections": lambda s, d: _joined(tt.markdown_sections(_reports(s, d)), "bullets"),
+    "slides_or_sections": lambda s, d: _joined(tt.slides_or_sections(_replies(s, d), _reports(s, d)), "bullets"),
     "section_lines": lambda s, d: _joined(tt.section_lines(_reports(s, d), "Recommendations"), "lines"),
     "recommendations": lambda s, d: _joined(tt.recommendations(
         _reports(s, d), tt.extract_slides(_replies(s, d))), "bullets"),
@@ -178,6 +179,16 @@ def _bare(limit: int) -> str:
     return f"list_filter(list_transform(bullets[:{limit}], lambda b: {inner}), lambda b: b <> '')"
 
 
+_SECTIONS = f"""{_REPORT_LINES}, {_NUMBERED},
+s AS (SELECT id, i, {_strip('x')} AS s FROM numbered),
+h AS (SELECT *, (s LIKE '## %' OR s LIKE '# %') AS head, sum((s LIKE '## %' OR s LIKE '# %')::INTEGER) OVER (PARTITION BY id ORDER BY i) AS n FROM s),
+b AS (SELECT id, n, i, CASE WHEN s LIKE '- %' OR s LIKE '* %' THEN {_strip('substr(s, 3)')} ELSE substr(s, 1, 120) END AS b,
+  row_number() OVER (PARTITION BY id, n ORDER BY i) AS k FROM h WHERE n > 0 AND NOT head AND s <> '' AND s NOT LIKE '#%'),
+l AS (SELECT id, n, list(b ORDER BY i) AS bullets FROM b WHERE k <= 6 GROUP BY id, n),
+sections AS (SELECT id, (n - 1)::INTEGER AS pos, {_hashless('s')} AS title, coalesce(bullets, []) AS bullets
+  FROM h LEFT JOIN l USING (id, n) WHERE head)"""
+
+
 ORACLES = {
     "extract_tagged_json": _specs_sql("{a}"),
     "extract_tagged_json_columns": _specs_sql("CASE WHEN {a} IN ('o_orderpriority', 'a') THEN {a} END"),
@@ -186,14 +197,10 @@ ORACLES = {
     "extract_slides": f"WITH {_SLIDE_ROWS} SELECT id, pos, title, {_shown('bullets')} AS bullets FROM slides",
     "markdown_blocks": _blocks_sql(_REPORT_LINES),
     "markdown_blocks_documents": _blocks_sql(_DOCUMENT_LINES),
-    "markdown_sections": f"""WITH {_REPORT_LINES}, {_NUMBERED},
-s AS (SELECT id, i, {_strip('x')} AS s FROM numbered),
-h AS (SELECT *, (s LIKE '## %' OR s LIKE '# %') AS head, sum((s LIKE '## %' OR s LIKE '# %')::INTEGER) OVER (PARTITION BY id ORDER BY i) AS n FROM s),
-b AS (SELECT id, n, i, CASE WHEN s LIKE '- %' OR s LIKE '* %' THEN {_strip('substr(s, 3)')} ELSE substr(s, 1, 120) END AS b,
-  row_number() OVER (PARTITION BY id, n ORDER BY i) AS k FROM h WHERE n > 0 AND NOT head AND s <> '' AND s NOT LIKE '#%'),
-l AS (SELECT id, n, list(b ORDER BY i) AS bullets FROM b WHERE k <= 6 GROUP BY id, n),
-t AS (SELECT id, n, {_hashless('s')} AS title, coalesce(bullets, []) AS bullets FROM h LEFT JOIN l USING (id, n) WHERE head)
-SELECT id, (n - 1)::INTEGER AS pos, title, {_shown('bullets')} AS bullets FROM t""",
+    "markdown_sections": f"WITH {_SECTIONS} SELECT id, pos, title, {_shown('bullets')} AS bullets FROM sections",
+    "slides_or_sections": f"""WITH {_SECTIONS}, {_SLIDE_ROWS.replace('src', 'src2').replace('found', 'found2').replace('e AS', 'e2 AS').replace('FROM e ', 'FROM e2 ')}
+SELECT id, pos, title, {_shown('bullets')} AS bullets FROM slides UNION ALL
+SELECT id, pos, title, {_shown('bullets')} AS bullets FROM sections WHERE id NOT IN (SELECT id FROM slides)""",
     "section_lines": f"""WITH {_REPORT_LINES}, {_NUMBERED}, {_collected_sql('r', 'Recommendations')}
 SELECT id, {_shown('coalesce(kept, [])')} AS lines FROM lined LEFT JOIN r USING (id)""",
     "recommendations": f"""WITH {_REPORT_LINES}, {_NUMBERED}, {_collected_sql('a', 'Actionable Business Recommendations')},

@@ -19,7 +19,7 @@ from tabletools.operators.profile import (
     strongest_pair, table_shape)
 from tabletools.operators.reports import (
     clean_bullets, extract_slides, extract_tagged_json, markdown_blocks, markdown_sections,
-    recommendations, section_lines, section_map, strip_tagged_line)
+    recommendations, section_lines, section_map, slides_or_sections, strip_tagged_line)
 from tabletools.plans.adhoc import ask_sql
 from tabletools.plans.run import RunResult, analyse_file, analyse_table
 from tabletools.sources.files import (

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabletools.sources.staging import stage
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
@@ -57,3 +59,14 @@ def _join_salted(rows: DataFrame, facts: DataFrame, keys: list[str], spread_on:
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_on)), F.lit(SALTS)))
     spread = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def prefer(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Per key the rows of ``first``; those of ``second`` where ``first`` has none.
+
+    A shuffled anti join may split a hot key at run time (adaptive skew join), as no other
+    shuffle depends on it.
+    """
+    have = stage(first.select(key).distinct(), "keys")
+    left = second.join(F.broadcast(have) if fits_broadcast(have) else have, key, "left_anti")
+    return first.unionByName(left.select(*first.columns))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
-from tabletools.functions.joins import fits_broadcast, join_group_facts
+from tabletools.functions.joins import join_group_facts, prefer
 from tabletools.functions.kinds import DATETIME, col, columns_of, is_missing, number
 from tabletools.functions.quantiles import GROUP_VALUES, group_quantiles
 from tabletools.operators.profile import TableProfile, strongest_columns
@@ -60,10 +60,7 @@ def validate_chart_specs(specs: DataFrame, columns: list[str] | None = None,
 
 def choose_charts(parsed: DataFrame, rule_based: DataFrame, key: str = "id") -> DataFrame:
     """Per key the parsed specs; the rule-based ones where there are none."""
-    have = stage(parsed.select(col(key)).distinct(), "parsed-keys")
-    # a shuffled anti join may split a hot key at run time (adaptive skew join): no shuffle follows
-    left = rule_based.join(F.broadcast(have) if fits_broadcast(have) else have, key, "left_anti")
-    return parsed.unionByName(left.select(*parsed.columns))
+    return prefer(parsed, rule_based, key)
 
 
 # -- data behind the charts -------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
+from tabletools.functions.joins import prefer
 from tabletools.functions.kinds import col
 from tabletools.functions.lines import (
     LINE_BREAK, exploded, first_where, last_where, starts_with_any, starts_with_tag, strip, with_lines,
@@ -111,6 +112,11 @@ def markdown_sections(df: DataFrame, text: str = "text", id: str = "id") -> Data
     return sections.select("id", "pos", "title", bullets.alias("bullets"))
 
 
+def slides_or_sections(replies: DataFrame, reports: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
+    """(id, pos, title, bullets): the slides of the reply; the report's sections where it has none."""
+    return prefer(extract_slides(replies, text, id), markdown_sections(reports, text, id), "id")
+
+
 def _with_section(lined: DataFrame, heading: Column) -> DataFrame:
     """``lines`` of each text cut down to the kept lines of the section named in ``heading``."""
     def is_heading(line):
@@ -121,7 +127,7 @@ def _with_section(lined: DataFrame, heading: Column) -> DataFrame:
 
     def keep(kept, line):
         # a plain line is dropped when it repeats the end of the last kept one
-        repeats = (F.size(kept) >= 2) & F.endswith(F.element_at(kept, -1), line)
+        repeats = (F.size(kept) >= 2) & F.endswith(F.try_element_at(kept, F.lit(-1)), line)
         taken = (F.size(kept) < K.SECTION_LINES) & (listed(line) | ~repeats)
         return F.when(taken, F.concat(kept, F.array(line))).otherwise(kept)
 
