@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import tabletools as tt
 from catalog.tables import read
+from tabletools.functions.partitions import on_all_cores
 
 # One Markdown report per order. @text is the text type of the engine, @table the table.
 REPORTS = """SELECT o_orderkey AS id, concat_ws(chr(10),
@@ -44,7 +45,7 @@ def _duck(sql: str, table: str) -> str:
 
 def _texts(s, d, sql, table):
     query = sql.replace("{", "{{").replace("}", "}}").replace("@text", "string").replace("@table", "{table}")
-    return s.sql(query, table=read(s, d, table))
+    return s.sql(query, table=on_all_cores(read(s, d, table)))
 
 
 def _reports(s, d):
@@ -56,7 +57,7 @@ def _replies(s, d):
 
 
 def _documents(s, d):
-    return read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return on_all_cores(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _joined(df, *columns):

@@ -308,12 +308,11 @@ def fit_cleaning(df: DataFrame, order_by: list[str] | None = None,
     table without any is read in place.
     """
     source = drop_exact_duplicates(df)
-    removed = 0
     if source is not df:
         source = stage(source, "deduplicated")
-        removed = df.count() - source.count()
     p = TableProfile(source)
     rows, missing = p.rows, p.missing
+    removed = 0 if source is df else df.count() - rows
     dropped = _sparse(p, K.SPARSE_THRESHOLD)
     gaps = [c for c, n in missing.items() if n and c not in dropped]
     numeric = [c for c in gaps if c in p.numeric]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabletools import constants as K
 from tabletools.functions.joins import BROADCAST_ROWS, fits_broadcast, join_group_facts
 from tabletools.functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, batches, col, columns_of, kind_of
+from tabletools.functions.partitions import on_all_cores
 from tabletools.operators.cleaning import fill_median
 from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile, value_counts
 from tabletools.sources.staging import stage
@@ -181,13 +182,7 @@ def _fit(train: DataFrame, features: list[str], forest) -> PipelineModel:
     assembler = VectorAssembler(inputCols=[f"`{c}`" if "." in c else c for c in features], outputCol="_features")
     forest = forest.setFeaturesCol("_features").setPredictionCol("prediction")
     rows = assembler.transform(train).select("_features", forest.getLabelCol())
-    return PipelineModel([assembler, forest.fit(_on_all_cores(rows))])
-
-
-def _on_all_cores(rows: DataFrame) -> DataFrame:
-    """Training passes over its rows once per tree level, so a few large input splits are spread first."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return PipelineModel([assembler, forest.fit(on_all_cores(rows))])
 
 
 def n_classes(train: DataFrame, label: str) -> int:
