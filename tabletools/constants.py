@@ -10,13 +10,14 @@ DATE_PATTERN = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
 DATE_MATCH_THRESHOLD = 0.80
 DATE_FAILURE_LIMIT = 0.20
 DATE_SAMPLE_SIZE = 20
-DATE_FORMATS = (
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "yyyy-M-d H:m:s[.SSSSSS]",
-    "yyyy/M/d H:m:s[.SSSSSS]",
-    "yyyy-M-d'T'H:m:s[.SSSSSS]",
-)
+# date formats in order of preference, each with the shape of the texts it can read
+DATE_FORMATS = {
+    "yyyy-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "yyyy/M/d": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$",
+    "yyyy-M-d H:m:s[.SSSSSS]": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?$",
+    "yyyy/M/d H:m:s[.SSSSSS]": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?$",
+    "yyyy-M-d'T'H:m:s[.SSSSSS]": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?$",
+}
 FILL_WORD = "Unknown"
 
 # Profile

@@ -242,18 +242,18 @@ def _date_formats(df: DataFrame, rates: dict[str, float | None]) -> dict[str, st
         exprs = [F.count("*")]
         for i, c in enumerate(part):
             exprs.append(F.count(col(c)).alias(f"n{i}"))
-            exprs += [F.count(F.try_to_timestamp(col(c), F.lit(f))).alias(f"f{i}_{j}")
-                      for j, f in enumerate(K.DATE_FORMATS)]
+            exprs += [F.count(_date_expr(col(c), f)).alias(f"f{i}_{j}") for j, f in enumerate(K.DATE_FORMATS)]
         row = df.agg(*exprs).first()
         for c, (present, *parsed) in zip(part, batches(list(row[1:]), 1 + len(K.DATE_FORMATS))):
             best = max(range(len(parsed)), key=lambda j: (parsed[j], -j))
             if (present - parsed[best]) / max(row[0], 1) < K.DATE_FAILURE_LIMIT:
-                chosen[c] = K.DATE_FORMATS[best]
+                chosen[c] = list(K.DATE_FORMATS)[best]
     return chosen
 
 
 def _date_expr(column: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(column, F.lit(fmt))
+    # the shape first: a text that fails to parse costs an exception
+    return F.when(column.rlike(K.DATE_FORMATS[fmt]), F.try_to_timestamp(column, F.lit(fmt)))
 
 
 def parse_datetimes(df: DataFrame, order_by: list[str] | None = None,

@@ -27,6 +27,13 @@ def test_latin1_falls_back(spark, tmp_path):
     assert tt.read_csv_table(spark, path).first().name == "café"
 
 
+def test_lines_are_read_apart_unless_a_quote_stays_open(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 's,n\n"a ""b"" c",1\n"x, y",2\n')
+    assert [tuple(r) for r in tt.load_table(spark, path).collect()] == [('a "b" c', 1), ("x, y", 2)]
+    path = write(tmp_path / "o.csv", 's,n\n"one\ntwo",1\nthree,2\n')
+    assert [tuple(r) for r in tt.load_table(spark, path).orderBy("n").collect()] == [("one\ntwo", 1), ("three", 2)]
+
+
 def test_load_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tt.load_table(spark, str(tmp_path / "absent.csv"))
@@ -41,7 +48,7 @@ def test_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "out.csv")
     for _ in range(2):      # writing again replaces
         tt.write_csv_table(df, path)
-    back = tt.infer_types(tt.read_csv_table(spark, path, multi_line=True)).orderBy("k")
+    back = tt.infer_types(tt.read_csv_table(spark, path)).orderBy("k")
     assert [tuple(r) for r in back.collect()] == [(1, ' quo"ted, ', None), (2, "line\nbreak", 2.5)]
 
 
