@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, fields
 from decimal import ROUND_HALF_UP, Decimal
-from functools import cached_property, partial
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -158,28 +158,35 @@ class TableProfile:
         means = np.array([self._basic[c]["mean"] for c in cols])
         schema = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
         parts = self.df.select(*[number(self.df, c).alias(f"c{i}") for i, c in enumerate(cols)]) \
-            .mapInPandas(partial(_batch_pair_sums, means=means), schema)
+            .mapInPandas(_pair_sums_of(means), schema)
         total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
         found = {(cols[r.i], cols[r.j]): (r.n, r.x, r.y, r.xx, r.yy, r.xy) for r in total.collect()}
         return {p: found[p] for p in pairs if p in found}
 
 
-def _batch_pair_sums(frames, means):
-    import pandas as pd
-    size = len(means)
-    n = x = xx = xy = np.zeros((size, size))
-    for frame in frames:
-        values = frame.to_numpy(dtype="float64", na_value=np.nan) - means
-        present = ~np.isnan(values)
-        values = np.where(present, values, 0.0)
-        mask = present.astype("float64")
-        n = n + mask.T @ mask
-        x = x + values.T @ mask
-        xx = xx + (values * values).T @ mask
-        xy = xy + values.T @ values
-    i, j = np.triu_indices(size, 1)
-    yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "n": n[i, j], "x": x[i, j],
-                        "y": x[j, i], "xx": xx[i, j], "yy": xx[j, i], "xy": xy[i, j]})
+def _pair_sums_of(means):
+    """The function that Spark runs per partition; a closure, so it travels by value and the
+    package need not be installed on the executors."""
+    def pair_sums(frames):
+        import numpy
+        import pandas
+        size = len(means)
+        n = x = xx = xy = numpy.zeros((size, size))
+        for frame in frames:
+            values = frame.to_numpy(dtype="float64", na_value=numpy.nan) - means
+            present = ~numpy.isnan(values)
+            values = numpy.where(present, values, 0.0)
+            mask = present.astype("float64")
+            n = n + mask.T @ mask
+            x = x + values.T @ mask
+            xx = xx + (values * values).T @ mask
+            xy = xy + values.T @ values
+        i, j = numpy.triu_indices(size, 1)
+        yield pandas.DataFrame({
+            "i": i.astype("int32"), "j": j.astype("int32"), "n": n[i, j], "x": x[i, j],
+            "y": x[j, i], "xx": xx[i, j], "yy": xx[j, i], "xy": xy[i, j]})
+
+    return pair_sums
 
 
 def _pearson(n, x, y, xx, yy, xy) -> float | None:
