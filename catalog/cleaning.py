@@ -96,11 +96,11 @@ _LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity
 _FILL = f"""SELECT event_id, user_id, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM d)) AS value,
   coalesce(event_type, {_mode_sql('d', 'event_type')}) AS event_type,
   coalesce(half, (SELECT quantile_cont(half, 0.5) FROM d)) AS half, d_ok, d_rate, d_fail FROM """
-_FILLED = f"""{CLEAN_DIRTY_SQL},
+FILLED = f"""{CLEAN_DIRTY_SQL},
 f AS ({_FILL}d), arrived AS ({_FILL}dirty),
 fv AS ({_fence_sql('f', 'value')}), fh AS ({_fence_sql('f', 'half')})"""
 
-_REPORT = _FILLED + """,
+_REPORT = FILLED + """,
 n AS (SELECT (SELECT count(*) FROM dirty) - count(*) AS dup, count(*) AS total, count(*) - count(value) AS value,
   count(*) - count(event_type) AS event_type, count(*) - count(sparse) AS sparse, count(*) - count(half) AS half FROM d),
 o AS (SELECT (SELECT count(*) FROM f, fv WHERE f.value < lower OR f.value > upper) AS value,
@@ -131,7 +131,7 @@ r(block, kind, "column", message, amount) AS (
   UNION ALL SELECT 19, 'summary', NULL, 'outliers_clipped', value + CASE WHEN EXISTS (FROM fh) THEN half ELSE 0 END FROM o)
 SELECT row_number() OVER (ORDER BY block)::INTEGER AS seq, kind, "column", message, amount::BIGINT AS amount FROM r"""
 
-_CLEANED = """ SELECT event_id, user_id, round(greatest(fv.lower, least(value, fv.upper)), 6) AS value, event_type,
+CLEANED = """ SELECT event_id, user_id, round(greatest(fv.lower, least(value, fv.upper)), 6) AS value, event_type,
   round(CASE WHEN EXISTS (FROM fh) THEN greatest((SELECT lower FROM fh), least(half, (SELECT upper FROM fh))) ELSE half END, 6) AS half,
   try_strptime(d_ok, '%Y-%m-%d')::VARCHAR AS d_ok, d_rate, d_fail FROM {rows}, fv"""
 
@@ -166,8 +166,8 @@ FROM (SELECT {c} FROM d WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 20)""" for
     "parse_datetimes": DIRTY_SQL + """ SELECT event_id, event_type, try_strptime(d_ok, '%Y-%m-%d')::VARCHAR AS d_ok, d_rate, d_fail
 FROM dirty""",
     "cleaning_report": _REPORT,
-    "run_cleaning": _FILLED + _CLEANED.format(rows="f"),
-    "clean_stream": _FILLED + _CLEANED.format(rows="arrived"),
+    "run_cleaning": FILLED + CLEANED.format(rows="f"),
+    "clean_stream": FILLED + CLEANED.format(rows="arrived"),
     "run_cleaning_orders": """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice,
   o_orderdate::VARCHAR AS o_orderdate, o_orderpriority FROM orders""",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tabletools as tt
-from catalog.tables import dirty, read
+from catalog.cleaning import CLEANED, FILLED
+from catalog.tables import dirty, pearson_sql, read
 from tabletools.sources.staging import staging_path
 
 
@@ -76,7 +77,18 @@ GROUP BY r_name, n_name"""
 
 _CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
+_NUMBERS = ["event_id", "user_id", "value", "half"]
+_PAIRS = " UNION ALL ".join(
+    f"SELECT {4 * i + j} AS i, '{a}' AS a, '{b}' AS b, {pearson_sql(a, b)} AS r FROM c"
+    for i, a in enumerate(_NUMBERS) for j, b in enumerate(_NUMBERS) if i < j)
+
 ORACLES = {
+    "analyse_table": FILLED + ", c AS (" + CLEANED.format(rows="f") + "), p AS (" + _PAIRS + """)
+SELECT 1 AS rank, 'histogram' AS chart_type, 'event_id' AS x_axis, NULL AS y_axis, 'Distribution of event_id' AS title
+UNION ALL SELECT 2, 'bar', 'event_type', 'event_id', 'event_id by event_type'
+UNION ALL SELECT 3, 'heatmap', NULL, NULL, 'Numeric Correlation Heatmap'
+UNION ALL SELECT 4, 'scatter', a, b, a || ' vs ' || b FROM (SELECT * FROM p WHERE r IS NOT NULL ORDER BY abs(r) DESC, i LIMIT 1)
+UNION ALL SELECT 5, 'box', 'event_type', 'user_id', 'user_id Distribution by event_type'""",
     "read_csv_table": """SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus,
   o_totalprice::VARCHAR AS o_totalprice, o_orderdate::VARCHAR AS o_orderdate, o_orderpriority FROM orders""",
     "read_csv_table_lines": "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text FROM documents",

@@ -7,7 +7,7 @@ from tools.check_oracles import compare, duck
 
 SF = "/root/testdata/sf0.001"
 FORESTS = {"forest_classify", "forest_regress", "feature_importances", "run_automl_classification",
-           "run_automl_regression", "analyse_table"}
+           "run_automl_regression"}
 
 
 @pytest.fixture(scope="module")
