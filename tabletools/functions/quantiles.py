@@ -28,6 +28,7 @@ BUFFER_VALUES = 20_000       # distinct values one aggregation buffer may hold
 BRACKET_ROWS = 100_000       # rows left in a bracket before they are sorted
 GROUP_VALUES = 1_000_000     # distinct values of one group that one task may sort
 SAMPLE_ROWS = 200_000
+TARGETS_PER_JOB = 12         # keeps each aggregate inside generated code
 ACCURACY = 2_000
 GRID = 256                   # points of the sketch of a group's bracket
 GRID_ROWS = 200              # sampled rows per point
@@ -82,9 +83,9 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             low, high, share = linear_position(n, p)
             targets.append(_Target(c, p, low, high, share, lo, hi, 0, n))
     while open_targets := [t for t in targets if t.inside > bracket_rows and t.lo < t.hi]:
-        for part in batches(open_targets, 24):
+        for part in batches(open_targets, TARGETS_PER_JOB):
             _narrow(df, part, sample_rows)
-    for part in batches([t for t in targets if t.lo < t.hi], 24):
+    for part in batches([t for t in targets if t.lo < t.hi], TARGETS_PER_JOB):
         for t, value in zip(part, _sorted_lookup(df, part)):
             result[t.column][t.p] = value
     for t in targets:
@@ -122,14 +123,18 @@ def _narrow(df: DataFrame, targets: list[_Target], sample_rows: int) -> None:
         low = (t.low_rank - t.below) / t.inside - margin
         high = (t.high_rank - t.below) / t.inside + margin
         wanted.append((max(low, 0.0), min(high, 1.0)))
+    # targets that still share a bracket share its sketch
+    sketches: dict[tuple, list[int]] = {}
+    for i, t in enumerate(targets):
+        sketches.setdefault((t.column, t.lo, t.hi), []).append(i)
     guess = sample.agg(*[
-        F.percentile_approx(_inside(df, t), list(w), ACCURACY).alias(f"g{i}")
-        for i, (t, w) in enumerate(zip(targets, wanted))]).first()
-    cuts = []
-    for t, w, g in zip(targets, wanted, guess):
-        lo = t.lo if g is None or w[0] == 0.0 else g[0]
-        hi = t.hi if g is None or w[1] == 1.0 else g[1]
-        cuts.append((lo, hi))
+        F.percentile_approx(_inside(df, targets[group[0]]), [p for i in group for p in wanted[i]], ACCURACY)
+        .alias(f"g{n}") for n, group in enumerate(sketches.values())]).first()
+    cuts = [(t.lo, t.hi) for t in targets]
+    for group, points in zip(sketches.values(), guess):
+        for i, (low, high) in zip(group, batches(points or [], 2)):
+            t, (low_share, high_share) = targets[i], wanted[i]
+            cuts[i] = (t.lo if low_share == 0.0 else low, t.hi if high_share == 1.0 else high)
     counts = df.agg(*[
         F.struct(F.count_if(_inside(df, t) < F.lit(lo)).alias("below"),
                  F.count_if((_inside(df, t) >= F.lit(lo)) & (_inside(df, t) <= F.lit(hi))).alias("inside")
