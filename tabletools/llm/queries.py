@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletools.llm.exact_dedup import exact_groups
+from tabletools.llm.mixing import taken_words
+from tabletools.llm.packing import pack
 from tabletools.llm.secret_scans import KINDS, joined, scan_secrets
 
 
@@ -27,9 +29,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
 
 ORACLES = {
@@ -37,4 +49,28 @@ ORACLES = {
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op9_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS mark,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+  FROM documents),
+streams AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY mark, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sized),
+sources AS (
+  SELECT src, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most,
+    [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY src) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM sized GROUP BY src),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) /
+    (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM sources WINDOW before AS (ORDER BY most / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT src, source_size, least(most, weight * (SELECT arg_min(level, most / weight) FROM levels
+    WHERE most >= level * weight)) AS target
+  FROM levels)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE size * (floor(target)::BIGINT // source_size)
+    + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) END::BIGINT AS taken
+FROM streams JOIN targets USING (src)""",
 }
