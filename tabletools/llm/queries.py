@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabletools.llm.exact_dedup import exact_groups
 from tabletools.llm.mixing import taken_words
 from tabletools.llm.packing import pack
+from tabletools.llm.quality import judge_quality
 from tabletools.llm.secret_scans import KINDS, joined, scan_secrets
 from tabletools.llm.simhash import simhash_groups
 from tabletools.llm.toxicity import held_out, score_documents
@@ -38,6 +39,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "quality_rules.*")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,6 +61,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_toxicity": op2_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
