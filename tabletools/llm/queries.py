@@ -11,6 +11,7 @@ from tabletools.llm.packing import pack
 from tabletools.llm.quality import judge_quality
 from tabletools.llm.secret_scans import KINDS, joined, scan_secrets
 from tabletools.llm.simhash import simhash_groups
+from tabletools.llm.substring_dedup import remove_repeats
 from tabletools.llm.toxicity import held_out, score_documents
 
 
@@ -35,6 +36,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,

@@ -133,6 +133,18 @@ def gram_hashes(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     return mixed(out + np.uint64(size))
 
 
+def prefix_hashes(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Sums from which :func:`span_hashes` takes the hash of any run of the values."""
+    powers, _ = _power_table(len(hashes) + 1, lane)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:len(hashes)])])
+
+
+def span_hashes(prefixes: np.ndarray, begins: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of the values from each begin to its end."""
+    _, inverses = _power_table(len(prefixes), lane)
+    return mixed((prefixes[ends] - prefixes[begins]) * inverses[begins] + (ends - begins).astype(np.uint64))
+
+
 def grams_inside(first: np.ndarray, size: int) -> np.ndarray:
     """Which starts of runs of ``size`` words keep the run inside one row."""
     total = int(first[-1])
