@@ -10,9 +10,11 @@ from tabletools.llm.mixing import taken_words
 from tabletools.llm.packing import pack
 from tabletools.llm.quality import judge_quality
 from tabletools.llm.secret_scans import KINDS, joined, scan_secrets
+from tabletools.llm.sharding import shard_documents
 from tabletools.llm.simhash import simhash_groups
 from tabletools.llm.substring_dedup import remove_repeats
 from tabletools.llm.toxicity import held_out, score_documents
+from tabletools.llm.url_filters import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +43,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_documents(_table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "quality_rules.*")
@@ -67,7 +79,9 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_filters": op6_url_filters,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_mixing": op9_mixing,
