@@ -4,9 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabletools.llm.exact_dedup import drop_exact_copies
+from tabletools.llm.mixing import mixed_documents
+from tabletools.llm.packing import pack
+from tabletools.llm.simhash import keep_one_of_each
+from tabletools.llm.toxicity import drop_toxic
 from tabletools.sources.staging import staging_path
 
-STAGES: list = []
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_copies(docs)
+
+
+def _simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs)
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [("toxicity", _toxicity), ("exact dedup", _exact_dedup), ("simhash near-dedup", _simhash_near_dedup),
+          ("mixing", _mixing), ("packing", _packing)]
 
 ORACLE_SQL = None      # SQL can express neither the trained filter nor the linked groups
 

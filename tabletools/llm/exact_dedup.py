@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletools.llm.keep import without
 from tabletools.sources.staging import stage
 
 BUCKET_DIGESTS = 20_000
@@ -132,6 +133,10 @@ def look_up(new: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
         _look_up_bucket, "digest binary, winner long, n long, historical boolean")
 
 
+def _text_digest(text):
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def exact_groups(docs: DataFrame, historical=None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row.
 
@@ -142,8 +147,7 @@ def exact_groups(docs: DataFrame, historical=None) -> DataFrame:
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if historical is None:
         historical = F.coalesce(F.col("doc_id") <= F.lit(((low or 0) + (high or 0)) // 2), F.lit(True))
-    rows = stage(docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"),
-                             historical.alias("old")), "digests")
+    rows = stage(docs.select("doc_id", F.unhex(_text_digest("text")).alias("digest"), historical.alias("old")), "digests")
     history, new = (distinct_digests(rows.where(c)) for c in (F.col("old"), ~F.col("old")))
     buckets = 1 + rows.count() // BUCKET_DIGESTS
     groups = look_up(new, build_index(history, buckets), buckets).where("n > 1").withColumnRenamed("digest", "same")
@@ -152,3 +156,16 @@ def exact_groups(docs: DataFrame, historical=None) -> DataFrame:
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("winner"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"),
                         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_exact_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns, one row left of equal texts: that with the largest doc_id. Of rows that also agree in
+    doc_id any one is left."""
+    groups = stage(exact_groups(docs), "exact-groups")
+    key = {"doc_id": docs["doc_id"], "text_sha256": _text_digest(docs["text"])}
+    left = without(docs, groups.where("NOT kept"), key)
+    again = stage(groups.where("kept").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, [e.eqNullSafe(again[c]) for c, e in key.items()], "left_semi")
+    return without(left, again, key).unionByName(repeated.dropDuplicates(["doc_id", "text"]))

@@ -103,13 +103,14 @@ def schedule(plan: DataFrame, total_slots: int) -> DataFrame:
 def mix(sized: DataFrame, block: int = BLOCK_WORDS, **settings) -> tuple[DataFrame, DataFrame]:
     """The mix of ``sized`` (doc_id, source, size; any of them may be null, a null size counts as 0).
 
-    Returns the documents with ``src, start, source_size, target``, and the parts of the mix: ``position`` of the slot, ``round`` of the
+    Returns the documents with ``src, start, source_size, target`` and any further columns of ``sized``, and the parts of the mix: ``position`` of the slot, ``round`` of the
     source's stream, ``src, start`` (which name the document), ``words``. A source's parts add up to its target, rounded
     down; within a round only the last document of the stream can be cut. The sources must be few enough for a broadcast. Repeated rows are documents
     of their own; documents without words have no part.
     """
     src = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))          # "t" sorts after every name
-    sized = sized.select("doc_id", src.alias("src"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    more = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
+    sized = sized.select("doc_id", src.alias("src"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), *more)
     docs = stage(stream_positions(sized), "mix-streams")
     plan = stage(source_targets(docs, **settings).withColumns(_blocks_needed(block)), "mix-plan")
     total_slots = plan.agg(F.sum("slots")).first()[0] or 0
@@ -137,3 +138,29 @@ def taken_words(docs: DataFrame, **settings) -> DataFrame:
     mixed = streams.where("size > 0").join(taken, ["src", "start"], "left") \
         .unionByName(streams.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return mixed.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The mix as rows with the columns of ``docs``: a document once for each round of its source that takes it.
+
+    The document at the end of a source's last round may be cut: its text then is its first words, joined by one space, and ``n_chars``
+    follows. Documents that the mix has no room for, and those without words, are left out. Rows that agree in doc_id, source and
+    text count as one document.
+    """
+    key = F.xxhash64("doc_id", "source", "text")
+    keyed = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("size"),
+                        key.alias("key")).distinct()
+    streams, parts = mix(keyed, **settings)
+    rounds = parts.groupBy("src", "start", "round").agg(F.sum("words").alias("words"))
+    taken = streams.where("size > 0").join(rounds, ["src", "start"]) \
+        .groupBy("key").agg(F.collect_list(F.when(F.col("words") < F.col("size"), F.col("words"))
+                                           .otherwise(F.lit(-1))).alias("taken"))
+    rows = docs.withColumn("_key", key).join(taken, F.col("_key") == F.col("key"))
+    rows = rows.withColumn("_words", F.explode("taken"))
+    cut = F.col("_words") >= 0
+    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words")), " ")
+    text = F.when(cut, first_words).otherwise(F.col("text"))
+    out = {c: F.col(c) for c in docs.columns} | {"text": text}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(cut, F.length(first_words)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[e.alias(c) for c, e in out.items()])

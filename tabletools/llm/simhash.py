@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletools.llm.components import components
+from tabletools.llm.keep import without
 from tabletools.llm.words import slices
 from tabletools.sources.staging import stage
 
@@ -174,7 +175,8 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RA
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns, reduced to the document with the smallest doc_id of each group."""
-    kept = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with the same columns, reduced to the document with the smallest doc_id of each group. Rows that share a doc_id stay
+    if one of them does."""
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    dropped = simhash_groups(docs).groupBy("doc_id").agg(F.bool_or(stays).alias("stays")).where("NOT stays")
+    return without(docs, dropped, {"doc_id": docs["doc_id"]})

@@ -222,3 +222,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     """``docs`` with ``score``, learned from the labels of rows that are not held out. Every row gets its score, repeated ones too."""
     learn = labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
     return docs.withColumn("score", toxic_score(F.col("text"), fit_toxicity(docs, learn, train_rows)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with the same columns, without the texts whose score is a half or more."""
+    learn = labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    return docs.where(toxic_score(F.col("text"), fit_toxicity(docs, learn, train_rows)) < 0.5)
