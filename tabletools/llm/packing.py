@@ -11,6 +11,8 @@ at the end is cut into powers of two. No token of padding is needed.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,37 +31,72 @@ LENGTH = 2048
 QUANTUM = 128
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-TOKENIZE_BYTES = 1 << 22
-KEPT_WORDS = 400_000        # words whose ids a task keeps
+PACK_ROWS = 2000            # documents that a task packs at once
+TOKENIZE_BYTES = 1 << 24
+KEPT_PIECES = 300_000       # pieces of words whose ids a task keeps
+
+# How the vocabulary's words are cut into pieces, and the characters for which the cut is plain: ASCII without the
+# apostrophe (it starts contractions) and "<" (it starts special tokens), and the letters of Latin-1, which have simple lower cases
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PLAIN_WORD = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]*")
+_PLAIN_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
 
 
 class WordTokenizer:
-    """Ids of whole texts for a vocabulary that splits at white space first. Each distinct word is encoded once."""
+    """Ids of whole texts for a vocabulary that splits at white space first. Each distinct word of a slice is encoded once; plain words are
+    cut into pieces here, and the ids of pieces kept, all others pass through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.model, self.known = Tokenizer.from_file(path), {}
-
-    def _word_ids(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_WORDS:
+        self.model, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        form = json.loads(self.model.to_str())
+        normal = (form["normalizer"] or {}).get("normalizers", [])
+        cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = [n["type"] for n in normal] == _NORMAL and [c["type"] for c in cuts] == ["Split", "ByteLevel"] \
+            and cuts[0]["pattern"].get("Regex") == _CUT and not cuts[1]["add_prefix_space"]
+
+    def _piece_ids(self, piece: str) -> list[int]:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.model.tokenize(letters)]
+
+    def _word_ids(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of all words in a row, and where each word's begin."""
+        if len(self.known) > KEPT_PIECES:
             self.known = {}
-        known = self.known
-        new = [w for w in words if w not in known]
-        for w, encoded in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(encoded.ids, np.uint32)
-        return [known[w] for w in words]
+        known, plain = self.known, _PLAIN_WORD.fullmatch if self.plain else lambda word: None
+        cut, flat, begins = _PLAIN_PIECE.findall, [], []
+        other = [w for w in words if not plain(w)]
+        of_other = dict(zip(other, (e.ids for e in self.model.encode_batch_fast(other, add_special_tokens=False))))
+        for word in words:
+            begins.append(len(flat))
+            if (ids := of_other.get(word)) is not None:
+                flat += ids
+                continue
+            for piece in cut(word.lower()):
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = self._piece_ids(piece)
+                flat += ids
+        return flat, begins
 
     def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text with ``end_id`` behind it, and how many each has."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
+        flat, begins = self._word_ids(coded.dictionary.to_pylist())
+        flat, begins = np.array(flat + [end_id], np.uint32), np.array(begins + [len(flat)], np.int64)
+        lengths = np.diff(begins, append=len(flat))
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        of_word = self._word_ids(coded.dictionary.to_pylist()) + [np.array([end_id], np.uint32)]
-        lengths = np.array([len(x) for x in of_word])
-        flat = np.concatenate(of_word)
-        begins = np.cumsum(lengths) - lengths
         per_row = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        codes = np.insert(codes.astype(np.int64), np.cumsum(per_row), len(of_word) - 1)
+        codes = np.insert(codes, np.cumsum(per_row), len(begins) - 1)
         sizes = lengths[codes]
         total = np.cumsum(sizes)
         take = np.arange(total[-1] if len(total) else 0) + np.repeat(begins[codes] - (total - sizes), sizes)
@@ -134,30 +171,39 @@ class Sequences:
         sequence[late], offset[late] = self.whole + k, places_[late] - self.tail[k]
         return sequence, offset
 
-    def cuts(self, begin: int, end: int) -> np.ndarray:
-        """The starts of sequences strictly between two places."""
-        first = np.arange(begin // self.length + 1, min((end - 1) // self.length, self.whole - 1) + 1) * self.length
-        tail = self.tail[(self.tail > begin) & (self.tail < end)]
-        return np.unique(np.concatenate([first, tail]))
-
-
-def document_pieces(source: int, at: int, tokens: int, totals: np.ndarray, quantum: int, sequences: Sequences):
-    """Starts (in the document) and places of the pieces of a document that begins at ``at`` of its source's queue."""
-    quanta = np.arange(at // quantum, (at + tokens - 1) // quantum + 1)
-    begins = np.maximum(quanta * quantum, at)
-    ends = np.minimum((quanta + 1) * quantum, at + tokens)
-    place = places(source, quanta, totals, quantum) + begins - quanta * quantum
-    joined = np.concatenate([[True], place[1:] != (place + ends - begins)[:-1]])   # quanta served in a row
-    starts, place, ends = begins[joined] - at, place[joined], np.append(begins[1:][joined[1:]], at + tokens) - at
-    cut_starts, cut_places = [starts], [place]
-    crossing = np.flatnonzero(sequences.of(place)[0] != sequences.of(place + ends - starts - 1)[0])
-    for i in crossing:
-        cuts = sequences.cuts(int(place[i]), int(place[i] + ends[i] - starts[i]))
-        cut_starts.append(cuts - place[i] + starts[i])
-        cut_places.append(cuts)
-    starts, place = np.concatenate(cut_starts), np.concatenate(cut_places)
-    order = np.argsort(starts)
-    return starts[order], place[order]
+    def ends(self, places_: np.ndarray) -> np.ndarray:
+        """The end of the sequence that each place is in."""
+        ends = (places_ // self.length + 1) * self.length
+        late = places_ >= self.whole * self.length
+        ends[late] = self.tail[np.searchsorted(self.tail, places_[late], "right")]
+        return ends
+
+
+def pieces(sources: np.ndarray, at: np.ndarray, tokens: np.ndarray, totals: np.ndarray, quantum: int,
+           sequences: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start, length and place of each piece of documents that begin ``at`` a place of their source's queue."""
+    first, last = at // quantum, (at + tokens - 1) // quantum
+    count = last - first + 1
+    doc = np.repeat(np.arange(len(at)), count)
+    quanta = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
+    begin = np.maximum(quanta * quantum, at[doc])
+    end = np.minimum((quanta + 1) * quantum, (at + tokens)[doc])
+    place = begin - quanta * quantum
+    for source in np.unique(sources):
+        own = np.flatnonzero(sources[doc] == source)
+        known, which = np.unique(quanta[own], return_inverse=True)
+        place[own] += places(source, known, totals, quantum)[which]
+    new = np.ones(len(doc), bool)                              # quanta of a document served in a row are one piece
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != (place + end - begin)[:-1])
+    begins = np.flatnonzero(new)
+    end = end[np.append(begins[1:], len(doc)) - 1] if len(begins) else end
+    doc, begin, place = doc[begins], begin[begins], place[begins]
+    while (over := np.flatnonzero(place + end - begin > sequences.ends(place))).size:
+        cut = begin[over] + sequences.ends(place[over]) - place[over]
+        doc, begin, end, place = (np.insert(x, over + 1, y) for x, y in (
+            (doc, doc[over]), (begin, cut), (end, end[over]), (place, sequences.ends(place[over]))))
+        end[over + np.arange(len(over))] = cut
+    return doc, begin - at[doc], end - begin, place
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -169,25 +215,23 @@ def _packed(totals: dict[str, int], length: int, quantum: int, id_bytes: int):
     sequences = Sequences(int(counts.sum()), length)
     fields = [x.split()[0] for x in _PIECES.split(", ")]
 
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, tokens = (batch.column(c).to_numpy() for c in ("at", "tokens"))
+        sources = np.array([index[s] for s in batch.column("src").to_pylist()], np.int64)
+        doc, start, size, place = pieces(sources, at, tokens, counts, quantum, sequences)
+        sequence, offset = sequences.of(place)
+        ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{id_bytes}").astype("<u4")
+        data = memoryview(ids).cast("B")
+        begin = 4 * ((np.cumsum(tokens) - tokens)[doc] + start)
+        crcs = [zlib.crc32(data[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * size).tolist())]
+        columns = (batch.column("doc_id").take(pa.array(doc)), start, size, crcs, tokens[doc], sequence, offset)
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns],
+                                          fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {f: [] for f in fields}
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "src", "at", "tokens", "ids")))
-            for doc_id, src, at, tokens, ids in rows:
-                starts, place = document_pieces(index[src], at, tokens, counts, quantum, sequences)
-                sequence, offset = sequences.of(place)
-                ends = np.append(starts[1:], tokens)
-                data = np.frombuffer(ids, f"<u{id_bytes}").astype("<u4").tobytes()
-                out["doc_id"] += [doc_id] * len(starts)
-                out["doc_tokens"] += [tokens] * len(starts)
-                out["start"].append(starts)
-                out["length"].append(ends - starts)
-                out["sequence_id"].append(sequence)
-                out["offset"].append(offset)
-                out["ids_crc32"] += [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            for f in ("start", "length", "sequence_id", "offset"):
-                out[f] = np.concatenate(out[f]) if out[f] else []
-            yield pa.RecordBatch.from_arrays([pa.array(out[f], pa.int64()) for f in fields], fields)
+            for at in range(0, len(batch), PACK_ROWS):
+                yield packed(batch.slice(at, PACK_ROWS))
     return run
 
 
