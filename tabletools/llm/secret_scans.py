@@ -31,7 +31,7 @@ _CONTEXT_MARKS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 
 # Common words of passwords, the most common first
 COMMON = (
-    "password 123456 qwerty admin welcome login letmein secret test changeme default user root master hello love "
+    "password 123456 qwerty admin welcome login letmein secret test changeme default user root master hello world love "
     "monkey dragon sunshine princess football baseball shadow superman batman computer internet service server "
     "database summer winter spring autumn monday friday sunday january march april june july august december orange "
     "apple banana cookie pepper ginger tiger lion horse eagle star silver gold black white green blue purple happy "
