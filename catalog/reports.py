@@ -25,18 +25,20 @@ REPORTS = """SELECT o_orderkey AS id, concat_ws(chr(10),
     WHEN 0 THEN 'no charts here'
     WHEN 1 THEN concat('charts: [{"chart_type": " Bar ", "x_axis": "o_orderpriority", "y_axis": "", "title": "Order ', CAST(o_orderkey AS @text), '"}, 5, "x", {"chart_type": "radar"}, {"chart_type": "PIE", "x_axis": null}]')
     WHEN 2 THEN concat('CHARTS: [{"chart_type": "line"}]', chr(10), '  Charts: [{"chart_type": "box", "x_axis": "a", "y_axis": "b"}]  ')
-    WHEN 3 THEN 'CHARTS: {"chart_type": "bar"}'
-    ELSE 'CHARTS: [{"chart_type": "bar"}' END,
+    WHEN 3 THEN CASE o_orderkey % 3 WHEN 0 THEN 'CHARTS: {"chart_type": "bar"}' WHEN 1 THEN 'CHARTS: [{"chart_type": "bar"}] done'
+      ELSE 'CHARTS: [{"chart_type": "bar"}]]' END
+    ELSE CASE o_orderkey % 3 WHEN 0 THEN 'CHARTS: [{"chart_type": "bar"}' WHEN 1 THEN 'CHARTS: [{"chart_type": "bar"}], [1]'
+      ELSE 'CHARTS: [{"chart_type": "area", "x_axis": 0, "y_axis": false}, {"chart_type": "bar", "x_axis": "0", "y_axis": "false"}]' END END,
   '', '   ', '') AS text FROM @table"""
 
 # One reply with slides per customer, some of them broken
 SLIDES = """SELECT c_custkey AS id, concat('Here they are: [',
-  '{"title": "', c_name, '", "bullets": ["- ', c_mktsegment, '", "", null, "> kept", "', CAST(c_nationkey AS @text), '. * rest"]}, ',
+  '{"title": "', c_name, '", "bullets": ["- ', c_mktsegment, '", "", null, "> kept", "0", "false", 0, false, true, 7, "- b1", "b2", "* b3", "b4", "', CAST(c_nationkey AS @text), '. * rest"]}, ',
   CAST(c_nationkey AS @text), ', ',
   CASE c_custkey % 3 WHEN 0 THEN '{"title": " Recommendations ", "bullets": ["1) Call", " ", "*** Write ", "-"]}'
     WHEN 1 THEN concat('{"bullets": "first', chr(92), 'n', chr(92), 'n  second  "}')
     ELSE concat('{"title": "', c_name, '", "bullets": 5}') END,
-  CASE WHEN c_custkey % 11 = 0 THEN ' oops' ELSE '' END, ']', chr(10), 'end') AS text FROM @table"""
+  CASE WHEN c_custkey % 11 = 0 THEN ' oops' ELSE '' END, ']', CASE WHEN c_custkey % 13 = 0 THEN ' then [b]' ELSE '' END, chr(10), 'end') AS text FROM @table"""
 
 
 def _duck(sql: str, table: str) -> str:
@@ -114,11 +116,16 @@ _TAGGED = f"upper({_strip('x')}) LIKE 'CHARTS:%'"
 _NUMBERED = "numbered AS (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM lined)"
 
 
+def _said(path: str) -> str:
+    """The value as text, NULL for null, false, zero and empty."""
+    return f"CASE WHEN json_extract(e, {path})::VARCHAR NOT IN ('null', 'false', '0', '\"\"') THEN e->>{path} END"
+
+
 def _specs_sql(axis: str) -> str:
     return f"""WITH {_REPORT_LINES}, last AS (SELECT id, {_strip("substr(" + _strip("list_filter(l, lambda x: " + _TAGGED + ")[-1]") + ", 8)")} AS j FROM lined),
 valid AS (SELECT id, j::JSON AS j FROM last WHERE json_valid(j) AND json_type(j) = 'ARRAY'),
 e AS (SELECT id, (unnest(range(json_array_length(j)::BIGINT)))::INTEGER AS pos, unnest(json_extract(j, '$[*]')) AS e FROM valid),
-o AS (SELECT id, pos, lower(trim(e->>'$.chart_type')) AS chart_type, nullif(e->>'$.x_axis', '') AS x, nullif(e->>'$.y_axis', '') AS y,
+o AS (SELECT id, pos, lower(trim(e->>'$.chart_type')) AS chart_type, {_said("'$.x_axis'")} AS x, {_said("'$.y_axis'")} AS y,
   coalesce(e->>'$.title', 'Chart') AS title FROM e WHERE json_type(e) = 'OBJECT')
 SELECT id, pos, chart_type, {axis.format(a='x')} AS x_axis, {axis.format(a='y')} AS y_axis, title FROM o
 WHERE chart_type IN ('bar', 'line', 'scatter', 'histogram', 'box', 'heatmap', 'pie', 'area')"""
@@ -147,7 +154,8 @@ found AS (SELECT id, regexp_extract(text, '(?s)\\[.*\\]') AS j FROM src),
 e AS (SELECT id, (unnest(range(json_array_length(j::JSON)::BIGINT)))::INTEGER AS pos, unnest(json_extract(j::JSON, '$[*]')) AS e
   FROM found WHERE json_valid(j)),
 slides AS (SELECT id, pos, coalesce(e->>'$.title', 'Slide') AS title, CASE json_type(e, '$.bullets')
-  WHEN 'ARRAY' THEN list_filter(e->>'$.bullets[*]', lambda b: b IS NOT NULL AND b <> '')
+  WHEN 'ARRAY' THEN list_transform(list_filter(json_extract(e, '$.bullets[*]'), lambda b: b::VARCHAR NOT IN ('null', 'false', '0', '""')),
+    lambda b: b->>'$')
   WHEN 'VARCHAR' THEN list_filter(list_transform(string_split(e->>'$.bullets', chr(10)), lambda b: {_strip('b')}), lambda b: b <> '')
   ELSE [] END AS bullets FROM e WHERE json_type(e) = 'OBJECT')"""
 
@@ -168,24 +176,24 @@ def _collected_sql(name: str, heading: str) -> str:
 {name}_s AS (SELECT *, min(marks) FILTER (started > 0) OVER (PARTITION BY id) AS m0 FROM {name}_w),
 {name}_k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM {name}_s
   WHERE started > 0 AND marks = m0 AND NOT h AND s <> ''),
-{name} AS (SELECT id, list(s ORDER BY i) AS kept FROM {name}_k WHERE k <= 8 GROUP BY id)"""
+{name} AS (SELECT id, list(s ORDER BY i) AS kept FROM {name}_k GROUP BY id)"""
 
 
 def _cleaned_sql(expr: str) -> str:
     return f"WITH {_SLIDE_ROWS}, c AS (SELECT id, pos, {expr} AS b FROM slides) SELECT id, pos, {_shown('b')} AS bullets FROM c"
 
 
-def _bare(limit: int) -> str:
+def _bare() -> str:
     inner = _strip("regexp_replace(b, '^[-•*› ]+', '')")
-    return f"list_filter(list_transform(bullets[:{limit}], lambda b: {inner}), lambda b: b <> '')"
+    return f"list_filter(list_transform(bullets, lambda b: {inner}), lambda b: b <> '')"
 
 
 _SECTIONS = f"""{_REPORT_LINES}, {_NUMBERED},
 s AS (SELECT id, i, {_strip('x')} AS s FROM numbered),
 h AS (SELECT *, (s LIKE '## %' OR s LIKE '# %') AS head, sum((s LIKE '## %' OR s LIKE '# %')::INTEGER) OVER (PARTITION BY id ORDER BY i) AS n FROM s),
-b AS (SELECT id, n, i, CASE WHEN s LIKE '- %' OR s LIKE '* %' THEN {_strip('substr(s, 3)')} ELSE substr(s, 1, 120) END AS b,
+b AS (SELECT id, n, i, CASE WHEN s LIKE '- %' OR s LIKE '* %' THEN {_strip('substr(s, 3)')} ELSE s END AS b,
   row_number() OVER (PARTITION BY id, n ORDER BY i) AS k FROM h WHERE n > 0 AND NOT head AND s <> '' AND s NOT LIKE '#%'),
-l AS (SELECT id, n, list(b ORDER BY i) AS bullets FROM b WHERE k <= 6 GROUP BY id, n),
+l AS (SELECT id, n, list(b ORDER BY i) AS bullets FROM b GROUP BY id, n),
 sections AS (SELECT id, (n - 1)::INTEGER AS pos, {_hashless('s')} AS title, coalesce(bullets, []) AS bullets
   FROM h LEFT JOIN l USING (id, n) WHERE head)"""
 
@@ -212,11 +220,11 @@ c AS (SELECT id, 0 AS rank, 'Actionable Business Recommendations' AS source, kep
     WHERE lower({_strip('title')}) IN ('actionable business recommendations', 'recommendations') GROUP BY id),
 best AS (SELECT id, min_by(source, rank) AS source, min_by(kept, rank) AS kept FROM c WHERE len(kept) > 0 GROUP BY id)
 SELECT id, source, {_shown('kept')} AS bullets FROM best""",
-    "clean_bullets_content": _cleaned_sql(_bare(8)),
-    "clean_bullets_chart": _cleaned_sql(_bare(7)),
+    "clean_bullets_content": _cleaned_sql(_bare()),
+    "clean_bullets_chart": _cleaned_sql(_bare()),
     "clean_bullets_recommendations": _cleaned_sql(
         "list_transform(list_filter(bullets, lambda b: " + _strip("b") + " <> ''), lambda b: "
-        + _strip("regexp_replace(b, '^[-•*›0-9). ]+', '')") + ")[:6]"),
+        + _strip("regexp_replace(b, '^[-•*›0-9). ]+', '')") + ")"),
     "section_map": f"""WITH {_SLIDE_ROWS}, m AS (SELECT id, title, max_by(bullets, pos) AS bullets FROM slides GROUP BY id, title)
 SELECT id, title, {_shown('bullets')} AS bullets FROM m""",
 }

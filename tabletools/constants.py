@@ -40,9 +40,7 @@ DRAWN_CHART_TYPES = SPEC_CHART_TYPES + ("violin",)
 
 # Report texts
 CHART_TAG = "CHARTS:"
-SECTION_LINES = 8
-SECTION_BULLETS = 6
-BULLET_CHARS = 120
+BULLET_MODES = ("content", "chart", "recommendations")
 # the last one is part of each of the others
 RECOMMENDATION_HEADINGS = ("Actionable Business Recommendations", "Recommendations")
 

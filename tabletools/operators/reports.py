@@ -16,6 +16,7 @@ from tabletools.functions.lines import (
     LINE_BREAK, exploded, first_where, last_where, starts_with_any, starts_with_tag, strip, with_lines,
     without_hashes)
 from tabletools.operators.charts import validate_chart_specs
+from tabletools.sources.staging import stage
 
 _NO_TEXTS = "array<string>"
 
@@ -25,25 +26,52 @@ def _is_object(value: Column) -> Column:
 
 
 def _entries(json: Column) -> Column:
-    """The objects of a JSON array as (pos, entry); NULL unless the text is a JSON array."""
-    elements = F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")
+    """The objects of a JSON array as (pos, entry); NULL unless the text is a JSON array and nothing else.
+
+    The parser stops after the first value, so the text must also parse with brackets and with a key and braces around
+    it: text behind the array breaks the one or the other.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))).isNotNull()
+    held = F.try_parse_json(F.concat(F.lit('{"a":'), json, F.lit("}")))
+    elements = F.when(alone, F.try_variant_get(held, "$.a", "array<variant>"))
     return F.filter(F.transform(elements, lambda e, i: F.struct(i.alias("pos"), e.alias("entry"))),
                     lambda s: _is_object(s["entry"]))
 
 
+def _keep_last_of_equal_keys(df: DataFrame) -> None:
+    """Of a key that an object has twice the last value counts, as JSON readers commonly have it. Spark's parser has a session
+    setting for this, and would else refuse the text."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def _text_of(entry: Column, key: str) -> Column:
     return F.try_variant_get(entry, f"$.{key}", "string")
 
 
+def _says_something(value: Column) -> Column:
+    """Whether a variant is neither null, false, zero nor empty. The texts "0" and "false" are texts like others."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return F.when(value.isNull() | (kind == "VOID"), False).when(kind == "STRING", text != "") \
+        .when(kind == "BOOLEAN", text == "true").when(F.startswith(kind, F.lit("ARRAY")), text != "[]") \
+        .when(F.startswith(kind, F.lit("OBJECT")), text != "{}").otherwise(F.try_variant_get(value, "$", "double") != 0)
+
+
+def _axis_of(entry: Column, key: str) -> Column:
+    value = F.try_variant_get(entry, f"$.{key}", "variant")
+    return F.when(_says_something(value), F.try_variant_get(value, "$", "string"))
+
+
 def extract_tagged_json(df: DataFrame, text: str = "text", tag: str = K.CHART_TAG, id: str = "id",
                         columns: list[str] | None = None) -> DataFrame:
     """(id, pos, chart_type, x_axis, y_axis, title) from the last line that starts with the tag."""
+    _keep_last_of_equal_keys(df)
     tagged = with_lines(df, text, id, stripped=False, mark=tag).select(
         "id", F.filter("lines", lambda l: starts_with_tag(l, tag)).alias("tagged"))
     fragment = strip(F.substr(strip(F.get("tagged", F.size("tagged") - 1)), F.lit(len(tag) + 1)))
     found = exploded(tagged.select("id", _entries(fragment).alias("entries")), "entries", "place", "e")
     specs = found.select("id", "e.pos", *[
-        _text_of(F.col("e.entry"), key).alias(key) for key in ("chart_type", "x_axis", "y_axis", "title")])
+        (_axis_of if key.endswith("axis") else _text_of)(F.col("e.entry"), key).alias(key)
+        for key in ("chart_type", "x_axis", "y_axis", "title")])
     return validate_chart_specs(specs, columns)
 
 
@@ -60,14 +88,14 @@ def strip_tagged_line(df: DataFrame, text: str = "text", tag: str = K.CHART_TAG,
 
 def extract_slides(df: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
     """(id, pos, title, bullets) from the widest bracketed span of each text."""
+    _keep_last_of_equal_keys(df)
     span = F.regexp_extract(col(text), r"(?s)\[.*\]", 0)
     found = exploded(df.select(col(id).alias("id"), _entries(span).alias("entries")), "entries", "place", "e") \
         .select("id", "e.pos", "e.entry")
     raw = F.try_variant_get("entry", "$.bullets", "variant")
     shape = F.schema_of_variant(raw)
-    listed = F.filter(F.transform(F.try_variant_get("entry", "$.bullets", "array<variant>"),
-                                  lambda b: F.try_variant_get(b, "$", "string")),
-                      lambda b: b.isNotNull() & ~b.isin("", "0", "false"))
+    listed = F.transform(F.filter(F.try_variant_get("entry", "$.bullets", "array<variant>"), _says_something),
+                         lambda b: F.try_variant_get(b, "$", "string"))
     written = F.filter(F.transform(F.split(_text_of(F.col("entry"), "bullets"), LINE_BREAK), strip), lambda b: b != "")
     bullets = F.when(F.startswith(shape, F.lit("ARRAY")), listed).when(shape == "STRING", written) \
         .otherwise(F.array().cast(_NO_TEXTS))
@@ -95,8 +123,10 @@ def markdown_blocks(df: DataFrame, text: str = "text", id: str = "id") -> DataFr
         .select("id", "pos", kind.alias("kind"), content.alias("content"))
 
 
-def markdown_sections(df: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
-    """(id, pos, title, bullets): one row per heading with its first six lines or bullets."""
+def markdown_sections(df: DataFrame, text: str = "text", id: str = "id", max_bullets: int | None = None,
+                      max_chars: int | None = None) -> DataFrame:
+    """(id, pos, title, bullets): one row per heading with its lines or bullets; ``max_bullets`` of them, and
+    ``max_chars`` of a line that is no bullet, if given."""
     heads = with_lines(df, text, id, mark="# ").select("id", F.col("lines").alias("body")).withColumn("heads", F.filter(
         F.transform("body", lambda l, i: F.when(starts_with_any(l, "## ", "# "), i + 1)),
         lambda p: p.isNotNull()))
@@ -107,20 +137,27 @@ def markdown_sections(df: DataFrame, text: str = "text", id: str = "id") -> Data
         .select("id", "pos", without_hashes(F.element_at("body", F.col("span.start"))).alias("title"),
                 F.slice("body", F.col("span.start") + 1, F.col("span.end") - F.col("span.start") - 1).alias("body"))
     drawn = F.filter("body", lambda l: (l != "") & ~F.startswith(l, F.lit("#")))
-    bullets = F.transform(F.slice(drawn, 1, K.SECTION_BULLETS), lambda l: F.when(
-        starts_with_any(l, "- ", "* "), strip(F.substr(l, F.lit(3)))).otherwise(F.substr(l, F.lit(1), F.lit(K.BULLET_CHARS))))
+    bullets = F.transform(_first(drawn, max_bullets), lambda l: F.when(
+        starts_with_any(l, "- ", "* "), strip(F.substr(l, F.lit(3)))).otherwise(
+            l if max_chars is None else F.substr(l, F.lit(1), F.lit(max_chars))))
     return sections.select("id", "pos", "title", bullets.alias("bullets"))
 
 
-def slides_or_sections(replies: DataFrame, reports: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
+def _first(array: Column, limit: int | None) -> Column:
+    return array if limit is None else F.slice(array, 1, limit)
+
+
+def slides_or_sections(replies: DataFrame, reports: DataFrame, text: str = "text", id: str = "id",
+                       max_bullets: int | None = None, max_chars: int | None = None) -> DataFrame:
     """(id, pos, title, bullets): the slides of the reply; the report's sections where it has none."""
-    return prefer(extract_slides(replies, text, id), markdown_sections(reports, text, id), "id")
+    sections = markdown_sections(reports, text, id, max_bullets, max_chars)
+    return prefer(extract_slides(replies, text, id), sections, "id")
 
 
-def _with_section(lined: DataFrame, heading: Column) -> DataFrame:
-    """``lines`` of each text cut down to the kept lines of the section named in ``heading``."""
+def _with_section(lined: DataFrame, heading: str, name: str, max_lines: int | None) -> DataFrame:
+    """``lined`` with the column ``name``: the kept lines of the section under ``heading``, none without it."""
     def is_heading(line):
-        return F.lower(without_hashes(line)) == F.lower(heading)
+        return F.lower(without_hashes(line)) == F.lit(heading.lower())
 
     def listed(line):
         return starts_with_any(line, "-", "*", "•", "›") | ((F.length(line) > 4) & line.rlike("^[0-9]"))
@@ -128,49 +165,61 @@ def _with_section(lined: DataFrame, heading: Column) -> DataFrame:
     def keep(kept, line):
         # a plain line is dropped when it repeats the end of the last kept one
         repeats = (F.size(kept) >= 2) & F.endswith(F.try_element_at(kept, F.lit(-1)), line)
-        taken = (F.size(kept) < K.SECTION_LINES) & (listed(line) | ~repeats)
+        wanted = listed(line) | ~repeats
+        taken = wanted if max_lines is None else wanted & (F.size(kept) < max_lines)
         return F.when(taken, F.concat(kept, F.array(line))).otherwise(kept)
 
-    rest = lined.withColumn("start", first_where("lines", is_heading)) \
-        .withColumn("lines", F.slice("lines", F.col("start") + 1, F.size("lines")))
-    stop = rest.withColumn("stop", first_where("lines", lambda l: F.startswith(l, F.lit("#")) & ~is_heading(l)))
-    body = stop.withColumn("lines", F.filter(
-        F.slice("lines", F.lit(1), F.coalesce(F.col("stop") - 1, F.size("lines"))),
+    start, stop, rest = f"_{name}_start", f"_{name}_stop", f"_{name}_rest"
+    after = lined.withColumn(start, first_where("lines", is_heading)) \
+        .withColumn(rest, F.slice("lines", F.col(start) + 1, F.size("lines")))
+    stopped = after.withColumn(stop, first_where(rest, lambda l: F.startswith(l, F.lit("#")) & ~is_heading(l)))
+    body = stopped.withColumn(rest, F.filter(
+        F.slice(rest, F.lit(1), F.coalesce(F.col(stop) - 1, F.size(rest))),
         lambda l: (l != "") & ~is_heading(l)))
     none = F.array().cast(_NO_TEXTS)
-    return body.withColumn("lines", F.coalesce(F.aggregate("lines", none, keep), none)).drop("start", "stop")
-
-
-def section_lines(df: DataFrame, heading: str, text: str = "text", id: str = "id") -> DataFrame:
-    """(id, lines): the first eight lines of one named section, none for a text without it."""
-    return _with_section(with_lines(df, text, id, mark=heading), F.lit(heading)).select("id", "lines")
-
-
-def recommendations(reports: DataFrame, slides: DataFrame, text: str = "text", id: str = "id") -> DataFrame:
-    """(id, source, bullets): the recommendation section, else such a slide; no row if neither."""
-    headings = F.array(*[F.lit(h) for h in K.RECOMMENDATION_HEADINGS])
-    each = with_lines(reports, text, id, mark=K.RECOMMENDATION_HEADINGS[-1]).select("id", "lines", F.posexplode_outer(headings).alias("rank", "source"))
-    named = _with_section(each, F.col("source")).select("id", "rank", "source", F.col("lines").alias("bullets"))
+    return body.withColumn(name, F.coalesce(F.aggregate(rest, none, keep), none)).drop(start, stop, rest)
+
+
+def section_lines(df: DataFrame, heading: str, text: str = "text", id: str = "id",
+                  max_lines: int | None = None) -> DataFrame:
+    """(id, lines): the lines of one named section, ``max_lines`` of them if given; none for a text without it."""
+    lined = with_lines(df, text, id, mark=heading)
+    return _with_section(lined, heading, "found", max_lines).select("id", F.col("found").alias("lines"))
+
+
+def recommendations(reports: DataFrame, slides: DataFrame, text: str = "text", id: str = "id",
+                    max_lines: int | None = None) -> DataFrame:
+    """(id, source, bullets): the recommendation section, else such a slide; no row if neither.
+
+    The sections are found within the row of their text; only slides are grouped, and only those of other ids are joined.
+    """
+    found = with_lines(reports, text, id, mark=K.RECOMMENDATION_HEADINGS[-1])
+    names = {f"section{i}": h for i, h in enumerate(K.RECOMMENDATION_HEADINGS)}
+    for name, heading in names.items():
+        found = _with_section(found, heading, name, max_lines)
+    best = F.coalesce(*[F.when(F.size(name) > 0, F.struct(F.lit(heading).alias("source"), F.col(name).alias("bullets")))
+                        for name, heading in names.items()])
+    # written once, as it is read for its ids and for its rows
+    named = stage(exploded(found.select("id", F.array(best).alias("best")), "best", "place", "found")
+                  .where("found IS NOT NULL").select("id", "found.*"), "recommendations")
     wanted = F.lower(strip(F.col("title"))).isin(*[h.lower() for h in K.RECOMMENDATION_HEADINGS])
     from_slides = slides.where(wanted).groupBy("id").agg(F.min_by("bullets", "pos").alias("bullets")) \
-        .select("id", F.lit(len(K.RECOMMENDATION_HEADINGS)).alias("rank"), F.lit("slides").alias("source"), "bullets")
-    filled = F.when(F.size("bullets") > 0, F.col("rank"))       # an empty source has no rank
-    return named.union(from_slides).groupBy("id").agg(F.min_by(F.struct("source", "bullets"), filled).alias("best")) \
-        .where("best IS NOT NULL").select("id", "best.source", "best.bullets")
+        .where(F.size("bullets") > 0).select("id", F.lit("slides").alias("source"), "bullets")
+    return prefer(named, from_slides, "id")
 
 
 _MARKS = "-•*› "
-_BULLET_MODES = {"content": 8, "chart": 7, "recommendations": 6}
 
 
-def clean_bullets(bullets: Column, mode: str = "content") -> Column:
-    """Bullets without their marks. Content and chart slides cut first and then drop what is
-    empty; recommendations drop blank input, lose their numbers too, and are cut last."""
-    limit = _BULLET_MODES[mode]
+def clean_bullets(bullets: Column, mode: str = "content", limit: int | None = None) -> Column:
+    """Bullets without their marks, ``limit`` of them if given. Content and chart slides cut first and then drop what
+    is empty; recommendations drop blank input, lose their numbers too, and are cut last."""
+    if mode not in K.BULLET_MODES:
+        raise ValueError(f"unknown mode {mode!r}, expected one of {K.BULLET_MODES}")
     if mode == "recommendations":
         present = F.filter(bullets, lambda b: strip(b) != "")
-        return F.slice(F.transform(present, lambda b: strip(F.ltrim(b, F.lit(_MARKS + "0123456789).")))), 1, limit)
-    bare = F.transform(F.slice(bullets, 1, limit), lambda b: strip(F.ltrim(b, F.lit(_MARKS))))
+        return _first(F.transform(present, lambda b: strip(F.ltrim(b, F.lit(_MARKS + "0123456789).")))), limit)
+    bare = F.transform(_first(bullets, limit), lambda b: strip(F.ltrim(b, F.lit(_MARKS))))
     return F.filter(bare, lambda b: b != "")
 
 

@@ -45,7 +45,9 @@ def test_sections(texts):
     many = "\n".join(f"- b{i}" for i in range(9))
     df = texts(f"before\n# One\n{many}\n## Two\n{'w' * 200}\n### sub\n#tag\n  * s  \n\n# Three", "plain", "")
     rows = [tuple(r) for r in tt.markdown_sections(df).orderBy("id", "pos").collect()]
-    assert rows == [(0, 0, "One", [f"b{i}" for i in range(6)]), (0, 1, "Two", ["w" * 120, "s"]), (0, 2, "Three", [])]
+    assert rows == [(0, 0, "One", [f"b{i}" for i in range(9)]), (0, 1, "Two", ["w" * 200, "s"]), (0, 2, "Three", [])]
+    cut = [tuple(r) for r in tt.markdown_sections(df, max_bullets=6, max_chars=120).orderBy("id", "pos").collect()]
+    assert cut == [(0, 0, "One", [f"b{i}" for i in range(6)]), (0, 1, "Two", ["w" * 120, "s"]), (0, 2, "Three", [])]
 
 
 def test_section_lines_drop_repeats_of_the_last_kept_line(texts):
@@ -53,7 +55,9 @@ def test_section_lines_drop_repeats_of_the_last_kept_line(texts):
                "### PLAN ###\nno match", "Plan\n" + "\n".join(f"{i} line" for i in range(12)), "# Other\nx")
     rows = {r.id: r.lines for r in tt.section_lines(df, "plan").collect()}
     assert rows == {0: ["first", "first", "new first", "- first", "12345", "7", "end"], 1: [], 3: [],
-                    2: [f"{i} line" for i in range(8)]}
+                    2: [f"{i} line" for i in range(12)]}
+    cut = {r.id: r.lines for r in tt.section_lines(df, "plan", max_lines=3).collect()}
+    assert cut == {0: ["first", "first", "new first"], 1: [], 3: [], 2: ["0 line", "1 line", "2 line"]}
 
 
 def test_recommendations(texts):
@@ -66,13 +70,31 @@ def test_recommendations(texts):
                     2: ("slides", ["s"]), 3: ("slides", ["u"])}
 
 
-@pytest.mark.parametrize("mode,expected", [
-    ("content", ["a", "1) b", "c"]), ("chart", ["a", "1) b", "c"]),
-    ("recommendations", ["a", "b", "", "c", "d", "e"])])
-def test_bullets(spark, mode, expected):
+@pytest.mark.parametrize("mode,limit,expected", [
+    ("content", None, ["a", "1) b", "c", "2. d", "3. e", "4. f"]), ("content", 8, ["a", "1) b", "c"]),
+    ("chart", 7, ["a", "1) b", "c"]), ("recommendations", 6, ["a", "b", "", "c", "d", "e"]),
+    ("recommendations", None, ["a", "b", "", "c", "d", "e", "f"])])
+def test_bullets(spark, mode, limit, expected):
     raw = ["- a", " ", "1) b", "-*", "• › c", "", " ", "", "2. d", "3. e", "4. f"]
     df = spark.createDataFrame([(raw,)], "b array<string>")
-    assert df.select(tt.clean_bullets(F.col("b"), mode)).first()[0] == expected
+    assert df.select(tt.clean_bullets(F.col("b"), mode, limit)).first()[0] == expected
+
+
+def test_json_is_read_as_a_whole(texts):
+    tagged = texts('CHARTS: [{"chart_type":"bar"}] done', 'CHARTS: [{"chart_type":"bar"}]]', 'CHARTS: [{"chart_type":"bar"}], "b": 1',
+                   'CHARTS: [{"chart_type":"bar","chart_type":"pie"}]', 'CHARTS: [{"chart_type":"bar"}] \t',
+                   'CHARTS: [{"chart_type":"bar","x_axis":0,"y_axis":false}]', 'CHARTS: [{"chart_type":"bar","x_axis":"0","y_axis":"false"}]',
+                   "CHARTS: [{'chart_type':'bar'}]", "CHARTS: [{\"chart_type\":\"bar\"},]")
+    rows = [(r.id, r.chart_type, r.x_axis, r.y_axis) for r in tt.extract_tagged_json(tagged).orderBy("id").collect()]
+    assert rows == [(3, "pie", None, None), (4, "bar", None, None), (5, "bar", None, None), (6, "bar", "0", "false")]
+    slides = texts('[{"title":"a"}] then [b]', '[{"title":"a","title":"b","bullets":["0","false",0,false,0.0,"",[],{},null,true,7,"x"]}]')
+    rows = [(r.id, r.title, r.bullets) for r in tt.extract_slides(slides).collect()]
+    assert rows == [(1, "b", ["0", "false", "true", "7", "x"])]
+
+
+def test_recommendations_do_not_repeat_the_texts(texts):
+    plan = tt.recommendations(texts("# Recommendations\na"), tt.extract_slides(texts("-")))._jdf.queryExecution().toString()
+    assert "posexplode(array(" not in plan.lower()
 
 
 def test_texts_stay_in_their_rows(texts):
