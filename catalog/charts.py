@@ -61,6 +61,8 @@ QUERIES = {
     "line_data_month": lambda s, d: tidy(_text_x(tt.line_data(_orders(s, d), "o_orderdate", "o_totalprice", "month"))),
     "pie_data": lambda s, d: tidy(tt.pie_data(_orders(s, d), "o_orderpriority", "o_totalprice"), 2),
     "pie_data_count": lambda s, d: tidy(tt.pie_data(read(s, d, "documents"), "lang")),
+    "area_data_stacked": lambda s, d: tidy(_text_x(tt.area_data(
+        _orders(s, d), "o_orderdate", "o_totalprice", "month", "o_orderpriority")), 2),
     "area_data": lambda s, d: tidy(_text_x(tt.area_data(_orders(s, d), "o_orderdate", "o_totalprice", "month")), 2),
 }
 
@@ -152,5 +154,8 @@ round(lo + (bin + 1) * ((hi - lo) / {_BINS}), 6) AS upper FROM b GROUP BY x, bin
 round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 2) AS share FROM orders GROUP BY 1""",
     "pie_data_count": """SELECT lang AS x, count(*) AS value, round(count(*) / (SELECT count(*) FROM documents), 6) AS share
 FROM documents GROUP BY 1""",
+    "area_data_stacked": """WITH t AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS x, o_orderpriority AS g, sum(o_totalprice) AS y
+  FROM orders GROUP BY 1, 2), c AS (SELECT *, sum(y) OVER (PARTITION BY x ORDER BY g ROWS UNBOUNDED PRECEDING) AS u FROM t)
+SELECT x::VARCHAR AS x, g AS "group", round(y, 2) AS y, round(u - y, 2) AS lower, round(u, 2) AS upper FROM c""",
     "area_data": _line_sql("sum", "month", 2),
 }

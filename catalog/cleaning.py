@@ -26,7 +26,7 @@ def _streamed(s, d):
     dirty(s, d).write.parquet(arrivals)
     table = s.read.parquet(arrivals)
     stream = s.readStream.schema(table.schema).parquet(arrivals)
-    tt.append_clean_stream(tt.fit_cleaning(table, order_by=_KEYS), stream, cleaned).awaitTermination()
+    tt.append_clean_stream(tt.fit_cleaning(table), stream, cleaned).awaitTermination()
     return s.read.parquet(cleaned)
 
 
@@ -34,7 +34,26 @@ def _repeated(s, d):
     return read(s, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
+# dates in forms that a column may have as a whole: zone, offset, minutes only, nine digits, day with slashes and time
+FORMS = """SELECT event_id, @f(ts, '@day@T@time') || 'Z' AS zulu, @f(ts, '@day@T@time') || '+02:00' AS offset_,
+  @f(ts, '@day@ @minute') AS minutes, @f(ts, '@day@ @time') || '.123456789' AS nano, @f(ts, '@slash @time') AS slashed,
+  @f(ts, '@day@T@minute') || '-0130' AS short_offset, CASE WHEN event_id % 4 = 0 THEN 'soon' ELSE @f(ts, '@day@ @time') || 'Z' END AS mixed
+FROM {events}"""
+_FORMS_SPARK = FORMS.replace("@f", "date_format").replace("@day@T", "yyyy-MM-dd''T''").replace("@day@ ", "yyyy-MM-dd ") \
+    .replace("@slash", "yyyy/M/d").replace("@time", "HH:mm:ss").replace("@minute", "HH:mm")
+_FORMS_DUCK = FORMS.replace("@f", "strftime").replace("@day@T", "%Y-%m-%dT").replace("@day@ ", "%Y-%m-%d ") \
+    .replace("@slash", "%Y/%-m/%-d").replace("@time", "%H:%M:%S").replace("@minute", "%H:%M").format(events="events")
+_FORM_COLUMNS = ["zulu", "offset_", "minutes", "nano", "slashed", "short_offset"]
+
+
+def _parsed_forms(s, d):
+    parsed = tt.parse_datetimes(s.sql(_FORMS_SPARK.replace("''T''", "\\'T\\'"), events=read(s, d, "events")))
+    return parsed.select("event_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in _FORM_COLUMNS],
+                         "mixed")
+
+
 QUERIES = {
+    "parse_datetimes_forms": _parsed_forms,
     "duplicate_count": lambda s, d: tt.duplicate_count(dirty(s, d)),
     "duplicate_count_frequent": lambda s, d: tt.duplicate_count(_repeated(s, d)),
     "drop_exact_duplicates": lambda s, d: tt.drop_exact_duplicates(dirty(s, d)),
@@ -57,9 +76,9 @@ QUERIES = {
     "date_pattern_rate_first": lambda s, d: tidy(tt.date_pattern_rate(
         tt.drop_exact_duplicates(dirty(s, d)), order_by=_KEYS)),
     "parse_datetimes": lambda s, d: _as_text(tt.parse_datetimes(
-        dirty(s, d).select("event_id", "event_type", "d_ok", "d_rate", "d_fail"), order_by=_KEYS), "d_ok"),
-    "cleaning_report": lambda s, d: tt.cleaning_report(tt.fit_cleaning(dirty(s, d), order_by=_KEYS)),
-    "run_cleaning": lambda s, d: tidy(_as_text(tt.run_cleaning(dirty(s, d), order_by=_KEYS)[0], "d_ok")),
+        dirty(s, d).select("event_id", "event_type", "d_ok", "d_rate", "d_fail")), "d_ok"),
+    "cleaning_report": lambda s, d: tt.cleaning_report(tt.fit_cleaning(dirty(s, d))),
+    "run_cleaning": lambda s, d: tidy(_as_text(tt.run_cleaning(dirty(s, d))[0], "d_ok")),
     "clean_stream": lambda s, d: tidy(_as_text(_streamed(s, d), "d_ok")),
     "run_cleaning_orders": lambda s, d: tidy(_as_text(tt.run_cleaning(
         read(s, d, "orders").withColumn("o_orderdate", F.substring(F.col("o_orderdate").cast("string"), 1, 10)))[0],
@@ -124,7 +143,7 @@ r(block, kind, "column", message, amount) AS (
   UNION ALL SELECT 13, 'issue', 'half', 'Column ''half'' has ' || o.half || ' outlier(s) beyond IQR fence.', o.half FROM o, fh WHERE o.half > 0
   UNION ALL SELECT 14, 'action', 'half', 'Clipped ' || o.half || ' outlier(s) in ''half'' to fence [' || round(lower, 3) || ', ' || round(upper, 3) || '].', o.half FROM o, fh WHERE o.half > 0
   UNION ALL SELECT 15, 'action', 'd_ok', format('Parsed column ''d_ok'' as datetime ({:.0f}% pattern match rate).', 100.0 * r), 1
-    FROM (SELECT """ + _RATE.format(c="d_ok") + """ AS r FROM (SELECT d_ok FROM f ORDER BY event_id LIMIT 20))
+    FROM (SELECT """ + _RATE.format(c="d_ok") + """ AS r FROM f)
   UNION ALL SELECT 16, 'summary', NULL, 'rows_removed', dup FROM n
   UNION ALL SELECT 17, 'summary', NULL, 'columns_removed', 1
   UNION ALL SELECT 18, 'summary', NULL, 'nulls_filled', value + event_type + half FROM n
@@ -135,7 +154,14 @@ CLEANED = """ SELECT event_id, user_id, round(greatest(fv.lower, least(value, fv
   round(CASE WHEN EXISTS (FROM fh) THEN greatest((SELECT lower FROM fh), least(half, (SELECT upper FROM fh))) ELSE half END, 6) AS half,
   try_strptime(d_ok, '%Y-%m-%d')::VARCHAR AS d_ok, d_rate, d_fail FROM {rows}, fv"""
 
+_MICROS = "strftime({t}, '%Y-%m-%d %H:%M:%S.%f')"
+
 ORACLES = {
+    "parse_datetimes_forms": f"""WITH e AS (SELECT event_id, date_trunc('second', ts::TIMESTAMP) AS s, date_trunc('minute', ts::TIMESTAMP) AS m FROM events),
+x AS ({_FORMS_DUCK})
+SELECT event_id, {_MICROS.format(t='s')} AS zulu, {_MICROS.format(t="s - INTERVAL 2 HOUR")} AS offset_, {_MICROS.format(t='m')} AS minutes,
+  {_MICROS.format(t="s + INTERVAL 123456 MICROSECOND")} AS nano, {_MICROS.format(t='s')} AS slashed,
+  {_MICROS.format(t="m + INTERVAL 90 MINUTE")} AS short_offset, mixed FROM e JOIN x USING (event_id)""",
     "duplicate_count": DIRTY_SQL + " SELECT (SELECT count(*) FROM dirty) - count(*) AS n_duplicates FROM (SELECT DISTINCT * FROM dirty)",
     "duplicate_count_frequent": """SELECT (SELECT count(*) FROM lineitem) - count(*) AS n_duplicates
 FROM (SELECT DISTINCT l_quantity, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem)""",

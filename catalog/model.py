@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 import tabletools as tt
 from catalog.tables import DIRTY_SQL, dirty, read, tidy
 
-DEPTH = 5
 FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ROW_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
@@ -39,33 +38,70 @@ def _lineitem_split(s, d, target):
     return tt.train_test_split(read(s, d, "lineitem").select(*columns), ROW_KEYS)
 
 
+# a class that the features decide, so that a forest has something to learn
+_SIZED = "CASE WHEN l_quantity > 35 THEN 'large' WHEN l_extendedprice > 20000 THEN 'dear' ELSE 'small' END"
+
+
 def _classifier(s, d):
-    train, test = tt.encode_target(*_lineitem_split(s, d, "l_returnflag"), "l_returnflag")
-    return tt.forest_classify(train, FEATURES, "label", depth=DEPTH), test
+    rows = read(s, d, "lineitem").withColumn("size", F.expr(_SIZED)).select(*dict.fromkeys([*ROW_KEYS, *FEATURES, "size"]))
+    train, test = tt.encode_target(*tt.train_test_split(rows, ROW_KEYS), "size")
+    return tt.forest_classify(train, FEATURES, "label"), train, test
+
+
+def _classified(s, d):
+    """What must hold of any good classifier: every test row gets a known class, more often the right one than by the most frequent class."""
+    model, train, test = _classifier(s, d)
+    pred = model.transform(test).select("label", "prediction")
+    most = test.groupBy("label").count().agg(F.max("count")).first()[0]
+    sizes = pred.agg(F.count("*").alias("predicted"), F.count_if(F.col("prediction").isin(0.0, 1.0, 2.0)).alias("known"),
+                     F.count_if(F.col("label") == F.col("prediction")).alias("hits"))
+    return sizes.select(F.lit(train.count()).cast("bigint").alias("train_rows"), "predicted", "known",
+                        F.lit(most).cast("bigint").alias("most_frequent"), (F.col("hits") >= most).alias("beats_most_frequent"))
 
 
 def _regressor(s, d):
-    train, test = _lineitem_split(s, d, "l_extendedprice")
-    return tt.forest_regress(train, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", depth=DEPTH), test
+    columns = list(dict.fromkeys([*ROW_KEYS, *FEATURES]))
+    train, test = tt.train_test_split(read(s, d, "lineitem").select(*columns).withColumn("due", F.expr(_DUE)), ROW_KEYS)
+    return tt.forest_regress(train, ["l_quantity", "l_discount", "l_tax"], "due"), train, test
 
 
-def _classified(s, d):
-    model, test = _classifier(s, d)
-    return model.transform(test).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+_DUE = "l_quantity * (1 - l_discount)"
 
 
 def _regressed(s, d):
-    model, test = _regressor(s, d)
-    return model.transform(test).select(*ROW_KEYS, "prediction")
+    """Every test row gets a value inside the range of the training rows, better than their mean."""
+    model, train, test = _regressor(s, d)
+    low, high = train.agg(F.min("due"), F.max("due")).first()
+    pred = model.transform(test).select("due", "prediction")
+    fit = tt.regression_metrics(pred, "due", "prediction").select((F.col("r2_score") > 0.5).alias("better_than_mean"))
+    inside = pred.agg(F.count("*").alias("predicted"), F.count_if(F.col("prediction").between(low, high)).alias("inside"))
+    return inside.select(F.lit(train.count()).cast("bigint").alias("train_rows"), "*", F.lit(fit.first()[0]).alias("better_than_mean"))
+
+
+def _importances(s, d):
+    rows = tt.feature_importances(_classifier(s, d)[0])
+    total = rows.agg(F.sum("importance")).first()[0]
+    return rows.select("feature", (F.col("importance") >= 0).alias("not_negative"), F.lit(abs(total - 1) < 0.001).alias("sum_is_one"))
 
 
 def _automl(s, d, target, task):
-    return tt.run_automl(read(s, d, "lineitem"), target, task, ROW_KEYS, depth=DEPTH)[0]
+    result = tt.run_automl(read(s, d, "lineitem"), target, task, ROW_KEYS)[0]
+    scores = {"classification": F.col("accuracy").between(0, 1) & F.col("f1_score").between(0, 1) & F.col("rmse").isNull(),
+              "regression": (F.col("rmse") >= 0) & (F.col("r2_score") <= 1) & F.col("accuracy").isNull()}[task]
+    return result.select("task_type", "target_column", "model", "train_samples", "test_samples", scores.alias("scores_in_range"),
+                         "skipped", "error", "left_out")
+
+
+def _gated(s, d):
+    """One row too few, and just enough."""
+    few = read(s, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey").orderBy("c_custkey")
+    runs = [tt.run_automl(few.limit(n), "c_acctbal", "regression", ["c_custkey"], trees=2, depth=2)[0] for n in (19, 20)]
+    return runs[0].union(runs[1]).select((F.col("train_samples") + F.col("test_samples")).alias("rows"), "error")
 
 
 QUERIES = {
     "feature_columns": lambda s, d: tt.feature_columns(
-        tt.parse_datetimes(dirty(s, d), order_by=["event_id"]), "value"),
+        tt.parse_datetimes(dirty(s, d)), "value"),
     "feature_columns_unknown": lambda s, d: tt.feature_columns(
         tt.drop_sparse_columns(dirty(s, d)), "sparse"),
     "cardinality_gate": lambda s, d: tt.cardinality_gate(read(s, d, "part")),
@@ -87,10 +123,12 @@ QUERIES = {
     "regression_metrics": lambda s, d: tt.regression_metrics(_predictions(s, d), "y", "yhat"),
     "forest_classify": _classified,
     "forest_regress": _regressed,
-    "feature_importances": lambda s, d: tt.feature_importances(_classifier(s, d)[0]),
+    "feature_importances": _importances,
+    "label_encode_many": lambda s, d: tt.label_encode(read(s, d, "customer").select("c_custkey", "c_name"), ["c_name"]),
+    "min_rows_gate": _gated,
     "run_automl_classification": lambda s, d: _automl(s, d, "l_returnflag", "classification"),
     "run_automl_regression": lambda s, d: _automl(s, d, "l_extendedprice", "regression"),
-    "run_automl_error": lambda s, d: _automl(s, d, "l_returnflag", "regression"),
+    "run_automl_error": lambda s, d: tt.run_automl(read(s, d, "lineitem"), "l_returnflag", "regression", ROW_KEYS)[0],
 }
 
 
@@ -113,11 +151,32 @@ _P = f"WITH p AS ({PREDICTIONS.format(lineitem='lineitem')})"
 
 def _gate_sql(table: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", CASE WHEN count(DISTINCT {c}) <= 50 THEN count(DISTINCT {c}) END AS n_distinct,
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_distinct,
 count(DISTINCT {c}) <= 50 AS kept FROM {table}""" for c in columns)
 
 
+_TESTED = "(SELECT *, " + _MARK.format(k="l_orderkey, l_linenumber, l_partkey") + " AS test FROM lineitem)"
+
+
+def _automl_sql(target: str, task: str) -> str:
+    return f"""SELECT '{task}' AS task_type, '{target}' AS target_column, 'RandomForest' AS model,
+  count(*) FILTER (NOT test) AS train_samples, count(*) FILTER (test) AS test_samples, true AS scores_in_range,
+  false AS skipped, NULL::VARCHAR AS error, NULL::VARCHAR AS left_out FROM {_TESTED}"""
+
+
 ORACLES = {
+    "forest_classify": f"""WITH t AS (SELECT *, {_SIZED} AS size FROM {_TESTED})
+SELECT count(*) FILTER (NOT test) AS train_rows, count(*) FILTER (test) AS predicted, count(*) FILTER (test) AS known,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM t WHERE test GROUP BY size)) AS most_frequent, true AS beats_most_frequent FROM t""",
+    "forest_regress": f"""SELECT count(*) FILTER (NOT test) AS train_rows, count(*) FILTER (test) AS predicted,
+  count(*) FILTER (test) AS inside, true AS better_than_mean FROM {_TESTED}""",
+    "feature_importances": "SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, true AS not_negative, true AS sum_is_one",
+    "run_automl_classification": _automl_sql("l_returnflag", "classification"),
+    "run_automl_regression": _automl_sql("l_extendedprice", "regression"),
+    "min_rows_gate": """SELECT 0::BIGINT AS rows, 'Dataset has only ' || count(*) || ' rows after preprocessing — too few for a reliable train/test split.' AS error
+  FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 19)
+UNION ALL SELECT count(*), NULL FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 20)""",
+    "label_encode_many": "SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS c_name FROM customer",
     "feature_columns": """SELECT * FROM (VALUES ('event_id', 'numeric', true, NULL), ('user_id', 'numeric', true, NULL),
   ('value', 'numeric', false, 'target'), ('event_type', 'categorical', true, NULL), ('sparse', 'numeric', true, NULL),
   ('half', 'numeric', true, NULL), ('d_ok', 'datetime', false, 'datetime'), ('d_rate', 'categorical', true, NULL),
@@ -155,6 +214,6 @@ SELECT (SELECT round(avg((y3 = yhat3)::INTEGER), 4) FROM p) AS accuracy, round(s
     "run_automl_error": """SELECT 'regression' AS task_type, 'l_returnflag' AS target_column, 'RandomForest' AS model,
   count(*) FILTER (NOT test) AS train_samples, count(*) FILTER (test) AS test_samples, NULL::DOUBLE AS accuracy, NULL::DOUBLE AS f1_score,
   NULL::DOUBLE AS rmse, NULL::DOUBLE AS r2_score, false AS skipped, 'Target column ''l_returnflag'' is not numeric. '
-  || 'Choose a numeric column for Regression or switch to Classification.' AS error
+  || 'Choose a numeric column for Regression or switch to Classification.' AS error, NULL::VARCHAR AS left_out
   FROM (SELECT """ + _MARK.format(k="l_orderkey, l_linenumber, l_partkey") + """ AS test FROM lineitem)""",
 }

@@ -103,7 +103,8 @@ QUERIES = {
 
 _anomalies = " UNION ALL ".join(
     [f"""SELECT '{c}' AS "column", 'high_skew' AS flag FROM dirty HAVING count({c}) > 2 AND min({c}) < max({c}) AND abs(skewness({c})) > 1
-UNION ALL SELECT '{c}', 'constant' FROM dirty HAVING min({c}) = max({c})""" for c in GAPPED]
+""" for c in GAPPED]
+    + [f"SELECT '{c}', 'constant' FROM dirty HAVING min({c}) = max({c})" for c in DIRTY_COLUMNS]
     + [f"SELECT '{c}', 'has_nulls' FROM dirty HAVING count({c}) < count(*)" for c in DIRTY_COLUMNS])
 
 _profile_text = _ranked_sql(PART, "part") + """, s AS (""" + summary_sql("part", PART) + """),
@@ -131,7 +132,7 @@ parts(block, seq, line) AS (
   UNION ALL SELECT 8, 1, '=== End of Data Context ===')
 SELECT row_number() OVER (ORDER BY block, seq)::INTEGER AS line_no, line FROM parts"""
 
-_kpis = _ranked_sql(PART, "part") + """, strong AS (SELECT a, b, r, rank FROM ranked WHERE abs(r) > 0.3 AND rank <= 4)
+_kpis = _ranked_sql(PART, "part") + """, strong AS (SELECT a, b, r, rank FROM ranked WHERE abs(r) > 0.3)
 SELECT 1 AS seq, 'dataset' AS section, 'Rows' AS label, format('{:,}', count(*)) AS value FROM part
 UNION ALL SELECT 2, 'dataset', 'Columns', '6' UNION ALL SELECT 3, 'dataset', 'Numeric Cols', '3'
 UNION ALL SELECT 4, 'dataset', 'Missing Values', '0'

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import tabletools as tt
@@ -35,15 +38,23 @@ GAPPED = """SELECT CAST(event_id AS {t}) AS event_id,
 
 
 def _analysed(s, d):
-    result = tt.analyse_table(dirty(s, d), "dirty", order_by=["event_id"])
-    return result.charts.select("rank", "chart_type", "x_axis", "y_axis", "title")
+    """All steps on one table, with a model; a row per result table and the charts that were chosen."""
+    result = tt.analyse_table(dirty(s, d), "dirty", target="event_type", task="classification", keys=["event_id"])
+    tables = {name: table for name, table in result.tables().items() if name not in ("charts", "metrics")}
+    sizes = [t.agg(F.count("*").cast("int").alias("rank")).select("rank", F.lit("table").alias("chart_type"), F.lit(None).cast("string").alias("x_axis"),
+                                                    F.lit(None).cast("string").alias("y_axis"), F.lit(name).alias("title"))
+             for name, t in tables.items() if name in ("cleaned", "importances", "analytics_shape")]
+    model = result.metrics.select((F.col("train_samples") + F.col("test_samples")).cast("int"), F.lit("model"), "target_column",
+                                  F.col("error"), F.lit("metrics"))
+    return reduce(DataFrame.union, [result.charts.select("rank", "chart_type", "x_axis", "y_axis", "title"), *sizes, model])
 
 
 def _saved(s, d):
+    """A whole run saved and read back: a row per column of each small result table."""
     path = staging_path(s, "results")
-    tt.save_results({"shape": tt.table_shape(read(s, d, "part")), "nulls": tt.null_counts(read(s, d, "part"))}, path)
-    return s.read.parquet(f"{path}/nulls").unionByName(
-        s.read.parquet(f"{path}/shape").select(F.lit("rows").alias("column"), F.col("rows").alias("n_null")))
+    tt.analyse_table(read(s, d, "part"), "part").save(path)
+    return s.read.parquet(f"{path}/analytics_null_counts").unionByName(
+        s.read.parquet(f"{path}/cleaned").agg(F.lit("rows").alias("column"), F.count("*").alias("n_null")))
 
 
 def _loaded(s, d, suffix):
@@ -88,7 +99,13 @@ SELECT 1 AS rank, 'histogram' AS chart_type, 'event_id' AS x_axis, NULL AS y_axi
 UNION ALL SELECT 2, 'bar', 'event_type', 'event_id', 'event_id by event_type'
 UNION ALL SELECT 3, 'heatmap', NULL, NULL, 'Numeric Correlation Heatmap'
 UNION ALL SELECT 4, 'scatter', a, b, a || ' vs ' || b FROM (SELECT * FROM p WHERE r IS NOT NULL ORDER BY abs(r) DESC, i LIMIT 1)
-UNION ALL SELECT 5, 'box', 'event_type', 'user_id', 'user_id Distribution by event_type'""",
+UNION ALL SELECT 5, 'box', 'event_type', 'user_id', 'user_id Distribution by event_type'
+UNION ALL SELECT 6, 'line', 'd_ok', 'event_id', 'event_id Over Time (d_ok)'
+UNION ALL SELECT count(*)::INTEGER, 'table', NULL, NULL, 'cleaned' FROM c
+UNION ALL SELECT (SELECT count(*) FROM (SELECT unnest([count(DISTINCT d_rate), count(DISTINCT d_fail)]) AS n FROM c) WHERE n <= 50)::INTEGER + 4,
+  'table', NULL, NULL, 'importances'
+UNION ALL SELECT 1, 'table', NULL, NULL, 'analytics_shape'
+UNION ALL SELECT count(*)::INTEGER, 'model', 'event_type', NULL, 'metrics' FROM c""",
     "read_csv_table": """SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus,
   o_totalprice::VARCHAR AS o_totalprice, o_orderdate::VARCHAR AS o_orderdate, o_orderpriority FROM orders""",
     "read_csv_table_lines": "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text FROM documents",

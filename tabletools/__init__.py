@@ -25,7 +25,7 @@ from tabletools.plans.run import RunResult, analyse_file, analyse_table
 from tabletools.sources.files import (
     infer_types, load_table, preview, read_csv_table, save_results, write_csv_table)
 from tabletools.sources.jdbc import postgres_url, read_sql_query
-from tabletools.sources.staging import stage
+from tabletools.sources.staging import cleanup, stage
 from tabletools.streaming.clean_stream import append_clean_stream, clean_stream
 
 __all__ = [name for name in dir() if not name.startswith("_")]

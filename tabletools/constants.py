@@ -10,14 +10,13 @@ DATE_PATTERN = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
 DATE_MATCH_THRESHOLD = 0.80
 DATE_FAILURE_LIMIT = 0.20
 DATE_SAMPLE_SIZE = 20
-# date formats in order of preference, each with the shape of the texts it can read
-DATE_FORMATS = {
-    "yyyy-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
-    "yyyy/M/d": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$",
-    "yyyy-M-d H:m:s[.SSSSSS]": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?$",
-    "yyyy/M/d H:m:s[.SSSSSS]": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?$",
-    "yyyy-M-d'T'H:m:s[.SSSSSS]": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?$",
-}
+# date formats in order of preference, each with the shape of the texts it can read: day alone, then with a time
+_TIMES = {"H:m:s[.SSSSSSSSS]": r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,9})?", "H:m": "[0-9]{1,2}:[0-9]{1,2}"}
+_ZONES = {"": "", "[XXX][XX]": "(Z|[+-][0-9]{2}:?[0-9]{2})"}
+DATE_FORMATS = {f"yyyy{mark}M{mark}d": f"^[0-9]{{4}}{mark}[0-9]{{1,2}}{mark}[0-9]{{1,2}}$" for mark in "-/"} | {
+    f"yyyy{mark}M{mark}d{between}{time}{zone}":
+        f"^[0-9]{{4}}{mark}[0-9]{{1,2}}{mark}[0-9]{{1,2}}{between[:2].strip(chr(39)) or ' '}{time_shape}{zone_shape}$"
+    for zone, zone_shape in _ZONES.items() for time, time_shape in _TIMES.items() for between in (" ", "'T'") for mark in "-/"}
 FILL_WORD = "Unknown"
 
 # Profile
@@ -34,7 +33,6 @@ MAX_CARDINALITY = 50
 MIN_ROWS = 20
 
 # Charts
-MAX_CHARTS = 5
 SPEC_CHART_TYPES = ("bar", "line", "scatter", "histogram", "box", "heatmap", "pie", "area")
 DRAWN_CHART_TYPES = SPEC_CHART_TYPES + ("violin",)
 

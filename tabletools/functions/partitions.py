@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def on_all_cores(rows: DataFrame) -> DataFrame:
-    """A few large input splits, spread over the cores; a table with enough splits as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """A small input, by the size that the plan estimates, spread over the cores; a larger one has splits enough and stays as it
+    is. Nothing runs to decide."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    estimate = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores) if int(str(estimate)) < cores * split else rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
@@ -21,8 +21,8 @@ _SPEC = "rank int, chart_type string, x_axis string, y_axis string, title string
 
 # -- choice -----------------------------------------------------------------------------
 
-def recommend_charts(df) -> DataFrame:
-    """(rank, chart_type, x_axis, y_axis, title): at most five charts that suit the columns."""
+def recommend_charts(df, limit: int | None = None) -> DataFrame:
+    """(rank, chart_type, x_axis, y_axis, title): the charts that suit the columns, the first ``limit`` if given."""
     p = df if isinstance(df, TableProfile) else TableProfile(df)
     numbers, texts, dates = p.numeric, p.text, columns_of(p.df, DATETIME)
     picks: list[tuple] = []
@@ -39,7 +39,7 @@ def recommend_charts(df) -> DataFrame:
             picks.append(("box", texts[0], spread, K.BOX_TITLE.format(x=texts[0], y=spread)))
         if dates:
             picks.append(("line", dates[0], numbers[0], K.LINE_TITLE.format(x=dates[0], y=numbers[0])))
-    rows = [(i + 1, *pick) for i, pick in enumerate(picks[:K.MAX_CHARTS])]
+    rows = [(i + 1, *pick) for i, pick in enumerate(picks[:limit])]
     return p.df.sparkSession.createDataFrame(rows, _SPEC)
 
 
@@ -182,9 +182,19 @@ def pie_data(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
         .withColumn("share", F.try_divide(F.col("value"), F.lit(whole)))
 
 
-def area_data(df: DataFrame, x: str, y: str, unit: str | None = None) -> DataFrame:
-    """(x, y) in the order of x: the area's height is the total of y at x."""
-    return line_data(df, x, y, unit, "sum")
+def area_data(df: DataFrame, x: str, y: str, unit: str | None = None, group: str | None = None) -> DataFrame:
+    """(x, y) in the order of x: the area's height is the total of y at x.
+
+    With ``group`` one area per group, stacked in the order of the groups: (x, group, y, lower, upper).
+    """
+    if group is None:
+        return line_data(df, x, y, unit, "sum")
+    place = F.date_trunc(unit, col(x)) if unit else col(x)
+    totals = _present(df, x, y, group).groupBy(place.alias("x"), col(group).alias("group")) \
+        .agg(F.sum(number(df, y)).alias("y"))
+    upper = F.sum("y").over(Window.partitionBy("x").orderBy("group").rowsBetween(Window.unboundedPreceding, 0))
+    return totals.withColumn("upper", upper).select("x", "group", "y", (F.col("upper") - F.col("y")).alias("lower"), "upper") \
+        .orderBy("x", "group")
 
 
 def chart_data(df: DataFrame, chart_type: str, x: str | None, y: str | None) -> DataFrame | None:

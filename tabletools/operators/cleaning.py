@@ -204,7 +204,7 @@ def clip_outliers(df: DataFrame, fences) -> DataFrame:
 
 # -- dates ------------------------------------------------------------------------------
 
-def _pattern_rates(df: DataFrame, order_by: list[str] | None, sample: int) -> dict[str, float | None]:
+def _pattern_rates(df: DataFrame, order_by: list[str] | None = None, sample: int = K.DATE_SAMPLE_SIZE) -> dict[str, float | None]:
     texts = columns_of(df, CATEGORICAL)
     rates = {}
     if order_by and texts:
@@ -238,7 +238,7 @@ def _date_formats(df: DataFrame, rates: dict[str, float | None]) -> dict[str, st
     """{column: format} of the columns to parse: per column the format that parses most."""
     candidates = [c for c, r in rates.items() if r is not None and r >= K.DATE_MATCH_THRESHOLD]
     chosen = {}
-    for part in batches(candidates, 4):
+    for part in batches(candidates, 2):
         exprs = [F.count("*")]
         for i, c in enumerate(part):
             exprs.append(F.count(col(c)).alias(f"n{i}"))
@@ -256,10 +256,9 @@ def _date_expr(column: Column, fmt: str) -> Column:
     return F.when(column.rlike(K.DATE_FORMATS[fmt]), F.try_to_timestamp(column, F.lit(fmt)))
 
 
-def parse_datetimes(df: DataFrame, order_by: list[str] | None = None,
-                    sample: int = K.DATE_SAMPLE_SIZE) -> DataFrame:
-    """Text columns that hold dates become timestamps; texts in another format become NULL."""
-    formats = _date_formats(df, _pattern_rates(df, order_by, sample))
+def parse_datetimes(df: DataFrame) -> DataFrame:
+    """Text columns that hold dates become timestamps; texts in another format become NULL. All texts of a column decide."""
+    formats = _date_formats(df, _pattern_rates(df))
     return _rewrite(df, {c: _date_expr(col(c), f) for c, f in formats.items()})
 
 
@@ -300,8 +299,7 @@ class CleaningModel:
         return self.transform(self.source, dedup=False)
 
 
-def fit_cleaning(df: DataFrame, order_by: list[str] | None = None,
-                 sample: int = K.DATE_SAMPLE_SIZE) -> CleaningModel:
+def fit_cleaning(df: DataFrame) -> CleaningModel:
     """Decide all rules for this table.
 
     A table with duplicates is staged once after dedup, since every later job reads it; a
@@ -326,7 +324,7 @@ def fit_cleaning(df: DataFrame, order_by: list[str] | None = None,
     # a median lies between the ends of its column, so a filled column keeps its range
     model.fences = _fences(filled, known={c: (rows, lo, hi) for c, (_, lo, hi) in p.ranges.items()})
     model.outliers = _count_outliers(filled, model.fences)
-    model.rates = _pattern_rates(filled, order_by, sample)
+    model.rates = _pattern_rates(filled)
     model.formats = _date_formats(filled, model.rates)
     return model
 
@@ -354,7 +352,9 @@ def cleaning_report(model: CleaningModel) -> DataFrame:
             if c in model.medians:
                 say("action", c, K.MEDIAN_ACTION, n, value=round(model.medians[c], 4))
             else:
-                say("action", c, K.MODE_ACTION, n, value=model.modes[c] or K.FILL_WORD)
+                mode = K.FILL_WORD if model.modes[c] is None else model.modes[c]
+                boolean = c in columns_of(model.source, BOOLEAN)
+                say("action", c, K.MODE_ACTION, n, value=mode == "true" if boolean else mode)
     for c, n in model.outliers.items():
         if n:
             fence = model.fences[c]
@@ -369,7 +369,7 @@ def cleaning_report(model: CleaningModel) -> DataFrame:
         rows, "seq int, kind string, column string, message string, amount bigint")
 
 
-def run_cleaning(df: DataFrame, order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def run_cleaning(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cleaned table, cleaning report)."""
-    model = fit_cleaning(df, order_by)
+    model = fit_cleaning(df)
     return model.cleaned(), cleaning_report(model)

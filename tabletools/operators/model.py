@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -42,7 +43,7 @@ def feature_columns(df: DataFrame, target: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, kind string, used boolean, reason string")
 
 
-def _cardinalities(df: DataFrame, columns: list[str], max_cardinality: int) -> dict[str, int | None]:
+def _small_cardinalities(df: DataFrame, columns: list[str], max_cardinality: int) -> dict[str, int | None]:
     """Exact distinct counts up to the limit, None above. A sketch first rules out columns
     that are far over it, so their values are never shuffled."""
     estimates = {}
@@ -50,36 +51,37 @@ def _cardinalities(df: DataFrame, columns: list[str], max_cardinality: int) -> d
         row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
         estimates.update(zip(part, row))
     near = [c for c in columns if estimates[c] <= SKETCH_MARGIN * max_cardinality]
-    counted = value_counts(df, near).groupBy("column").count().collect() if near else []
-    exact = {r["column"]: r["count"] for r in counted}
-    return {c: n if c in near and (n := exact.get(c, 0)) <= max_cardinality else None for c in columns}
+    exact = _cardinalities(df, near)
+    return {c: n if c in near and (n := exact[c]) <= max_cardinality else None for c in columns}
+
+
+def _cardinalities(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    counted = value_counts(df, columns).groupBy("column").count().collect() if columns else []
+    return dict.fromkeys(columns, 0) | {r["column"]: r["count"] for r in counted}
 
 
 def cardinality_gate(df: DataFrame, max_cardinality: int = K.MAX_CARDINALITY) -> DataFrame:
-    """(column, n_distinct, kept) per text column; n_distinct is NULL above the limit."""
-    found = _cardinalities(df, columns_of(df, CATEGORICAL), max_cardinality)
+    """(column, n_distinct, kept) per text column; n_distinct is exact, whatever the limit."""
+    found = _cardinalities(df, columns_of(df, CATEGORICAL))
     return df.sparkSession.createDataFrame(
-        [(c, n, n is not None) for c, n in found.items()],
+        [(c, n, n <= max_cardinality) for c, n in found.items()],
         "column string, n_distinct bigint, kept boolean")
 
 
-def label_encode(df: DataFrame, columns: list[str],
-                 max_cardinality: int = K.MAX_CARDINALITY) -> DataFrame:
+def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Text values become their index in sorted order, a missing one counts as the text "nan".
 
-    Only for columns within the cardinality limit, so the index is a literal array and
-    needs no join.
+    Any number of values: the classes of a column are a staged table, joined by broadcast if a count shows that they
+    are few, else with the rows of a frequent value spread over several tasks.
     """
-    if any(n is None for n in _cardinalities(df, columns, max_cardinality).values()):
-        raise ValueError(f"label_encode takes columns of at most {max_cardinality} distinct values")
-    named = df.select(*[F.coalesce(col(c), F.lit(MISSING_LABEL)).alias(c) for c in columns])
-    classes: dict[str, list[str]] = {c: [] for c in columns}
-    for r in value_counts(named, columns).collect():
-        classes[r["column"]].append(r["value"])
-    exprs = {c: (F.array_position(F.array(*[F.lit(v) for v in sorted(values)]),
-                                  F.coalesce(col(c), F.lit(MISSING_LABEL))) - 1)
-             for c, values in classes.items() if values}
-    return df.select(*[exprs.get(c, col(c)).alias(c) for c in df.columns])
+    encoded = df.withColumn("_spread", F.xxhash64(*[col(c) for c in df.columns]))
+    for i, c in enumerate(columns):
+        key, label = f"_class{i}", f"_label{i}"
+        named = F.coalesce(col(c), F.lit(MISSING_LABEL)).alias(key)
+        index = class_index(df.select(named), key).withColumnRenamed("label", label)
+        encoded = join_group_facts(encoded.withColumn(key, named), index, [key], "_spread", "left").drop(key)
+    labels = {c: F.col(f"_label{i}").cast("bigint") for i, c in enumerate(columns)}
+    return encoded.select(*[labels.get(c, col(c)).alias(c) for c in df.columns])
 
 
 def fill_features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -87,19 +89,21 @@ def fill_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return fill_median(df, columns)
 
 
-def prepare_features(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
-    """(table with encoded and filled features, feature names); no names if none is usable."""
+def prepare_features(df: DataFrame, target: str, max_cardinality: int = K.MAX_CARDINALITY
+                     ) -> tuple[DataFrame, list[str], list[str]]:
+    """(table with encoded and filled features, feature names, text columns left out for having more than
+    ``max_cardinality`` values); no names if none is usable."""
     if target not in df.columns:
-        return df, []
+        return df, [], []
     rest = df.drop(target)
-    kept = [c for c, n in _cardinalities(rest, columns_of(rest, CATEGORICAL), K.MAX_CARDINALITY).items()
-            if n is not None]
+    sizes = _small_cardinalities(rest, columns_of(rest, CATEGORICAL), max_cardinality)
+    kept, left_out = [c for c, n in sizes.items() if n is not None], [c for c, n in sizes.items() if n is None]
     numbers = TableProfile(rest.select(*[col(c) for c in columns_of(rest, NUMERIC)])).filled_numeric
     features = [c for c in rest.columns if c in kept or c in numbers]
     if not features:
-        return df, []
+        return df, [], left_out
     encoded = label_encode(df, kept) if kept else df
-    return fill_features(encoded, numbers), features
+    return fill_features(encoded, numbers), features, left_out
 
 
 # -- split ------------------------------------------------------------------------------
@@ -112,10 +116,12 @@ def mark_test_rows(df: DataFrame, keys: Sequence[str], test: float = K.TEST_SHAR
                    seed: int = K.SEED, exact: bool = False) -> DataFrame:
     """The table with ``is_test``, decided per row by a hash of its keys.
 
-    The same rows whatever the partitioning. By default the share is met in expectation;
+    Raises without keys, as all rows would share a hash. The same rows whatever the partitioning. By default the share is met in expectation;
     ``exact`` takes the ceil(share * n) rows with the smallest hash, by selecting the
     cutoff, not by sorting the table.
     """
+    if not keys:
+        raise ValueError("A split needs the keys that tell rows apart.")
     digest = _row_hash(keys, seed)
     if not exact:
         cutoff = f"{int(test * 2 ** 32):08x}"
@@ -158,9 +164,17 @@ def class_index(train: DataFrame, target: str, bound: int = BROADCAST_ROWS) -> D
     classes = stage(train.select(col(target)).where(col(target).isNotNull()).distinct(), "classes")
     if fits_broadcast(classes, bound):
         return classes.withColumn("label", F.row_number().over(Window.orderBy(col(target))) - 1)
-    numbered = classes.orderBy(col(target)).rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
-    return train.sparkSession.createDataFrame(
-        numbered, classes.schema.add("label", "long"))
+    return _numbered(classes, target)
+
+
+def _numbered(classes: DataFrame, target: str) -> DataFrame:
+    """(target, label) for any number of distinct values: ranges of them are numbered apart, after the count of all before."""
+    ranges = stage(classes.repartitionByRange(col(target)).withColumn("_range", F.spark_partition_id()), "class-ranges")
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)      # a row per range
+    before = ranges.groupBy("_range").agg(F.count("*").alias("_n")) \
+        .select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(col(target)))
+    return ranges.join(F.broadcast(before), "_range").select(col(target), (F.col("_before") + place - 1).alias("label"))
 
 
 def encode_target(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
@@ -291,31 +305,34 @@ def regression_metrics(pred: DataFrame, y: str, yhat: str) -> DataFrame:
 
 _RESULT = ("task_type string, target_column string, model string, train_samples bigint, "
            "test_samples bigint, accuracy double, f1_score double, rmse double, r2_score double, "
-           "skipped boolean, error string")
+           "skipped boolean, error string, left_out string")
 _IMPORTANCES = "feature string, importance double"
 
 
-def run_automl(df: DataFrame, target: str | None, task: str | None, keys: Sequence[str],
-               trees: int = K.TREES, depth: int = DEPTH, exact_split: bool = False
-               ) -> tuple[DataFrame, DataFrame]:
-    """(one-row result, importances). What the data does not allow becomes an ``error`` value."""
+def run_automl(df: DataFrame, target: str | None, task: str | None, keys: Sequence[str] = (),
+               trees: int = K.TREES, depth: int = DEPTH, exact_split: bool = False,
+               max_cardinality: int = K.MAX_CARDINALITY) -> tuple[DataFrame, DataFrame]:
+    """(one-row result, importances). What the data does not allow becomes an ``error`` value; a lost executor or a full memory
+    stays an exception. Without keys all columns tell rows apart. ``left_out`` names the text columns
+    with more than ``max_cardinality`` values, which are no features."""
     spark = df.sparkSession
     result = {"task_type": task, "target_column": target, "model": "RandomForest",
               "train_samples": 0, "test_samples": 0, "skipped": not (target and task)}
     importances = spark.createDataFrame([], _IMPORTANCES)
     if not result["skipped"]:
         try:
-            importances = _train(df, target, task, keys, trees, depth, exact_split, result)
-        except Exception as error:
+            importances = _train(df, target, task, keys or df.columns, trees, depth, exact_split, max_cardinality, result)
+        except (AnalysisException, IllegalArgumentException, ValueError) as error:
             result["error"] = f"{type(error).__name__}: {error}"
     names = [part.split()[0] for part in _RESULT.split(", ")]
     return spark.createDataFrame([tuple(result.get(n) for n in names)], _RESULT), importances
 
 
-def _train(df, target, task, keys, trees, depth, exact_split, result) -> DataFrame:
+def _train(df, target, task, keys, trees, depth, exact_split, max_cardinality, result) -> DataFrame:
     spark = df.sparkSession
     empty = spark.createDataFrame([], _IMPORTANCES)
-    table, features = prepare_features(df, target)
+    table, features, left_out = prepare_features(df, target, max_cardinality)
+    result["left_out"] = ", ".join(left_out) or None
     if not features:
         result["error"] = K.NO_FEATURES
         return empty

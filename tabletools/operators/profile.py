@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabletools import constants as K
 from tabletools.functions.kinds import (
-    CATEGORICAL, NUMERIC, batches, col, columns_of, dtype_map, is_missing, number)
+    BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, batches, col, columns_of, dtype_map, is_missing, number)
 from tabletools.functions.quantiles import column_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -73,6 +73,16 @@ class TableProfile:
     def fact(self, column: str) -> dict:
         return self._basic[column]
 
+    @cached_property
+    def constant(self) -> set[str]:
+        """The columns of numbers, texts, dates and booleans whose present values are all the same."""
+        found = {c for c in self.filled_numeric if self._basic[c]["min"] == self._basic[c]["max"]}
+        others = [c for c in columns_of(self.df, CATEGORICAL, DATETIME, BOOLEAN) if self._basic[c]["n"]]
+        for part in batches(others, COLUMNS_PER_JOB):
+            row = self.df.agg(*[(F.min(col(c)) == F.max(col(c))).alias(f"k{i}") for i, c in enumerate(part)]).first()
+            found |= {c for c, same in zip(part, row) if same}
+        return found
+
     @property
     def ranges(self) -> dict[str, tuple]:
         """{numeric column: (count, min, max)}."""
@@ -313,27 +323,30 @@ def anomaly_flags(df, skew: float = K.SKEW_FLAG) -> DataFrame:
             s = p.moments(c)["skew"]
             if s is not None and abs(s) > skew:
                 rows.append((c, "high_skew"))
-            if f["min"] == f["max"]:
-                rows.append((c, "constant"))
+        if c in p.constant:
+            rows.append((c, "constant"))
         if f["missing"]:
             rows.append((c, "has_nulls"))
     return _frame(p, rows, "column string, flag string")
 
 
-def kpi_summary(df, metrics: dict[str, float] | None = None) -> DataFrame:
-    """(seq, section, label, value): table size, first model metrics, top correlations."""
+def kpi_summary(df, metrics: dict[str, float] | None = None, max_metrics: int | None = None,
+                max_correlations: int | None = None) -> DataFrame:
+    """(seq, section, label, value): table size, model metrics, strong correlations; the first ones where a number is given."""
     p = _profile(df)
-    rows = [("dataset", "Rows", f"{p.rows:,}"), ("dataset", "Columns", str(len(p.df.columns))),
-            ("dataset", "Numeric Cols", str(len(p.filled_numeric))),
-            ("dataset", "Missing Values", str(sum(p.missing.values())))]
-    for name, value in list((metrics or {}).items())[:4]:
-        shown = f"{value:.4f}" if isinstance(value, float) else str(value)
-        rows.append(("model", name.upper().replace("_", " "), shown))
-    for a, b, r in _ranked_pairs(p):
-        if abs(r) > K.CORRELATION_THRESHOLD and sum(s == "correlation" for s, _, _ in rows) < 4:
-            rows.append(("correlation", f"{a}×{b}", f"{r:+.3f}"))
-    return _frame(p, [(i + 1, *r) for i, r in enumerate(rows)],
-                  "seq int, section string, label string, value string")
+    facts = [("dataset", "Rows", f"{p.rows:,}"), ("dataset", "Columns", str(len(p.df.columns))),
+             ("dataset", "Numeric Cols", str(len(p.filled_numeric))),
+             ("dataset", "Missing Values", str(sum(p.missing.values())))]
+    strong = [("correlation", f"{a}×{b}", f"{r:+.3f}") for a, b, r in _ranked_pairs(p) if abs(r) > K.CORRELATION_THRESHOLD]
+    model = [("model", name, str(value), float(value) if isinstance(value, float) else None)
+             for name, value in list((metrics or {}).items())[:max_metrics]]
+    rows = [(i + 1, *r, None) for i, r in enumerate(facts)]
+    rows += [(len(rows) + 1 + i, *r) for i, r in enumerate(model)]
+    rows += [(len(rows) + 1 + i, *r, None) for i, r in enumerate(strong[:max_correlations])]
+    named = _frame(p, rows, "seq int, section string, label string, value string, number double")
+    label = F.when(F.col("section") == "model", F.upper(F.replace("label", F.lit("_"), F.lit(" ")))).otherwise(F.col("label"))
+    shown = F.when(F.col("number").isNotNull(), F.format_string("%.4f", "number")).otherwise(F.col("value"))
+    return named.select("seq", "section", label.alias("label"), shown.alias("value"))
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,8 @@
-"""One SQL statement on a database, read as a table."""
+"""One SQL statement on a database, read as a table.
+
+Without a partition column one task reads the whole result over one connection, ``FETCH_ROWS`` rows at a time; give
+one (with bounds and a number of slices) for a result that one task should not read alone.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tabletools.sources.staging import stage
 
 
+FETCH_ROWS = 10_000
+LOGIN_SECONDS = 10
+
+
 def postgres_url(host: str, port: str | int, database: str) -> str:
     return f"jdbc:postgresql://{host}:{port}/{database}"
 
@@ -18,7 +26,7 @@ def jdbc_options(url: str, query: str, user: str = "", password: str = "",
     statement = query.strip().rstrip(";").strip()
     if not url or not statement:
         raise ValueError("A JDBC URL and a query are needed.")
-    options = {"url": url, **extra}
+    options = {"url": url, "fetchsize": str(FETCH_ROWS), "loginTimeout": str(LOGIN_SECONDS), **extra}
     if user:
         options |= {"user": user, "password": password}
     if partition_column is None:

@@ -14,7 +14,7 @@ def test_rules(spark):
     assert types("a int, t date") == ["histogram", "line"]
     assert types("a int, s string, t date") == ["histogram", "bar", "box", "line"]
     assert types("a int, b int, s string, t date") == ["histogram", "bar", "scatter", "box", "line"]
-    assert types("a int, b int, c int, s string, t date") == ["histogram", "bar", "heatmap", "scatter", "box"]
+    assert types("a int, b int, c int, s string, t date") == ["histogram", "bar", "heatmap", "scatter", "box", "line"]
 
 
 def test_histogram_of_a_constant(spark):
@@ -86,3 +86,15 @@ def test_choice_prefers_parsed_specs(spark, monkeypatch):
         monkeypatch.setattr(joins, "BROADCAST_BYTES", size)
         rows = sorted(map(tuple, tt.choose_charts(parsed, rules).collect()))
         assert rows == [(1, "pie"), (2, "bar"), (2, "line")]
+
+
+def test_fewer_charts_on_request(spark):
+    empty = spark.createDataFrame([], "a int, b int, c int, s string, t date")
+    assert [r.rank for r in tt.recommend_charts(empty, 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_stacked_areas(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0), (1, "a", 1.0), (2, "b", 5.0), (2, None, 9.0), (3, "a", None)],
+                               "x int, g string, y double")
+    assert [tuple(r) for r in tt.area_data(df, "x", "y", group="g").collect()] == [
+        (1, "a", 3.0, 0.0, 3.0), (1, "b", 3.0, 3.0, 6.0), (2, "b", 5.0, 0.0, 5.0)]

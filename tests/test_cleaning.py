@@ -77,7 +77,29 @@ def test_fences_and_clip_equal_pandas(spark):
 def test_dates(spark, texts, kind):
     df = make(spark, [(t, i) for i, t in enumerate(texts)], "s string, i int")
     assert dict(tt.parse_datetimes(df).dtypes)["s"] == kind
-    assert dict(tt.parse_datetimes(df, order_by=["i"]).dtypes)["s"] == kind
+
+
+@pytest.mark.parametrize("text", [
+    "2024-01-02T03:04:05Z", "2024-01-02T03:04:05+02:00", "2024-01-02T03:04:05-0130", "2024-01-02 03:04",
+    "2024-01-02 03:04:05.123456789", "2024-01-02T03:04:05.5Z", "2024/01/02 03:04:05", "2024-01-02T03:04", "2024-01-02 03:04Z",
+    "2024-01-02", "2024/01/02"])
+def test_date_forms_as_pandas_reads_them(spark, text):
+    parsed = tt.parse_datetimes(make(spark, [(text,)] * 3, "s string"))
+    found = parsed.selectExpr("date_format(s, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS s").first().s
+    expected = pd.to_datetime(pd.Series([text]), utc=True)[0].floor("us")
+    assert found == expected.strftime("%Y-%m-%d %H:%M:%S.%f")
+
+
+def test_all_texts_decide_on_dates(spark):
+    df = make(spark, [(f"2024-01-{i + 1:02d}" if i < 20 else "word", i) for i in range(60)], "s string, i int").coalesce(1)
+    assert dict(tt.parse_datetimes(df).dtypes)["s"] == "string" and not tt.fit_cleaning(df).formats
+
+
+def test_report_of_an_empty_mode_and_of_a_boolean(spark):
+    df = make(spark, [("", True)] * 5 + [("a", None), (None, False)], "s string, b boolean")
+    messages = [r.message for r in tt.cleaning_report(tt.fit_cleaning(df.withColumn("i", F.monotonically_increasing_id()))).collect()]
+    assert "Filled 1 null(s) in categorical column 's' with mode ('')." in messages
+    assert "Filled 1 null(s) in categorical column 'b' with mode (True)." in messages
 
 
 def test_date_rate_of_the_first_texts(spark):
@@ -89,7 +111,7 @@ def test_date_rate_of_the_first_texts(spark):
 def test_run_cleaning(spark):
     data = [(i, None if i % 4 == 0 else float(i % 7), None if i % 3 else "x", f"2024-01-{i % 28 + 1:02d}") for i in range(40)]
     df = make(spark, data + data[:5], "i int, x double, sparse string, d string").repartition(3)
-    model = tt.fit_cleaning(df, ["i"])
+    model = tt.fit_cleaning(df)
     cleaned = model.cleaned()
     assert cleaned.count() == 40 and cleaned.columns == ["i", "x", "d"]
     assert dict(cleaned.dtypes)["d"] == "timestamp"

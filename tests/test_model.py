@@ -11,19 +11,33 @@ def numbers(spark, n, extra="id % 3"):
     return spark.range(n).withColumn("f", (F.col("id") % 10).cast("double")).withColumn("y", F.expr(extra)).repartition(3)
 
 
-def test_gate_counts_exactly_up_to_the_limit(spark):
+def test_gate_counts_exactly(spark):
     df = spark.range(400).select((F.col("id") % 50).cast("string").alias("fifty"), (F.col("id") % 51).cast("string").alias("more"),
                                  F.col("id").cast("string").alias("unique"), F.lit(None).cast("string").alias("none"))
     found = {r["column"]: (r.n_distinct, r.kept) for r in tt.cardinality_gate(df).collect()}
-    assert found == {"fifty": (50, True), "more": (None, False), "unique": (None, False), "none": (0, True)}
+    assert found == {"fifty": (50, True), "more": (51, False), "unique": (400, False), "none": (0, True)}
 
 
-def test_label_encode(spark):
-    df = spark.createDataFrame([("b",), ("a",), (None,), ("z",)], "s string")
-    assert [r.s for r in tt.label_encode(df, ["s"]).collect()] == [1, 0, 2, 3]
-    wide = spark.range(60).select(F.col("id").cast("string").alias("s"))
-    with pytest.raises(ValueError):
-        tt.label_encode(wide, ["s"])
+@pytest.mark.parametrize("size", [2 ** 20, 0])
+def test_label_encode(spark, monkeypatch, size):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", size)
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("z", 4)], "s string, i int")
+    assert [tuple(r) for r in tt.label_encode(df, ["s"]).orderBy("i").collect()] == [(1, 1), (0, 2), (2, 3), (3, 4)]
+    wide = spark.range(600).select(F.format_string("%04d", "id").alias("s"), "id").repartition(5)
+    assert all(r.s == r.id for r in tt.label_encode(wide, ["s"]).collect())
+
+
+def test_split_needs_keys(spark):
+    with pytest.raises(ValueError, match="keys"):
+        tt.train_test_split(spark.range(9), [])
+    row = tt.run_automl(numbers(spark, 200), "y", "regression", trees=2, depth=2)[0].first()
+    assert row.train_samples and row.test_samples
+
+
+def test_left_out_columns_are_named(spark):
+    df = numbers(spark, 200).withColumn("s", F.col("id").cast("string"))
+    assert tt.run_automl(df, "y", "regression", ["id"], trees=2, depth=2)[0].first().left_out == "s"
+    assert tt.run_automl(df, "y", "regression", ["id"], trees=2, depth=2, max_cardinality=200)[0].first().left_out is None
 
 
 @pytest.mark.parametrize("n", [1, 5, 20, 101, 1000])

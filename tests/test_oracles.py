@@ -6,9 +6,6 @@ from catalog import all_oracles, all_queries
 from tools.check_oracles import compare, duck
 
 SF = "/root/testdata/sf0.001"
-FORESTS = {"forest_classify", "forest_regress", "feature_importances", "run_automl_classification",
-           "run_automl_regression"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -16,7 +13,7 @@ def con():
 
 
 def test_oracles_belong_to_queries():
-    assert set(all_oracles()) == set(all_queries()) - FORESTS
+    assert set(all_oracles()) == set(all_queries())
 
 
 @pytest.mark.parametrize("name", sorted(all_oracles()))
@@ -24,11 +21,6 @@ def test_query_equals_sql(spark, con, name):
     assert compare(all_queries()[name](spark, SF), con, all_oracles()[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(FORESTS))
-def test_query_without_sql_gives_rows(spark, name):
-    assert all_queries()[name](spark, SF).count() > 0
-
-
 def test_entry(spark):
     import __spark_entry__
     assert __spark_entry__.entry(spark).count() == 8

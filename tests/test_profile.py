@@ -63,6 +63,9 @@ def test_constant_and_skewed(spark):
     assert (found["c"]["std"], found["c"]["skew"], found["c"]["kurtosis"]) == (0, 0, 0)
     assert found["s"]["skew"] == pytest.approx(0.88103735) and found["s"]["kurtosis"] == pytest.approx(-0.52718406)
     assert [r.flag for r in tt.anomaly_flags(df).collect()] == ["constant"]
+    kinds = spark.sql("SELECT 's' AS s, DATE'2024-01-01' AS d, true AS b, CAST(NULL AS string) AS n, CAST(id AS string) AS v FROM range(5)")
+    assert {(r["column"], r.flag) for r in tt.anomaly_flags(kinds).collect()} == {
+        ("s", "constant"), ("d", "constant"), ("b", "constant"), ("n", "has_nulls")}
 
 
 def test_nan_counts_as_missing(spark):

@@ -68,7 +68,9 @@ def test_staging_uses_the_folder_of_the_session(spark):
 def test_jdbc_options():
     url = tt.postgres_url("db", 5432, "sales")
     assert url == "jdbc:postgresql://db:5432/sales"
-    assert jdbc_options(url, "SELECT 1 ; ", "u", "p") == {"url": url, "query": "SELECT 1", "user": "u", "password": "p"}
+    assert jdbc_options(url, "SELECT 1 ; ", "u", "p") == {"url": url, "query": "SELECT 1", "user": "u", "password": "p",
+                                                          "fetchsize": "10000", "loginTimeout": "10"}
+    assert jdbc_options(url, "SELECT 1", fetchsize="5")["fetchsize"] == "5"
     sliced = jdbc_options(url, "SELECT * FROM t", partition_column="id", lower=0, upper=9, partitions=3)
     assert sliced["dbtable"] == "(SELECT * FROM t) t" and sliced["numPartitions"] == "3" and "query" not in sliced
     with pytest.raises(ValueError):
@@ -91,10 +93,28 @@ def test_whole_run(spark, tmp_path):
     assert result.metrics.first().error is None
     assert list(result.chart_tables()) == ["Distribution of id", "id by g", "id vs v", "v Distribution by g", "id Over Time (d)"]
     result.save(str(tmp_path / "out"))
+    assert staging.cleanup(spark) > 0 and staging.cleanup(spark) == 0
     assert spark.read.parquet(str(tmp_path / "out" / "cleaned")).count() == 120
     assert spark.read.parquet(str(tmp_path / "out" / "analytics_numeric_summary")).count() == 2
 
 
+def test_a_cluster_needs_a_named_folder(spark, monkeypatch):
+    class Cluster:
+        conf, sparkContext = spark.conf, type("C", (), {"master": "spark://host:7077"})()
+
+    monkeypatch.setattr(staging, "CONF", "spark.tabletools.absent")
+    with pytest.raises(ValueError, match="share"):
+        staging_root(Cluster())
+
+
+def test_cleanup_deletes_what_was_staged(spark):
+    from pathlib import Path
+    staging.cleanup(spark)
+    table = stage(spark.range(10), "numbers")
+    folder = Path(table.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    assert folder.exists() and staging.cleanup(spark) == 1 and not folder.exists()
+
+
 def test_staging_without_a_named_folder(spark, monkeypatch):
     monkeypatch.setattr(staging, "CONF", "spark.tabletools.absent")
     first, second = (staging.staging_path(spark, "x") for _ in range(2))
