@@ -28,6 +28,20 @@ def _gapped_csv(s, d):
     return _csv(s, s.sql(GAPPED, events=read(s, d, "events")), "gapped")
 
 
+def _two_encodings(s, d):
+    """One folder, half of its customers in UTF-8 and half in Latin-1, some records over two lines in the second."""
+    path = staging_path(s, "encodings") + ".csv"
+    named = s.sql(ACCENTED.replace("@text", "string"), customer=read(s, d, "customer"))
+    for rest, charset in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        named.where(F.col("c_custkey") % 2 == rest).write.mode("append").csv(
+            path, header=True, quote='"', escape='"', encoding=charset)
+    return tt.read_csv_table(s, path)
+
+
+ACCENTED = """SELECT c_custkey, concat('café ', c_name, CASE WHEN c_custkey % 10 = 1 THEN concat(chr(10), 'ü') ELSE '' END) AS c_name,
+  c_mktsegment FROM {customer}"""
+
+
 GAPPED = """SELECT CAST(event_id AS {t}) AS event_id,
   CASE event_id % 4 WHEN 0 THEN 'NA' WHEN 1 THEN '#N/A' ELSE CAST(user_id AS {t}) END AS user_id,
   CASE WHEN event_id % 5 = 0 THEN 'NaN' ELSE CAST(value AS {t}) END AS value,
@@ -64,6 +78,7 @@ def _loaded(s, d, suffix):
 
 
 QUERIES = {
+    "read_csv_table_encodings": _two_encodings,
     "read_csv_table": lambda s, d: tt.read_csv_table(s, _orders_csv(s, d)),
     "read_csv_table_lines": lambda s, d: tt.read_csv_table(
         s, _csv(s, read(s, d, "documents").select("doc_id", "text"), "documents")),
@@ -94,6 +109,8 @@ _PAIRS = " UNION ALL ".join(
     for i, a in enumerate(_NUMBERS) for j, b in enumerate(_NUMBERS) if i < j)
 
 ORACLES = {
+    "read_csv_table_encodings": "SELECT c_custkey::VARCHAR AS c_custkey, * EXCLUDE (c_custkey) FROM ("
+        + ACCENTED.format(customer="customer") + ")",
     "analyse_table": FILLED + ", c AS (" + CLEANED.format(rows="f") + "), p AS (" + _PAIRS + """)
 SELECT 1 AS rank, 'histogram' AS chart_type, 'event_id' AS x_axis, NULL AS y_axis, 'Distribution of event_id' AS title
 UNION ALL SELECT 2, 'bar', 'event_type', 'event_id', 'event_id by event_type'

@@ -1,6 +1,8 @@
+import pandas as pd
 import pytest
 
 import tabletools as tt
+import tabletools.sources.files as files
 import tabletools.sources.staging as staging
 from tabletools.sources.jdbc import jdbc_options
 from tabletools.sources.staging import stage, staging_root
@@ -34,6 +36,42 @@ def test_lines_are_read_apart_unless_a_quote_stays_open(spark, tmp_path):
     assert [tuple(r) for r in tt.load_table(spark, path).orderBy("n").collect()] == [("one\ntwo", 1), ("three", 2)]
 
 
+def test_each_file_has_its_own_form(spark, tmp_path):
+    write(tmp_path / "a.csv", "name,n\ncafé,1\n")
+    write(tmp_path / "b.csv", b"name,n\ncaf\xe9,2\n")
+    write(tmp_path / "c.csv", 'name,n\n"two\nlines é",3\n')
+    write(tmp_path / "d.csv", "n,other\n4,x\n")
+    write(tmp_path / "e.csv", "")
+    table = tt.read_csv_table(spark, str(tmp_path))
+    assert sorted((tuple(r) for r in table.select("n", "name", "other").collect())) == [
+        ("1", "café", None), ("2", "café", None), ("3", "two\nlines é", None), ("4", None, "x")]
+    forms = files._files_by_form(spark, str(tmp_path), None, None)
+    assert [(e, w) for e, w, _ in forms] == [("UTF-8", False), ("ISO-8859-1", False), ("UTF-8", True), ("UTF-8", False)]
+
+
+@pytest.mark.parametrize("text", [
+    "a,a,b\n1,2,3\n", "a,,a,a.1,\n1,2,3,4,5\n", '"x ""y""","p,q"\n1,2\n', "\ufeffa,b\n1,2\n", "a,b\n1\n2,3\n", "\n\na,b\n1,2\n"])
+def test_headers_and_short_records_as_pandas_reads_them(spark, tmp_path, text):
+    path = write(tmp_path / "t.csv", text)
+    expected = pd.read_csv(path, dtype=str)
+    table = tt.read_csv_table(spark, path)
+    assert table.columns == list(expected.columns)
+    assert [tuple(r) for r in table.collect()] == [tuple(None if pd.isna(v) else v for v in r) for r in expected.to_numpy()]
+
+
+def test_names_that_differ_in_case_are_told_apart(spark, tmp_path):
+    table = tt.read_csv_table(spark, write(tmp_path / "t.csv", "ID,id\n1,2\n"))
+    assert table.columns == ["ID", "id.1"] and tuple(table.first()) == ("1", "2")
+
+
+def test_a_field_too_many_raises(spark, tmp_path):
+    path = write(tmp_path / "t.csv", "a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more than the 2 fields"):
+        tt.read_csv_table(spark, path).select("a").collect()
+    with pytest.raises(pd.errors.ParserError):
+        pd.read_csv(path)
+
+
 def test_load_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tt.load_table(spark, str(tmp_path / "absent.csv"))
