@@ -76,6 +76,18 @@ DIRTY_COLUMNS = ["event_id", "user_id", "value", "event_type", "sparse", "half",
 _SUMMARY = ["mean", "std", "min", "max", "median", "skew", "kurtosis", "q25", "q75", "non_null_count"]
 _RAW_SUMMARY = ["mean", "std", "min", "max", "median", "skew", "non_null_count"]
 
+# more numeric columns than go by single sums
+WIDE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                "o_custkey", "o_totalprice", "p_size", "p_retailprice", "gapped", "spread"]
+WIDE = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, o_custkey, o_totalprice,
+  p_size, p_retailprice, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity * l_discount END AS gapped, l_extendedprice - p_retailprice AS spread
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey"""
+
+
+def _wide(s, d):
+    return tt.stage(s.sql(WIDE, **{t: read(s, d, t) for t in ("lineitem", "orders", "part")}), "wide")
+
+
 QUERIES = {
     "numeric_summary": lambda s, d: tt.numeric_summary(read(s, d, "lineitem")),
     "numeric_summary_documents": lambda s, d: tt.numeric_summary(read(s, d, "documents")),
@@ -88,6 +100,7 @@ QUERIES = {
     "null_counts_nested": lambda s, d: tt.null_counts(read(s, d, "embeddings")),
     "missing_profile": lambda s, d: tt.missing_profile(dirty(s, d)),
     "correlation_matrix": lambda s, d: tidy(tt.correlation_matrix(read(s, d, "lineitem"))),
+    "correlation_matrix_wide": lambda s, d: tidy(tt.correlation_matrix(_wide(s, d))),
     "correlation_matrix_gaps": lambda s, d: tidy(tt.correlation_matrix(dirty(s, d))),
     "correlation_pairs": lambda s, d: tt.correlation_pairs(read(s, d, "part")),
     "strongest_pair": lambda s, d: tt.strongest_pair(read(s, d, "part")),
@@ -153,6 +166,8 @@ ORACLES = {
         f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS n_null,
 round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 1) AS pct FROM dirty""" for c in DIRTY_COLUMNS) + ") WHERE n_null > 0",
     "correlation_matrix": _matrix_sql("lineitem", LINEITEM),
+    "correlation_matrix_wide": _matrix_sql("wide", WIDE_COLUMNS, "WITH wide AS (" + WIDE.format(
+        lineitem="lineitem", orders="orders", part="part") + ")"),
     "correlation_matrix_gaps": _matrix_sql("dirty", GAPPED, DIRTY_SQL),
     "correlation_pairs": _ranked_sql(PART, "part") + " SELECT rank, a, b, round(r, 3) AS r FROM ranked WHERE abs(r) > 0.3",
     "strongest_pair": _ranked_sql(PART, "part") + " SELECT a, b FROM ranked WHERE rank = 1",

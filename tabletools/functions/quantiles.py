@@ -210,11 +210,14 @@ def group_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
     """
     rows = df.where(~is_missing(df, key) & ~is_missing(df, value)).select(
         col(key).alias("k"), number(df, value).alias("v"))
-    sizes = rows.groupBy("k").agg(
-        F.count("*").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.approx_count_distinct("v").alias("d"))
-    hot = stage(sizes.where(F.col("d") > group_values).drop("d"), "hot-groups")
-    if hot.limit(1).count() == 0:
+    sizes = rows.groupBy("k").agg(F.count("*").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # no group has more distinct values than rows, so only large groups need a sketch
+    hot = stage(sizes.where(F.col("total") > group_values), "large-groups")
+    if not hot.isEmpty():
+        sketched = join_group_facts(rows, hot.select("k"), ["k"], "v").groupBy("k") \
+            .agg(F.approx_count_distinct("v").alias("d")).where(F.col("d") > group_values)
+        hot = stage(hot.join(sketched.select("k"), "k"), "hot-groups")
+    if hot.isEmpty():
         return _ranked_quantiles(rows, probs).select(F.col("k").alias(key), "n", "q")
     marked = join_group_facts(rows, hot, ["k"], "v", how="left")
     cold = _ranked_quantiles(marked.where(F.col("total").isNull()).select("k", "v"), probs)

@@ -134,8 +134,10 @@ class TableProfile:
         pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
         varied = {c for c in self.filled_numeric if self._basic[c]["min"] < self._basic[c]["max"]}
         usable = [(a, b) for a, b in pairs if a in varied and b in varied]
-        sums = self._pair_sums_by_batch(usable) if len(cols) > NARROW_COLUMNS \
-            else self._pair_sums_by_column(usable)
+        # six sums for a pair with gaps: more than one job's worth go by batch, in a single pass, as those of wide tables do
+        gaps = sum(self._basic[a]["missing"] > 0 or self._basic[b]["missing"] > 0 for a, b in usable)
+        by_batch = len(cols) > NARROW_COLUMNS or gaps > SUMS_PER_JOB // 6
+        sums = self._pair_sums_by_batch(usable) if by_batch else self._pair_sums_by_column(usable)
         return {p: _pearson(*sums[p]) if p in sums else None for p in pairs}
 
     def _pair_sums_by_column(self, pairs):
