@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletools.functions.joins import join_group_facts
-from tabletools.llm.words import slices
+from tabletools.llm.words import bounded_batches, slices
 from tabletools.sources.staging import stage
 
 LENGTH = 2048
@@ -32,8 +32,8 @@ QUANTUM = 128
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 PACK_ROWS = 2000            # documents that a task packs at once
-TOKENIZE_BYTES = 1 << 24
-KEPT_PIECES = 300_000       # pieces of words whose ids a task keeps
+TOKENIZE_BYTES = 1 << 22
+KEPT_PIECES = 100_000       # pieces of words whose ids a task keeps
 
 # How the vocabulary's words are cut into pieces, and the characters for which the cut is plain: ASCII without the
 # apostrophe (it starts contractions) and "<" (it starts special tokens), and the letters of Latin-1, which have simple lower cases
@@ -250,7 +250,7 @@ def pack(docs: DataFrame, length: int = LENGTH, quantum: int = QUANTUM, path: st
     from tokenizers import Tokenizer
     id_bytes = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     src = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
-    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), src.alias("src"), "text")
+    rows = stage(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), src.alias("src"), "text")
                  .mapInArrow(_tokenized(path, end_id, id_bytes), _STAGED), "token-ids")
     shares = rows.groupBy("src", "part").agg(F.sum("tokens").alias("tokens"))
     ahead = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletools.llm.words import bounded_batches
+
 KINDS = ("assign", "access", "hex", "cost")     # in the order that spans with the same start take
 LEAST_COST = 10.0                               # decimal logarithm of the guesses that make a value a secret
 LEAST_LENGTH = 8
@@ -168,4 +170,4 @@ def joined(spans):
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns but ``secrets``; repeated rows each get theirs) with the array of spans."""
-    return docs.withColumn("secrets", secret_spans(F.col("text")))
+    return bounded_batches(docs).withColumn("secrets", secret_spans(F.col("text")))

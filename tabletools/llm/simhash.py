@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tabletools.llm.components import components
 from tabletools.llm.keep import without
-from tabletools.llm.words import slices
+from tabletools.llm.words import bounded_batches, slices
 from tabletools.sources.staging import stage
 
 SHINGLE_WORDS = 3
@@ -163,7 +163,7 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RA
     Null and empty texts have fingerprint 0 and are linked like others. A null doc_id takes part but is never
     the smallest unless no other is there. Repeated rows each get theirs.
     """
-    rows = stage(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
+    rows = stage(bounded_batches(docs).select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     roots = components(near_links(classes.select("fp"), radius, small))
     roots = stage(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "components")

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletools.llm.words import find_words, gram_hashes, mixed, prefix_hashes, slices, span_hashes, word_hashes
+from tabletools.llm.words import (
+    bounded_batches, find_words, gram_hashes, prefix_hashes, slices, span_hashes, word_hashes)
 from tabletools.sources.staging import stage
 
 WINDOW = 35
@@ -168,7 +169,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A null text has no words. A row that is there twice repeats itself, so it loses all it has if that is a window or more; texts
     shorter than a window keep all. Other columns of ``docs`` are not read.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = bounded_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     repeats = repeated_runs(rows, window)
 
     @F.arrow_udf(_CUT)

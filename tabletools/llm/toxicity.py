@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletools.llm.words import ASCII_PUNCTUATION, WHITE, find_words, slices, text_bytes, word_hashes
+from tabletools.llm.words import ASCII_PUNCTUATION, WHITE, bounded_batches, find_words, slices, text_bytes, word_hashes
 
 TRAIN_ROWS = 8_000
 VOTERS = 200                # words and stems of the lexicon
@@ -91,9 +91,11 @@ def _sigmoid(z):
 
 def _strongest(docs: np.ndarray, keys: np.ndarray, p: np.ndarray, most: int) -> np.ndarray:
     """The keys whose presence tells most of the class with probabilities ``p``: by the z value of the two shares."""
-    distinct, column = np.unique(keys, return_inverse=True)
-    count = np.bincount(column, minlength=len(distinct)).astype(float)
-    toxic = np.bincount(column, p[docs], minlength=len(distinct))
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    distinct, count = ordered[begins], np.diff(np.append(begins, len(keys))).astype(float)
+    toxic = np.add.reduceat(p.astype(np.float32)[docs[order]], begins, dtype=np.float64) if len(keys) else np.zeros(0)
     share = p.mean()
     z = (toxic - count * share) / np.sqrt(count * share * (1 - share) * (1 - count / len(p)) + 1.0)
     order = np.lexsort((distinct, -z))
@@ -169,7 +171,8 @@ def _train(rows: pa.Table) -> Toxicity:
     if len(np.unique(labels)) < 2:
         return Toxicity(np.zeros(0, np.uint32), np.zeros(0), np.zeros(len(PATTERNS)), float(np.log(prior / (1 - prior))))
     per_doc = [np.frombuffer(k, np.uint32) for k in rows["keys"].to_pylist()]
-    docs, keys = np.repeat(np.arange(len(per_doc)), [len(k) for k in per_doc]), np.concatenate(per_doc)
+    docs = np.repeat(np.arange(len(per_doc), dtype=np.int32), [len(k) for k in per_doc])
+    keys = np.concatenate(per_doc)
     patterns = np.array(rows["patterns"].to_pylist(), float).reshape(len(labels), len(PATTERNS))
     lexicon = _strongest(docs, keys, labels, VOTERS)
     posterior = LabelModel(np.hstack([_fires(docs, keys, lexicon, len(labels)), patterns]), labels).posterior
@@ -199,7 +202,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
         return pa.StructArray.from_arrays([pa.array(keys_out, pa.binary()), pa.array(patterns_out, pa.list_(pa.bool_()))],
                                           ["keys", "patterns"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    sample = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
     rows = sample.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*")
     return _train(rows.toArrow().sort_by("doc_id").slice(0, train_rows))
 

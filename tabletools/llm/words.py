@@ -11,8 +11,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 WHITE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 ASCII_PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)      # odd, so that each has an inverse modulo 2^64
@@ -34,6 +36,13 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """The same table; from here on the session sends a task's rows to Python in batches of about ``BATCH_BYTES``, so that long texts take
+    no more memory than short ones. Spark's limit is a number of rows and 64 MB."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """The texts (null: empty) in order, in slices of at most ``most`` bytes or one text."""
     texts = texts.cast(pa.large_string()).fill_null("")
