@@ -21,7 +21,7 @@ MOST = 2.0              # times that a source may be repeated
 BLOCK_WORDS = 256
 BUCKET_DIGITS = 3       # hex digits of the hash that make the ranges in which a source is numbered
 CELLS = 1024            # equal parts of the unit interval, to find the source of a point by an equality
-CHUNK_SLOTS = 1 << 16
+CHUNK_SLOTS = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 _POINT_BITS = 52
 
