@@ -111,7 +111,7 @@ def mix(sized: DataFrame, block: int = BLOCK_WORDS, **settings) -> tuple[DataFra
     src = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))          # "t" sorts after every name
     more = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     sized = sized.select("doc_id", src.alias("src"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), *more)
-    docs = stage(stream_positions(sized), "mix-streams")
+    docs = stage(stream_positions(stage(sized, "mix-sizes")), "mix-streams")      # texts are read once
     plan = stage(source_targets(docs, **settings).withColumns(_blocks_needed(block)), "mix-plan")
     total_slots = plan.agg(F.sum("slots")).first()[0] or 0
     slots = schedule(plan, total_slots).join(F.broadcast(plan.drop("slots", "target")), "src").select(
