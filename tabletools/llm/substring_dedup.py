@@ -120,22 +120,24 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """``row, spans`` of the rows (row, doc_id, text) with a repeated window; the spans are (start, end) in words, sorted, apart."""
     texts = rows.select("row", "text")
     counted = texts.mapInArrow(_anchors(window), "anchor long, n long")
-    shared = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    # written, so that in the joins only shuffles meet, whose large partitions Spark can split
+    shared = stage(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeat-anchors")
     runs = texts.mapInArrow(_runs(window), "anchor long, context long, row long, low int, size int")
     seeds = stage(runs.join(shared, "anchor"), "repeat-seeds")
 
     classes = stage(seeds.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("row", "low", "size")).alias("member")), "repeat-classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    several = stage(classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "repeat-several")
     members = classes.join(several, "anchor").select("anchor", "context", "n", "member.*")
     listed = members.groupBy("row").agg(F.collect_list(F.struct("anchor", "context", "n", "low", "size")).alias("runs"))
     windows = stage(rows.join(listed, "row").select("text", "runs").mapInArrow(
         _extended(window), "left long, right long, anchor long, context long, place int, n long"), "repeat-windows")
-    found = windows.groupBy("left", "right").agg(F.sum("n").alias("all")).where("all > 1").select("left", "right")
+    found = stage(windows.groupBy("left", "right").agg(F.sum("n").alias("all")).where("all > 1").select("left", "right"),
+                  "repeated-windows")
     places = windows.where("n = 1").join(found, ["left", "right"]).groupBy("anchor", "context") \
         .agg(F.sort_array(F.collect_set("place")).alias("places"))      # as many as a run has windows at most
     whole = classes.where("n > 1").select("anchor", "context", F.lit(None).cast("array<int>").alias("places"))
-    hits = seeds.join(whole.unionByName(places), ["anchor", "context"])
+    hits = seeds.join(stage(whole.unionByName(places), "repeat-places"), ["anchor", "context"])
     low, size = F.col("low"), F.col("size")
     spans = F.when(F.col("places").isNull(), F.array(F.struct(low.alias("start"), (low + size - 1 + window).alias("end")))) \
         .otherwise(F.transform("places", lambda p: F.struct((low + p).alias("start"), (low + p + window).alias("end"))))
