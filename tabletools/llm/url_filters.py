@@ -6,6 +6,10 @@ file ending). Children whose share of blocked labels does not differ from that o
 proportions, are merged into ``*``. The leaves are the templates. Labels are the verdicts of the rules, and a template is rejected if
 the smoothed share of blocked pages among its labelled ones is over a half; the smoothing draws it towards the share of
 the same template on all hosts, and that one towards the share of all pages.
+
+Templates keep literal segments where a host is small, so a second verdict does not depend on the size of a host: in every path digits,
+dates and hex become their shapes, and the share of such a path is drawn towards that of the paths above it on all hosts, level by
+level, so that the nearest one with labels decides.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletools.functions.joins import join_group_facts
 from tabletools.sources.staging import stage
 
 # Fixed values: (host, path, verdict)
@@ -54,6 +59,15 @@ def _shape(segment):
     return F.concat(F.lit("{"), shape, F.lit("}"), ending)
 
 
+def shape_path(path):
+    """A column with the path whose digits, dates and hex are shapes in every segment; without empty segments."""
+    def general(segment):
+        shape = _shape(segment)
+        return F.when(shape.startswith("{w}"), segment).otherwise(shape)
+
+    return F.array_join(F.concat(F.array(F.lit("")), F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)), "/")
+
+
 def _share(blocked, labelled, prior):
     return (blocked + SMOOTHING * prior) / (labelled + SMOOTHING)
 
@@ -99,10 +113,37 @@ def path_templates(paths: DataFrame) -> DataFrame:
     return reduce(_next_level, range(1, levels + 1), paths).drop("segments")
 
 
+def _prefixes(shapes):
+    """The level and the MD5 of the path itself and of each above it, but for the root."""
+    parts = F.split(shapes, "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.struct(
+        i.alias("level"), F.md5(F.array_join(F.slice(parts, F.lit(1), i), "/").cast("binary")).alias("key"))))
+
+
+def shape_purities(paths: DataFrame, prior: float) -> DataFrame:
+    """``paths`` (host, path, n, blocked, labelled) with ``shapes`` and ``shape_purity``: the smoothed share of the host's paths of these
+    shapes, drawn towards that on all hosts, and that one towards the path above it, up to ``prior``."""
+    paths = stage(paths.withColumn("shapes", shape_path(F.col("path"))), "url-shapes")
+    own = stage(paths.groupBy("host", "shapes").agg(*_sums()), "url-host-shapes")
+    every = stage(own.groupBy("shapes").agg(*_sums()), "url-all-shapes")
+    facts = every.where("labelled > 0").select(F.explode(_prefixes(F.col("shapes"))).alias("at"), "blocked", "labelled") \
+        .groupBy(F.col("at.key").alias("key")).agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    asked = every.select("shapes", F.explode(_prefixes(F.col("shapes"))).alias("at")).select("shapes", "at.*")
+    levels = join_group_facts(asked, stage(facts, "url-prefixes"), ["key"], "shapes") \
+        .groupBy("shapes").agg(F.sort_array(F.collect_list(F.struct("level", "blocked", "labelled"))).alias("levels"))
+    above = F.aggregate("levels", F.lit(prior), lambda p, x: _share(x["blocked"], x["labelled"], p))
+    alike = every.select("shapes").join(levels, "shapes", "left").select(
+        "shapes", F.coalesce(above, F.lit(prior)).alias("alike"))
+    purity = join_group_facts(own, stage(alike, "url-alike"), ["shapes"], "host").select(
+        "host", "shapes", _share(F.col("blocked"), F.col("labelled"), F.col("alike")).alias("shape_purity"))
+    return join_group_facts(paths, stage(purity, "url-purities"), ["host", "shapes"], "path")
+
+
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, template, purity`` of each page.
+    """``page_id, host, path, rule, verdict, template, purity, shapes, shape_purity, shape_verdict`` of each page.
 
-    ``purity`` is the smoothed share of blocked pages of the page's template, which decides where no rule fits. Null addresses and those without
+    ``purity`` is the smoothed share of blocked pages of the page's template, which decides where no rule fits; ``shape_verdict`` is by
+    the rule or else by ``shape_purity``, so it is the same on hosts of any size. Null addresses and those without
     ``://`` are one host and path, both empty; repeated rows count each.
     """
     host, path = split_url(F.col("url"))
@@ -111,7 +152,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     blocked, labelled = F.col("by_rule.verdict") == "block", F.col("by_rule").isNotNull()
     paths = judged.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count(F.when(blocked, 1)).alias("blocked"), F.count(F.when(labelled, 1)).alias("labelled"))
-    paths = path_templates(paths)
+    paths = stage(paths, "url-counts")
+    paths, counts = path_templates(paths), paths
     leaves = stage(paths.groupBy("host", "template").agg(*_sums()), "url-templates")
     blocked, labelled = leaves.agg(F.sum("blocked"), F.sum("labelled")).first()
     prior = ((blocked or 0) + 1.0) / ((labelled or 0) + 2.0)
@@ -120,7 +162,11 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     purity = leaves.join(alike, "template").select(
         "host", "template", _share(F.col("blocked"), F.col("labelled"), F.col("alike")).alias("purity"))
     of_path = paths.join(purity, ["host", "template"]).select("host", "path", "template", "purity")
-    by_tree = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
+    of_path = of_path.join(shape_purities(counts, prior).select("host", "path", "shapes", "shape_purity"), ["host", "path"])
+
+    def verdict(purity):
+        return F.coalesce("by_rule.verdict", F.when(F.col(purity) > REJECT, "block").otherwise("allow"))
+
     return judged.join(of_path, ["host", "path"]).select(
-        "page_id", "host", "path", F.col("by_rule.rule").alias("rule"),
-        F.coalesce("by_rule.verdict", by_tree).alias("verdict"), "template", "purity")
+        "page_id", "host", "path", F.col("by_rule.rule").alias("rule"), verdict("purity").alias("verdict"), "template", "purity",
+        "shapes", "shape_purity", verdict("shape_purity").alias("shape_verdict"))

@@ -1,0 +1,78 @@
+"""The verdict by shapes: the nearest path above with labels decides, on hosts of any size."""
+
+import re
+from collections import defaultdict
+
+import pytest
+
+from tabletools.llm.queries import op6_url_filters
+from tabletools.llm.url_filters import judge_urls
+
+SHAPES = (("n", "[0-9]+"), ("d", r"[0-9]{4}[-_.][0-9]{2}[-_.][0-9]{2}"), ("h", "[0-9a-fA-F-]{8,}"))
+
+
+def slow_shapes(path):
+    out = ""
+    for s in filter(None, path.split("/")):
+        for name, pattern in SHAPES:
+            if m := re.fullmatch(pattern + r"(\.[A-Za-z][A-Za-z0-9]{0,4})?", s):
+                s = "{" + name + "}" + (m[1] or "")
+                break
+        out += "/" + s
+    return out
+
+
+def check(rows):
+    """Every share by walking up the paths; a page counts as labelled if a rule judged it."""
+    counts = defaultdict(lambda: [0, 0])
+    for r in rows:
+        assert r.shapes == slow_shapes(r.path)
+        parts = r.shapes.split("/")
+        for key in [(None, "/".join(parts[:i])) for i in range(1, len(parts) + 1)] + [(r.host, r.shapes)]:
+            counts[key][0] += r.rule is not None and r.verdict == "block"
+            counts[key][1] += r.rule is not None
+    everything = counts.get((None, ""), [0, 0])
+    for r in rows:
+        p = (everything[0] + 1) / (everything[1] + 2)
+        parts = r.shapes.split("/")
+        for key in [(None, "/".join(parts[:i])) for i in range(2, len(parts) + 1)] + [(r.host, r.shapes)]:
+            p = (counts[key][0] + 2 * p) / (counts[key][1] + 2)
+        assert abs(r.shape_purity - p) < 1e-9
+        assert r.shape_verdict == (r.verdict if r.rule else "block" if p > 0.5 else "allow")
+
+
+def judged(spark, urls):
+    rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(rows) == len(urls)
+    check(rows)
+    return rows
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_walk(spark, sf):
+    rows = op6_url_filters(spark, f"/root/testdata/{sf}").collect()
+    check(rows)
+    assert {r.shape_verdict for r in rows if not r.rule and r.path.startswith("/es/")} == {"block"}
+
+
+def test_small_hosts_are_judged_as_large_ones(spark):
+    labelled = [f"http://b.example.org/es/{i}" for i in range(30)] + [f"http://b.example.org/de/{i}" for i in range(60)]
+    rows = judged(spark, labelled + ["http://few.net/es/2076", "http://few.net/de/7"] + [f"http://many.net/es/{i}" for i in range(40)]
+                  + [f"http://many.net/de/{i}" for i in range(40)])
+    for r in rows:
+        if r.host.endswith(".net"):
+            assert r.shape_verdict == ("block" if r.path.startswith("/es/") else "allow"), r
+
+
+def test_nearest_path_with_labels_decides(spark):
+    labelled = [f"http://x.com/de/shop/{i}" for i in range(20)] + [f"http://y.com/fr/{i}" for i in range(40)]
+    rows = judged(spark, labelled + ["http://z.net/de/2024-01-02/0123abcdef.html", "http://z.net/de/shop/x/y", "http://z.net/fr/a/1",
+                                     "http://z.net/it/1", "http://z.net/" + "a/7/" * 40, "http://z.net", None])
+    by = {r.path: r.shape_verdict for r in rows if r.host == "z.net"}
+    assert by["/de/2024-01-02/0123abcdef.html"] == by["/de/shop/x/y"] == "block"
+    assert by["/fr/a/1"] == by["/it/1"] == by[""] == "allow"
+
+
+def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr("tabletools.functions.joins.BROADCAST_ROWS", -1)
+    judged(spark, [f"http://b.example.org/es/{i}" for i in range(12)] + ["http://few.net/es/2076", "http://few.net/"])
