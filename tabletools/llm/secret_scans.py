@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,6 @@ from tabletools.llm.words import bounded_batches
 
 KINDS = ("assign", "access", "hex", "cost")     # in the order that spans with the same start take
 LEAST_COST = 10.0                               # decimal logarithm of the guesses that make a value a secret
-LEAST_LENGTH = 8
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -104,7 +104,7 @@ def guess_cost(value: str) -> float:
     best = [0.0] + [math.inf] * n
     lower = value.lower()
     plain = lower.translate(_PLAIN)
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]       # by their end: begin, cost
+    spans: dict[int, list[tuple[int, float]]] = defaultdict(list)          # by their end: begin, cost
     for begin, end, cost in _runs(value):
         spans[end].append((begin, cost))
     for begin, end, size in _repeated_blocks(value):
@@ -122,13 +122,14 @@ def guess_cost(value: str) -> float:
                 spans[end].append((begin, math.log10(rank + 1) + cost + capitals * math.log10(3)))
     for end in range(1, n + 1):
         best[end] = best[end - 1] + _alphabet(value[end - 1])              # brute force, one character more
-        for begin, cost in spans[end]:
+        for begin, cost in spans.get(end, ()):
             best[end] = min(best[end], best[begin] + cost + 0.3)           # 0.3: where the parts meet
     return best[n]
 
 
-def find_secrets(text: str | None, least_cost: float = LEAST_COST) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points by start, then by kind in the order of ``KINDS``."""
+def find_secrets(text: str | None, least_cost: float = LEAST_COST, inside: bool = False) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in code points by start, then by kind in the order of ``KINDS``. A costly value that a span of another
+    kind holds whole has a span of its own only if ``inside``."""
     if not text:
         return []
     lower = text.lower()
@@ -138,11 +139,10 @@ def find_secrets(text: str | None, least_cost: float = LEAST_COST) -> list[tuple
     if any(m in lower for m in _ASSIGN_MARKS):
         found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if any(m in lower for m in _CONTEXT_MARKS):
-        base = sorted((start, end) for _, start, end in found)
+        base = [(start, end) for _, start, end in found]
         for m in _CONTEXT.finditer(text):
             start, end = m.span(1)
-            known = any(a < end and start < b for a, b in base)
-            if not known and end - start >= LEAST_LENGTH and guess_cost(m[1]) >= least_cost:
+            if guess_cost(m[1]) >= least_cost and (inside or not any(a <= start and end <= b for a, b in base)):
                 found.append(("cost", start, end))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -153,10 +153,11 @@ _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 def secret_spans(text, least_cost: float = LEAST_COST):
     """A column with all spans of a text column. A null or empty text has none; texts are scanned whole, and a span never
-    depends on another row. The kinds but ``cost`` are fixed patterns; ``cost`` spans lie outside of theirs."""
+    depends on another row. The kinds but ``cost`` are fixed patterns; every value in a credential context is scored, whatever
+    spans it meets, and a costly one has a ``cost`` span beside theirs."""
     @F.arrow_udf(_SPANS)
     def spans(texts: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("kind", "start", "end"), s)) for s in find_secrets(t.as_py(), least_cost)] for t in texts]
+        rows = [[dict(zip(("kind", "start", "end"), s)) for s in find_secrets(t.as_py(), least_cost, inside=True)] for t in texts]
         return pa.array(rows, _SPANS_ARROW)
 
     return spans(text)
