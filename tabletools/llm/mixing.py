@@ -132,16 +132,21 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, **settings) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each document."""
+    """``doc_id, size, source_size, target, taken`` for each document, and the ``position`` of the first slot that takes words of it; in the
+    order of the schedule, those that are not taken last."""
     streams, parts = mix(sized_documents(docs), **settings)
-    taken = parts.groupBy("src", "start").agg(F.sum("words").alias("taken"))
+    taken = parts.groupBy("src", "start").agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
     mixed = streams.where("size > 0").join(taken, ["src", "start"], "left") \
-        .unionByName(streams.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return mixed.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+        .unionByName(streams.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+                     .withColumn("position", F.lit(None).cast("long")))
+    order = [F.col("position").asc_nulls_last(), F.col("start"), F.col("doc_id")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "position")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: a document once for each round of its source that takes it.
+    """The mix as rows with the columns of ``docs``: a document once for each round of its source that takes it, in the order of the
+    first slots that do: ranges of slots in the order of the partitions, sorted in each.
 
     The document at the end of a source's last round may be cut: its text then is its first words, joined by one space, and ``n_chars``
     follows. Documents that the mix has no room for, and those without words, are left out. Rows that agree in doc_id, source and
@@ -151,12 +156,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     keyed = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("size"),
                         key.alias("key")).distinct()
     streams, parts = mix(keyed, **settings)
-    rounds = parts.groupBy("src", "start", "round").agg(F.sum("words").alias("words"))
+    rounds = parts.groupBy("src", "start", "round").agg(F.sum("words").alias("words"), F.min("position").alias("position"))
+    words = F.when(F.col("words") < F.col("size"), F.col("words")).otherwise(F.lit(-1))
     taken = streams.where("size > 0").join(rounds, ["src", "start"]) \
-        .groupBy("key").agg(F.collect_list(F.when(F.col("words") < F.col("size"), F.col("words"))
-                                           .otherwise(F.lit(-1))).alias("taken"))
+        .groupBy("key").agg(F.collect_list(F.struct("position", "start", words.alias("words"))).alias("taken"))
     rows = docs.withColumn("_key", key).join(taken, F.col("_key") == F.col("key"))
-    rows = rows.withColumn("_words", F.explode("taken"))
+    rows = rows.withColumn("_taken", F.explode("taken"))
+    order = [F.col("_taken.position"), F.col("_taken.start"), F.col("doc_id")]
+    rows = rows.withColumn("_words", F.col("_taken.words")).repartitionByRange(*order).sortWithinPartitions(*order)
     cut = F.col("_words") >= 0
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words")), " ")
     text = F.when(cut, first_words).otherwise(F.col("text"))
