@@ -16,3 +16,10 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
     dropped = stage(dropped.select(*[F.col(c).alias(f"_dropped_{c}") for c in keys]), "dropped")
     same = [e.eqNullSafe(dropped[f"_dropped_{c}"]) for c, e in keys.items()]
     return docs.join(F.broadcast(dropped) if fits_broadcast(dropped) else dropped, same, "left_anti")
+
+
+def one_text_each(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+    """``doc_id, text`` and the label of the documents in ``wanted`` (doc_id, label; few rows): one row of each, however often it repeats,
+    with the largest of its texts in the order of their bytes."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    return rows.groupBy("doc_id", label).agg(F.max("text").alias("text"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletools.llm.keep import one_text_each
 from tabletools.llm.words import (
     bounded_batches, find_words, gram_hashes, grams_inside, mixed, slices, text_bytes, word_hashes)
 
@@ -189,7 +190,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
         return pa.StructArray.from_arrays([pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())],
                                           ["buckets", "shares"])
 
-    sample = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    sample = bounded_batches(one_text_each(docs, wanted, "quality"))
     rows = sample.select(F.xxhash64("doc_id").alias("at"), "doc_id", "quality", features("text").alias("f"))
     rows = rows.select("at", "doc_id", "quality", "f.*").toArrow()
     return _train(rows.sort_by([("at", "ascending"), ("doc_id", "ascending")]).slice(0, train_rows))

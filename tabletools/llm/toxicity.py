@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletools.llm.keep import one_text_each
 from tabletools.llm.words import ASCII_PUNCTUATION, WHITE, bounded_batches, find_words, slices, text_bytes, word_hashes
 
 TRAIN_ROWS = 8_000
@@ -202,7 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
         return pa.StructArray.from_arrays([pa.array(keys_out, pa.binary()), pa.array(patterns_out, pa.list_(pa.bool_()))],
                                           ["keys", "patterns"])
 
-    sample = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    sample = bounded_batches(one_text_each(docs, wanted, "toxic"))
     rows = sample.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*")
     return _train(rows.toArrow().sort_by("doc_id").slice(0, train_rows))
 
