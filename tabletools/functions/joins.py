@@ -18,9 +18,9 @@ HOT_ROWS = 1_000_000      # rows of one key that one task may hold
 
 
 def _row_bytes(df: DataFrame):
-    """Size of a row, roughly: texts and arrays by their length, 16 bytes for anything else."""
+    """Size of a row, roughly: texts, bytes and arrays by their length, 16 bytes for anything else."""
     def size(f):
-        if isinstance(f.dataType, T.StringType):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             return F.octet_length(f.name)
         if isinstance(f.dataType, T.ArrayType):
             return 16 * F.size(f.name)
