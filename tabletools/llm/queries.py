@@ -13,8 +13,11 @@ from tabletools.llm.secret_scans import KINDS, joined, scan_secrets
 from tabletools.llm.sharding import shard_documents
 from tabletools.llm.simhash import simhash_groups
 from tabletools.llm.substring_dedup import remove_repeats
+from tabletools.llm.token_alignment import aligned_documents
+from tabletools.llm.topk_search import top_k
 from tabletools.llm.toxicity import held_out, score_documents
 from tabletools.llm.url_filters import judge_urls
+from tabletools.llm.vector_codes import compress
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_toxicity": op2_toxicity,
@@ -86,8 +101,41 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_topk_search": op11_topk_search,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
 }
 
+_CODES_ROUND = """
+found{n} AS MATERIALIZED (
+  SELECT vec_id, part, min(error) AS error, arg_min(entry, (error, entry)) AS entry FROM (
+    SELECT x.vec_id, x.part, e.entry, sum((x.x - e.x) ** 2)::BIGINT AS error
+    FROM parts x JOIN book{n} e USING (part, place) GROUP BY ALL)
+  GROUP BY vec_id, part),"""
+
+_CODES_NEXT = """
+book{next} AS MATERIALIZED (
+  SELECT b.part, b.place, b.entry, coalesce(m.x, b.x) AS x FROM book{n} b LEFT JOIN (
+    SELECT p.part, p.place, f.entry, floor(sum(p.x) / count(*)) AS x
+    FROM parts p JOIN found{n} f USING (vec_id, part) GROUP BY ALL) m USING (part, place, entry)),"""
+
+# two rounds, then the last assignment
+_CODES_SQL = """
+WITH kept AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS nth FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+parts AS MATERIALIZED (
+  SELECT vec_id, nth, (i - 1) // (n // 16) AS part, (i - 1) % (n // 16) AS place, floor(256 * x::DOUBLE) AS x FROM (
+    SELECT vec_id, nth, len(embedding) AS n, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM kept)),
+book0 AS MATERIALIZED (SELECT part, place, nth AS entry, x FROM parts WHERE nth < 64),""" + "".join(
+    _CODES_ROUND.format(n=n) + (_CODES_NEXT.format(n=n, next=n + 1) if n < 2 else "") for n in range(3)) + """
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error
+  FROM found2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
 ORACLES = {
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -117,4 +165,15 @@ SELECT doc_id, size, source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE size * (floor(target)::BIGINT // source_size)
     + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) END::BIGINT AS taken
 FROM streams JOIN targets USING (src)""",
+    "op11_topk_search": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q, whole c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
+WHERE rank <= 10""",
+    "op12_vector_codes": _CODES_SQL,
 }
