@@ -6,24 +6,18 @@ import math
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
 from tabletools.functions.joins import BROADCAST_ROWS, fits_broadcast, join_group_facts
 from tabletools.functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, batches, col, columns_of, kind_of
-from tabletools.functions.partitions import on_all_cores
 from tabletools.operators.cleaning import fill_median
+from tabletools.operators.forest import Forest, fit_forest
 from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile, value_counts
 from tabletools.sources.staging import stage
 
 MISSING_LABEL = "nan"
-BINS = 64
-DEPTH = 10
 SORT_ROWS = 100_000   # rows one task may sort
 SKETCH_MARGIN = 4     # an estimate this many times over the limit is surely over it
 
@@ -192,42 +186,31 @@ def encode_target(train: DataFrame, test: DataFrame, target: str) -> tuple[DataF
 
 # -- forests ----------------------------------------------------------------------------
 
-def _fit(train: DataFrame, features: list[str], forest) -> PipelineModel:
-    assembler = VectorAssembler(inputCols=[f"`{c}`" if "." in c else c for c in features], outputCol="_features")
-    forest = forest.setFeaturesCol("_features").setPredictionCol("prediction")
-    rows = assembler.transform(train).select("_features", forest.getLabelCol())
-    return PipelineModel([assembler, forest.fit(on_all_cores(rows))])
-
-
 def n_classes(train: DataFrame, label: str) -> int:
     """Number of classes in a column of labels 0, 1, ..."""
     return int(train.agg(F.max(label)).first()[0]) + 1
 
 
 def forest_classify(train: DataFrame, features: list[str], label: str = "label", trees: int = K.TREES,
-                    depth: int = DEPTH, seed: int = K.SEED, classes: int | None = None) -> PipelineModel:
-    """Random forest over all classes found in ``label`` (0, 1, ...)."""
-    classes = classes or n_classes(train, label)
-    named = train.withMetadata(label, {"ml_attr": {"type": "nominal", "name": label, "num_vals": max(classes, 2)}})
-    return _fit(named, features, RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, maxBins=BINS, maxMemoryInMB=1024))
+                    depth: int | None = None, seed: int = K.SEED, classes: int | None = None) -> Forest:
+    """Random forest over all classes found in ``label`` (0, 1, ...), grown until leaves are pure unless ``depth`` limits it. A node
+    tries about the square root of the number of features."""
+    classes = max(classes or n_classes(train, label), 2)
+    return fit_forest(train, features, label, classes, trees, seed, max(1, math.isqrt(len(features))), depth)
 
 
 def forest_regress(train: DataFrame, features: list[str], label: str, trees: int = K.TREES,
-                   depth: int = DEPTH, seed: int = K.SEED) -> PipelineModel:
-    """Random forest on a numeric target, all features tried at each split."""
+                   depth: int | None = None, seed: int = K.SEED) -> Forest:
+    """Random forest on a numeric target, grown like that for classes, all features tried at each split."""
     if kind_of(train.schema[label].dataType) not in (NUMERIC, BOOLEAN):
         raise ValueError(K.NOT_NUMERIC.format(column=label))
-    return _fit(train.withColumn(label, col(label).cast("double")), features, RandomForestRegressor(
-        labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, maxBins=BINS, maxMemoryInMB=1024,
-        featureSubsetStrategy="all"))
+    return fit_forest(train, features, label, 0, trees, seed, len(features), depth)
 
 
-def feature_importances(model: PipelineModel, k: int = K.TOP_FEATURES,
+def feature_importances(model: Forest, k: int = K.TOP_FEATURES,
                         names: list[str] | None = None) -> DataFrame:
     """(feature, importance) of the k most important features."""
-    names = names or model.stages[0].getInputCols()
-    rows = zip(names, model.stages[-1].featureImportances.toArray().tolist())
+    rows = zip(names or model.features, model.importances.tolist())
     top = sorted(rows, key=lambda pair: -pair[1])[:k]
     return SparkSession.active().createDataFrame(top, "feature string, importance double") \
         .withColumn("importance", F.round("importance", 4))
@@ -310,7 +293,7 @@ _IMPORTANCES = "feature string, importance double"
 
 
 def run_automl(df: DataFrame, target: str | None, task: str | None, keys: Sequence[str] = (),
-               trees: int = K.TREES, depth: int = DEPTH, exact_split: bool = False,
+               trees: int = K.TREES, depth: int | None = None, exact_split: bool = False,
                max_cardinality: int = K.MAX_CARDINALITY) -> tuple[DataFrame, DataFrame]:
     """(one-row result, importances). What the data does not allow becomes an ``error`` value; a lost executor or a full memory
     stays an exception. Without keys all columns tell rows apart. ``left_out`` names the text columns
