@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import tabletools as tt
 from catalog.tables import DIRTY_SQL, dirty, read, tidy
+from tabletools.operators.forest import fit_forest
 
 FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ROW_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -92,6 +93,27 @@ def _automl(s, d, target, task):
                          "skipped", "error", "left_out")
 
 
+def _learnt(s, d, target, task):
+    """Scores of a run whose target follows from the features: over those of the most frequent class, and of the mean."""
+    columns = [F.col(c) for c in dict.fromkeys([*ROW_KEYS, *FEATURES])]
+    rows = read(s, d, "lineitem").select(*columns, F.expr(target).alias("y"))
+    result, importances = tt.run_automl(rows, "y", task, ROW_KEYS)
+    leaders = {r.feature for r in importances.orderBy(F.desc("importance")).limit(2).collect()}
+    good = F.col("accuracy") >= 0.98 if task == "classification" else F.col("r2_score") >= 0.95
+    return result.select("task_type", "train_samples", "test_samples", good.alias("learnt"), "error",
+                         F.lit(", ".join(sorted(leaders))).alias("deciding_features"))
+
+
+def _as_fit(s, d):
+    """A forest without a draw of rows repeats the training labels wherever the features tell rows apart."""
+    rows = read(s, d, "lineitem").withColumn("y", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(3)).cast("double"))
+    model = fit_forest(rows, ["l_orderkey", "l_partkey", "l_linenumber"], "y", 3, 3, 42, 1, drawn=False)
+    pred = model.transform(rows.select("l_orderkey", "l_partkey", "l_linenumber", "y"))
+    hits = pred.groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(
+        F.count_distinct("y").alias("classes"), F.count_if(F.col("y") != F.col("prediction")).alias("wrong"))
+    return hits.agg(F.count("*").alias("groups"), F.count_if((F.col("classes") == 1) & (F.col("wrong") > 0)).alias("wrong"))
+
+
 def _gated(s, d):
     """One row too few, and just enough."""
     few = read(s, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey").orderBy("c_custkey")
@@ -128,6 +150,9 @@ QUERIES = {
     "min_rows_gate": _gated,
     "run_automl_classification": lambda s, d: _automl(s, d, "l_returnflag", "classification"),
     "run_automl_regression": lambda s, d: _automl(s, d, "l_extendedprice", "regression"),
+    "run_automl_learns_classes": lambda s, d: _learnt(s, d, _SIZED, "classification"),
+    "run_automl_learns_numbers": lambda s, d: _learnt(s, d, _DUE, "regression"),
+    "forest_grows_to_the_end": _as_fit,
     "run_automl_error": lambda s, d: tt.run_automl(read(s, d, "lineitem"), "l_returnflag", "regression", ROW_KEYS)[0],
 }
 
@@ -164,6 +189,11 @@ def _automl_sql(target: str, task: str) -> str:
   false AS skipped, NULL::VARCHAR AS error, NULL::VARCHAR AS left_out FROM {_TESTED}"""
 
 
+def _learnt_sql(task: str, features: str) -> str:
+    return f"""SELECT '{task}' AS task_type, count(*) FILTER (NOT test) AS train_samples, count(*) FILTER (test) AS test_samples,
+  true AS learnt, NULL::VARCHAR AS error, '{features}' AS deciding_features FROM {_TESTED}"""
+
+
 ORACLES = {
     "forest_classify": f"""WITH t AS (SELECT *, {_SIZED} AS size FROM {_TESTED})
 SELECT count(*) FILTER (NOT test) AS train_rows, count(*) FILTER (test) AS predicted, count(*) FILTER (test) AS known,
@@ -173,6 +203,10 @@ SELECT count(*) FILTER (NOT test) AS train_rows, count(*) FILTER (test) AS predi
     "feature_importances": "SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, true AS not_negative, true AS sum_is_one",
     "run_automl_classification": _automl_sql("l_returnflag", "classification"),
     "run_automl_regression": _automl_sql("l_extendedprice", "regression"),
+    "run_automl_learns_classes": _learnt_sql("classification", "l_extendedprice, l_quantity"),
+    "run_automl_learns_numbers": _learnt_sql("regression", "l_discount, l_quantity"),
+    "forest_grows_to_the_end": """SELECT count(*) AS groups, 0::BIGINT AS wrong
+  FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)""",
     "min_rows_gate": """SELECT 0::BIGINT AS rows, 'Dataset has only ' || count(*) || ' rows after preprocessing — too few for a reliable train/test split.' AS error
   FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 19)
 UNION ALL SELECT count(*), NULL FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 20)""",
