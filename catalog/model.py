@@ -128,6 +128,7 @@ QUERIES = {
         tt.drop_sparse_columns(dirty(s, d)), "sparse"),
     "cardinality_gate": lambda s, d: tt.cardinality_gate(read(s, d, "part")),
     "cardinality_gate_customers": lambda s, d: tt.cardinality_gate(read(s, d, "customer")),
+    "cardinality_gate_documents": lambda s, d: tt.cardinality_gate(read(s, d, "documents")),
     "label_encode": lambda s, d: tt.label_encode(read(s, d, "part"), ["p_brand", "p_type"]),
     "label_encode_gaps": lambda s, d: tt.label_encode(dirty(s, d).select("event_id", "event_type"), ["event_type"]),
     "fill_features": lambda s, d: tidy(tt.fill_features(dirty(s, d).select("event_id", "value"), ["value"])),
@@ -218,6 +219,7 @@ UNION ALL SELECT count(*), NULL FROM (SELECT * FROM customer ORDER BY c_custkey
     "feature_columns_unknown": """SELECT 'sparse' AS "column", NULL::VARCHAR AS kind, false AS used, 'unknown target' AS reason""",
     "cardinality_gate": _gate_sql("part", ["p_name", "p_brand", "p_type"]),
     "cardinality_gate_customers": _gate_sql("customer", ["c_name", "c_mktsegment"]),
+    "cardinality_gate_documents": _gate_sql("documents", ["text", "lang", "source"]),
     "label_encode": """SELECT p_partkey, p_name, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand,
   dense_rank() OVER (ORDER BY p_type) - 1 AS p_type, p_size, p_retailprice FROM part""",
     "label_encode_gaps": DIRTY_SQL + """ SELECT event_id, dense_rank() OVER (ORDER BY coalesce(event_type, 'nan')) - 1 AS event_type

@@ -107,6 +107,8 @@ QUERIES = {
     "category_topk": lambda s, d: tt.category_topk(read(s, d, "customer")),
     "category_topk_pages": lambda s, d: tt.category_topk(read(s, d, "pages").select("url")),
     "category_topk_texts": lambda s, d: tt.category_topk(read(s, d, "conversations")),
+    "category_topk_documents": lambda s, d: tt.category_topk(read(s, d, "documents"), 20),
+    "category_topk_html": lambda s, d: tt.category_topk(read(s, d, "pages")),
     "anomaly_flags": lambda s, d: tt.anomaly_flags(dirty(s, d)),
     "profile_text": lambda s, d: tt.profile_text(read(s, d, "part"), "part"),
     "compute_analytics": lambda s, d: analytics_long(tt.compute_analytics(stage(tt.drop_exact_duplicates(dirty(s, d)), "dirty"))),
@@ -174,6 +176,8 @@ round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 1) AS pct FROM dirty"""
     "category_topk": topk_sql("customer", ["c_name", "c_mktsegment"]),
     "category_topk_pages": topk_sql("pages", ["url"]),
     "category_topk_texts": topk_sql("conversations", ["role", "text"]),
+    "category_topk_documents": topk_sql("documents", ["text", "lang", "source"], 20),
+    "category_topk_html": topk_sql("pages", ["url", "html"]),
     "anomaly_flags": DIRTY_SQL + " " + _anomalies,
     "profile_text": _profile_text,
     "compute_analytics": _analytics_sql(CLEAN_DIRTY_SQL, "d", 9, GAPPED, ["event_type", "d_ok", "d_rate", "d_fail"],

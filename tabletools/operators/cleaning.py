@@ -15,7 +15,8 @@ from tabletools import constants as K
 from tabletools.functions.kinds import (
     BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, batches, col, columns_of, nan_to_null, number)
 from tabletools.functions.quantiles import column_quantiles
-from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile, value_counts
+from tabletools.functions.values import top_values
+from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile
 from tabletools.sources.staging import stage
 
 BROADCAST_FINGERPRINTS = 1_000_000     # 8 bytes each
@@ -89,14 +90,8 @@ def drop_sparse_columns(df: DataFrame, threshold: float = K.SPARSE_THRESHOLD) ->
 
 
 def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """{column: most frequent value as text}, ties to the smallest; no entry if all null.
-
-    Counted per value first, so the last aggregate sees one row per distinct value and
-    merges them per partition.
-    """
-    top = value_counts(df, columns).groupBy("column").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top"))
-    return {r["column"]: r.top.value for r in top.collect()}
+    """{column: most frequent value as text}, ties to the smallest; no entry if all null."""
+    return {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()}
 
 
 def _fillable(df: DataFrame, columns: list[str] | None, *kinds: str) -> list[str]:

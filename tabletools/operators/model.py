@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tabletools import constants as K
 from tabletools.functions.joins import BROADCAST_ROWS, fits_broadcast, join_group_facts
 from tabletools.functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, batches, col, columns_of, kind_of
+from tabletools.functions.values import distinct_counts
 from tabletools.operators.cleaning import fill_median
 from tabletools.operators.forest import Forest, fit_forest
-from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile, value_counts
+from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile
 from tabletools.sources.staging import stage
 
 MISSING_LABEL = "nan"
@@ -45,18 +46,13 @@ def _small_cardinalities(df: DataFrame, columns: list[str], max_cardinality: int
         row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
         estimates.update(zip(part, row))
     near = [c for c in columns if estimates[c] <= SKETCH_MARGIN * max_cardinality]
-    exact = _cardinalities(df, near)
+    exact = distinct_counts(df, near)
     return {c: n if c in near and (n := exact[c]) <= max_cardinality else None for c in columns}
 
 
-def _cardinalities(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    counted = value_counts(df, columns).groupBy("column").count().collect() if columns else []
-    return dict.fromkeys(columns, 0) | {r["column"]: r["count"] for r in counted}
-
-
 def cardinality_gate(df: DataFrame, max_cardinality: int = K.MAX_CARDINALITY) -> DataFrame:
     """(column, n_distinct, kept) per text column; n_distinct is exact, whatever the limit."""
-    found = _cardinalities(df, columns_of(df, CATEGORICAL))
+    found = distinct_counts(df, columns_of(df, CATEGORICAL))
     return df.sparkSession.createDataFrame(
         [(c, n, n <= max_cardinality) for c, n in found.items()],
         "column string, n_distinct bigint, kept boolean")

@@ -8,13 +8,14 @@ from decimal import ROUND_HALF_UP, Decimal
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
 from tabletools.functions.kinds import (
     BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, batches, col, columns_of, dtype_map, is_missing, number)
 from tabletools.functions.quantiles import column_quantiles
+from tabletools.functions.values import top_values
 
 QUARTILES = [0.25, 0.5, 0.75]
 COLUMNS_PER_JOB = 12      # keeps each aggregate inside generated code
@@ -296,23 +297,10 @@ def strongest_pair(df) -> DataFrame:
     return _frame(p, [pair] if pair else [], "a string, b string")
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n) of the non-null values, counted per partition before the shuffle."""
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
-    texts = df.select(*[col(c).cast("string").alias(c) for c in columns])
-    return texts.unpivot([], [col(c) for c in columns], "column", "value") \
-        .where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
-
-
 def category_topk(df, k: int = K.TOP_CATEGORIES) -> DataFrame:
-    """(column, value, n, rank): most frequent values per text column, ties by value.
-
-    Each task keeps its own k best per column, so a column never meets in one task whole.
-    """
+    """(column, value, n, rank): most frequent values per text column, ties by value."""
     p = _profile(df)
-    w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    return value_counts(p.df, p.text).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top_values(p.df, p.text, k)
 
 
 def anomaly_flags(df, skew: float = K.SKEW_FLAG) -> DataFrame:
