@@ -82,6 +82,8 @@ QUERIES = {
     "read_csv_table": lambda s, d: tt.read_csv_table(s, _orders_csv(s, d)),
     "read_csv_table_lines": lambda s, d: tt.read_csv_table(
         s, _csv(s, read(s, d, "documents").select("doc_id", "text"), "documents")),
+    "read_csv_table_one_file": lambda s, d: tt.read_csv_table(
+        s, _csv(s, read(s, d, "documents").select("doc_id", "text", "source").coalesce(1), "one-file")),
     "load_table_lines": lambda s, d: tt.load_table(s, _csv(s, read(s, d, "conversations"), "conversations")),
     "infer_types": lambda s, d: tt.infer_types(tt.read_csv_table(s, _gapped_csv(s, d))),
     "dtype_map": lambda s, d: tt.dtype_map(tt.infer_types(tt.read_csv_table(s, _gapped_csv(s, d)))),
@@ -125,6 +127,7 @@ UNION ALL SELECT 1, 'table', NULL, NULL, 'analytics_shape'
 UNION ALL SELECT count(*)::INTEGER, 'model', 'event_type', NULL, 'metrics' FROM c""",
     "read_csv_table": """SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus,
   o_totalprice::VARCHAR AS o_totalprice, o_orderdate::VARCHAR AS o_orderdate, o_orderpriority FROM orders""",
+    "read_csv_table_one_file": "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text, source FROM documents",
     "read_csv_table_lines": "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text FROM documents",
     "load_table_lines": "SELECT * FROM conversations",
     "infer_types": """SELECT event_id, CASE WHEN event_id % 4 > 1 THEN user_id END AS user_id,
