@@ -159,8 +159,8 @@ def exact_groups(docs: DataFrame, historical=None) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns, one row left of equal texts: that with the largest doc_id. Of rows that also agree in
-    doc_id any one is left."""
+    """``docs`` with the same columns, whatever their names, one row left of equal texts (null counts as empty): that with the largest
+    doc_id. Of rows that also agree in doc_id any one is left. An empty table gives no rows; texts are compared whole, however long."""
     groups = stage(exact_groups(docs), "exact-groups")
     key = {"doc_id": docs["doc_id"], "text_sha256": _text_digest(docs["text"])}
     left = without(docs, groups.where("NOT kept"), key)
@@ -168,4 +168,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return left
     repeated = left.join(again, [e.eqNullSafe(again[c]) for c, e in key.items()], "left_semi")
-    return without(left, again, key).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    one = repeated.toDF(*names.values()).withColumn("digest", _text_digest(F.col(names["text"]))) \
+        .dropDuplicates([names["doc_id"], "digest"]).select(*[F.col(n).alias(c) for c, n in names.items()])
+    return without(left, again, key).unionByName(one)

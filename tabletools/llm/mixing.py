@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletools.functions.joins import join_group_facts
+from tabletools.functions.joins import fits_broadcast, join_group_facts
 from tabletools.sources.staging import stage
 
 WEIGHTS = (5, 2, 1)
@@ -79,11 +79,12 @@ def schedule(plan: DataFrame, total_slots: int) -> DataFrame:
         .withColumn("high", F.when(F.lead("src").over(Window.orderBy("src")).isNull(), 1.0).otherwise(F.col("high")))
     cells = shares.select("src", "low", "high", F.explode(F.sequence(
         F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    cells = stage(cells, "mix-cells")
     bits = F.reverse(F.lpad(F.bin("position"), _POINT_BITS, "0"))
     points = spark.range(total_slots).select(F.col("id").alias("position")) \
         .withColumn("point", F.conv(bits, 2, 10).cast("double") / F.lit(2.0 ** _POINT_BITS)) \
         .withColumn("cell", F.floor(F.col("point") * CELLS))
-    drawn = points.join(F.broadcast(cells), (points["cell"] == cells["cell"]) & (F.col("point") >= F.col("low"))
+    drawn = points.join(_small(cells), (points["cell"] == cells["cell"]) & (F.col("point") >= F.col("low"))
                         & (F.col("point") < F.col("high"))) \
         .select("src", "position", F.floor(F.col("position") / CHUNK_SLOTS).alias("chunk"))
     counts = drawn.groupBy("src", "chunk").agg(F.count("*").alias("n"))
@@ -93,28 +94,37 @@ def schedule(plan: DataFrame, total_slots: int) -> DataFrame:
     ranked = drawn.join(counts.drop("n"), ["src", "chunk"]).select(
         "src", "position", (F.col("ahead") + F.row_number().over(inside) - 1).alias("rank"))
     given = counts.groupBy("src").agg(F.sum("n").alias("given"))
-    in_time = ranked.join(F.broadcast(plan.select("src", "slots")), "src").where("rank < slots")
+    in_time = ranked.join(_small(plan.select("src", "slots")), "src").where("rank < slots")
     short = plan.join(given, "src", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < slots")
     late = short.select("src", F.explode(F.expr("sequence(given, slots - 1)")).alias("rank")) \
         .withColumn("position", F.lit(total_slots) + F.col("rank"))
     return in_time.select("src", "rank", "position").unionByName(late.select("src", "rank", "position"))
 
 
+def _stream(source):
+    """The name of a source's stream; that of null sorts after every other."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("t"))
+
+
+def _small(facts: DataFrame) -> DataFrame:
+    """A staged table of facts about sources, to be broadcast if a count shows that it is small."""
+    return F.broadcast(facts) if fits_broadcast(facts) else facts
+
+
 def mix(sized: DataFrame, block: int = BLOCK_WORDS, **settings) -> tuple[DataFrame, DataFrame]:
     """The mix of ``sized`` (doc_id, source, size; any of them may be null, a null size counts as 0).
 
     Returns the documents with ``src, start, source_size, target`` and any further columns of ``sized``, and the parts of the mix: ``position`` of the slot, ``round`` of the
     source's stream, ``src, start`` (which name the document), ``words``. A source's parts add up to its target, rounded
-    down; within a round only the last document of the stream can be cut. The sources must be few enough for a broadcast. Repeated rows are documents
+    down; within a round only the last document of the stream can be cut. Repeated rows are documents
     of their own; documents without words have no part.
     """
-    src = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))          # "t" sorts after every name
     more = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
-    sized = sized.select("doc_id", src.alias("src"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), *more)
+    sized = sized.select("doc_id", _stream(F.col("source")).alias("src"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), *more)
     docs = stage(stream_positions(stage(sized, "mix-sizes")), "mix-streams")      # texts are read once
     plan = stage(source_targets(docs, **settings).withColumns(_blocks_needed(block)), "mix-plan")
     total_slots = plan.agg(F.sum("slots")).first()[0] or 0
-    slots = schedule(plan, total_slots).join(F.broadcast(plan.drop("slots", "target")), "src").select(
+    slots = schedule(plan, total_slots).join(_small(plan.drop("slots", "target")), "src").select(
         "src", "position", F.expr("rank div per_round").alias("round"), F.expr("rank % per_round").alias("block"),
         F.expr("CASE WHEN rank div per_round < rounds THEN source_size ELSE rest END").alias("limit"))
     low, high = F.col("block") * block, (F.col("block") + 1) * block
@@ -144,30 +154,35 @@ def taken_words(docs: DataFrame, **settings) -> DataFrame:
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "position")
 
 
+def _whole(plan_words, size):
+    """A document that the end of its source's last round would cut is taken whole if that is nearer to the target, else not."""
+    return 2 * plan_words >= size
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: a document once for each round of its source that takes it, in the order of the
-    first slots that do: ranges of slots in the order of the partitions, sorted in each.
+    """The mix as rows with the columns of ``docs``, whatever other columns they are: a document once for each round of its source that takes
+    it, in the order of the first slots that do: ranges of slots in the order of the partitions, sorted in each.
 
-    The document at the end of a source's last round may be cut: its text then is its first words, joined by one space, and ``n_chars``
-    follows. Documents that the mix has no room for, and those without words, are left out. Rows that agree in doc_id, source and
-    text count as one document.
+    Documents are whole: the one at the end of a source's last round is taken or left, whichever is nearer to the target, so a source
+    is off its target by half a document at most. Documents that the mix has no room for, and those without words (null and
+    empty texts), are left out. Rows that agree in doc_id, source and text count as one document: one row of them, any, is taken. Null doc_ids
+    and sources are values like others; an empty table gives no rows.
     """
-    key = F.xxhash64("doc_id", "source", "text")
-    keyed = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("size"),
-                        key.alias("key")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]          # ours are told apart from any that the table has
+    of = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names)
+    doc_id, source, text = (F.col(of[c]) for c in ("doc_id", "source", "text"))
+    key = F.xxhash64(doc_id, source, text)
+    keyed = rows.select(doc_id.alias("doc_id"), source.alias("source"), key.alias("key"),
+                        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).alias("size"))
+    keyed = stage(keyed.groupBy("doc_id", "source", "key", "size").agg((F.count("*") > 1).alias("repeated")), "mix-keys")
     streams, parts = mix(keyed, **settings)
     rounds = parts.groupBy("src", "start", "round").agg(F.sum("words").alias("words"), F.min("position").alias("position"))
-    words = F.when(F.col("words") < F.col("size"), F.col("words")).otherwise(F.lit(-1))
-    taken = streams.where("size > 0").join(rounds, ["src", "start"]) \
-        .groupBy("key").agg(F.collect_list(F.struct("position", "start", words.alias("words"))).alias("taken"))
-    rows = docs.withColumn("_key", key).join(taken, F.col("_key") == F.col("key"))
-    rows = rows.withColumn("_taken", F.explode("taken"))
-    order = [F.col("_taken.position"), F.col("_taken.start"), F.col("doc_id")]
-    rows = rows.withColumn("_words", F.col("_taken.words")).repartitionByRange(*order).sortWithinPartitions(*order)
-    cut = F.col("_words") >= 0
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words")), " ")
-    text = F.when(cut, first_words).otherwise(F.col("text"))
-    out = {c: F.col(c) for c in docs.columns} | {"text": text}
-    if "n_chars" in out:
-        out["n_chars"] = F.when(cut, F.length(first_words)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[e.alias(c) for c, e in out.items()])
+    taken = streams.where("size > 0").join(rounds, ["src", "start"]).where(_whole(F.col("words"), F.col("size"))) \
+        .groupBy("doc_id", "src", "key", "repeated").agg(F.sort_array(F.collect_list(F.struct("position", "start"))).alias("taken"))
+    same = key.eqNullSafe(F.col("key")) & doc_id.eqNullSafe(F.col("doc_id")) & (_stream(source) == F.col("src"))
+    found = stage(rows.join(taken, same).select(*names, "taken", "repeated"), "mix-documents")
+    once = found.where("NOT repeated").unionByName(found.where("repeated").dropDuplicates([of[c] for c in ("doc_id", "source", "text")]))
+    slots = once.withColumn("slot", F.explode("taken"))
+    order = [F.col("slot.position"), F.col("slot.start"), doc_id]
+    return slots.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(n).alias(c) for c, n in of.items()])

@@ -29,9 +29,9 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s["kind"] != "cost")
     kinds = F.transform("secrets", lambda s: s["kind"])
     counts = [F.size(F.array_remove(kinds, k)) for k in KINDS]
-    return found.select("doc_id", *[(F.size(kinds) - n).cast("long").alias(f"n_{k}") for k, n in zip(KINDS, counts)],
-                        F.sha2(joined(base), 256).alias("base_sha256"),
-                        joined(F.col("secrets")).alias("spans"))
+    found = found.select("doc_id", *[(F.size(kinds) - n).cast("long").alias(f"n_{k}") for k, n in zip(KINDS, counts)],
+                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_cost")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "quality_rules.*")
+    judged = judge_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "quality_rules.*")
+    return judged.select(*[c for c in judged.columns if c != "score"], "score")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(_table(spark, sf_dir, "documents")).drop("position")     # the rows keep its order
+    return taken_words(_table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,11 +161,33 @@ levels AS (
 targets AS (
   SELECT src, source_size, least(most, weight * (SELECT arg_min(level, most / weight) FROM levels
     WHERE most >= level * weight)) AS target
-  FROM levels)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE size * (floor(target)::BIGINT // source_size)
-    + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) END::BIGINT AS taken
-FROM streams JOIN targets USING (src)""",
+  FROM levels),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS rounds,
+    ceil(source_size / 256)::BIGINT AS per_round FROM targets),
+needed AS (SELECT *, (rounds * per_round + ceil((floor(target)::BIGINT - rounds * source_size) / 256))::BIGINT AS slots FROM plan),
+shares AS (
+  SELECT src, slots, coalesce(lag(high) OVER (ORDER BY src), 0) AS low,
+    CASE WHEN lead(src) OVER (ORDER BY src) IS NULL THEN 1.0::DOUBLE ELSE high END AS high
+  FROM (SELECT *, sum(target) OVER (ORDER BY src) / sum(target) OVER () AS high FROM needed WHERE target > 0)),
+points AS (
+  SELECT position, (reverse(lpad(bin(position), 52, '0')))::BIT::BIGINT / 4503599627370496.0::DOUBLE AS point
+  FROM (SELECT unnest(range((SELECT sum(slots)::BIGINT FROM needed))) AS position)),
+ranked AS (
+  SELECT src, slots, position, row_number() OVER (PARTITION BY src ORDER BY position) - 1 AS rank
+  FROM points JOIN shares ON point >= low AND point < high),
+placed AS (
+  SELECT src, rank, position FROM ranked WHERE rank < slots
+  UNION ALL SELECT src, rank, (SELECT sum(slots) FROM needed)::BIGINT + rank FROM (
+    SELECT src, unnest(range(given, slots)) AS rank FROM needed LEFT JOIN
+      (SELECT src, count(*) AS given FROM ranked GROUP BY src) USING (src) WHERE coalesce(given, 0) < slots)),
+mixed AS (
+  SELECT doc_id, size, source_size, target, src, start,
+    CASE WHEN size = 0 THEN 0 ELSE size * (floor(target)::BIGINT // source_size)
+      + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) END::BIGINT AS taken
+  FROM streams JOIN targets USING (src))
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN position END::BIGINT AS position
+FROM mixed LEFT JOIN placed ON placed.src = mixed.src AND rank = start // 256""",
     "op11_topk_search": """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabletools.functions.joins import join_group_facts
 from tabletools.llm.components import components
 from tabletools.llm.keep import without
 from tabletools.llm.words import bounded_batches, slices
@@ -164,14 +165,15 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RA
     the smallest unless no other is there. Repeated rows each get theirs.
     """
     rows = stage(bounded_batches(docs).select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-classes")
     roots = components(near_links(classes.select("fp"), radius, small))
     roots = stage(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "components")
     linked = roots.join(classes, F.col("node") == F.col("fp"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    facts = classes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(facts, "fp").select("doc_id", "fp", "component_id")
+    facts = stage(classes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"),
+                  "fingerprint-facts")
+    return join_group_facts(rows, facts, ["fp"], "doc_id", size="n").select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -41,6 +41,14 @@ def test_dropping_leaves_one_of_each(table):
     assert drop_exact_copies(table.limit(0)).count() == 0 and exact_groups(table.limit(0)).count() == 0
 
 
+def test_null_and_empty_are_equal_in_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (2, "x", "c"), (2, "x", "d"), (None, None, "e")],
+                                 "doc_id long, text string, digest string")
+    left = drop_exact_copies(docs).collect()
+    assert sorted((r.doc_id, r.text or "") for r in left) == [(1, ""), (2, "x")]
+    assert all((r.doc_id, r.text, r.digest) in {tuple(x) for x in docs.collect()} for r in left)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3000])
 def test_the_hash_is_perfect_and_minimal(n):
     rng = np.random.default_rng(n)

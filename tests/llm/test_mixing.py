@@ -1,5 +1,8 @@
+from collections import Counter
+
 import pytest
 
+import tabletools.functions.joins as joins
 from tabletools.llm.mixing import mix, mixed_documents, taken_words
 from tabletools.llm.queries import ORACLES, op9_mixing
 from tools.check_oracles import compare, duck
@@ -76,18 +79,41 @@ def test_edges(spark):
     assert taken_words(docs.limit(0)).count() == 0 and mixed_documents(docs.limit(0)).count() == 0
 
 
-def test_mixed_documents_hold_what_was_taken(spark):
+def test_mixed_documents_are_whole(spark):
+    """Each document as often as rounds take it; at the end of a source's last round the one that would be cut is taken if that is nearer."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = {r.doc_id: r.size for r in taken_words(docs).collect()}
     taken = {r.doc_id: r.taken for r in taken_words(docs).collect() if r.taken}
-    texts = {r.doc_id: r.text.split() for r in docs.collect()}
-    rows, cut = mixed_documents(docs).collect(), 0
-    words = {}
-    for r in rows:
-        own = r.text.split()
-        assert own == texts[r.doc_id][:len(own)] and r.n_chars == len(r.text)
-        cut += len(own) < len(texts[r.doc_id])
-        words[r.doc_id] = words.get(r.doc_id, 0) + len(own)
-    assert words == taken and cut <= 20
+    rows = mixed_documents(docs).collect()
+    texts = {r.doc_id: tuple(r) for r in docs.collect()}
+    assert all(tuple(r) == texts[r.doc_id] for r in rows)
+    times = Counter(r.doc_id for r in rows)
+    assert times == {d: n // size[d] + (2 * (n % size[d]) >= size[d] and n % size[d] > 0) for d, n in taken.items()
+                     if 2 * n >= size[d]}
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    rows = [(i, f"s{i % 2}", "w " * (5 + i % 3)) for i in range(20)]
+    rows += rows[:10] + [(None, None, "a b c"), (None, None, "a b c"), (None, "s0", None), (3, "s1", "another text")]
+    docs = spark.createDataFrame([(*r, *range(11)) for r in rows],
+                                 "doc_id long, source string, text string, key int, taken int, _key int, _taken int, _words int, src int, "
+                                 "size int, start int, position int, slot int, c0 int")
+    out = mixed_documents(docs.repartition(3))
+    assert out.schema == docs.schema
+    found, distinct = out.collect(), {r for r in rows if r[2]}
+    words, target = Counter(), slow_targets({s: sum(len(r[2].split()) for r in distinct if r[1] == s) for s in ("s0", "s1", None)})
+    for r in found:
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - t) <= 4.5 for s, t in target.items())
+    assert {(r.doc_id, r.source, r.text) for r in found} <= distinct
+    assert all(n <= 2 for n in Counter((r.doc_id, r.source, r.text) for r in found).values())
+
+
+def test_facts_too_large_to_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = [tuple(r) for r in taken_words(docs).collect()]
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    assert [tuple(r) for r in taken_words(docs).collect()] == one
 
 
 @pytest.mark.parametrize("name", ["op5_exact_dedup"])
