@@ -1,22 +1,23 @@
 """Exact quantiles that never hold a whole column or group in one task.
 
-``percentile`` keeps a map of all distinct values in one buffer. That is right for a
-column with few distinct values and wrong for a continuous one at scale. So:
-
-* few distinct values (by ``approx_count_distinct``): one ``percentile`` aggregate;
-* many: narrow a bracket around each wanted rank. A sketch proposes the bracket, an
-  exact count of the rows below and inside it proves (or corrects) it, and when few
-  enough values are left they are sorted. The sketch only decides how fast it goes;
-  the ranks, and so the results, are exact.
+Of whole columns: a double is read as a 64-bit number in the same order, and numbers are counted by their first 16 bits, then, within the
+cell that holds a wanted rank, by the next 16 below what is common to all of it, and so on. Every pass serves all columns and all wanted ranks, and there
+are at most four of them. A cell with few rows is listed value by value, which ends it at once.
+
+Of groups: values are counted per group and value, and ranked by one window. Groups with very many values are narrowed instead: a
+sample proposes cut points around each rank, an exact count of the rows at and between them proves or corrects them.
 """
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +25,17 @@ from tabletools.functions.joins import join_group_facts
 from tabletools.functions.kinds import batches, col, is_missing, number
 from tabletools.sources.staging import stage
 
-BUFFER_VALUES = 20_000       # distinct values one aggregation buffer may hold
-BRACKET_ROWS = 100_000       # rows left in a bracket before they are sorted
+DIGIT_BITS = 16              # bits of a number that one pass counts by
+LISTED_ROWS = 50_000         # rows of a cell whose values are listed
+HELD_CELLS = 1 << 18         # cells that a task holds before it merges them
+COLUMNS_PER_PASS = 200
 GROUP_VALUES = 1_000_000     # distinct values of one group that one task may sort
-SAMPLE_ROWS = 200_000
-TARGETS_PER_JOB = 12         # keeps each aggregate inside generated code
-ACCURACY = 2_000
 GRID = 256                   # points of the sketch of a group's bracket
 GRID_ROWS = 200              # sampled rows per point
 
+# functions travel to the executors with their code, whether or not this package is installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def linear_position(n: int, p: float) -> tuple[int, int, float]:
     """Ranks below and above the p-quantile of n values, and the share of the upper one."""
@@ -41,152 +44,136 @@ def linear_position(n: int, p: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), pos - low
 
 
+_SIGN = np.uint64(1 << 63)
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order; both zeros are one."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def from_ordered_bits(number_: int) -> float:
+    """The double behind a number of :func:`ordered_bits`."""
+    bits = np.array([number_], np.uint64)
+    return float(np.where(bits & _SIGN, bits ^ _SIGN, ~bits).view(np.float64)[0])
+
+
 @dataclass
 class _Target:
-    """One wanted quantile of one column and the bracket known to hold it."""
-    column: str
+    """A wanted quantile of a column and the numbers from ``lo`` to ``hi`` that hold its two ranks; ``below``: rows before them."""
+    column: int
     p: float
-    low_rank: int
-    high_rank: int
-    share: float
-    lo: float
-    hi: float
-    below: int
-    inside: int
-
-
-def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                     buffer_values: int = BUFFER_VALUES, bracket_rows: int = BRACKET_ROWS,
-                     sample_rows: int = SAMPLE_ROWS, known: dict[str, tuple] | None = None
-                     ) -> dict[str, dict[float, float | None]]:
-    """{column: {p: exact quantile with linear interpolation}}; None for an all-null column.
-
-    ``known`` gives (count, min, max) per column where the caller has them already.
-    """
+    lo: int = 0
+    hi: int = (1 << 64) - 1
+    below: int = 0
+    inside: int | None = None
+    ranks: tuple[int, int, float] | None = None
+    value: float | None = None
+
+    @property
+    def cells(self) -> tuple[int, int, int, int]:
+        """Column, range, and by how many bits its numbers are cut to tell their cells apart."""
+        listed = self.inside is not None and self.inside <= LISTED_ROWS
+        return self.column, self.lo, self.hi, 0 if listed else max(0, (self.hi - self.lo).bit_length() - DIGIT_BITS)
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Cells (rows of cell, n, lo, hi) with equal numbers put together, in order."""
+    whole = np.concatenate(parts)
+    whole = whole[np.argsort(whole[:, 0], kind="stable")]
+    first = np.flatnonzero(np.append(True, whole[1:, 0] != whole[:-1, 0]))
+    return np.column_stack([whole[first, 0], np.add.reduceat(whole[:, 1], first), np.minimum.reduceat(whole[:, 2], first),
+                            np.maximum.reduceat(whole[:, 3], first)]) if len(whole) else whole
+
+
+def _counted(wanted: list[tuple[int, int, int, int]]):
+    """For each wanted range the rows of its cells in a task, and the least and largest number of each."""
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in wanted]
+        sizes = [0] * len(wanted)
+        for batch in batches_:
+            columns = {}
+            for i, (column, lo, hi, shift) in enumerate(wanted):
+                if column not in columns:
+                    values = batch.column(column).drop_null().to_numpy(zero_copy_only=False)
+                    columns[column] = np.sort(ordered_bits(values))
+                numbers = columns[column]
+                if lo > 0 or hi < (1 << 64) - 1:
+                    numbers = numbers[np.searchsorted(numbers, np.uint64(lo)):np.searchsorted(numbers, np.uint64(hi), "right")]
+                if not len(numbers):
+                    continue
+                cells = (numbers - np.uint64(lo)) >> np.uint64(shift)
+                first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+                last = np.append(first[1:], len(cells)) - 1
+                held[i].append(np.column_stack([cells[first], (last - first + 1).astype(np.uint64), numbers[first], numbers[last]]))
+                sizes[i] += len(first)
+                if sizes[i] > HELD_CELLS:
+                    held[i] = [_merged(held[i])]
+                    sizes[i] = len(held[i][0]) // 2              # merged again when as many have come as there are now
+        for i, parts in enumerate(held):
+            if parts:
+                cells = _merged(parts)
+                ordered = [pa.array((cells[:, c] ^ _SIGN).view(np.int64)) for c in (2, 3)]        # signed numbers in the same order
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), i)), pa.array(cells[:, 0].view(np.int64)),
+                                                  pa.array(cells[:, 1].view(np.int64)), *ordered], ["i", "cell", "n", "lo", "hi"])
+    return run
+
+
+def _settle(t: _Target, cells: list) -> None:
+    """What a pass has told of a target: its value, or a smaller range. ``cells``: those that hold its ranks, in order."""
+    low, high, share = t.ranks
+    lows, highs = ([c for c in cells if c["start"] <= r - t.below < c["start"] + c["n"]][0] for r in (low, high))
+    ends = [int(v) + (1 << 63) for v in (lows["lo"], lows["hi"], highs["lo"], highs["hi"])]
+    if lows["cell"] != highs["cell"]:                                  # neighbours in two cells are the ends of these
+        low_value, high_value = from_ordered_bits(ends[1]), from_ordered_bits(ends[2])
+    elif ends[0] == ends[1]:
+        low_value = high_value = from_ordered_bits(ends[0])
+    else:
+        t.lo, t.hi, t.below, t.inside = ends[0], ends[1], t.below + lows["start"], lows["n"]
+        return
+    t.value = low_value if low_value == high_value or share == 0 else low_value + (high_value - low_value) * share
+
+
+def _pass(rows: DataFrame, targets: list[_Target]) -> None:
+    """One look at all rows for all targets that have no value yet."""
+    wanted = list(dict.fromkeys(t.cells for t in targets))
+    cells = rows.mapInArrow(_counted(wanted), "i long, cell long, n long, lo long, hi long") \
+        .groupBy("i", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    places = {w: i for i, w in enumerate(wanted)}
+    upto = Window.partitionBy("i").orderBy("lo")                       # some ten thousand cells of a range at most
+    cells = cells.withColumn("start", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) \
+        .withColumn("total", F.sum("n").over(Window.partitionBy("i")))
+    asked = {(places[t.cells], float(t.p), *([int(r - t.below) for r in t.ranks[:2]] if t.ranks else (None, None))) for t in targets}
+    asked = rows.sparkSession.createDataFrame(sorted(asked, key=str), "i long, p double, low long, high long")
+    low = F.coalesce("low", F.floor(F.col("p") * (F.col("total") - 1)))
+    high = F.coalesce("high", F.least(low + 1, F.col("total") - 1))
+    found = cells.join(F.broadcast(asked), "i").where((F.col("start") <= high) & (F.col("start") + F.col("n") > low)) \
+        .select(*cells.columns).distinct()
+    of: dict[int, list] = {}
+    for r in found.collect():                                          # two cells a target at most
+        of.setdefault(r["i"], []).append(r)
+    for t, own in [(t, of.get(places[t.cells], [])) for t in targets]:
+        if own:
+            t.ranks = t.ranks or linear_position(own[0]["total"], t.p)
+            _settle(t, own)
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, dict[float, float | None]]:
+    """{column: {p: exact quantile with linear interpolation}}; None for a column without values."""
     result = {c: dict.fromkeys(probs) for c in columns}
-    wide: dict[str, tuple[int, float, float]] = {}
-    for part in batches(columns, 12):
-        facts = {c: known[c] for c in part} if known else _counts(df, part)
-        long = [c for c in part if facts[c][0] > buffer_values]
-        many = [c for c, d in zip(long, _distinct_estimates(df, long)) if d > buffer_values]
-        wide |= {c: facts[c] for c in many}
-        narrow = [c for c in part if facts[c][0] and c not in many]
-        if narrow:
-            ps = F.array(*[F.lit(float(p)) for p in probs])
-            row = df.agg(*[F.percentile(number(df, c), ps).alias(f"q{i}")
-                           for i, c in enumerate(narrow)]).first()
-            for c, qs in zip(narrow, row):
-                result[c] = dict(zip(probs, qs))
-    targets = []
-    for c, (n, lo, hi) in wide.items():
-        for p in probs:
-            low, high, share = linear_position(n, p)
-            targets.append(_Target(c, p, low, high, share, lo, hi, 0, n))
-    while open_targets := [t for t in targets if t.inside > bracket_rows and t.lo < t.hi]:
-        for part in batches(open_targets, TARGETS_PER_JOB):
-            _narrow(df, part, sample_rows)
-    for part in batches([t for t in targets if t.lo < t.hi], TARGETS_PER_JOB):
-        for t, value in zip(part, _sorted_lookup(df, part)):
-            result[t.column][t.p] = value
-    for t in targets:
-        if t.lo == t.hi:
-            result[t.column][t.p] = t.lo
+    for part in batches(columns, COLUMNS_PER_PASS):
+        rows = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(part)])
+        targets = [_Target(i, p) for i in range(len(part)) for p in probs]
+        open_ = targets
+        while open_:
+            _pass(rows, open_)
+            open_ = [t for t in open_ if t.value is None and t.ranks is not None]
+        for t in targets:
+            result[part[t.column]][t.p] = t.value
     return result
 
 
-def _counts(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
-    row = df.agg(*[agg(number(df, c)).alias(f"{agg.__name__}{i}") for i, c in enumerate(columns)
-                   for agg in (F.count, F.min, F.max)]).first()
-    return {c: tuple(f) for c, f in zip(columns, batches(list(row), 3))}
-
-
-def _distinct_estimates(df: DataFrame, columns: list[str]) -> list[int]:
-    if not columns:
-        return []
-    return list(df.agg(*[F.approx_count_distinct(number(df, c)).alias(f"d{i}")
-                         for i, c in enumerate(columns)]).first())
-
-
-def _inside(df: DataFrame, t: _Target) -> Column:
-    v = number(df, t.column)
-    return F.when((v >= F.lit(t.lo)) & (v <= F.lit(t.hi)), v)
-
-
-def _narrow(df: DataFrame, targets: list[_Target], sample_rows: int) -> None:
-    largest = max(t.inside for t in targets)
-    smallest = min(t.inside for t in targets)
-    sample = df.sample(min(1.0, sample_rows / smallest), seed=largest % 997) \
-        if smallest > sample_rows else df
-    margin = 1.0 / ACCURACY + 2.0 / math.sqrt(min(sample_rows, smallest))
-    wanted = []
-    for t in targets:
-        low = (t.low_rank - t.below) / t.inside - margin
-        high = (t.high_rank - t.below) / t.inside + margin
-        wanted.append((max(low, 0.0), min(high, 1.0)))
-    # targets that still share a bracket share its sketch
-    sketches: dict[tuple, list[int]] = {}
-    for i, t in enumerate(targets):
-        sketches.setdefault((t.column, t.lo, t.hi), []).append(i)
-    guess = sample.agg(*[
-        F.percentile_approx(_inside(df, targets[group[0]]), [p for i in group for p in wanted[i]], ACCURACY)
-        .alias(f"g{n}") for n, group in enumerate(sketches.values())]).first()
-    cuts = [(t.lo, t.hi) for t in targets]
-    for group, points in zip(sketches.values(), guess):
-        for i, (low, high) in zip(group, batches(points or [], 2)):
-            t, (low_share, high_share) = targets[i], wanted[i]
-            cuts[i] = (t.lo if low_share == 0.0 else low, t.hi if high_share == 1.0 else high)
-    counts = df.agg(*[
-        F.struct(F.count_if(_inside(df, t) < F.lit(lo)).alias("below"),
-                 F.count_if((_inside(df, t) >= F.lit(lo)) & (_inside(df, t) <= F.lit(hi))).alias("inside")
-                 ).alias(f"c{i}")
-        for i, (t, (lo, hi)) in enumerate(zip(targets, cuts))]).first()
-    for t, (lo, hi), c in zip(targets, cuts, counts):
-        first, last = t.below + c.below, t.below + c.below + c.inside - 1
-        if first <= t.low_rank and t.high_rank <= last and (c.inside < t.inside or lo == hi):
-            t.lo, t.hi, t.below, t.inside = lo, hi, first, c.inside
-        else:
-            _bisect(df, t)
-
-
-def _bisect(df: DataFrame, t: _Target) -> None:
-    """The sketch missed, or one value holds most rows: split at the middle value instead."""
-    v = _inside(df, t)
-    middle = df.agg(F.percentile_approx(v, 0.5, ACCURACY)).first()[0]
-    row = df.agg(F.count_if(v < middle), F.count_if(v == middle),
-                 F.max(F.when(v < middle, v)), F.min(F.when(v > middle, v))).first()
-    under, equal, under_max, over_min = row
-    first, last = t.below + under, t.below + under + equal - 1
-    if t.high_rank < first:
-        t.hi, t.inside = under_max, under
-    elif t.low_rank > last:
-        t.lo, t.below, t.inside = over_min, last + 1, t.inside - under - equal
-    elif t.low_rank < first:      # the two ranks lie on both sides of a cut
-        _settle_pair(t, under_max, middle)
-    elif t.high_rank > last:
-        _settle_pair(t, middle, over_min)
-    else:
-        t.lo = t.hi = middle
-
-
-def _settle_pair(t: _Target, low_value: float, high_value: float) -> None:
-    t.lo = t.hi = low_value + (high_value - low_value) * t.share
-
-
-def _sorted_lookup(df: DataFrame, targets: list[_Target]) -> list[float]:
-    """Sort the values left in each bracket (at most ``BRACKET_ROWS``) and read the ranks off."""
-    any_hit = reduce(or_, [_inside(df, t).isNotNull() for t in targets])
-    hits = df.where(any_hit).select(F.explode(F.filter(
-        F.array(*[F.struct(F.lit(i).alias("t"), _inside(df, t).alias("v"))
-                  for i, t in enumerate(targets)]),
-        lambda s: s["v"].isNotNull())).alias("h")).select("h.t", "h.v")
-    ranks = _end_ranks(hits.groupBy("t", "v").agg(F.count("*").alias("n")), ["t"])
-    low = F.array(*[F.lit(t.low_rank - t.below).cast("long") for t in targets])[F.col("t")]
-    high = F.array(*[F.lit(t.high_rank - t.below).cast("long") for t in targets])[F.col("t")]
-    picked = {r.t: r for r in _pick(ranks, ["t"], low, high).collect()}
-    return [picked[i].low_value + (picked[i].high_value - picked[i].low_value) * t.share
-            for i, t in enumerate(targets)]
-
-
 def _end_ranks(counted: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
