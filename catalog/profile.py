@@ -88,6 +88,20 @@ def _wide(s, d):
     return tt.stage(s.sql(WIDE, **{t: read(s, d, t) for t in ("lineitem", "orders", "part")}), "wide")
 
 
+# two hundred numbers for each part
+MANY = [f"CAST((p_partkey * {i + 3}) % {i + 101} + p_size * {i % 5} AS DOUBLE) + p_retailprice * {i % 3} AS c{i}" for i in range(200)]
+
+
+def _many(s, d):
+    return tt.stage(s.sql("SELECT " + ", ".join(MANY) + " FROM {part}", part=read(s, d, "part")), "many")
+
+
+_MANY_SQL = "WITH many AS (SELECT row_number() OVER () AS nth, " + ", ".join(MANY) + """ FROM part),
+long AS (SELECT nth, c[2:]::INTEGER AS i, v FROM (UNPIVOT many ON COLUMNS(* EXCLUDE nth) INTO NAME c VALUE v)),
+pairs AS (SELECT x.i, y.i AS j, corr(x.v, y.v) AS r FROM long x JOIN long y ON x.nth = y.nth AND x.i < y.i GROUP BY ALL)
+"""
+
+
 QUERIES = {
     "numeric_summary": lambda s, d: tt.numeric_summary(read(s, d, "lineitem")),
     "numeric_summary_documents": lambda s, d: tt.numeric_summary(read(s, d, "documents")),
@@ -101,6 +115,8 @@ QUERIES = {
     "missing_profile": lambda s, d: tt.missing_profile(dirty(s, d)),
     "correlation_matrix": lambda s, d: tidy(tt.correlation_matrix(read(s, d, "lineitem"))),
     "correlation_matrix_wide": lambda s, d: tidy(tt.correlation_matrix(_wide(s, d))),
+    "correlation_matrix_many": lambda s, d: tidy(tt.correlation_matrix(_many(s, d))),
+    "correlation_pairs_many": lambda s, d: tt.correlation_pairs(_many(s, d), 0.45).select("a", "b", F.round("r", 2).alias("r")),
     "correlation_matrix_gaps": lambda s, d: tidy(tt.correlation_matrix(dirty(s, d))),
     "correlation_pairs": lambda s, d: tt.correlation_pairs(read(s, d, "part")),
     "strongest_pair": lambda s, d: tt.strongest_pair(read(s, d, "part")),
@@ -170,6 +186,8 @@ round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 1) AS pct FROM dirty"""
     "correlation_matrix": _matrix_sql("lineitem", LINEITEM),
     "correlation_matrix_wide": _matrix_sql("wide", WIDE_COLUMNS, "WITH wide AS (" + WIDE.format(
         lineitem="lineitem", orders="orders", part="part") + ")"),
+    "correlation_matrix_many": _MANY_SQL + "SELECT 'c' || i AS a, 'c' || j AS b, round(r, 6) AS r FROM pairs",
+    "correlation_pairs_many": _MANY_SQL + "SELECT 'c' || i AS a, 'c' || j AS b, round(round(r, 3), 2) AS r FROM pairs WHERE abs(r) > 0.45",
     "correlation_matrix_gaps": _matrix_sql("dirty", GAPPED, DIRTY_SQL),
     "correlation_pairs": _ranked_sql(PART, "part") + " SELECT rank, a, b, round(r, 3) AS r FROM ranked WHERE abs(r) > 0.3",
     "strongest_pair": _ranked_sql(PART, "part") + " SELECT a, b FROM ranked WHERE rank = 1",

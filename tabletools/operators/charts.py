@@ -103,14 +103,13 @@ def bar_data(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
 def heatmap_data(df) -> DataFrame:
     """(a, b, r): the full symmetric correlation matrix; empty below two numeric columns."""
     p = df if isinstance(df, TableProfile) else TableProfile(df)
-    rows = []
-    if len(p.numeric) > 1:
-        for (a, b), r in p.pearson.items():
-            rows += [(a, b, r), (b, a, r)]
-        for c in p.numeric:
-            f = p.fact(c)
-            rows.append((c, c, 1.0 if f["n"] > 1 and f["min"] < f["max"] else None))
-    return p.df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    if len(p.numeric) < 2:
+        return p.df.sparkSession.createDataFrame([], "a string, b string, r double")
+    above = p.correlations.select("a", "b", "r")
+    facts = {c: p.fact(c) for c in p.numeric}
+    itself = p.df.sparkSession.createDataFrame(
+        [(c, c, 1.0 if f["n"] > 1 and f["min"] < f["max"] else None) for c, f in facts.items()], above.schema)
+    return above.unionByName(above.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")).unionByName(itself)
 
 
 def scatter_data(df: DataFrame, x: str, y: str, keys: list[str] | None = None,

@@ -7,20 +7,22 @@ from dataclasses import dataclass, fields
 from decimal import ROUND_HALF_UP, Decimal
 from functools import cached_property
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletools import constants as K
+from tabletools.functions.gram import NOISE, block_correlations
 from tabletools.functions.kinds import (
     BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, batches, col, columns_of, dtype_map, is_missing, number)
 from tabletools.functions.quantiles import column_quantiles
+from tabletools.functions.ranks import numbered
 from tabletools.functions.values import top_values
+from tabletools.sources.staging import stage
 
 QUARTILES = [0.25, 0.5, 0.75]
 COLUMNS_PER_JOB = 12      # keeps each aggregate inside generated code
 SUMS_PER_JOB = 40
-NARROW_COLUMNS = 12       # above this, pair sums come from matrix products per batch
+NARROW_COLUMNS = 12       # above this, correlations come from products of column blocks
 
 _SUMMARY_SCHEMA = ("column string, mean double, std double, min double, max double, "
                    "median double, skew double, kurtosis double, q25 double, q75 double, "
@@ -123,18 +125,36 @@ class TableProfile:
                 (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((s4 / n) / (s2 / n) ** 2 - 3) + 6)
         return out
 
+    @property
+    def _by_column(self) -> bool:
+        """Few columns, and few pairs with gaps: sums of pairs are plain aggregates, and correlations few enough for the driver."""
+        cols = self.numeric
+        if len(cols) > NARROW_COLUMNS:
+            return False
+        gaps = sum(self._basic[a]["missing"] > 0 or self._basic[b]["missing"] > 0 for i, a in enumerate(cols) for b in cols[i + 1:])
+        return gaps <= SUMS_PER_JOB // 6      # six sums for such a pair: no more of them than one job takes
+
     @cached_property
-    def pearson(self) -> dict[tuple[str, str], float | None]:
-        """r of each pair a < b in column order, over the rows where both are present."""
+    def correlations(self) -> DataFrame:
+        """(a, b, r, ia, ib) of each pair a before b, over the rows where both are present; ia, ib: places of the columns."""
         cols = self.numeric
+        schema = "a string, b string, r double, ia int, ib int"
+        if len(cols) < 2:
+            return self.df.sparkSession.createDataFrame([], schema)
+        if not self._by_column:
+            values = self.df.select(*[number(self.df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+            means, gaps = [self._basic[c]["mean"] or 0.0 for c in cols], [self._basic[c]["missing"] > 0 for c in cols]
+            return stage(block_correlations(values, cols, means, gaps), "correlations")
         pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
         varied = {c for c in self.filled_numeric if self._basic[c]["min"] < self._basic[c]["max"]}
-        usable = [(a, b) for a, b in pairs if a in varied and b in varied]
-        # six sums for a pair with gaps: more than one job's worth go by batch, in a single pass, as those of wide tables do
-        gaps = sum(self._basic[a]["missing"] > 0 or self._basic[b]["missing"] > 0 for a, b in usable)
-        by_batch = len(cols) > NARROW_COLUMNS or gaps > SUMS_PER_JOB // 6
-        sums = self._pair_sums_by_batch(usable) if by_batch else self._pair_sums_by_column(usable)
-        return {p: _pearson(*sums[p]) if p in sums else None for p in pairs}
+        sums = self._pair_sums_by_column([(a, b) for a, b in pairs if a in varied and b in varied])
+        place = {c: i for i, c in enumerate(cols)}
+        return self.df.sparkSession.createDataFrame(
+            [(a, b, _pearson(*sums[a, b]) if (a, b) in sums else None, place[a], place[b]) for a, b in pairs], schema)
+
+    def strong_pairs(self, threshold: float) -> list:
+        """Pairs with |r| above the threshold, strongest first: as many as a text about them shows."""
+        return _in_order(self.correlations.where(F.abs("r") > threshold)).collect()
 
     def _pair_sums_by_column(self, pairs):
         sums = {}
@@ -160,49 +180,12 @@ class TableProfile:
                 sums[p] = tuple(row[6 * i:6 * i + 6])
         return sums
 
-    def _pair_sums_by_batch(self, pairs):
-        """Wide tables: one pass, one matrix product per Arrow batch, sums added up by Spark."""
-        cols = self.filled_numeric
-        means = np.array([self._basic[c]["mean"] for c in cols])
-        schema = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
-        parts = self.df.select(*[number(self.df, c).alias(f"c{i}") for i, c in enumerate(cols)]) \
-            .mapInPandas(_pair_sums_of(means), schema)
-        total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-        found = {(cols[r.i], cols[r.j]): (r.n, r.x, r.y, r.xx, r.yy, r.xy) for r in total.collect()}
-        return {p: found[p] for p in pairs if p in found}
-
-
-def _pair_sums_of(means):
-    """The function that Spark runs per partition; a closure, so it travels by value and the
-    package need not be installed on the executors."""
-    def pair_sums(frames):
-        import numpy
-        import pandas
-        size = len(means)
-        n = x = xx = xy = numpy.zeros((size, size))
-        for frame in frames:
-            values = frame.to_numpy(dtype="float64", na_value=numpy.nan) - means
-            present = ~numpy.isnan(values)
-            values = numpy.where(present, values, 0.0)
-            mask = present.astype("float64")
-            n = n + mask.T @ mask
-            x = x + values.T @ mask
-            xx = xx + (values * values).T @ mask
-            xy = xy + values.T @ values
-        i, j = numpy.triu_indices(size, 1)
-        yield pandas.DataFrame({
-            "i": i.astype("int32"), "j": j.astype("int32"), "n": n[i, j], "x": x[i, j],
-            "y": x[j, i], "xx": xx[i, j], "yy": xx[j, i], "xy": xy[i, j]})
-
-    return pair_sums
-
 
 def _pearson(n, x, y, xx, yy, xy) -> float | None:
     if not n or n < 2:
         return None
     var_x, var_y = xx - x * x / n, yy - y * y / n
-    noise = 1e-14      # rounding left over in the sums of a column that is constant here
-    if var_x <= noise * xx or var_y <= noise * yy or var_x <= 0 or var_y <= 0:
+    if var_x <= NOISE * xx or var_y <= NOISE * yy or var_x <= 0 or var_y <= 0:
         return None
     return max(-1.0, min(1.0, (xy - x * y / n) / (math.sqrt(var_x) * math.sqrt(var_y))))
 
@@ -257,32 +240,34 @@ def missing_profile(df) -> DataFrame:
 
 def correlation_matrix(df) -> DataFrame:
     """(a, b, r) of each pair of numeric columns a before b; r is NULL where undefined."""
-    p = _profile(df)
-    return _frame(p, [(a, b, r) for (a, b), r in p.pearson.items()], "a string, b string, r double")
+    return _profile(df).correlations.select("a", "b", "r")
+
+
+def _strongest_first() -> list:
+    """By |r| descending, then column order. Ranked at 12 digits, since the last bits of a sum depend on the order in which
+    partitions are added."""
+    return [F.desc(F.round(F.abs("r"), 12)), F.asc("ia"), F.asc("ib")]
 
 
-def _ranked_pairs(p: TableProfile):
-    """Defined pairs by |r| descending, then column order. Ranked at 12 digits, since the
-    last bits of a sum depend on the order in which partitions are added."""
-    order = {c: i for i, c in enumerate(p.numeric)}
-    pairs = [(a, b, r) for (a, b), r in p.pearson.items() if r is not None]
-    return sorted(pairs, key=lambda t: (-round(abs(t[2]), 12), order[t[0]], order[t[1]]))
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.orderBy(*_strongest_first())
 
 
 def correlation_pairs(df, threshold: float = K.CORRELATION_THRESHOLD) -> DataFrame:
     """(rank, a, b, r) of the pairs with |r| above the threshold, strongest first."""
     p = _profile(df)
-    strong = [t for t in _ranked_pairs(p) if abs(t[2]) > threshold]
-    return _frame(p, [(i + 1, *t) for i, t in enumerate(strong)],
-                  "rank int, a string, b string, r double").withColumn("r", F.round("r", 3))
+    strong = p.correlations.where(F.abs("r") > threshold)
+    ranked = strong.withColumn("rank", F.row_number().over(Window.orderBy(*_strongest_first()))) if len(p.numeric) <= NARROW_COLUMNS \
+        else numbered(strong, _strongest_first(), "rank")
+    return ranked.select("rank", "a", "b", F.round("r", 3).alias("r"))
 
 
 def strongest_columns(df) -> tuple[str, str] | None:
     p = _profile(df)
     if len(p.numeric) < 2:
         return None
-    ranked = _ranked_pairs(p)
-    return ranked[0][:2] if ranked and ranked[0][2] != 0 else (p.numeric[0], p.numeric[1])
+    first = _in_order(p.correlations.where("r IS NOT NULL")).limit(1).collect()
+    return (first[0].a, first[0].b) if first and first[0].r != 0 else (p.numeric[0], p.numeric[1])
 
 
 def strongest_pair(df) -> DataFrame:
@@ -322,7 +307,7 @@ def kpi_summary(df, metrics: dict[str, float] | None = None, max_metrics: int |
     facts = [("dataset", "Rows", f"{p.rows:,}"), ("dataset", "Columns", str(len(p.df.columns))),
              ("dataset", "Numeric Cols", str(len(p.filled_numeric))),
              ("dataset", "Missing Values", str(sum(p.missing.values())))]
-    strong = [("correlation", f"{a}×{b}", f"{r:+.3f}") for a, b, r in _ranked_pairs(p) if abs(r) > K.CORRELATION_THRESHOLD]
+    strong = [("correlation", f"{r.a}×{r.b}", f"{r.r:+.3f}") for r in p.strong_pairs(K.CORRELATION_THRESHOLD)]
     model = [("model", name, str(value), float(value) if isinstance(value, float) else None)
              for name, value in list((metrics or {}).items())[:max_metrics]]
     rows = [(i + 1, *r, None) for i, r in enumerate(facts)]
@@ -400,7 +385,7 @@ def _missing_lines(p: TableProfile) -> list[str]:
 def _correlation_lines(p: TableProfile) -> list[str]:
     if len(p.numeric) < 2:
         return [K.CORRELATIONS_TOO_FEW]
-    found = [f"  {a} × {b}: r={_shown(r)}" for a, b, r in _ranked_pairs(p) if abs(r) > K.CORRELATION_THRESHOLD]
+    found = [f"  {r.a} × {r.b}: r={_shown(r.r)}" for r in p.strong_pairs(K.CORRELATION_THRESHOLD)]
     if not found:
         return [K.CORRELATIONS_NONE.format(threshold=K.CORRELATION_THRESHOLD)]
     return [K.CORRELATIONS_HEADING.format(threshold=K.CORRELATION_THRESHOLD), *found]
