@@ -116,7 +116,7 @@ QUERIES = {
     "correlation_matrix": lambda s, d: tidy(tt.correlation_matrix(read(s, d, "lineitem"))),
     "correlation_matrix_wide": lambda s, d: tidy(tt.correlation_matrix(_wide(s, d))),
     "correlation_matrix_many": lambda s, d: tidy(tt.correlation_matrix(_many(s, d))),
-    "correlation_pairs_many": lambda s, d: tt.correlation_pairs(_many(s, d), 0.45).select("a", "b", F.round("r", 2).alias("r")),
+    "correlation_pairs_many": lambda s, d: tt.correlation_pairs(_many(s, d), 0.45).select("a", "b", "r"),
     "correlation_matrix_gaps": lambda s, d: tidy(tt.correlation_matrix(dirty(s, d))),
     "correlation_pairs": lambda s, d: tt.correlation_pairs(read(s, d, "part")),
     "strongest_pair": lambda s, d: tt.strongest_pair(read(s, d, "part")),
@@ -187,7 +187,7 @@ round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 1) AS pct FROM dirty"""
     "correlation_matrix_wide": _matrix_sql("wide", WIDE_COLUMNS, "WITH wide AS (" + WIDE.format(
         lineitem="lineitem", orders="orders", part="part") + ")"),
     "correlation_matrix_many": _MANY_SQL + "SELECT 'c' || i AS a, 'c' || j AS b, round(r, 6) AS r FROM pairs",
-    "correlation_pairs_many": _MANY_SQL + "SELECT 'c' || i AS a, 'c' || j AS b, round(round(r, 3), 2) AS r FROM pairs WHERE abs(r) > 0.45",
+    "correlation_pairs_many": _MANY_SQL + "SELECT 'c' || i AS a, 'c' || j AS b, round(r, 3) AS r FROM pairs WHERE abs(r) > 0.45",
     "correlation_matrix_gaps": _matrix_sql("dirty", GAPPED, DIRTY_SQL),
     "correlation_pairs": _ranked_sql(PART, "part") + " SELECT rank, a, b, round(r, 3) AS r FROM ranked WHERE abs(r) > 0.3",
     "strongest_pair": _ranked_sql(PART, "part") + " SELECT a, b FROM ranked WHERE rank = 1",
