@@ -32,6 +32,11 @@ def _text_x(df):
     return df.withColumn("x", F.col("x").cast("string")).withColumn("y", F.round("y", 9))
 
 
+def _dense(df):
+    """Densities by the million, those that are not next to nothing."""
+    return df.select("x", "point", F.round("y", 4).alias("y"), F.round(1e6 * F.col("density"), 6).alias("density")).where("density > 0.01")
+
+
 def _orders(s, d):
     return read(s, d, "orders")
 
@@ -57,6 +62,10 @@ QUERIES = {
     "box_data_customers": lambda s, d: tidy(tt.box_data(_orders(s, d), "o_custkey", "o_totalprice")),
     "box_data_hot": lambda s, d: tidy(tt.box_data(_orders(s, d), "o_orderpriority", "o_totalprice", group_values=500)),
     "violin_data": lambda s, d: tidy(tt.violin_data(_orders(s, d), "o_orderpriority", "o_totalprice")),
+    "violin_density": lambda s, d: _dense(tt.violin_density(_orders(s, d), "o_orderpriority", "o_totalprice")),
+    "line_data_thinned": lambda s, d: tidy(_text_x(tt.line_data(
+        _orders(s, d), "o_orderkey", "o_totalprice", agg="max", max_points=400))),
+    "area_data_thinned": lambda s, d: tidy(_text_x(tt.area_data(_orders(s, d), "o_orderdate", "o_totalprice", max_points=200)), 2),
     "line_data": lambda s, d: tidy(_text_x(tt.line_data(_orders(s, d), "o_orderdate", "o_totalprice", agg="max"))),
     "line_data_month": lambda s, d: tidy(_text_x(tt.line_data(_orders(s, d), "o_orderdate", "o_totalprice", "month"))),
     "pie_data": lambda s, d: tidy(tt.pie_data(_orders(s, d), "o_orderpriority", "o_totalprice"), 2),
@@ -112,6 +121,17 @@ _BEST = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a,
 
 _VALIDATED = _validated_sql("'bar', 'line', 'scatter', 'histogram', 'box', 'heatmap', 'pie', 'area'", True)
 
+def _thin_sql(x: str, agg: str, place: str, most: int, digits: int) -> str:
+    return f"""WITH l AS (SELECT {x} AS x, {agg}(o_totalprice) AS y FROM orders GROUP BY 1),
+r AS (SELECT min({place}) AS low, max({place}) AS high, count(*) AS n FROM l),
+p AS (SELECT x, y, CASE WHEN n <= {most} THEN row_number() OVER () ELSE
+  least(floor(({place} - low) / (high - low) * {most // 4}), {most // 4 - 1}) END AS pixel FROM l, r),
+e AS (SELECT arg_min({{'x': x, 'y': y}}, x) AS a, arg_max({{'x': x, 'y': y}}, x) AS b, min({{'y': y, 'x': x}}) AS c, max({{'y': y, 'x': x}}) AS d
+  FROM p GROUP BY pixel),
+u AS (SELECT a.x, a.y FROM e UNION SELECT b.x, b.y FROM e UNION SELECT c.x, c.y FROM e UNION SELECT d.x, d.y FROM e)
+SELECT x::VARCHAR AS x, round(y, {digits}) AS y FROM u"""
+
+
 ORACLES = {
     "recommend_charts": f"""SELECT 1 AS rank, 'histogram' AS chart_type, 'p_partkey' AS x_axis, NULL AS y_axis, 'Distribution of p_partkey' AS title
 UNION ALL SELECT 2, 'bar', 'p_name', 'p_partkey', 'p_partkey by p_name'
@@ -148,6 +168,19 @@ FROM lineitem, r GROUP BY 1, 2""",
 b AS (SELECT x, lo, hi, size, {_bin_sql('o_totalprice', 'lo', 'hi')} AS bin FROM orders JOIN r ON o_orderpriority = x)
 SELECT x, bin, count(*) AS n, round(count(*) / size, 6) AS share, round(lo + bin * ((hi - lo) / {_BINS}), 6) AS lower,
 round(lo + (bin + 1) * ((hi - lo) / {_BINS}), 6) AS upper FROM b GROUP BY x, bin, lo, hi, size""",
+    "violin_density": """WITH v AS (SELECT o_orderpriority AS x, o_totalprice AS y FROM orders),
+f AS (SELECT x, count(*) AS n, min(y) AS lo, max(y) AS hi, stddev(y) * pow(count(*), -0.2) AS h FROM v GROUP BY x HAVING max(y) > min(y)),
+g AS (SELECT x, n, h, lo - 4 * h AS start, least((hi - lo + 8 * h) / 127, h / 4) AS step FROM f),
+p AS (SELECT v.x, n, h, start, step, (y - start) / step AS place FROM v JOIN g USING (x)),
+e AS (SELECT x, n, h, start, step, floor(place)::BIGINT AS cell, 1 - (place - floor(place)) AS w FROM p
+  UNION ALL SELECT x, n, h, start, step, floor(place)::BIGINT + 1, place - floor(place) FROM p),
+c AS (SELECT x, n, h, start, step, cell, sum(w) AS w FROM e GROUP BY ALL),
+k AS (SELECT x, h, step, unnest(range(-floor(4 * h / step)::BIGINT, floor(4 * h / step)::BIGINT + 1)) AS o FROM g),
+m AS (SELECT x, o, exp(-0.5 * (o * step / h) ** 2) / sum(exp(-0.5 * (o * step / h) ** 2)) OVER (PARTITION BY x) AS share FROM k),
+d AS (SELECT x, cell + o AS point, start, step, sum(w * share) / (n * step) AS density FROM c JOIN m USING (x) GROUP BY x, n, cell + o, start, step)
+SELECT x, point, round(start + point * step, 4) AS y, round(1e6 * density, 6) AS density FROM d WHERE round(1e6 * density, 6) > 0.01""",
+    "line_data_thinned": _thin_sql("o_orderkey", "max", "x::DOUBLE", 400, 9),
+    "area_data_thinned": _thin_sql("o_orderdate", "sum", "epoch_us(x)::DOUBLE", 200, 2),
     "line_data": _line_sql("max", None, 6),
     "line_data_month": _line_sql("avg", "month", 6),
     "pie_data": """SELECT o_orderpriority AS x, round(sum(o_totalprice), 2) AS value,

@@ -71,6 +71,20 @@ def _saved(s, d):
         s.read.parquet(f"{path}/cleaned").agg(F.lit("rows").alias("column"), F.count("*").alias("n_null")))
 
 
+def _published(s, d):
+    """Two runs under one path and a third that fails before its last table: readers see the second."""
+    path, part = staging_path(s, "published"), read(s, d, "part")
+    tt.publish_results({"rows": part.limit(0), "sizes": part.groupBy("p_size").count()}, path)
+    tt.publish_results({"rows": part, "sizes": part.groupBy("p_size").count()}, path)
+    try:
+        tt.publish_results({"rows": part.limit(1), "sizes": part.select(F.raise_error(F.lit("fails")).alias("e"))}, path)
+    except Exception:
+        pass
+    tables = tt.read_results(s, path)
+    return tables["sizes"].select(F.lit("sizes").alias("part"), F.col("count").alias("n")).unionByName(
+        tables["rows"].agg(F.lit("rows").alias("part"), F.count("*").alias("n")))
+
+
 def _loaded(s, d, suffix):
     path = staging_path(s, "nation-customers") + "." + suffix
     getattr(read(s, d, "customer").write, suffix)(path)
@@ -93,6 +107,7 @@ QUERIES = {
     "load_table_parquet": lambda s, d: tt.load_table(s, f"{d.rstrip('/')}/part.parquet"),
     "write_csv_table": lambda s, d: tt.load_table(s, _csv(s, read(s, d, "lineitem"), "lineitem")),
     "save_results": _saved,
+    "publish_results": _published,
     "preview": lambda s, d: tt.preview(read(s, d, "part"), 5, ["p_partkey"]),
     "ask_sql": lambda s, d: tt.ask_sql(s, {"data": read(s, d, "customer"), "nation": read(s, d, "nation"),
                                            "region": read(s, d, "region")}, ASK),
@@ -144,6 +159,7 @@ UNION ALL SELECT count(*)::INTEGER, 'model', 'event_type', NULL, 'metrics' FROM
     "load_table_orc": _CUSTOMER,
     "load_table_parquet": "SELECT * FROM part",
     "write_csv_table": "SELECT * REPLACE (l_shipdate::VARCHAR AS l_shipdate) FROM lineitem",
+    "publish_results": "SELECT 'sizes' AS part, count(*) AS n FROM part GROUP BY p_size UNION ALL SELECT 'rows', count(*) FROM part",
     "save_results": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) - count({c}) AS n_null FROM part"""
         for c in ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])

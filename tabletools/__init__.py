@@ -4,7 +4,7 @@ from tabletools import constants
 from tabletools.functions.kinds import dtype_map, select_kind
 from tabletools.operators.charts import (
     area_data, bar_data, box_data, chart_data, choose_charts, heatmap_data, histogram_data, line_data,
-    pie_data, recommend_charts, scatter_bins, scatter_data, validate_chart_specs, violin_data)
+    pie_data, recommend_charts, scatter_bins, scatter_data, validate_chart_specs, violin_data, violin_density)
 from tabletools.operators.cleaning import (
     CleaningModel, cleaning_report, clip_outliers, date_pattern_rate, drop_exact_duplicates,
     drop_sparse_columns, duplicate_count, fill_median, fill_mode, fit_cleaning, iqr_fences, null_profile,
@@ -25,6 +25,7 @@ from tabletools.plans.run import RunResult, analyse_file, analyse_table
 from tabletools.sources.files import (
     infer_types, load_table, preview, read_csv_table, save_results, write_csv_table)
 from tabletools.sources.jdbc import postgres_url, read_sql_query
+from tabletools.sources.runs import drop_old_runs, publish_results, read_results
 from tabletools.sources.staging import cleanup, stage
 from tabletools.streaming.clean_stream import append_clean_stream, clean_stream
 

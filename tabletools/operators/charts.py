@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tabletools import constants as K
 from tabletools.functions.joins import join_group_facts, prefer
-from tabletools.functions.kinds import DATETIME, col, columns_of, is_missing, number
+from tabletools.functions.kinds import DATETIME, NUMERIC, col, columns_of, is_missing, kind_of, number
 from tabletools.functions.quantiles import GROUP_VALUES, group_quantiles
 from tabletools.operators.profile import TableProfile, strongest_columns
 from tabletools.sources.staging import stage
 
 BINS = 20
+DENSITY_POINTS = 128     # points of a density's grid at least
+KERNEL_REACH = 4.0       # bandwidths that the kernel reaches
 _SPEC = "rank int, chart_type string, x_axis string, y_axis string, title string"
 
 
@@ -163,13 +165,70 @@ def violin_data(df: DataFrame, x: str, y: str, bins: int = BINS) -> DataFrame:
         "x", "bin", "n", (F.col("n") / F.col("size")).alias("share"), "lower", "upper")
 
 
+def violin_density(df: DataFrame, x: str, y: str, points: int = DENSITY_POINTS) -> DataFrame:
+    """(x, point, y, density): a smooth curve of y's distribution within each category, by a Gaussian kernel of Scott's bandwidth.
+
+    Values are shared out between the two nearest points of a grid, at most a quarter of a bandwidth apart, and the sums are
+    spread by the kernel at the distances of the grid; both are aggregates. Each curve sums to one over its grid; points that no
+    value reaches are left out. A category without spread has no curve.
+    """
+    values = _points(df, x, y)
+    facts = values.groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.stddev("y").alias("s")) \
+        .where("hi > lo")
+    width = F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    facts = facts.withColumn("h", width).withColumn("start", F.col("lo") - KERNEL_REACH * F.col("h")) \
+        .withColumn("step", F.least((F.col("hi") - F.col("lo") + 2 * KERNEL_REACH * F.col("h")) / (points - 1), F.col("h") / 4))
+    facts = stage(facts.select("x", "n", "h", "start", "step"), "density-grids")
+    place = (F.col("y") - F.col("start")) / F.col("step")
+    placed = join_group_facts(values, facts, ["x"], "y", size="n").select("x", "n", "h", "start", "step", place.alias("place"))
+    cell, over = F.floor("place"), F.col("place") - F.floor("place")
+    ends = F.explode(F.array(F.struct(cell.alias("cell"), (1 - over).alias("w")), F.struct((cell + 1).alias("cell"), over.alias("w"))))
+    grid = placed.select("x", "n", "h", "start", "step", ends.alias("e")) \
+        .groupBy("x", "n", "h", "start", "step", F.col("e.cell").alias("cell")).agg(F.sum("e.w").alias("w"))
+    reach = F.floor(KERNEL_REACH * F.col("h") / F.col("step")).cast("long")
+    offsets = F.sequence(-reach, reach)
+    heights = F.transform(offsets, lambda o: F.exp(-0.5 * F.pow(o * F.col("step") / F.col("h"), F.lit(2.0))))
+    mass = F.aggregate(heights, F.lit(0.0), lambda a, b: a + b)
+    spread = grid.withColumn("mass", mass).withColumn("o", F.explode(offsets)).select(
+        "x", "n", "start", "step", (F.col("cell") + F.col("o")).alias("point"),
+        (F.col("w") * F.exp(-0.5 * F.pow(F.col("o") * F.col("step") / F.col("h"), F.lit(2.0))) / F.col("mass")).alias("w"))
+    density = F.sum("w") / (F.col("n") * F.col("step"))
+    return spread.groupBy("x", "n", "start", "step", "point").agg(density.alias("density")).select(
+        "x", "point", (F.col("start") + F.col("point") * F.col("step")).alias("y"), "density")
+
+
 _AGGREGATES = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 
 
-def line_data(df: DataFrame, x: str, y: str, unit: str | None = None, agg: str = "avg") -> DataFrame:
-    """(x, y) in the order of x, one value per x or per date unit (month, day, ...)."""
+def line_data(df: DataFrame, x: str, y: str, unit: str | None = None, agg: str = "avg", max_points: int | None = None) -> DataFrame:
+    """(x, y) in the order of x, one value per x or per date unit (month, day, ...).
+
+    With ``max_points`` a line of more is thinned without a change to its drawing ``max_points // 4`` pixels wide: of each pixel column the first,
+    last, lowest and highest point stay. x must be a number or a date then.
+    """
     place = F.date_trunc(unit, F.col("x")) if unit else F.col("x")
-    return _points(df, x, y).groupBy(place.alias("x")).agg(_AGGREGATES[agg]("y").alias("y")).orderBy("x")
+    line = _points(df, x, y).groupBy(place.alias("x")).agg(_AGGREGATES[agg]("y").alias("y"))
+    return (_four_extremes(line, max_points) if max_points is not None else line).orderBy("x")
+
+
+def _four_extremes(line: DataFrame, max_points: int) -> DataFrame:
+    if max_points < 4:
+        raise ValueError("A thinned line needs at least four points.")
+    kind = kind_of(line.schema["x"].dataType)
+    if kind not in (NUMERIC, DATETIME):
+        raise ValueError("Only lines over numbers or dates are thinned.")
+    line = stage(line, "line")
+    place = F.col("x").cast("double") if kind == NUMERIC else F.unix_micros(F.col("x").cast("timestamp")).cast("double")
+    n, low, high = line.agg(F.count("*"), F.min(place), F.max(place)).first()
+    if n <= max_points:
+        return line
+    pixel = F.least(F.floor((place - F.lit(low)) / F.lit((high - low) or 1.0) * (max_points // 4)), F.lit(max_points // 4 - 1))
+    point = F.struct("x", "y")
+    lowest, highest = F.min(F.struct("y", "x")), F.max(F.struct(F.col("y"), F.col("x")))
+    ends = line.groupBy(pixel.alias("pixel")).agg(
+        F.min_by(point, "x").alias("first"), F.max_by(point, "x").alias("last"), lowest.alias("low"), highest.alias("high"))
+    four = F.array("first", "last", *[F.struct(F.col(f"{e}.x").alias("x"), F.col(f"{e}.y").alias("y")) for e in ("low", "high")])
+    return ends.select(F.explode(F.array_distinct(four)).alias("p")).select("p.x", "p.y")
 
 
 def pie_data(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
@@ -181,13 +240,14 @@ def pie_data(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
         .withColumn("share", F.try_divide(F.col("value"), F.lit(whole)))
 
 
-def area_data(df: DataFrame, x: str, y: str, unit: str | None = None, group: str | None = None) -> DataFrame:
-    """(x, y) in the order of x: the area's height is the total of y at x.
+def area_data(df: DataFrame, x: str, y: str, unit: str | None = None, group: str | None = None,
+              max_points: int | None = None) -> DataFrame:
+    """(x, y) in the order of x: the area's height is the total of y at x; with ``max_points`` thinned as a line is.
 
     With ``group`` one area per group, stacked in the order of the groups: (x, group, y, lower, upper).
     """
     if group is None:
-        return line_data(df, x, y, unit, "sum")
+        return line_data(df, x, y, unit, "sum", max_points)
     place = F.date_trunc(unit, col(x)) if unit else col(x)
     totals = _present(df, x, y, group).groupBy(place.alias("x"), col(group).alias("group")) \
         .agg(F.sum(number(df, y)).alias("y"))

@@ -1,5 +1,7 @@
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import tabletools as tt
 import tabletools.functions.joins as joins
@@ -98,3 +100,53 @@ def test_stacked_areas(spark):
                                "x int, g string, y double")
     assert [tuple(r) for r in tt.area_data(df, "x", "y", group="g").collect()] == [
         (1, "a", 3.0, 0.0, 3.0), (1, "b", 3.0, 3.0, 6.0), (2, "b", 5.0, 0.0, 5.0)]
+
+
+def kernel_sum(values, at):
+    """A Gaussian density with Scott's bandwidth, value by value."""
+    h = np.std(values, ddof=1) * len(values) ** -0.2
+    return np.exp(-0.5 * ((at[:, None] - values[None]) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+
+
+def test_violin_density_is_a_kernel_density(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"g": ["a"] * 700 + ["b"] * 300 + ["one"] + ["same"] * 4,
+                          "v": np.concatenate([rng.normal(5, 2, 700), rng.choice([0.0, 50.0], 300) + rng.random(300), [3.0], [7.0] * 4])})
+    frame = pd.concat([frame, pd.DataFrame({"g": ["a", None], "v": [np.nan, 1.0]})])
+    found = tt.violin_density(spark.createDataFrame(frame).repartition(3), "g", "v").toPandas().sort_values(["x", "point"])
+    assert set(found.x) == {"a", "b"}
+    for g, curve in found.groupby("x"):
+        own = frame[(frame.g == g) & frame.v.notna()].v.to_numpy()
+        step = ((curve.y - curve.y.iloc[0]) / (curve.point - curve.point.iloc[0])).iloc[-1]
+        assert curve.density.sum() * step == pytest.approx(1)
+        exact = kernel_sum(own, curve.y.to_numpy())
+        assert abs(curve.density.to_numpy() - exact).max() < 0.02 * exact.max()
+
+
+def raster(points, width, low, high):
+    """The lowest and highest pixel row that a line touches in each pixel column."""
+    x, y = (np.array([p[i] for p in points], float) for i in (0, 1))
+    column = np.minimum((x - low) / (high - low) * width, width - 1e-9).astype(int)
+    out = {}
+    for c in np.unique(column):
+        own = y[column == c]
+        out[int(c)] = (own[0], own[-1], own.min(), own.max())
+    return out
+
+
+def test_a_thinned_line_draws_the_same(spark):
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.choice(10 ** 6, 5000, replace=False))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.cumsum(rng.normal(size=5000))})).repartition(4)
+    whole = [tuple(r) for r in tt.line_data(df, "x", "y").collect()]
+    thin = [tuple(r) for r in tt.line_data(df, "x", "y", max_points=400).collect()]
+    assert len(thin) <= 400 < len(whole) == 5000 and set(thin) <= set(whole) and thin == sorted(thin)
+    assert raster(thin, 100, x[0], x[-1]) == raster(whole, 100, x[0], x[-1])
+    assert [tuple(r) for r in tt.line_data(df, "x", "y", max_points=5000).collect()] == whole
+    dates = df.withColumn("x", F.timestamp_seconds("x"))
+    assert tt.line_data(dates, "x", "y", max_points=40).count() <= 40
+    assert tt.line_data(df.withColumn("x", F.lit(1)), "x", "y", max_points=4).count() == 1
+    with pytest.raises(ValueError):
+        tt.line_data(df.withColumn("x", F.col("x").cast("string")), "x", "y", max_points=40)
+    with pytest.raises(ValueError):
+        tt.line_data(df, "x", "y", max_points=3)
