@@ -181,8 +181,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     taken = streams.where("size > 0").join(rounds, ["src", "start"]).where(_whole(F.col("words"), F.col("size"))) \
         .groupBy("doc_id", "src", "key", "repeated").agg(F.sort_array(F.collect_list(F.struct("position", "start"))).alias("taken"))
     same = key.eqNullSafe(F.col("key")) & doc_id.eqNullSafe(F.col("doc_id")) & (_stream(source) == F.col("src"))
-    found = stage(rows.join(taken, same).select(*names, "taken", "repeated"), "mix-documents")
-    once = found.where("NOT repeated").unionByName(found.where("repeated").dropDuplicates([of[c] for c in ("doc_id", "source", "text")]))
+    once = rows.join(taken, same).select(*names, "taken", "repeated")
+    if not keyed.where("repeated").isEmpty():                    # texts are written once more only where some rows repeat
+        once = stage(once, "mix-documents")
+        again = once.where("repeated").dropDuplicates([of[c] for c in ("doc_id", "source", "text")])
+        once = once.where("NOT repeated").unionByName(again)
     slots = once.withColumn("slot", F.explode("taken"))
     order = [F.col("slot.position"), F.col("slot.start"), doc_id]
     return slots.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(n).alias(c) for c, n in of.items()])
