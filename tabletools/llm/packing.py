@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletools.functions.joins import join_group_facts
-from tabletools.llm.words import bounded_batches, slices
+from tabletools.llm.words import bounded_batches, give_back, slices
 from tabletools.sources.staging import stage
 
 LENGTH = 2048
@@ -128,6 +128,7 @@ def _tokenized(path: str, end_id: int, id_bytes: int):
                      pa.array(ahead, pa.int64()), pa.array(tokens, pa.int64()),
                      pa.array([data[a:b] for a, b in zip(limits[:-1], limits[1:])], pa.binary())],
                     ["doc_id", "src", "part", "ahead", "tokens", "ids"])
+            give_back()
     return run
 
 
@@ -232,6 +233,7 @@ def _packed(totals: dict[str, int], length: int, quantum: int, id_bytes: int):
         for batch in batches:
             for at in range(0, len(batch), PACK_ROWS):
                 yield packed(batch.slice(at, PACK_ROWS))
+            give_back()
     return run
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tabletools.functions.joins import join_group_facts
 from tabletools.llm.components import components
 from tabletools.llm.keep import without
-from tabletools.llm.words import bounded_batches, slices
+from tabletools.llm.words import bounded_batches, give_back, slices
 from tabletools.sources.staging import stage
 
 SHINGLE_WORDS = 3
@@ -78,6 +78,7 @@ def fingerprint(text, words: int = SHINGLE_WORDS):
         for part in slices(texts):
             hashes = [shingle_hashes(t, words) for t in part.cast(pa.large_binary()).to_pylist()]
             out.append(majority_bits(np.concatenate(hashes), np.array([len(h) for h in hashes])))
+        give_back()
         return pa.array(np.concatenate(out).view(np.int64))
 
     return fingerprints(text)

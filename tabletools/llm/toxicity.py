@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletools.llm.keep import one_text_each
-from tabletools.llm.words import ASCII_PUNCTUATION, WHITE, bounded_batches, find_words, slices, text_bytes, word_hashes
+from tabletools.llm.words import ASCII_PUNCTUATION, WHITE, bounded_batches, find_words, give_back, slices, text_bytes, word_hashes
 
 TRAIN_ROWS = 8_000
 VOTERS = 200                # words and stems of the lexicon
@@ -212,7 +212,9 @@ def toxic_score(text, model: Toxicity):
     """A column with the score of a text column, 0 to 1; null and empty texts have the score of a text without words."""
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0)] + [model.scores(part) for part in slices(texts)]), pa.float64())
+        scores = np.concatenate([np.zeros(0)] + [model.scores(part) for part in slices(texts)])
+        give_back()
+        return pa.array(scores, pa.float64())
 
     return score(text)
 

@@ -6,6 +6,7 @@ makes a slice of its own and is never cut. A word is hashed by a polynomial over
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,6 +44,14 @@ def bounded_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system: a Python worker lives on, and other tasks and the JVM share the executor with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """The texts (null: empty) in order, in slices of at most ``most`` bytes or one text."""
     texts = texts.cast(pa.large_string()).fill_null("")
