@@ -28,5 +28,6 @@ from tabletools.sources.jdbc import postgres_url, read_sql_query
 from tabletools.sources.runs import drop_old_runs, publish_results, read_results
 from tabletools.sources.staging import cleanup, stage
 from tabletools.streaming.clean_stream import append_clean_stream, clean_stream
+from tabletools.streaming.refit_stream import append_distinct_stream, distinct_stream, refit_cleaning, stream_rows
 
 __all__ = [name for name in dir() if not name.startswith("_")]

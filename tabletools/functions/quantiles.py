@@ -135,10 +135,33 @@ def _settle(t: _Target, cells: list) -> None:
     t.value = low_value if low_value == high_value or share == 0 else low_value + (high_value - low_value) * share
 
 
-def _pass(rows: DataFrame, targets: list[_Target]) -> None:
-    """One look at all rows for all targets that have no value yet."""
+_CELLS = "i long, cell long, n long, lo long, hi long"
+
+
+def digit_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, cell, n, lo, hi``: the rows of each column by the first digit of their numbers, as the first pass of
+    :func:`column_quantiles` counts them. Those of parts of a table add up to those of the whole."""
+    rows = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, cell long, n long, lo long, hi long")
+    names = F.array(*[F.lit(c) for c in columns])
+    cells = rows.mapInArrow(_counted([_Target(i, 0.0).cells for i in range(len(columns))]), _CELLS)
+    return cells.select(F.get(names, F.col("i")).alias("column"), "cell", "n", "lo", "hi")
+
+
+def cells_of_value(df: DataFrame, values: dict[str, tuple[float, int]]) -> DataFrame:
+    """The cells of columns that hold one value n times; ``values``: {column: (value, n)}."""
+    rows = []
+    for c, (value, n) in values.items():
+        bits = int(ordered_bits(np.array([value]))[0])
+        rows.append((c, bits >> (64 - DIGIT_BITS), n, bits - (1 << 63), bits - (1 << 63)))
+    return df.sparkSession.createDataFrame(rows, "column string, cell long, n long, lo long, hi long")
+
+
+def _pass(rows: DataFrame, targets: list[_Target], first: DataFrame | None = None) -> None:
+    """One look at all rows for all targets that have no value yet, or at the cells that a first one has counted."""
     wanted = list(dict.fromkeys(t.cells for t in targets))
-    cells = rows.mapInArrow(_counted(wanted), "i long, cell long, n long, lo long, hi long") \
+    cells = (rows.mapInArrow(_counted(wanted), _CELLS) if first is None else first) \
         .groupBy("i", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     places = {w: i for i, w in enumerate(wanted)}
     upto = Window.partitionBy("i").orderBy("lo")                       # some ten thousand cells of a range at most
@@ -159,15 +182,21 @@ def _pass(rows: DataFrame, targets: list[_Target]) -> None:
             _settle(t, own)
 
 
-def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, dict[float, float | None]]:
-    """{column: {p: exact quantile with linear interpolation}}; None for a column without values."""
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                     cells: DataFrame | None = None) -> dict[str, dict[float, float | None]]:
+    """{column: {p: exact quantile with linear interpolation}}; None for a column without values. ``cells``: the first pass, where it is
+    known from :func:`digit_cells`."""
     result = {c: dict.fromkeys(probs) for c in columns}
     for part in batches(columns, COLUMNS_PER_PASS):
         rows = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(part)])
         targets = [_Target(i, p) for i in range(len(part)) for p in probs]
-        open_ = targets
+        open_, first = targets, None
+        if cells is not None:
+            place = (F.array_position(F.array(*[F.lit(c) for c in part]), F.col("column")) - 1).alias("i")
+            first = cells.where(F.col("column").isin(part)).select(place, "cell", "n", "lo", "hi")
         while open_:
-            _pass(rows, open_)
+            _pass(rows, open_, *([first] if first is not None else []))
+            first = None
             open_ = [t for t in open_ if t.value is None and t.ranks is not None]
         for t in targets:
             result[part[t.column]][t.p] = t.value

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabletools import constants as K
 from tabletools.functions.kinds import (
     BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, batches, col, columns_of, nan_to_null, number)
-from tabletools.functions.quantiles import column_quantiles
+from tabletools.functions.quantiles import cells_of_value, column_quantiles
 from tabletools.functions.values import top_values
 from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile
 from tabletools.sources.staging import stage
@@ -146,9 +146,9 @@ class Fence:
     upper: float
 
 
-def _fences(df: DataFrame, k: float = K.IQR_MULTIPLIER) -> dict[str, Fence]:
+def _fences(df: DataFrame, k: float = K.IQR_MULTIPLIER, cells: DataFrame | None = None) -> dict[str, Fence]:
     found = {}
-    for c, q in column_quantiles(df, columns_of(df, NUMERIC), [0.25, 0.75]).items():
+    for c, q in column_quantiles(df, columns_of(df, NUMERIC), [0.25, 0.75], cells).items():
         q1, q3 = q[0.25], q[0.75]
         if q1 is not None and q3 != q1:
             iqr = q3 - q1
@@ -232,17 +232,22 @@ def date_pattern_rate(df: DataFrame, order_by: list[str] | None = None,
 def _date_formats(df: DataFrame, rates: dict[str, float | None]) -> dict[str, str]:
     """{column: format} of the columns to parse: per column the format that parses most."""
     candidates = [c for c, r in rates.items() if r is not None and r >= K.DATE_MATCH_THRESHOLD]
+    if not candidates:
+        return {}
+    # no text has the shape of two formats, so each is parsed once, and one pass serves all columns
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), col(c).alias("text")) for i, c in enumerate(candidates)])
+    reads = F.coalesce(*[F.when(_date_expr(F.col("text"), f).isNotNull(), j) for j, f in enumerate(K.DATE_FORMATS)])
+    cells = df.select(F.explode(cells).alias("cell")).select("cell.*")
+    counts: dict[int, dict] = {}
+    for r in cells.groupBy("i", F.col("text").isNull().alias("missing"), reads.alias("format")).count().collect():
+        counts.setdefault(r["i"], {})[r["missing"], r["format"]] = r["count"]
     chosen = {}
-    for part in batches(candidates, 2):
-        exprs = [F.count("*")]
-        for i, c in enumerate(part):
-            exprs.append(F.count(col(c)).alias(f"n{i}"))
-            exprs += [F.count(_date_expr(col(c), f)).alias(f"f{i}_{j}") for j, f in enumerate(K.DATE_FORMATS)]
-        row = df.agg(*exprs).first()
-        for c, (present, *parsed) in zip(part, batches(list(row[1:]), 1 + len(K.DATE_FORMATS))):
-            best = max(range(len(parsed)), key=lambda j: (parsed[j], -j))
-            if (present - parsed[best]) / max(row[0], 1) < K.DATE_FAILURE_LIMIT:
-                chosen[c] = list(K.DATE_FORMATS)[best]
+    for i, c in enumerate(candidates):
+        parsed = {j: n for (_, j), n in counts[i].items() if j is not None}
+        best = min(parsed, key=lambda j: (-parsed[j], j), default=0)
+        failed = sum(n for (missing, _), n in counts[i].items() if not missing) - parsed.get(best, 0)
+        if failed / max(sum(counts[i].values()), 1) < K.DATE_FAILURE_LIMIT:
+            chosen[c] = list(K.DATE_FORMATS)[best]
     return chosen
 
 
@@ -294,13 +299,13 @@ class CleaningModel:
         return self.transform(self.source, dedup=False)
 
 
-def fit_cleaning(df: DataFrame) -> CleaningModel:
+def fit_cleaning(df: DataFrame, distinct: bool = False, cells: DataFrame | None = None) -> CleaningModel:
     """Decide all rules for this table.
 
     A table with duplicates is staged once after dedup, since every later job reads it; a
-    table without any is read in place.
+    table without any is read in place, as is one known to be ``distinct``. ``cells``: the digits of its numbers, if they are counted already.
     """
-    source = drop_exact_duplicates(df)
+    source = df if distinct else drop_exact_duplicates(df)
     if source is not df:
         source = stage(source, "deduplicated")
     p = TableProfile(source)
@@ -313,11 +318,12 @@ def fit_cleaning(df: DataFrame) -> CleaningModel:
     modes = column_modes(source, others)
     model = CleaningModel(
         source, rows, removed, missing, dropped,
-        medians={c: q[0.5] for c, q in column_quantiles(source, numeric, [0.5]).items()},
+        medians={c: q[0.5] for c, q in column_quantiles(source, numeric, [0.5], cells).items()},
         modes={c: modes.get(c) for c in others})
     filled = model._filled(source)
-    # a median lies between the ends of its column, so a filled column keeps its range
-    model.fences = _fences(filled)
+    if cells is not None:              # a gap that is filled is one more row with the median
+        cells = cells.unionByName(cells_of_value(df, {c: (m, missing[c]) for c, m in model.medians.items() if m is not None}))
+    model.fences = _fences(filled, cells=cells)
     model.outliers = _count_outliers(filled, model.fences)
     model.rates = _pattern_rates(filled)
     model.formats = _date_formats(filled, model.rates)
