@@ -43,7 +43,8 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread_
     are broadcast when a count shows that they are small. Otherwise both sides shuffle: on
     key and salt, so that the rows of a hot key spread over ``SALTS`` tasks by the hash of
     ``spread_on`` while each fact is repeated once per salt. With ``size``, the fact that tells the
-    number of rows per key, only the facts of hot keys are repeated.
+    number of rows per key, only the facts of hot keys are repeated. Both are merge joins by hint: Spark's own estimate, the size
+    of a compressed file without its repeats, may take the facts for a table to broadcast.
     """
     if fits_broadcast(facts, broadcast_rows):
         return rows.join(F.broadcast(facts), keys, how)
@@ -52,13 +53,13 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread_
     hot, cold = facts.where(F.col(size) > HOT_ROWS), facts.where(F.col(size) <= HOT_ROWS)
     among_hot = join_group_facts(rows, hot, keys, spread_on)
     others = join_group_facts(rows, hot.select(*keys), keys, spread_on, "left_anti")
-    return among_hot.unionByName(others.join(cold, keys))
+    return among_hot.unionByName(others.join(cold.hint("merge"), keys, how))
 
 
 def _join_salted(rows: DataFrame, facts: DataFrame, keys: list[str], spread_on: str, how: str) -> DataFrame:
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_on)), F.lit(SALTS)))
     spread = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(spread.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def prefer(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

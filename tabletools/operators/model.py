@@ -19,6 +19,7 @@ from tabletools.operators.profile import COLUMNS_PER_JOB, TableProfile
 from tabletools.sources.staging import stage
 
 MISSING_LABEL = "nan"
+_SIZE = "_rows_of_class"
 SORT_ROWS = 100_000   # rows one task may sort
 SKETCH_MARGIN = 4     # an estimate this many times over the limit is surely over it
 
@@ -62,7 +63,7 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Text values become their index in sorted order, a missing one counts as the text "nan".
 
     Any number of values: the classes of a column are a staged table, joined by broadcast if a count shows that they
-    are few, else with the rows of a frequent value spread over several tasks.
+    are few, else by shuffles, with the rows of a value that many rows have spread over several tasks.
     """
     encoded = df.withColumn("_spread", F.xxhash64(*[col(c) for c in df.columns]))
     for i, c in enumerate(columns):
@@ -151,29 +152,34 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test: float = K.TEST_SH
 
 def class_index(train: DataFrame, target: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """(target, label): the classes of the training rows, numbered in sorted order."""
-    classes = stage(train.select(col(target)).where(col(target).isNotNull()).distinct(), "classes")
+    return _counted_index(train, target, bound).drop(_SIZE)
+
+
+def _counted_index(train: DataFrame, target: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """(target, number of rows, label)."""
+    classes = stage(train.select(col(target)).where(col(target).isNotNull()).groupBy(col(target)).agg(F.count("*").alias(_SIZE)), "classes")
     if fits_broadcast(classes, bound):
         return classes.withColumn("label", F.row_number().over(Window.orderBy(col(target))) - 1)
-    return _numbered(classes, target)
+    return stage(_numbered(classes, target), "class-index")
 
 
 def _numbered(classes: DataFrame, target: str) -> DataFrame:
-    """(target, label) for any number of distinct values: ranges of them are numbered apart, after the count of all before."""
+    """The classes with ``label`` for any number of distinct values: ranges of them are numbered apart, after the count of all before."""
     ranges = stage(classes.repartitionByRange(col(target)).withColumn("_range", F.spark_partition_id()), "class-ranges")
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)      # a row per range
     before = ranges.groupBy("_range").agg(F.count("*").alias("_n")) \
         .select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(col(target)))
-    return ranges.join(F.broadcast(before), "_range").select(col(target), (F.col("_before") + place - 1).alias("label"))
+    return ranges.join(F.broadcast(before), "_range").select(col(target), _SIZE, (F.col("_before") + place - 1).alias("label"))
 
 
 def encode_target(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     """Both tables with ``label``; a test class unseen in training counts as class 0."""
-    index = class_index(train, target)
+    index = _counted_index(train, target)
 
     def encode(part: DataFrame) -> DataFrame:
         spread = F.xxhash64(*[col(c) for c in part.columns])
-        joined = join_group_facts(part.withColumn("_spread", spread), index, [target], "_spread", "left")
+        joined = join_group_facts(part.withColumn("_spread", spread), index, [target], "_spread", "left", size=_SIZE)
         return joined.select(*[col(c) for c in part.columns],
                              F.coalesce("label", F.lit(0)).cast("double").alias("label"))
 
