@@ -69,8 +69,8 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     for i, c in enumerate(columns):
         key, label = f"_class{i}", f"_label{i}"
         named = F.coalesce(col(c), F.lit(MISSING_LABEL)).alias(key)
-        index = class_index(df.select(named), key).withColumnRenamed("label", label)
-        encoded = join_group_facts(encoded.withColumn(key, named), index, [key], "_spread", "left").drop(key)
+        index = _counted_index(df.select(named), key).withColumnRenamed("label", label)
+        encoded = join_group_facts(encoded.withColumn(key, named), index, [key], "_spread", "left", size=_SIZE).drop(key, _SIZE)
     labels = {c: F.col(f"_label{i}").cast("bigint") for i, c in enumerate(columns)}
     return encoded.select(*[labels.get(c, col(c)).alias(c) for c in df.columns])
 

@@ -42,3 +42,13 @@ def test_unseen_targets_among_many_classes(spark, monkeypatch):
     for part in parts:
         assert all(r.label == place.get(r.name, 0) for r in part.collect())
     assert sum(p.count() for p in parts) == 300
+
+
+def test_labels_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    table = spark.range(300).select("id", F.when(F.col("id") % 11 > 0, F.format_string("name %03d", "id")).alias("name"))
+    encoded = tt.label_encode(table, ["name"])
+    assert "SortMergeJoin" in _nodes(encoded)
+    texts = {r.id: r.name or "nan" for r in table.collect()}
+    place = {name: i for i, name in enumerate(sorted(set(texts.values())))}
+    assert {r.id: r.name for r in encoded.collect()} == {i: place[t] for i, t in texts.items()}
