@@ -53,13 +53,14 @@ def _parsed_forms(s, d):
 
 
 def _refitted(s, d):
-    """Three files that share rows arrive one after the other; what has come is cleaned by rules fitted on all of it."""
-    arrivals, folder = staging_path(s, "arrivals"), staging_path(s, "refit")
+    """Three parts that share rows arrive one after the other, each of any number of files and taken in whole before the next one; what has come
+    is cleaned by rules fitted on all of it."""
+    arrivals, folder, checkpoint = (staging_path(s, label) for label in ("arrivals", "refit", "refit-state"))
     table = dirty(s, d)
     for i in range(3):
         table.where(F.pmod(F.col("event_id"), F.lit(3)).isin(i, (i + 1) % 3)).write.mode("append").parquet(arrivals)
-    stream = s.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
-    tt.append_distinct_stream(stream, folder).awaitTermination()
+        stream = s.readStream.schema(table.schema).parquet(arrivals)
+        tt.append_distinct_stream(stream, folder, checkpoint).awaitTermination()
     return tt.refit_cleaning(s, folder, table.schema).cleaned()
 
 

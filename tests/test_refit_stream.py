@@ -93,3 +93,19 @@ def test_nothing_has_come(spark, tmp_path):
     schema = spark.createDataFrame([], SCHEMA).schema
     assert tt.stream_rows(spark, str(tmp_path / "none"), schema).count() == 0
     assert tt.refit_cleaning(spark, str(tmp_path / "none"), schema).fences == {}
+
+
+def test_an_arrival_is_one_batch_whatever_its_files(spark, tmp_path, monkeypatch):
+    import catalog.cleaning as catalog
+    places = []
+
+    def place(_, label):
+        places.append(label)
+        return str(tmp_path / label)
+
+    monkeypatch.setattr(catalog, "staging_path", place)
+    monkeypatch.setattr(catalog, "dirty", lambda s, d: s.range(0, 600, 1, 5).select(F.col("id").alias("event_id"), (F.col("id") % 50 * 1.5).alias("value")))
+    assert catalog._refitted(spark, "").count() == 600
+    files = [f for f in (tmp_path / "arrivals").iterdir() if f.suffix == ".parquet"]
+    batches = [b for b in (tmp_path / "refit" / "rows").iterdir() if b.is_dir()]
+    assert len(files) == 15 and len(batches) == 3 and len(places) == 3
