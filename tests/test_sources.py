@@ -1,5 +1,8 @@
+from pathlib import Path
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import tabletools as tt
 import tabletools.sources.files as files
@@ -159,3 +162,23 @@ def test_staging_without_a_named_folder(spark, monkeypatch):
     assert first != second and first.rsplit("/", 2)[0] == second.rsplit("/", 2)[0]
     assert not first.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert stage(spark.range(3), "numbers").count() == 3
+
+
+def test_large_csv_files_are_bounded(spark, tmp_path):
+    from catalog.sources import _large_files_csv
+    rows = spark.range(0, 3000, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit("\n\"x\"")).alias("text"),
+                                              F.lit("s").alias("source"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+
+    def written():
+        return len([f for f in Path(_large_files_csv(spark, str(tmp_path)).removeprefix("file:")).iterdir() if f.suffix == ".csv"])
+
+    assert written() == 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 6))
+    try:
+        assert 3 <= written() <= 4
+        table = tt.read_csv_table(spark, _large_files_csv(spark, str(tmp_path)))
+        assert sorted((int(r.doc_id), r.text) for r in table.collect()) == sorted((r.doc_id, r.text) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
