@@ -12,9 +12,9 @@ at the end is cut into powers of two. No token of padding is needed.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletools.functions.joins import join_group_facts
-from tabletools.llm.words import bounded_batches, give_back, slices
+from tabletools.llm.words import bounded_batches, give_back, slices, text_bytes
 from tabletools.sources.staging import stage
 
 LENGTH = 2048
@@ -39,8 +39,9 @@ KEPT_PIECES = 100_000       # pieces of words whose ids a task keeps
 # apostrophe (it starts contractions) and "<" (it starts special tokens), and the letters of Latin-1, which have simple lower cases
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMAL = ["NFC", "Replace", "Lowercase"]
-_PLAIN_WORD = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]*")
-_PLAIN_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN_WORD = r"^[!-&(-;=-~À-ÖØ-öø-ÿ]*$"
+_LETTER, _DIGIT, _OTHER = range(3)
+_KINDS = np.array([_LETTER if 97 <= b <= 122 or b >= 128 else _DIGIT if 48 <= b <= 57 else _OTHER for b in range(256)], np.uint8)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -50,13 +51,21 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)}
 
 
+def _in_a_row(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each of ``codes`` in a row, and how many each has; ``flat`` holds those of code 0, 1, ..."""
+    begins, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    total = np.cumsum(sizes)
+    return flat[np.arange(total[-1] if len(total) else 0) + np.repeat(begins - (total - sizes), sizes)], sizes
+
+
 class WordTokenizer:
     """Ids of whole texts for a vocabulary that splits at white space first. Each distinct word of a slice is encoded once; plain words are
-    cut into pieces here, and the ids of pieces kept, all others pass through the whole tokenizer."""
+    cut into pieces here, each distinct piece is encoded once and its ids kept, all others pass through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.model, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        self.cut = self.model.model.tokenize
         form = json.loads(self.model.to_str())
         normal = (form["normalizer"] or {}).get("normalizers", [])
         cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -65,43 +74,61 @@ class WordTokenizer:
 
     def _piece_ids(self, piece: str) -> list[int]:
         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.model.tokenize(letters)]
+        return [t.id for t in self.cut(letters)]
+
+    def _plain_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words in a row, and how many each has. Words are cut all at once, by the kinds of their bytes."""
+        data, limits = text_bytes(pc.utf8_lower(words))
+        kind = _KINDS[data]
+        new = np.zeros(len(data) + 1, bool)
+        new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        new[limits] = True
+        begins = np.flatnonzero(new[:-1])
+        pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)).dictionary_encode()
+        distinct, known = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        own = [ids if (ids := known.get(piece)) is not None else self._piece_ids(piece) for piece in distinct]
+        if len(known) + len(own) > KEPT_PIECES:                 # those of this slice are the likeliest to come again
+            known = self.known = {}
+        known.update(islice(zip(distinct, own), KEPT_PIECES))
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter(chain.from_iterable(own), np.uint32, sizes.sum())
+        flat, sizes = _in_a_row(flat, sizes, pieces.indices.to_numpy(zero_copy_only=False))
+        ahead = np.append(0, np.cumsum(sizes))[np.searchsorted(begins, limits)]
+        return flat, np.diff(ahead)
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        plain = pc.match_substring_regex(words, _PLAIN_WORD) if self.plain else pa.array(np.zeros(len(words), bool))
+        flat, sizes = self._plain_ids(words.filter(plain))
+        plain = plain.to_numpy(zero_copy_only=False)
+        if plain.all():
+            return flat, sizes
+        other = [e.ids for e in self.model.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(other), np.uint32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, other), np.int64, len(other))])
+        place = np.empty(len(words), np.int64)                  # of each word among the plain ones and the others behind them
+        place[np.append(np.flatnonzero(plain), np.flatnonzero(~plain))] = np.arange(len(words))
+        return _in_a_row(flat, sizes, place)
 
     def _word_ids(self, words: list[str]) -> tuple[list[int], list[int]]:
         """The ids of all words in a row, and where each word's begin."""
-        if len(self.known) > KEPT_PIECES:
-            self.known = {}
-        known, plain = self.known, _PLAIN_WORD.fullmatch if self.plain else lambda word: None
-        cut, flat, begins = _PLAIN_PIECE.findall, [], []
-        other = [w for w in words if not plain(w)]
-        of_other = dict(zip(other, (e.ids for e in self.model.encode_batch_fast(other, add_special_tokens=False))))
-        for word in words:
-            begins.append(len(flat))
-            if (ids := of_other.get(word)) is not None:
-                flat += ids
-                continue
-            for piece in cut(word.lower()):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = self._piece_ids(piece)
-                flat += ids
-        return flat, begins
+        flat, sizes = self._ids_of(pa.array(words, pa.large_string()))
+        return flat.tolist(), (np.cumsum(sizes) - sizes).tolist()
 
     def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text with ``end_id`` behind it, and how many each has."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        flat, begins = self._word_ids(coded.dictionary.to_pylist())
-        flat, begins = np.array(flat + [end_id], np.uint32), np.array(begins + [len(flat)], np.int64)
-        lengths = np.diff(begins, append=len(flat))
-        codes = coded.indices.to_numpy(zero_copy_only=False)
+        flat, sizes = self._ids_of(coded.dictionary)
         per_row = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        codes = np.insert(codes, np.cumsum(per_row), len(begins) - 1)
-        sizes = lengths[codes]
-        total = np.cumsum(sizes)
-        take = np.arange(total[-1] if len(total) else 0) + np.repeat(begins[codes] - (total - sizes), sizes)
-        row_ends = total[np.cumsum(per_row + 1) - 1] if len(total) else np.zeros(0, np.int64)
-        return flat[take], np.diff(row_ends, prepend=0)
+        ends = np.cumsum(per_row + 1)
+        codes = np.full(ends[-1] if len(ends) else 0, len(sizes))
+        inside = np.ones(len(codes), bool)
+        inside[ends - 1] = False
+        codes[inside] = coded.indices.to_numpy(zero_copy_only=False)
+        flat, sizes = _in_a_row(np.append(flat, np.uint32(end_id)), np.append(sizes, 1), codes)
+        row_ends = np.cumsum(sizes)[ends - 1] if len(ends) else np.zeros(0, np.int64)
+        return flat, np.diff(row_ends, prepend=0)
 
 
 _STAGED = "doc_id long, src string, part int, ahead long, tokens long, ids binary"

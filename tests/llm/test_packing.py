@@ -2,9 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from tabletools.llm import packing
 from tabletools.llm.packing import Sequences, WordTokenizer, pack, places
 from tabletools.llm.queries import op10_packing
 
@@ -112,3 +114,27 @@ def test_plain_words_are_cut_as_the_tokenizer_does(tokenizer):
         flat, _ = mine._word_ids(["x", word])
         if word.split() == [word]:
             assert flat == tokenizer.encode(f"x {word}", add_special_tokens=False).ids, word
+
+
+def test_slices_are_cut_as_the_tokenizer_does(tokenizer):
+    rng = np.random.default_rng(2)
+    words = ["", " ", "a1b22", "DON'T", "É!x", "ÿ¿ß9", "漢字", "x<y", "--", "Wörter", "12", "İ", "\t\n", "ab", "…"]
+    texts = ["".join(rng.choice(words, n)) + " " * int(n % 3) + " ".join(rng.choice(words, n)) for n in [0, 1, *rng.integers(0, 30, 200)]]
+    mine = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for part in (texts, texts[:3], [""], [], ["漢"], texts[::-1]):
+        ids, tokens = mine.ids(pa.array(part, pa.large_string()), 1)
+        expected = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in part]
+        assert ids.tolist() == sum(expected, []) and tokens.tolist() == [len(e) for e in expected]
+
+
+def test_pieces_of_the_slice_before_are_not_encoded_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_PIECES", 50)
+    mine, encoded = WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+    cut = mine._piece_ids
+    monkeypatch.setattr(mine, "_piece_ids", lambda piece: encoded.append(piece) or cut(piece))
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    for _ in range(2):
+        ids, _ = mine.ids(pa.array([text], pa.large_string()), 1)
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert len(mine.known) <= 50
+    assert len(encoded) == 60 + 10
